@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "sharding")
+MODULES = ("decontamination", "mixing", "chat", "sharding", "quality_rules")
 
 
 def _gather(what: str) -> dict:
