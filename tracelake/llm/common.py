@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,20 @@ def _drop_all() -> None:
     _SCRATCH.clear()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, as their Python may not have it on its path."""
+    context = spark.sparkContext
+    if getattr(context, "_tracelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="tracelake-")) / "tracelake-package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "tracelake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(target))
+    context._tracelake_shipped = True
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its count shows that it fits; else df as it is, to be joined by shuffling."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "mixing", "chat", "sharding", "quality_rules")
+MODULES = ("decontamination", "mixing", "chat", "sharding", "quality_rules", "substring_dedup")
 
 
 def _gather(what: str) -> dict:
