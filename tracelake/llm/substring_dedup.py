@@ -29,33 +29,19 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .common import materialize, ship_package, table
+from .repeats import BLOBS_SQL, Filter, blobs, bucket_of, find_twice, key_blobs, runs
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
-#: The filter never has more bits: 64 MB.
-FILTER_BITS = 1 << 29
 #: Documents whose entries meet in one hash range.
 RANGE_DOCS = 10_000
 NO_ID = np.iinfo(np.int64).max
 
-_BLOBS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 _ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("pos", "<u4")])
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The hash range of each hash."""
-    return ((h >> B.U64(32)) * B.U64(buckets)) >> B.U64(32)
-
-
-def _blobs(bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket; values must be in bucket order."""
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=int)
-    ends = np.concatenate([at[1:], [len(bucket)]]) if len(at) else at
-    return pa.record_batch([pa.array(bucket[at].astype(np.int32), pa.int32()), pa.array([values[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], schema=_BLOBS)
-
-
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """ids, tags, word hashes and offsets of the texts of each piece, and of each word its text."""
     data, offsets = B.strings(batch.column("text"))
@@ -81,58 +67,19 @@ def _send_anchors(buckets: int):
         for batch in batches:
             for ids, _, words, at, text in _texts(batch):
                 where, h = _anchors(words, at, text)
-                bucket = _bucket(h, buckets).astype(np.int64)
-                low = (h & B.U64(0xFFFFFFFF)).astype(np.uint64)
-                key = (bucket.astype(np.uint64) << B.U64(32)) | low
-                order = np.argsort(key, kind="stable")
-                key, own = key[order], ids[text[where]][order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=int)
-                if not len(first):
-                    continue
-                twice = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-                key = key[first]
-                yield _blobs((key >> B.U64(32)).astype(np.int64), np.rec.fromarrays([(key & B.U64(0xFFFFFFFF)).astype(np.uint32), twice], dtype=[("k", "<u4"), ("t", "?")]))
+                yield from key_blobs(h, ids[text[where]], buckets)
 
     return run
 
 
-def _twice(group: pa.Table) -> pa.Table:
-    """The anchors of a hash range that occur in two pieces, or twice in one."""
-    got = np.concatenate([np.frombuffer(x.as_buffer(), dtype=[("k", "<u4"), ("t", "?")]) for x in group.column("payload")])
-    key = np.sort(got["k"])
-    again = np.unique(np.concatenate([key[1:][key[1:] == key[:-1]], got["k"][got["t"]]]))
-    return pa.table({"bucket": group.column("bucket")[:1], "payload": [again.tobytes()]}, schema=_BLOBS)
-
-
-def _bits(size: int):
-    """A hash range's anchors as a string of `size` bits."""
-
+def _send_windows(buckets: int, twice: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column("payload"):
-                bits = np.zeros(size, dtype=bool)
-                bits[_slot(np.frombuffer(x.as_buffer(), dtype="<u4"), size)] = True
-                out.append(np.packbits(bits).tobytes())
-            yield pa.record_batch([batch.column("bucket"), pa.array(out, pa.binary())], schema=_BLOBS)
-
-    return run
-
-
-def _slot(low: np.ndarray, size: int) -> np.ndarray:
-    return ((low.astype(np.uint64) * B.U64(size)) >> B.U64(32)).astype(np.int64)
-
-
-def _send_windows(buckets: int, size: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             for ids, tags, words, at, text in _texts(batch):
                 where, h = _anchors(words, at, text)
                 if not len(where):
                     continue
-                slot = _bucket(h, buckets).astype(np.int64) * size + _slot((h & B.U64(0xFFFFFFFF)).astype(np.uint32), size)
-                found = where[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
+                found = where[twice(h)]
                 seen = np.zeros(len(words) + PERIOD + 1, dtype=np.int64)
                 np.add.at(seen, found + 1, 1)
                 seen = np.cumsum(seen)
@@ -147,7 +94,7 @@ def _send_windows(buckets: int, size: int, shared):
                 later = _later(e)
                 yield from _verdicts(e[later], buckets)
                 sent = e[~later]
-                yield _blobs(_bucket(sent["w1"], buckets).astype(np.int64), sent)
+                yield blobs(bucket_of(sent["w1"], buckets), sent)
 
     return run
 
@@ -166,7 +113,7 @@ def _verdicts(e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     if len(e):
         where = (e["id"].astype(np.uint64) % B.U64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        yield _blobs(-1 - where[order], e[order])
+        yield blobs(-1 - where[order], e[order])
 
 
 _REPLY = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_at", pa.binary())])
@@ -179,9 +126,8 @@ def _resolve(group: pa.Table) -> pa.Table:
         e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
         e = e[_later(e)]
     e = e[np.lexsort((e["tag"], e["id"]))]
-    new = np.flatnonzero(np.concatenate([[True], (e["id"][1:] != e["id"][:-1]) | (e["tag"][1:] != e["tag"][:-1])])) if len(e) else np.zeros(0, dtype=int)
-    ends = np.concatenate([new[1:], [len(e)]]) if len(new) else new
-    return pa.table({"_id": e["id"][new], "_tag": e["tag"][new].astype(np.int64), "_at": [e["pos"][a:b].tobytes() for a, b in zip(new, ends)]}, schema=_REPLY)
+    at, ends = runs(e["id"], e["tag"])
+    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_at": [e["pos"][a:b].tobytes() for a, b in zip(at, ends)]}, schema=_REPLY)
 
 
 def _apply(digest: bool):
@@ -216,17 +162,10 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     tagged = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
     buckets = max(16, docs.count() // RANGE_DOCS)
 
-    blobs = "bucket int, payload binary"
-    twice = rows.mapInArrow(_send_anchors(buckets), blobs).groupBy("bucket").applyInArrow(_twice, blobs)
-    twice = materialize(twice, "anchors")
-    total = twice.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    size = 8 * max(1, min(FILTER_BITS, 4 * total) // (8 * buckets))
-    bits = np.zeros(buckets * size // 8, dtype=np.uint8)
-    for r in twice.mapInArrow(_bits(size), blobs).toLocalIterator():
-        bits[r["bucket"] * size // 8 : (r["bucket"] + 1) * size // 8] = np.frombuffer(r["payload"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    replies = tagged.mapInArrow(_send_windows(buckets, size, shared), blobs).groupBy("bucket").applyInArrow(_resolve, "_id bigint, _tag bigint, _at binary")
+    keys = rows.mapInArrow(_send_anchors(buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_twice, BLOBS_SQL)
+    twice = Filter(materialize(keys, "anchors"), buckets)
+
+    replies = tagged.mapInArrow(_send_windows(buckets, twice), BLOBS_SQL).groupBy("bucket").applyInArrow(_resolve, "_id bigint, _tag bigint, _at binary")
     replies = replies.groupBy("_id", "_tag").agg(F.collect_list("_at").alias("_at"))
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
     joined = tagged.join(replies, (own == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "_at")
