@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "mixing", "ngram_join", "chat", "sharding", "quality_rules", "suffix_dedup", "substring_dedup", "packing")
+MODULES = ("decontamination", "mixing", "ngram_join", "chat", "sharding", "quality_rules", "suffix_dedup", "quality_classifier", "substring_dedup", "packing")
 
 
 def _gather(what: str) -> dict:
