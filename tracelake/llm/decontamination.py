@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, small, table
+from .common import materialize, small, table
 
 #: Words of the text before lower-casing: A-Z belong to words too.
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -41,19 +41,19 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings tid, rid, pos (from 1); a header has tid 0 and the document's doc_id and n_words.
+    """Postings tid, rid, pos (from 1); a header has tid 0 and the document's doc_id, the hash of its text and n_words.
 
     rid numbers the rows. Each task writes one segment in term order; tokens of other terms are not stored, as no query of
     this vocabulary can reach them.
     """
-    rows = docs.select("doc_id", words(F.col("text")).alias("_w"), F.monotonically_increasing_id().alias("rid"))
-    tokens = rows.select("doc_id", "rid", F.size("_w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("_w"))).alias("pos", "_t"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), words(F.col("text")).alias("_w"), F.monotonically_increasing_id().alias("rid"))
+    tokens = rows.select("doc_id", "tag", "rid", F.size("_w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("_w"))).alias("pos", "_t"))
     tokens = tokens.withColumn("term", lower_az(F.col("_t")))
     header = docs.sparkSession.createDataFrame([("", HEADER)], "term string, tid long")
     known = small(terms.select("term", "tid").unionByName(header))
     head = F.col("tid") == HEADER
     postings = tokens.join(known, "term").select(
-        "tid", "rid", "pos", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n_words")).alias("n_words"),
+        "tid", "rid", "pos", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("tag")).alias("tag"), F.when(head, F.col("n_words")).alias("n_words"),
     )
     return materialize(postings.sortWithinPartitions("tid", "rid", "pos"), "postings")
 
@@ -129,7 +129,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, terms: DataFrame, slop
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the text's hash (tag) for every row of docs."""
     items = benchmark.select("item_id", F.transform(words(F.col("text")), lower_az).alias("words"))
     items = materialize(items.where(F.size("words") > 0).withColumn("key", F.monotonically_increasing_id()), "items")
     terms = vocabulary(items)
@@ -138,17 +138,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
     hit = found.select("rid", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     named = found.select("rid", "key").distinct().join(small(items.select("key", F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"))), "key")
     named = named.groupBy("rid").agg(F.collect_set("item").alias("_items"))
-    heads = index.where(F.col("tid") == HEADER).select("rid", "doc_id", "n_words")
+    heads = index.where(F.col("tid") == HEADER).select("rid", "doc_id", "tag", "n_words")
     out = heads.join(hit, "rid", "left").join(named, "rid", "left")
     own = F.coalesce(F.array_sort("_items"), F.array().cast("array<string>"))
     return out.select(
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.size(own).cast("bigint").alias("n_items"), F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+        F.size(own).cast("bigint").alias("n_items"), F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "tag",
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The rows of docs without any benchmark window."""
+    bad = contamination(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    bad = small(materialize(bad, "contaminated"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}

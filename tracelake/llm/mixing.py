@@ -7,7 +7,8 @@ inclusion odds pi / (1 - pi), and the ranking is taken up to the size that fills
 fixed-size sample with unequal probabilities.
 
 Defined results: null text or text without words has size 0 and takes 0 words; null sources are a source of their
-own, after all others; an empty table gives an empty result; repeated rows count as often as they occur. Ranks
+own, after all others; an empty table gives an empty result; repeated rows count as often as they occur, and rows of
+equal doc_id and size are taken together or not at all. Ranks
 depend on doc_id and the seed alone, so reruns and any partitioning agree. Columns of the input beside
 doc_id, source and the text are not read.
 """
@@ -53,55 +54,85 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: str = SEED, importance: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs.
+class Plan:
+    """How many copies of each document a mix takes: a few numbers for each source, found in passes over doc_id, source and size.
 
     importance scales a document's expected copies within its source; without it they are equal.
     """
-    imp = (F.lit(1.0) if importance is None else F.greatest(F.coalesce(importance.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_imp")
-    sized = materialize(docs.select("doc_id", "source", F.size(ws_words(F.col("text"))).cast("bigint").alias("size"), imp), "mix-sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_imp")).alias("_mass"))
-    goal = targets(by_source.drop("_mass"), weights, share_percent, max_copies)
-    goal = small(materialize(goal.join(by_source.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets"))
-    goal = goal.withColumnRenamed("source", "_source")
-
-    def by_target(df: DataFrame) -> DataFrame:
-        df = df.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: str = SEED, importance: Column | None = None):
+        self.max_copies, self.seed, self.importance = max_copies, seed, importance
+        self.sized = materialize(self.measured(docs.select("*")).select(*COLUMNS), "mix-sizes")
+        by_source = self.sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_imp")).alias("_mass"))
+        goal = targets(by_source.select(F.col("_source").alias("source"), "source_size"), weights, share_percent, max_copies)
+        goal = goal.join(by_source.select("_source", "_mass"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        self.goal = materialize(goal.withColumnRenamed("source", "_s"), "mix-targets")
+        self.cuts = materialize(self._cuts(), "mix-cuts")
+
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """docs with what a plan needs, under names of its own."""
+        imp = F.lit(1.0) if self.importance is None else F.greatest(F.coalesce(self.importance.cast("double"), F.lit(0.0)), F.lit(0.0))
+        return docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.size(ws_words(F.col("text"))).cast("bigint"), "_imp": imp})
+
+    def ranked(self, df: DataFrame) -> DataFrame:
+        """df with its source's numbers, its whole copies, its rank _q (null: no further copy) and rank interval _b."""
+        df = df.join(small(self.goal), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
         rate = F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))
-        df = df.withColumn("_rate", F.least(rate, F.lit(float(max_copies))) if importance is None else rate)
-        expected = F.least(F.col("_rate") * F.col("_imp"), F.lit(float(max_copies)))
+        df = df.withColumn("_rate", F.least(rate, F.lit(float(self.max_copies))) if self.importance is None else rate)
+        expected = F.least(F.col("_rate") * F.col("_imp"), F.lit(float(self.max_copies)))
         df = df.withColumn("_whole", F.floor(expected)).withColumn("_pi", expected - F.col("_whole"))
         mean_pi = F.col("_rate") - F.floor(F.col("_rate"))
-        u = uniform(F.col("doc_id"), seed)
+        u = uniform(F.col("_id"), self.seed)
         odds = F.when(F.col("_pi") > 0, (u / (1.0 - u)) / (F.col("_pi") / (1.0 - F.col("_pi"))))
-        df = df.withColumn("_q", F.when(F.col("_whole") >= max_copies, F.lit(None).cast("double")).otherwise(F.coalesce(odds, F.lit(float("inf")))))
+        df = df.withColumn("_q", F.when(F.col("_whole") >= self.max_copies, F.lit(None).cast("double")).otherwise(F.coalesce(odds, F.lit(float("inf")))))
         # The rank intervals follow the odds as they would be at the source's mean probability: nearly even.
         scaled = F.col("_q") * (mean_pi / (1.0 - mean_pi))
         place = F.when(F.col("_q") == float("inf"), F.lit(1.0)).otherwise(scaled / (1.0 + scaled))
         return df.withColumn("_b", F.least(F.floor(place * INTERVALS), F.lit(INTERVALS - 1)).cast("int"))
 
-    ranked = by_target(sized)
-    parts = ranked.groupBy("source", "_b").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col("size")).otherwise(0)).alias("_n"), F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.first("target").alias("target"))
-    up_to = Window.partitionBy("source").orderBy(F.col("_b").asc_nulls_last())
-    rest = F.col("target") - F.sum("_sure").over(Window.partitionBy("source"))
-    parts = parts.withColumn("_end", F.sum("_n").over(up_to)).withColumn("_rest", rest).withColumn("_begin", F.col("_end") - F.col("_n"))
-    cut = parts.where(F.col("_b").isNotNull() & (F.col("_begin") < F.col("_rest")) & (F.col("_end") >= F.col("_rest")))
-    cut = cut.select(F.col("source").alias("_cs"), F.col("_b").alias("_cb"), F.col("_begin").alias("_cbegin"))
-    rests = parts.groupBy("source").agg(F.first("_rest").alias("_rest"), F.max("_end").alias("_all")).withColumnRenamed("source", "_rs")
-    cuts = rests.join(cut, F.col("_rs").eqNullSafe(F.col("_cs")), "left").drop("_cs")
-    cuts = small(materialize(cuts, "mix-cuts"))
-
-    chosen = ranked.join(cuts, F.col("source").eqNullSafe(F.col("_rs")), "left").drop("_rs")
-    on_cut = F.coalesce((F.col("_b") == F.col("_cb")) & F.col("_q").isNotNull(), F.lit(False))
-    in_order = Window.partitionBy("source").orderBy("_q", "doc_id", "size")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
-    edge = chosen.where(on_cut).withColumn("_mid", F.col("_cbegin") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2.0)
-    edge = edge.withColumn("copies", F.col("_whole") + F.when(F.col("_mid") <= F.col("_rest"), 1).otherwise(0))
-    # Without an interval that holds the cut, nothing is left to take or more than can be ranked.
-    below = F.when(F.col("_cb").isNotNull(), F.col("_b") < F.col("_cb")).otherwise(F.coalesce((F.col("_rest") > 0) & (F.col("_all") <= F.col("_rest")), F.lit(False)))
-    plain = chosen.where(~on_cut).withColumn("copies", F.col("_whole") + F.when(F.col("_q").isNotNull() & below, 1).otherwise(0))
-    out = plain.select(*keep, "copies").unionByName(edge.select(*keep, "copies"))
-    return out.withColumn("copies", F.col("copies").cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
+    def _cuts(self) -> DataFrame:
+        """Of each source: the size that is left to take, all that can be ranked, the interval that the cut falls into, and the last rank below it."""
+        ranked = self.ranked(self.sized)
+        parts = ranked.groupBy("_source", "_b").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col("_size")).otherwise(0)).alias("_n"), F.sum(F.col("_whole") * F.col("_size")).alias("_sure"), F.first("target").alias("target"))
+        up_to = Window.partitionBy("_source").orderBy(F.col("_b").asc_nulls_last())
+        rest = F.col("target") - F.sum("_sure").over(Window.partitionBy("_source"))
+        parts = parts.withColumn("_end", F.sum("_n").over(up_to)).withColumn("_rest", rest).withColumn("_begin", F.col("_end") - F.col("_n"))
+        holds = F.col("_b").isNotNull() & (F.col("_begin") < F.col("_rest")) & (F.col("_end") >= F.col("_rest"))
+        rests = parts.groupBy(F.col("_source").alias("_cs")).agg(F.first("_rest").alias("_rest"), F.max("_end").alias("_all"), F.max(F.when(holds, F.col("_b"))).alias("_cb"), F.max(F.when(holds, F.col("_begin"))).alias("_cbegin"))
+        rests = materialize(rests, "mix-rests")
+        edge = ranked.join(small(rests), F.col("_source").eqNullSafe(F.col("_cs"))).where((F.col("_b") == F.col("_cb")) & F.col("_q").isNotNull())
+        in_order = Window.partitionBy("_source").orderBy("_q", "_id", "_size")
+        edge = edge.withColumn("_mid", F.col("_cbegin") + F.sum("_size").over(in_order) - F.col("_size") / 2.0)
+        last = edge.where(F.col("_mid") <= F.col("_rest")).groupBy(F.col("_source").alias("_ls")).agg(F.max(F.struct("_q", "_id", "_size")).alias("_last"))
+        return rests.join(last, F.col("_cs").eqNullSafe(F.col("_ls")), "left").drop("_ls")
+
+    def copies(self, df: DataFrame) -> DataFrame:
+        """df (from measured) with source_size, target and copies."""
+        df = self.ranked(df).join(small(self.cuts), F.col("_source").eqNullSafe(F.col("_cs")))
+        within = (F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & F.coalesce(F.struct("_q", "_id", "_size") <= F.col("_last"), F.lit(False)))
+        # Without an interval that holds the cut, nothing is left to take or more than can be ranked.
+        taken = F.when(F.col("_cb").isNotNull(), within).otherwise((F.col("_rest") > 0) & (F.col("_all") <= F.col("_rest")))
+        more = F.when(F.col("_q").isNotNull() & F.coalesce(taken, F.lit(False)), 1).otherwise(0)
+        return df.withColumn("copies", (F.col("_whole") + more).cast("bigint"))
+
+
+COLUMNS = ("_id", "_source", "_size", "_imp")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
+    plan = Plan(docs.select("doc_id", "source", "text"), **options)
+    out = plan.copies(plan.sized)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    plan = Plan(docs.select("doc_id", "source", "text"), **options)
+    # The whole row travels in one column, so no name can clash.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    out = plan.copies(plan.measured(held)).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +165,7 @@ ranked AS (
       THEN (u / (1.0::DOUBLE - u)) / ((rate - floor(rate)) / (1.0::DOUBLE - (rate - floor(rate)))) ELSE 'infinity'::DOUBLE END AS q FROM joined),
 placed AS (
   SELECT *, target - whole * source_size AS rest,
-    sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS mid FROM ranked)
+    sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size) - size / 2.0::DOUBLE AS mid FROM ranked)
 SELECT doc_id, size, source_size, target,
   (CASE WHEN q IS NOT NULL AND mid <= rest THEN whole + 1 ELSE whole END * size)::BIGINT AS taken FROM placed
 """

@@ -38,7 +38,7 @@ BUFFER = 4 << 20
 PAIRS_AN_ENTRY = 16
 PARTS = 16
 
-_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tag", pa.int64())])
 _POSTING = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
 
@@ -90,10 +90,10 @@ def _survey(ngram: int, lower: bool):
                 if size > BUFFER:
                     keys, counts = _shorten(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(size, dtype=np.int64)]), HEAVY)
                     held, size = [], 0
-            yield pa.record_batch([pa.array(np.zeros(len(n), dtype=np.int32)), batch.column("doc_id"), pa.array(node, mask=n == 0), pa.array(n)], schema=_FIRST)
+            yield pa.record_batch([pa.array(np.zeros(len(n), dtype=np.int32)), batch.column("doc_id"), pa.array(node, mask=n == 0), pa.array(n), batch.column("tag")], schema=_FIRST)
         keys, counts = _shorten(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(size, dtype=np.int64)]), HEAVY)
         keys, counts = keys[counts > 1], counts[counts > 1]
-        yield pa.record_batch([pa.array(np.ones(len(keys), dtype=np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=_FIRST)
+        yield pa.record_batch([pa.array(np.ones(len(keys), dtype=np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.int64())], schema=_FIRST)
 
     return run
 
@@ -239,12 +239,13 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
 
 
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    """doc_id, n_shingles, component_id, and for joining back the component's key (null without n-grams) and the text's hash, for every row of docs."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    survey = materialize(rows.mapInArrow(_survey(ngram, lower), "kind int, id bigint, node bigint, n bigint"), "survey")
-    whole = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "node", "n")
+    tagged = rows.withColumn("tag", F.xxhash64("text"))
+    survey = materialize(tagged.mapInArrow(_survey(ngram, lower), "kind int, id bigint, node bigint, n bigint, tag bigint"), "survey")
+    whole = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "node", "n", "tag")
 
     top = survey.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(HEAVY).toArrow()
     keys = top.column("node").to_numpy().view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
@@ -274,14 +275,35 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lowe
     by_node = materialize(by_node, "members")
     smallest = by_node.groupBy("c").agg(F.min("_id").alias("_least"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
     named = by_node.join(small(smallest.withColumnRenamed("c", "_c")), F.col("c") == F.col("_c"), "left")
-    named = named.select(F.col("node").alias("_node"), F.coalesce("_least", "_id").alias("_component"))
+    named = named.select(F.col("node").alias("_node"), F.coalesce("_least", "_id").alias("_component"), F.col("c").alias("component"))
     out = whole.join(named, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "component", "tag")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, of each component only the one of the smallest doc_id; texts without n-grams all stay."""
+    members = materialize(ngram_join(docs, **options).where("component is not null").select("component", "doc_id", "tag"), "members")
+    name = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    best = members.groupBy("component").agg(F.min(name).alias("_best"), F.count("*").alias("_k")).where("_k > 1")
+    best = materialize(best.select(F.col("component").alias("_c"), "_best._id", "_best._tag"), "best")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    rest = members.join(small(best), F.col("component") == F.col("_c"))
+    lost = rest.where(~own).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_tag"))
+    kept = docs.join(small(materialize(lost, "lost")), same, "left_anti")
+    # Repeated rows of the one that stays.
+    again = rest.where(own).groupBy("_id", "_tag").agg(F.count("*").alias("_k")).where("_k > 1").select("_id", "_tag")
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(again), same, "left_anti").unionByName(once)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}

@@ -94,16 +94,17 @@ def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    hosts = small(host_verdicts(measured(docs, keep=("source",)), limit).where(~F.col("_rejected")).select("_host"))
-    mark = "_row"
-    while mark in docs.columns:
-        mark += "_"
-    # The whole row travels beside the counts in one column, so no name can clash.
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark), F.col("source").alias("source"), F.col("text").alias("text"))
-    judged = measured(held, keep=(mark, "source")).where(~F.col("base_failed"))
-    kept = judged.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left_semi")
-    return kept.select(*[F.col(mark)[c].alias(c) for c in docs.columns])
+    """The rows of docs that are kept, with all their columns.
+
+    The texts are measured once; verdicts come back by doc_id and the text's hash.
+    """
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = docs.select("doc_id", "source", "text", tag.alias("_tag"))
+    judged = materialize(measured(held, keep=("doc_id", "source", "_tag")).select("doc_id", "source", "_tag", "base_failed"), "quality")
+    hosts = host_verdicts(judged, limit).where("_rejected").select("_host")
+    failed = judged.where("base_failed").select(F.col("doc_id").alias("_id"), "_tag").distinct()
+    kept = docs.join(small(hosts), F.col("source").eqNullSafe(F.col("_host")), "left_anti")
+    return kept.join(small(failed), F.col("doc_id").eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_anti")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
