@@ -15,8 +15,13 @@ def _gather(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _gather("QUERIES")
+    import corpus_pipeline
+
+    return _gather("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return _gather("ORACLES")
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return _gather("ORACLES") | own
