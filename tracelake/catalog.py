@@ -93,7 +93,8 @@ LEAVES: dict[str, tuple[dict, str]] = {
     "network": ({"s": {"IpAddress|cidr": "10.2.64.0/18"}}, "ip LIKE '10.2.%' AND split_part(ip, '.', 3)::INT BETWEEN 64 AND 127"),
     "greater": ({"s": {"Amount|gt": 20000}}, "amount > 20000"),
     "at most": ({"s": {"Amount|lte": 150}}, "amount <= 150"),
-    "base64": ({"s": {"CommandLine|base64offset|contains": "number 12"}}, "kind = 'purchase' AND num::VARCHAR LIKE '12%'"),
+    # Of the last character only the bits that no neighbour changes are compared: any digit can follow the 1.
+    "base64": ({"s": {"CommandLine|base64offset|contains": "number 12"}}, "kind = 'purchase' AND num::VARCHAR LIKE '1_%'"),
     "not equal": ({"s": {"TargetUserName|neq": ["user1", "user2"]}}, "target NOT IN ('user1', 'user2')"),
     "length": ({"s": {"CommandLine": {"min_length": 25}}}, "strlen(command) >= 25"),
     "keywords": ({"k": ["HOST-13", "*WS9*"]}, "computer = 'HOST-13' OR ws = 'WS9'"),
