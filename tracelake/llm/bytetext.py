@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time; a longer text is cut at white space.
-SEGMENT = 4 << 20
+#: Bytes of text that are taken together.
+PIECE = 4 << 20
+#: Bytes that are hashed at a time, ended by a word's end.
+SEGMENT = 1 << 20
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -94,7 +96,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = SEGMENT) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -79,9 +79,16 @@ def _drop_all() -> None:
     _SCRATCH.clear()
 
 
+#: Rows of an Arrow batch between the JVM and Python, in place of Spark's 10,000: texts are long, and both sides hold whole batches.
+ARROW_ROWS = 1_000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, as their Python may not have it on its path."""
+    """Make Python operators ready: this package goes to the executors once, as their Python may not have it on its path,
+    and Arrow batches become smaller unless the session has its own size for them."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(context, "_tracelake_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]

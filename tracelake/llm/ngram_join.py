@@ -1,15 +1,13 @@
 """N-gram Jaccard self-join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. One pass over the texts makes a row for each document (its set's hash and size) and, within each task, a frequency
-   summary of the n-grams over all data: at most HEAVY counters, kept by subtracting what does not fit (Misra and Gries), so the memory is bounded and
-   a count is too low by a HEAVY-th of all n-grams at most. It only sets the global order, rare n-grams first; the result is exact
-   under any order.
-2. A second pass emits each distinct set's prefix in that order: of n n-grams the first n - ceil(t n) + 1. Lists of one n-gram with
-   two sets or more are all that is kept.
-3. Sets that share a prefix n-gram are candidates if their sizes (length filter) and the positions of the n-gram (positional
-   filter) allow the overlap. Only connection matters, so a long list is first compared with one pivot, its set with the earliest position,
-   and pairs that are already connected are never made; when few enough pairs are left between components, all of them are.
-4. Each pair is verified once: the sets' parts in 16 hash ranges bound the overlap (suffix filter), then they are intersected.
+1. The document frequency of every n-gram is counted by hash range; mappers get its magnitude from a table of bounded size (64 MB; where
+   n-grams share a slot there, the order is less apt, but the result is exact under any order). The global order is by magnitude, then hash.
+2. Of n n-grams in that order the first n - ceil(t n) + 1 are a set's prefix. Those of them that two sets have are list entries.
+3. Sets that share prefix n-grams are candidates if their sizes (length filter), the positions of the first common n-gram (positional
+   filter), and the common n-grams of the prefixes together with the sizes of what follows them (suffix filter) allow the overlap. Only connection
+   matters, so long lists are first compared with one pivot each, the set with the earliest position, and pairs that are already
+   connected are never made; when few enough pairs are left between components, all of them are.
+4. Each candidate pair is verified once: the sets' parts in 16 hash ranges bound the overlap again, then the sets are intersected.
 5. Components by large-star and small-star steps; every document gets the smallest doc_id of its component.
 
 Equal sets are one node throughout, so copies never meet as pairs. Defined results: null, empty and blank texts have no n-grams and are
@@ -28,17 +26,19 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .common import drop_scratch, materialize, ship_package, small, table
+from .repeats import BLOBS_SQL, Levels, count_blobs, find_counts
 
 NGRAM = 4
 PERCENT = 85
-HEAVY = 1 << 16
-#: N-grams that a task gathers before it shortens its summary.
-BUFFER = 4 << 20
+#: N-grams that a task counts together.
+BUFFER = 2 << 20
 #: All pairs between components are made when they are at most so many times the list entries.
 PAIRS_AN_ENTRY = 16
 PARTS = 16
+#: Documents whose n-grams meet in one hash range.
+RANGE_DOCS = 5_000
 
-_FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tag", pa.int64())])
+_FIRST = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tag", pa.int64())])
 _POSTING = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
 
@@ -65,35 +65,43 @@ def _node(own: np.ndarray) -> int:
     return int(B.mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _shorten(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-    if len(keys) > most:
-        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
-        keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
-
-
 def _survey(ngram: int, lower: bool):
-    """Kind 0: a document's node and size. Kind 1: an n-gram and its count in the task's summary."""
+    """A document's node and size; no node without n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        held: list[np.ndarray] = []
-        size = 0
         for batch in batches:
             node, n = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             for row, own in _sets(batch, ngram, lower):
                 node[row], n[row] = _node(own), len(own)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(node, mask=n == 0), pa.array(n), batch.column("tag")], schema=_FIRST)
+
+    return run
+
+
+def _distinct(batch: pa.RecordBatch, ngram: int, lower: bool, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Node and set of the sets that this task has not met; it remembers a million."""
+    for _, own in _sets(batch, ngram, lower):
+        node = _node(own)
+        if node not in seen:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.add(node)
+            yield node, own
+
+
+def _send_counts(ngram: int, lower: bool, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, size = [], 0
+        for batch in batches:
+            for _, own in _distinct(batch, ngram, lower, seen):
                 held.append(own)
                 size += len(own)
                 if size > BUFFER:
-                    keys, counts = _shorten(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(size, dtype=np.int64)]), HEAVY)
+                    yield from count_blobs(np.concatenate(held), buckets)
                     held, size = [], 0
-            yield pa.record_batch([pa.array(np.zeros(len(n), dtype=np.int32)), batch.column("doc_id"), pa.array(node, mask=n == 0), pa.array(n), batch.column("tag")], schema=_FIRST)
-        keys, counts = _shorten(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(size, dtype=np.int64)]), HEAVY)
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        yield pa.record_batch([pa.array(np.ones(len(keys), dtype=np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.int64())], schema=_FIRST)
+        if held:
+            yield from count_blobs(np.concatenate(held), buckets)
 
     return run
 
@@ -103,35 +111,21 @@ def least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _prefixes(ngram: int, lower: bool, percent: int, heavy):
+def _entries(ngram: int, lower: bool, percent: int, levels: Levels):
+    """List entries: the n-grams of each distinct set's prefix that another set has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = heavy.value
         seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            size = 0
-            for _, own in _sets(batch, ngram, lower):
-                node = _node(own)
-                if node in seen:
-                    continue
-                seen.add(node)
-                if len(seen) > 1_000_000:
-                    seen.clear()
+            for node, own in _distinct(batch, ngram, lower, seen):
                 n = len(own)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                common = keys[at] == own
-                take = n - least(n, percent) + 1
-                order = own[~common][:take]
-                if len(order) < take:
-                    late = own[common]
-                    order = np.concatenate([order, late[np.argsort(ranks[at[common]], kind="stable")][: take - len(order)]])
-                for x, y in zip(out, (order, np.full(take, node, dtype=np.int64), np.full(take, n, dtype=np.int32), np.arange(take, dtype=np.int32))):
+                level = levels(own)
+                order = np.argsort(level, kind="stable")[: n - least(n, percent) + 1]
+                p = np.flatnonzero(level[order])
+                for x, y in zip(out, (own[order[p]], np.full(len(p), node, dtype=np.int64), np.full(len(p), n, dtype=np.int32), p.astype(np.int32))):
                     x.append(y)
-                size += take
-                if size > 500_000:
-                    yield _postings(out)
-                    out, size = [[], [], [], []], 0
-            if size:
+            if out[0]:
                 yield _postings(out)
 
     return run
@@ -200,72 +194,75 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.when(enough(bound), enough(F.size(F.array_intersect("_g1", "_g2")))).otherwise(F.lit(False))).select("u", "v")
 
 
-def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Enough links u, v to connect whatever is connected; None if there are none."""
+def _candidates(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of sets of different components that their prefixes allow to be similar."""
+    two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    near = 100 * F.least("n", "n2").cast("bigint") >= percent * F.greatest("n", "n2").cast("bigint")
+    met = live.join(two, (live["g"] == two["g"]) & (F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & near)
+    pairs = met.groupBy("node", "node2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.min("p").alias("p"), F.min("p2").alias("p2"), F.count("*").alias("k"))
+    # All common n-grams up to the end of the prefix that ends first are counted; behind it that set has only so many more.
+    after = lambda n: F.floor((percent * n + 99) / 100) - 1
+    n, m = F.col("n").cast("bigint"), F.col("n2").cast("bigint")
+    suffix = F.col("k") + F.greatest(after(n), after(m)) >= F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return pairs.where(_fits(percent) & suffix).select(F.col("node").alias("u"), F.col("node2").alias("v"))
+
+
+def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
+    """Enough links u, v to connect whatever is connected; None if there are none. fetch: the sets of given nodes."""
     entries = lists.count()
-    if not entries:
-        return None
-    indexed = F.col("p") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))
     live, links, before = lists.withColumn("c", F.col("node")), None, None
-    while True:
-        by = live.groupBy("g", "c").agg(F.count("*").alias("s"), F.sum(indexed.cast("bigint")).alias("e"))
-        by = by.groupBy("g").agg((F.sum("s") * F.sum("e") - F.sum(F.col("s") * F.col("e"))).alias("cross")).where("cross > 0")
+    while entries:
+        by = live.groupBy("g", "c").agg(F.count("*").alias("s")).groupBy("g")
+        by = by.agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("bigint").alias("cross")).where("cross > 0")
         by = materialize(by, "cross")
         cross = by.agg(F.sum("cross")).first()[0] or 0
         if not cross:
-            return links
+            break
         live = live.join(small(by.select("g")), "g", "left_semi")
         whole = cross <= PAIRS_AN_ENTRY * entries or before is not None and 2 * cross > before
         before = cross
-        two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
         if whole:
-            # The smaller set's entry is within the shorter, indexed part of its prefix.
-            smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
-            pairs = live.where(indexed).join(two, (live["g"] == two["g"]) & (F.col("c") != F.col("c2")) & smaller & _fits(percent))
+            pairs = _candidates(live, percent)
         else:
             pivot = live.groupBy("g").agg(F.min(F.struct("p", "n", "node", "c")).alias("x")).select("g", "x.*")
             pivot = materialize(pivot, "pivots")
+            two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
             pairs = pivot.join(two, (pivot["g"] == two["g"]) & (F.col("c") != F.col("c2")) & _fits(percent))
-        pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+            pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+        pairs = materialize(pairs, "pairs")
+        sets = fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
         found = materialize(verified(pairs, sets, percent), "links")
+        drop_scratch(sets)
         links = found if links is None else links.unionByName(found)
         if whole:
-            return links
+            break
         roots = materialize(components(links), "roots").withColumnRenamed("node", "_n")
         done = pivot.select(F.col("g").alias("_g"), F.col("node").alias("_p"))
         live = live.drop("c").join(small(done), (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_p")), "left_anti")
         live = live.join(small(roots), F.col("node") == F.col("_n"), "left").select("g", "node", "n", "p", F.coalesce("root", "node").alias("c"))
         live = materialize(live, "live")
+    return links
 
 
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, and for joining back the component's key (null without n-grams) and the text's hash, for every row of docs."""
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
-    survey = materialize(tagged.mapInArrow(_survey(ngram, lower), "kind int, id bigint, node bigint, n bigint, tag bigint"), "survey")
-    whole = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "node", "n", "tag")
-
-    top = survey.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(HEAVY).toArrow()
-    keys = top.column("node").to_numpy().view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
-    keys = np.concatenate([keys, np.array([(1 << 64) - 1], dtype=np.uint64)])
-    ranks = np.arange(len(keys))[::-1].copy()  # the most frequent comes last
-    order = np.argsort(keys)
-    heavy = spark.sparkContext.broadcast((keys[order], ranks[order]))
-
-    postings = materialize(rows.mapInArrow(_prefixes(ngram, lower, percent, heavy), "g bigint, node bigint, n int, p int"), "prefixes")
-    shared = postings.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("g")
-    lists = materialize(postings.join(small(materialize(shared, "shared")), "g", "left_semi").distinct(), "lists")
-    drop_scratch(postings)
-
-    nodes = lists.select("node").distinct()
-    ids = whole.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    needed = rows.join(small(materialize(ids, "ids")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = needed.mapInArrow(_whole_sets(ngram, lower), "node bigint, grams array<bigint>, parts array<int>")
-    sets = materialize(sets.groupBy("node").agg(F.first("grams").alias("grams"), F.first("parts").alias("parts")), "sets")
-
-    links = _links(lists, sets, percent)
+    whole = tagged.mapInArrow(_survey(ngram, lower), "id bigint, node bigint, n bigint, tag bigint")
+    whole = materialize(whole.select(F.col("id").alias("doc_id"), "node", "n", "tag"), "survey")
+    buckets = max(16, whole.count() // RANGE_DOCS)
+    counts = rows.mapInArrow(_send_counts(ngram, lower, buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_counts, BLOBS_SQL)
+    levels = Levels(materialize(counts, "counts"), buckets)
+    lists = materialize(rows.mapInArrow(_entries(ngram, lower, percent, levels), "g bigint, node bigint, n int, p int").distinct(), "lists")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """node, grams, parts of at least these nodes; a repeated doc_id brings more, and maybe one twice."""
+        ids = whole.join(small(materialize(nodes, "nodes")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+        needed = rows.join(small(materialize(ids, "ids")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return materialize(needed.mapInArrow(_whole_sets(ngram, lower), "node bigint, grams array<bigint>, parts array<int>"), "sets")
+
+    links = _links(lists, fetch, percent)
     by_node = whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"))
     if links is not None:
         roots = materialize(components(links), "roots").withColumnRenamed("node", "_n")

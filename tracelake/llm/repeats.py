@@ -1,4 +1,4 @@
-"""Which hashes occur twice: a table by hash range, and a bit filter of bounded size made of it."""
+"""Which hashes occur twice and how often: tables by hash range, and lookups of bounded size made of them."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from . import bytetext as B
 
 #: The filter never has more bits: 64 MB. A fuller filter only lets more through.
 FILTER_BITS = 1 << 29
+#: Levels take 64 MB at most, too.
+LEVEL_SLOTS = 1 << 27
 BLOBS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 BLOBS_SQL = "bucket int, payload binary"
 _KEY = np.dtype([("k", "<u4"), ("t", "?")])
@@ -95,3 +97,78 @@ class Filter:
     def __call__(self, h: np.ndarray) -> np.ndarray:
         slot = bucket_of(h, self.buckets) * self.size + _slot(h & _LOW, self.size)
         return (self.bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def count_blobs(h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each hash of a piece once with its count there: by range the low halves in order as differences, by byte planes (the high ones are
+    nearly all zero and so cost little), then the counts above one."""
+    if len(h):
+        key = np.sort((bucket_of(h, buckets).astype(np.uint64) << B.U64(32)) | (h & _LOW))
+        at, ends = runs(key)
+        key, count = key[at], (ends - at).astype("<u4")
+        bucket = (key >> B.U64(32)).astype(np.int64)
+        at, ends = runs(bucket)
+        out = []
+        for a, b in zip(at, ends):
+            low = (key[a:b] & _LOW).astype("<u4")
+            gaps = np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            many = np.flatnonzero(count[a:b] > 1).astype("<u4")
+            out.append(np.array([b - a, len(many)], dtype="<i8").tobytes() + gaps.T.tobytes() + many.tobytes() + count[a:b][many].tobytes())
+        yield pa.record_batch([pa.array(bucket[at].astype(np.int32), pa.int32()), pa.array(out, pa.binary())], schema=BLOBS)
+
+
+_COUNT = np.dtype([("k", "<u4"), ("c", "<u4")])
+
+
+def find_counts(group: pa.Table) -> pa.Table:
+    """The hashes of a range that occur twice or more, with their counts."""
+    keys, counts = [], []
+    for x in group.column("payload"):
+        raw = x.as_buffer()
+        n, m = np.frombuffer(raw, dtype="<i8", count=2)
+        gaps = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=16).reshape(4, n).T).view("<u4").ravel()
+        own = np.ones(n, dtype=np.uint32)
+        own[np.frombuffer(raw, dtype="<u4", count=m, offset=16 + 4 * n)] = np.frombuffer(raw, dtype="<u4", count=m, offset=16 + 4 * n + 4 * m)
+        keys.append(np.cumsum(gaps, dtype=np.uint32))
+        counts.append(own)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    at, _ = runs(key)
+    count = np.add.reduceat(count, at, dtype=np.int64)
+    many = count > 1
+    out = np.empty(int(many.sum()), dtype=_COUNT)
+    out["k"], out["c"] = key[at][many], np.minimum(count[many], (1 << 32) - 1)
+    return pa.table({"bucket": group.column("bucket")[:1], "payload": [out.tobytes()]}, schema=BLOBS)
+
+
+def _levels(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("payload"):
+                got = np.frombuffer(x.as_buffer(), dtype=_COUNT)
+                table = np.zeros(size, dtype=np.uint8)
+                np.maximum.at(table, _slot(got["k"], size), np.minimum(np.log2(got["c"]), 15).astype(np.uint8))
+                out.append((table[::2] | (table[1::2] << 4)).tobytes())
+            yield pa.record_batch([batch.column("bucket"), pa.array(out, pa.binary())], schema=BLOBS)
+
+    return run
+
+
+class Levels:
+    """The magnitude of hashes' counts: 0 for one, else the logarithm to base 2, up to 15. A broadcast table of at most LEVEL_SLOTS
+    half bytes; hashes that share a slot have the higher one's level."""
+
+    def __init__(self, counts: DataFrame, buckets: int):
+        """counts: materialized rows of bucket, hashes' low halves and counts."""
+        total = (counts.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // _COUNT.itemsize
+        self.buckets, self.size = buckets, 2 * max(1, min(LEVEL_SLOTS, 16 * total) // (2 * buckets))
+        table = np.zeros(buckets * self.size // 2, dtype=np.uint8)
+        for r in counts.mapInArrow(_levels(self.size), BLOBS_SQL).toLocalIterator():
+            table[r["bucket"] * self.size // 2 : (r["bucket"] + 1) * self.size // 2] = np.frombuffer(r["payload"], dtype=np.uint8)
+        self.table = counts.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = bucket_of(h, self.buckets) * self.size + _slot(h & _LOW, self.size)
+        return (self.table.value[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8)) & 15
