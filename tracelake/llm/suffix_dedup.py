@@ -13,7 +13,7 @@ windows have the same anchor at the same offset, and an anchor stands for a shor
    equal size they merge into one of twice the size, so a suffix is rewritten a logarithmic number of times.
 4. Marked spans join back to the texts.
 
-Inside a piece of about 4 MB of text, equal contexts are settled at once and sent as one entry, so a passage in a third of all
+Inside a piece of about 1 MB of text, equal contexts are settled at once and sent as one entry, so a passage in a third of all
 documents costs one entry a piece. Defined results: null is empty; matches never cross texts; repeated rows are texts of their own
 and so remove each other wholly from 400 bytes on; texts below 400 bytes lose nothing; an empty table gives an empty result.
 What is kept may be no valid UTF-8, so it is bytes. Other columns are not read.
@@ -36,9 +36,9 @@ from .repeats import BLOBS, BLOBS_SQL, Filter, blobs, bucket_of, find_twice, key
 MATCH = 400
 GRAM = 200
 BATCHES = 4
-RANGE_DOCS = 5_000
-#: Windows of a longer text are taken by segments.
-SEGMENT = 4 << 20
+RANGE_DOCS = 750
+#: Bytes of text that are taken together; windows of a longer text are taken by segments.
+SEGMENT = 1 << 20
 _PLACE = 24
 NO_ID = np.iinfo(np.int64).max
 
@@ -86,7 +86,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(long_, offsets[long_ + 1] - offsets[long_] - MATCH + 1)
     place = (low[s] & B.U64((1 << _PLACE) - 1)).astype(np.int64)
     at, ends = runs(place, text)
-    return grams[place[at]], place[at], s[at], ends - at, text[at]
+    # The least hashes crowd at the low end of the range; mixed, they fill it evenly.
+    return B.mix(grams[place[at]]), place[at], s[at], ends - at, text[at]
 
 
 def _send_keys(buckets: int):
@@ -250,7 +251,13 @@ def _scan(group: pa.Table) -> pa.Table:
     offset = B.ragged(np.zeros(len(n), dtype=np.int64), n)
     begin = starts[entry] + offset
     split = (e["left"][entry].astype(np.int64) - offset).astype(np.uint64)
-    h = B.FIRST.spans(B.FIRST.sums(B.FIRST.table[text]), begin, begin + (MATCH - GRAM)) ^ B.mix(split + e["key"][entry])
+    h = B.mix(split + e["key"][entry])
+    i = 0
+    while i < len(begin):  # by stretches of context bytes, so that the sums stay small
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SEGMENT)))
+        a, z = begin[i], begin[j - 1] + (MATCH - GRAM)
+        h[i:j] ^= B.FIRST.spans(B.FIRST.sums(B.FIRST.table[text[a:z]]), begin[i:j] - a, begin[i:j] - a + (MATCH - GRAM))
+        i = j
     by = np.lexsort((e["key"][entry], h))
     at, ends = runs(h[by], e["key"][entry][by])
     many = ends - at > 1
