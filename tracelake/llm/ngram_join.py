@@ -3,11 +3,10 @@
 1. The document frequency of every n-gram is counted by hash range; mappers get its magnitude from a table of bounded size (64 MB; where
    n-grams share a slot there, the order is less apt, but the result is exact under any order). The global order is by magnitude, then hash.
 2. Of n n-grams in that order the first n - ceil(t n) + 1 are a set's prefix. Those of them that two sets have are list entries.
-3. Sets that share prefix n-grams are candidates if their sizes (length filter), the positions of the first common n-gram (positional
-   filter), and the common n-grams of the prefixes together with the sizes of what follows them (suffix filter) allow the overlap. Only connection
-   matters, so long lists are first compared with one pivot each, the set with the earliest position, and pairs that are already
-   connected are never made; when few enough pairs are left between components, all of them are.
-4. Each candidate pair is verified once: the sets' parts in 16 hash ranges bound the overlap again, then the sets are intersected.
+3. Sets that share prefix n-grams are candidates if their sizes (length filter) and the positions of a common n-gram (positional filter)
+   allow the overlap. Only connection matters, so long lists are first compared with one pivot each, the set with the earliest
+   position, and pairs that are already connected are never made; when few enough pairs are left between components, all of them are.
+4. Each candidate pair is verified once: the sets' parts in 16 hash ranges bound the overlap (suffix filter), then the sets are intersected.
 5. Components by large-star and small-star steps; every document gets the smallest doc_id of its component.
 
 Equal sets are one node throughout, so copies never meet as pairs. Defined results: null, empty and blank texts have no n-grams and are
@@ -33,7 +32,7 @@ PERCENT = 85
 #: N-grams that a task counts together.
 BUFFER = 2 << 20
 #: All pairs between components are made when they are at most so many times the list entries.
-PAIRS_AN_ENTRY = 16
+PAIRS_AN_ENTRY = 2
 PARTS = 16
 #: Documents whose n-grams meet in one hash range.
 RANGE_DOCS = 5_000
@@ -195,16 +194,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs u, v of sets of different components that their prefixes allow to be similar."""
+    """Pairs u, v of sets of different components whose prefixes allow them to be similar; the first common n-gram of a similar pair passes."""
     two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    near = 100 * F.least("n", "n2").cast("bigint") >= percent * F.greatest("n", "n2").cast("bigint")
-    met = live.join(two, (live["g"] == two["g"]) & (F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & near)
-    pairs = met.groupBy("node", "node2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.min("p").alias("p"), F.min("p2").alias("p2"), F.count("*").alias("k"))
-    # All common n-grams up to the end of the prefix that ends first are counted; behind it that set has only so many more.
-    after = lambda n: F.floor((percent * n + 99) / 100) - 1
-    n, m = F.col("n").cast("bigint"), F.col("n2").cast("bigint")
-    suffix = F.col("k") + F.greatest(after(n), after(m)) >= F.ceil(percent * (n + m) / F.lit(100 + percent))
-    return pairs.where(_fits(percent) & suffix).select(F.col("node").alias("u"), F.col("node2").alias("v"))
+    met = live.join(two, (live["g"] == two["g"]) & (F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & _fits(percent))
+    return met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
 
 
 def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
