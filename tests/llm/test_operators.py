@@ -15,7 +15,7 @@ from tracelake.llm import chat, decontamination, mixing, ngram_join, packing, qu
 from tracelake.llm.registry import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long, target string, _row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long, target string, _row string, _id long, _tag long, _host string"
 
 
 def prose(seed: int, n: int) -> str:
@@ -33,7 +33,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, ["en", None][k % 2], [None, "a", "b", "c"][k % 4], 0, "k", 1, "t", "r") for k, (i, t) in enumerate(TEXTS)]
+    rows = [(i, t, ["en", None][k % 2], [None, "a", "b", "c"][k % 4], 0, "k", 1, "t", "r", 5, 6, "h") for k, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 

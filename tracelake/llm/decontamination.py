@@ -149,9 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """The rows of docs without any benchmark window."""
-    bad = contamination(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    bad = contamination(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag")).distinct()
     bad = small(materialize(bad, "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tl_tag")), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

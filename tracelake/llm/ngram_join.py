@@ -274,17 +274,17 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lowe
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, of each component only the one of the smallest doc_id; texts without n-grams all stay."""
     members = materialize(ngram_join(docs, **options).where("component is not null").select("component", "doc_id", "tag"), "members")
-    name = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    name = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag"))
     best = members.groupBy("component").agg(F.min(name).alias("_best"), F.count("*").alias("_k")).where("_k > 1")
-    best = materialize(best.select(F.col("component").alias("_c"), "_best._id", "_best._tag"), "best")
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    best = materialize(best.select(F.col("component").alias("_c"), "_best.__tl_id", "_best.__tl_tag"), "best")
+    own = F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("tag") == F.col("__tl_tag"))
     rest = members.join(small(best), F.col("component") == F.col("_c"))
-    lost = rest.where(~own).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    lost = rest.where(~own).select(F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag")).distinct()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (key == F.col("__tl_tag"))
     kept = docs.join(small(materialize(lost, "lost")), same, "left_anti")
     # Repeated rows of the one that stays.
-    again = rest.where(own).groupBy("_id", "_tag").agg(F.count("*").alias("_k")).where("_k > 1").select("_id", "_tag")
+    again = rest.where(own).groupBy("__tl_id", "__tl_tag").agg(F.count("*").alias("_k")).where("_k > 1").select("__tl_id", "__tl_tag")
     again = materialize(again, "again")
     if again.isEmpty():
         return kept

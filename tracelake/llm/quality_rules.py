@@ -101,10 +101,10 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     held = docs.select("doc_id", "source", "text", tag.alias("_tag"))
     judged = materialize(measured(held, keep=("doc_id", "source", "_tag")).select("doc_id", "source", "_tag", "base_failed"), "quality")
-    hosts = host_verdicts(judged, limit).where("_rejected").select("_host")
-    failed = judged.where("base_failed").select(F.col("doc_id").alias("_id"), "_tag").distinct()
-    kept = docs.join(small(hosts), F.col("source").eqNullSafe(F.col("_host")), "left_anti")
-    return kept.join(small(failed), F.col("doc_id").eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_anti")
+    hosts = host_verdicts(judged, limit).where("_rejected").select(F.col("_host").alias("__tl_host"))
+    failed = judged.where("base_failed").select(F.col("doc_id").alias("__tl_id"), F.col("_tag").alias("__tl_tag")).distinct()
+    kept = docs.join(small(hosts), F.col("source").eqNullSafe(F.col("__tl_host")), "left_anti")
+    return kept.join(small(failed), F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (tag == F.col("__tl_tag")), "left_anti")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
