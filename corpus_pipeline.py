@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelake.llm import decontamination, mixing, ngram_join, quality_rules, sharding
 from tracelake.llm.common import drop_scratch, materialize, table
 
+#: Near duplicates share 80% of their shingles of five words; ngram_join's own defaults are op3_ngram_jaccard's.
+NEAR = {"ngram": 5, "percent": 80}
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, **NEAR)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
