@@ -167,7 +167,12 @@ def in_cidr(v: Column, network: str) -> Column:
         return F.lit(False)
     if net.version == 4:
         return truth(ipv4(v).between(int(net.network_address), int(net.broadcast_address)))
-    # An IPv6 address as 32 hex digits: groups padded, :: filled with zero groups.
+    first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
+    return truth(ipv6_hex(v).between(first, last))
+
+
+def ipv6_hex(v: Column) -> Column:
+    """An IPv6 address as 32 hex digits: groups padded, :: filled with zero groups; else null."""
     full = r"^[0-9a-f]{1,4}(:[0-9a-f]{1,4})*\z"
     low = F.lower(v)
     halves = F.split(low, "::", 2)
@@ -176,15 +181,20 @@ def in_cidr(v: Column, network: str) -> Column:
     missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
     all_ = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
     good = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}\\z")) & (F.size(all_) == 8) & (low.contains("::") | low.rlike(full))
-    hex_ = F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), "")
-    first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
-    return truth(F.when(good & v.contains(":"), hex_.between(first, last)))
+    return F.when(good & v.contains(":"), F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def plain_address(v: Column) -> Column:
+    """IPv4-mapped addresses as IPv4; a dotted tail of other IPv6 addresses as two groups."""
+    v = F.regexp_replace(v, "^::(?i:ffff):", "")
+    tail = F.lpad(F.hex(ipv4(F.regexp_extract(v, r"^.*:([0-9.]+)\z", 1))), 8, "0")
+    return F.coalesce(F.concat(F.regexp_replace(v, r"[0-9.]+\z", ""), F.left(tail, F.lit(4)), F.lit(":"), F.right(tail, F.lit(4))), v)
 
 
 def private_kind(v: Column) -> Column:
-    """'Local' for loopback, 'Private' for private ranges, else null."""
-    private = [in_cidr(v, n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")]
+    """'Local' for loopback, 0.0.0.0 and LOCAL, 'Private' for private, link-local, multicast and unspecified addresses, else null."""
+    private = [in_cidr(v, n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "::/128", "fe80::/10", "fc00::/7", "ff00::/8")]
     cond = private[0]
     for x in private[1:]:
         cond = cond | x
-    return F.when(in_cidr(v, "127.0.0.0/8") | in_cidr(v, "::1/128"), "Local").when(cond, "Private")
+    return F.when(in_cidr(v, "127.0.0.0/8") | in_cidr(v, "::1/128") | v.isin("0.0.0.0", "LOCAL", "ローカル"), "Local").when(cond, "Private")

@@ -140,18 +140,32 @@ def mapped(v: Column, name: str, mappings: list[dict]) -> Column:
     return out
 
 
-def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str) -> DataFrame:
-    """rows with the owner, country and city of an IPv4 address: `ranges` has first, last (numbers), asn, country, city, disjoint.
+def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: DataFrame | None = None) -> DataFrame:
+    """rows with the owner, country and city of an address: `ranges` has first, last (numbers), asn, country, city, disjoint; `ranges6` the
+    same of IPv6, with first and last as addresses.
 
-    Each distinct address is looked up once, by a join on its first octet with ranges cut at octets; private ones are named as such.
+    Each distinct address is looked up once, by a join on its first octet with ranges cut at octets, or on its first group with those cut at
+    groups; IPv4-mapped ones are IPv4, private ones are named as such.
     """
     octet = 1 << 24
+    own = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_a", C.plain_address(F.col("_ip")))
+    own = own.withColumn("_n", C.ipv4(F.col("_a"))).withColumn("_k", C.private_kind(F.col("_a")))
     cut = ranges.withColumn("_o", F.explode(F.sequence(F.floor(F.col("first") / octet), F.floor(F.col("last") / octet))))
-    own = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_n", C.ipv4(F.col("_ip"))).withColumn("_k", C.private_kind(F.col("_ip")))
-    found = own.join(cut, (F.floor(F.col("_n") / octet) == F.col("_o")) & F.col("_n").between(F.col("first"), F.col("last")), "left")
+    four, six = own, None
+    if ranges6 is not None:
+        group = lambda c: F.conv(F.left(F.col(c), F.lit(4)), 16, 10).cast("int")
+        own = own.withColumn("_h", C.ipv6_hex(F.col("_a")))
+        cut6 = ranges6.withColumn("_first", C.ipv6_hex(C.plain_address(F.col("first")))).withColumn("_last", C.ipv6_hex(C.plain_address(F.col("last"))))
+        cut6 = cut6.withColumn("_o", F.explode(F.sequence(group("_first"), group("_last"))))
+        four, six = own.where("_h is null"), own.where("_h is not null")
+        six = six.join(cut6, (group("_h") == F.col("_o")) & F.col("_h").between(F.col("_first"), F.col("_last")), "left")
+    found = four.join(cut, (F.floor(F.col("_n") / octet) == F.col("_o")) & F.col("_n").between(F.col("first"), F.col("last")), "left")
     dash = F.lit("-")
     cols = [F.coalesce("_k", c, dash).alias(f"{prefix}_{c}") if c == "asn" else F.coalesce(F.when(F.col("_k").isNotNull(), dash), F.col(c), dash).alias(f"{prefix}_{c}") for c in ("asn", "country", "city")]
-    return rows.join(found.select("_ip", *cols), F.col(ip) == F.col("_ip"), "left").drop("_ip")
+    found = found.select("_ip", *cols)
+    if six is not None:
+        found = found.unionByName(six.select("_ip", *cols))
+    return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
 def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default") -> DataFrame:
