@@ -87,3 +87,24 @@ def test_places(spark):
     ranges6 = spark.createDataFrame([("2001:218::", f"2001:218{last}", "AS6", "J", "t"), ("64:ff9b::", "64:ff9b::255.255.255.255", "AS7", "N", "n"), ("2a00::", f"2a01:ffff{last}", "AS8", "W", "w")], f"first string, last string, {tail}")
     out = render.places(spark.createDataFrame([(k,) for k in want] * 2, "ip string"), "ip", ranges, "src", ranges6).collect()
     assert len(out) == 2 * len(want) and {r.ip: (r.src_asn, r.src_country, r.src_city) for r in out} == want
+
+
+def test_profile_kinds(spark, tmp_path):
+    from tracelake.operators import render
+
+    tags = ["attack.execution", "attack.t1059.001", "attack.g0007", "attack.s0002", "attack.stealth", "car.2016"]
+    (tmp_path / "r.yml").write_text(json.dumps(catalog.rule("x", {"s": {"EventID": 4625}}, tags=tags, modified="2024-02-03")))
+    ranges = spark.createDataFrame([(0, 0xFFFFFFFF, "AS1", "X", "a")], "first long, last long, asn string, country string, city string")
+    engine = Engine(spark, catalog.fields(), places=render.Places(ranges, ["None", "IpAddress"], [], {"Security": ["4625"]}))
+    rules = engine.rules(str(tmp_path / "r.yml")).rules
+    names = ("MitreTactics", "MitreTags", "OtherTags", "Status", "RuleCreationDate", "RuleModifiedDate", "RecoveredRecord", "SrcASN", "SrcCountry", "SrcCity", "TgtASN", "TgtCountry", "TgtCity")
+    profile = {n: f"%{n}%" for n in names} | {"desc": "fixed"}
+    records = catalog.records(spark, SF).withColumn("recovered", C.truth(C.F.col("record_id") == "-1"))
+    out = {tuple(r) for r in engine.timeline(records, rules, profile).collect()}
+    assert out == {("Exec ¦ Stealth", "T1059.001 ¦ G0007 ¦ S0002", "car.2016", "test", "2024-01-01", "2024-02-03", "", "Private", "-", "-", "", "", "", "fixed")}
+    recovered = records.withColumn("recovered", C.F.lit(True))
+    assert {r.R for r in engine.timeline(recovered, rules, {"R": "%RecoveredRecord%"}).collect()} == {"Y"}
+    with pytest.raises(ValueError):
+        engine.timeline(records, rules, {"A": "%NoSuchKind%"})
+    with pytest.raises(ValueError):
+        Engine(spark, catalog.fields()).timeline(records, rules, {"A": "%SrcASN%"})

@@ -19,6 +19,7 @@ class Engine:
     fields: Fields = field(default_factory=Fields)
     default_details: dict[str, str] = field(default_factory=dict)
     critical: list[str] = field(default_factory=list)
+    places: render.Places | None = None
 
     def read(self, path: str) -> DataFrame:
         return sources.powershell_classic(sources.read_records(self.spark, path))
@@ -43,6 +44,8 @@ class Engine:
         found = found.withColumn("level_rank", render.uplift(found["level_rank"], found["computer"], self.critical))
         if not duplicates:
             found = match.without_duplicates(found)
+        if profile:
+            found = render.with_places(found, render.place_kinds(profile), self.places, self.fields)
         if ordered:
             found = match.in_order(found)
         return render.profile_columns(found, profile, style) if profile else found

@@ -56,9 +56,10 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
-    """rule_id, title, level, level_rank, rule_file, author, tags: as many rows as there are rules."""
-    rows = [(r.id, r.title, r.level, r.rank, r.path, str(r.doc.get("author") or ""), r.tags, str(r.doc.get("details") or "")) for r in rules]
-    return F.broadcast(spark.createDataFrame(rows, "rule_id string, title string, level string, level_rank int, rule_file string, author string, tags array<string>, details string"))
+    """rule_id, title, level, level_rank, rule_file, author, tags, status, rule_date, rule_modified: as many rows as there are rules."""
+    text = lambda r, key: str(r.doc[key]) if r.doc.get(key) else None
+    rows = [(r.id, r.title, r.level, r.rank, r.path, str(r.doc.get("author") or ""), r.tags, str(r.doc.get("details") or ""), text(r, "status"), text(r, "date"), text(r, "modified")) for r in rules]
+    return F.broadcast(spark.createDataFrame(rows, "rule_id string, title string, level string, level_rank int, rule_file string, author string, tags array<string>, details string, status string, rule_date string, rule_modified string"))
 
 
 def group_key(keys: tuple[str, ...], fields: Fields) -> Column:
@@ -203,7 +204,7 @@ def temporal(results: DataFrame, base: str, others: list[str], seconds: int, ord
     return now.drop("_at")
 
 
-_OUT = ("rule_id", "event_ts", "event_ts_ns", "computer", "channel", "event_id", "record_id", "source_file", "agg_text", "event")
+_OUT = ("rule_id", "event_ts", "event_ts_ns", "computer", "channel", "event_id", "record_id", "source_file", "agg_text", "event", "recovered")
 
 
 def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -> DataFrame:
@@ -211,6 +212,8 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
     fields = fields or Fields()
     spark = records.sparkSession
     hits = match(records, rules, fields)
+    if "recovered" not in hits.columns:
+        hits = hits.withColumn("recovered", F.lit(None).cast("boolean"))
     plain = [r.id for r in rules if r.kind == "plain" and r.count is None]
     out = [hits.where(F.col("rule_id").isin(plain)).withColumn("agg_text", F.lit(None).cast("string")).select(*_OUT)]
     join = lambda c: F.array_join(F.array_sort(c), C.SEPARATOR)
@@ -219,6 +222,7 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
         return df.select(
             id_.alias("rule_id"), F.timestamp_micros(F.floor(F.col("start_ns") / 1000)).alias("event_ts"), F.col("start_ns").alias("event_ts_ns"), join("computers").alias("computer"),
             join("channels").alias("channel"), join("event_ids").alias("event_id"), F.lit("-").alias("record_id"), join("files").alias("source_file"), text.alias("agg_text"), F.lit(None).cast("variant").alias("event"),
+            F.lit(None).cast("boolean").alias("recovered"),
         )
 
     counted = [r for r in rules if r.count is not None]
@@ -245,6 +249,6 @@ def in_order(detections: DataFrame) -> DataFrame:
 
 def without_duplicates(detections: DataFrame) -> DataFrame:
     """Detections that differ in their file alone become one, the first in order."""
-    same = [c for c in detections.columns if c not in ("source_file", "event")]
+    same = [c for c in detections.columns if c not in ("source_file", "event", "recovered")]
     first = Window.partitionBy(*[F.to_json(F.col(c)) if c == "tags" else F.col(c) for c in same]).orderBy("source_file")
     return detections.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

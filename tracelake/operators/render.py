@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from pathlib import Path
 
 import yaml
@@ -15,6 +16,11 @@ from tracelake.plans.selection import Fields
 
 _ALIAS = re.compile(r"%([^%\s]+?)(?:\[(\d+)\])?%")
 DEPTH = 4
+TACTICS = {
+    "attack.reconnaissance": "Recon", "attack.resource-development": "ResDev", "attack.initial-access": "InitAccess", "attack.execution": "Exec", "attack.persistence": "Persis",
+    "attack.privilege-escalation": "PrivEsc", "attack.stealth": "Stealth", "attack.defense-evasion": "Stealth", "attack.defense-impairment": "DefImpair", "attack.credential-access": "CredAccess",
+    "attack.discovery": "Disc", "attack.lateral-movement": "LatMov", "attack.collection": "Collect", "attack.command-and-control": "C2", "attack.exfiltration": "Exfil", "attack.impact": "Impact",
+}
 
 
 def leaves(event: Column, path: str = "$.Event", depth: int = DEPTH) -> Column:
@@ -96,18 +102,17 @@ def uplift(rank: Column, computer: Column, critical: list[str]) -> Column:
     return F.when(C.truth(computer.isin(critical)) & (rank > 1), F.least(rank + 1, F.lit(len(LEVELS) - 1))).otherwise(rank)
 
 
-def tag_groups(tags: list[str], tactics: dict[str, str]) -> dict[str, list[str]]:
-    """Tactics by their short names, techniques and groups, and other tags of a rule."""
-    out: dict[str, list[str]] = {"tactics": [], "techniques": [], "other": []}
-    for t in tags:
-        low = t.lower()
-        if low in tactics:
-            out["tactics"].append(tactics[low])
-        elif low.startswith(("attack.t", "attack.g", "attack.s")):
-            out["techniques"].append(low.removeprefix("attack.").upper())
-        else:
-            out["other"].append(t)
-    return out
+def tag_groups(tags: Column, tactics: dict[str, str] = TACTICS) -> dict[str, Column]:
+    """Tactics by their short names, techniques, groups and software, and other tags of a rule."""
+    short = F.create_map(*[F.lit(x) for pair in tactics.items() for x in pair])
+    shown = F.transform(tags, lambda t: F.coalesce(F.try_element_at(short, t), t))
+    tactic = lambda t: t.isin(sorted(set(tactics.values())))
+    listed = lambda t: t.rlike(r"^attack\.[tgs]")
+    return {
+        "tactics": F.filter(shown, tactic),
+        "techniques": F.transform(F.filter(shown, lambda t: ~tactic(t) & listed(t)), lambda t: C.title_first(F.replace(t, F.lit("attack."), F.lit("")))),
+        "other": F.filter(shown, lambda t: ~tactic(t) & ~listed(t)),
+    }
 
 
 def map_values(v: Column, pairs: list[tuple[str, str]], hexadecimal: bool = False) -> Column:
@@ -168,19 +173,59 @@ def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: Da
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
+@dataclass
+class Places:
+    """What the place columns need: ranges as in places(), the fields that hold the addresses (the first present counts), and the ids of each channel that are looked up."""
+
+    ranges: DataFrame
+    source: list[str]
+    target: list[str]
+    events: dict[str, list[str]]
+    ranges6: DataFrame | None = None
+
+
+def place_kinds(profile: dict[str, str]) -> set[str]:
+    """Src and Tgt, as far as a profile asks for their places."""
+    return {m[1] for what in profile.values() if (m := re.fullmatch(r"%(Src|Tgt)(ASN|Country|City)%", str(what)))}
+
+
+def with_places(detections: DataFrame, sides: set[str], known: Places | None, fields: Fields) -> DataFrame:
+    """detections with the places of their source and target addresses as _src_asn and so on; null where none is looked up."""
+    if sides and known is None:
+        raise ValueError("the profile asks for places, but no address ranges are given")
+    for side in sorted(sides):
+        test = F.lit(False)
+        for channel, ids in known.events.items():
+            test = test | (F.col("channel") == channel) & F.col("event_id").isin([str(x) for x in ids])
+        names = known.source if side == "Src" else known.target
+        ip = F.coalesce(*[fields.value(n) for n in names]) if names else F.lit(None).cast("string")
+        low = f"_{side.lower()}"
+        detections = places(detections.withColumn(f"{low}_ip", F.when(C.truth(test), ip)), f"{low}_ip", known.ranges, low, known.ranges6)
+    return detections
+
+
 def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default") -> DataFrame:
-    """The profile's columns in its order: alias -> what, by %Kind% or a plain field."""
+    """The profile's columns in its order: alias -> what, by %Kind% or a fixed text; place columns are those of with_places."""
+    groups = tag_groups(F.col("tags"))
+    joined = lambda c: F.array_join(c, C.SEPARATOR)
     kinds = {
         "Timestamp": C.format_time(F.col("event_ts"), style), "Computer": F.col("computer"), "Channel": F.col("channel"), "Level": level_short(F.col("level_rank")), "EventID": F.col("event_id"),
         "RecordID": F.col("record_id"), "RuleTitle": F.col("title"), "RuleFile": F.element_at(F.split("rule_file", "/"), -1), "RuleAuthor": F.col("author"), "RuleID": F.col("rule_id"),
         "EvtxFile": F.col("source_file"), "Details": F.col("details") if "details" in detections.columns else F.col("agg_text"), "AllFieldInfo": all_fields(F.col("event")),
         "ExtraFieldInfo": extra_fields(F.col("event"), F.col("details")) if "details" in detections.columns else F.lit(""), "Provider": C.scalar(F.col("event"), "Event.System.Provider_attributes.Name"),
-        "RenderedMessage": F.btrim(F.replace(F.replace(C.scalar(F.col("event"), "Event.RenderingInfo.Message"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))), "MitreTags": F.array_join("tags", C.SEPARATOR),
+        "RenderedMessage": F.btrim(F.replace(F.replace(C.scalar(F.col("event"), "Event.RenderingInfo.Message"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))), "MitreTactics": joined(groups["tactics"]), "MitreTags": joined(groups["techniques"]), "OtherTags": joined(groups["other"]),
+        "Status": F.col("status"), "RuleCreationDate": F.col("rule_date"), "RuleModifiedDate": F.coalesce("rule_modified", F.lit("")), "RecoveredRecord": F.when(C.truth(F.col("recovered")), "Y").otherwise(""),
     }
+    for side in ("Src", "Tgt"):
+        for kind in ("ASN", "Country", "City"):
+            if (have := f"_{side}_{kind}".lower()) in detections.columns:
+                kinds[side + kind] = F.coalesce(have, F.lit(""))
     cols = []
     for name, what in profile.items():
         m = re.fullmatch(r"%(\w+)%", str(what))
-        cols.append((F.coalesce(kinds[m[1]].cast("string"), F.lit("-")) if m and m[1] in kinds else F.lit(str(what))).alias(name))
+        if m and m[1] not in kinds:
+            raise ValueError(f"column {name}: {what} is unknown")
+        cols.append((F.coalesce(kinds[m[1]].cast("string"), F.lit("-")) if m else F.lit(str(what))).alias(name))
     return detections.select(*cols)
 
 
