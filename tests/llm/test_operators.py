@@ -295,3 +295,18 @@ def test_pipeline_near_duplicates(spark, docs):
     expect = con.execute(f"WITH RECURSIVE docs_in AS (SELECT doc_id AS rid, doc_id, text FROM documents), {sql} SELECT doc_id FROM grouped WHERE doc_id = component_id").fetchall()
     got = [tuple(r) for r in corpus_pipeline.distinct(spark, rows, SF).select("doc_id").collect()]
     assert sorted(got) == sorted(expect) and (102,) not in got and (103,) in got
+
+
+def test_classifier_long_texts(monkeypatch):
+    """Segments of a long text score as the whole, also where a few bytes follow the last whole segment."""
+    monkeypatch.setattr(quality_classifier, "PIECE", 1 << 14)
+    net = quality_classifier.Network.fresh()
+    r = np.random.default_rng(3)
+    net.weight[:] = r.normal(0, 0.3, len(net.weight))
+    for more in (1, 2, 17, 100, 263, 264, 265, 300, 5_000, 16_383, 16_384):
+        data = r.integers(97, 103, 2 * quality_classifier.PIECE + more).astype(np.uint8)
+        data[-more:] = 126
+        ends = np.array([0, len(data)])
+        whole = quality_classifier.features(net, quality_classifier.lay_out(data, ends))[0]
+        got = quality_classifier._scores(net, data, ends)
+        assert got.shape == (1,) and np.allclose(got, quality_classifier.probability(net, whole), rtol=1e-5), more

@@ -203,12 +203,18 @@ def _score(shared):
 
 
 def _scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Scores of a piece; one long text is taken by segments that overlap by half a chunk, whose features' largest are its own."""
+    """Scores of a piece; one long text is taken by segments of whole chunks, with the bytes around them, whose features' largest are its own."""
     step = STRIDE * HALF
     if len(offsets) == 2 and len(data) > 2 * PIECE:
-        cuts = range(0, len(data), PIECE)
-        found = [features(net, lay_out(part := data[a : a + PIECE + step + WIDTH - STRIDE], np.array([0, len(part)])))[0] for a in cuts]
-        return probability(net, np.max(found, axis=0))
+        positions = -(-(len(data) - WIDTH) // STRIDE) + 1
+        chunks, many = -(-positions // HALF) - 1, PIECE // step
+        found = []
+        for first in range(0, chunks, many):
+            # Half a chunk before tells which bytes came before; what follows the last chunk completes its window and marks.
+            before, count = min(first, 1), min(many, chunks - first)
+            part = data[(first - before) * step : (first + count + 1) * step + WIDTH if first + count < chunks else len(data)]
+            found.append(features(net, lay_out(part, np.array([0, len(part)])))[3][before : before + count].max(axis=0))
+        return probability(net, np.max(found, axis=0)[None])
     return probability(net, features(net, lay_out(data, offsets))[0])
 
 
