@@ -310,3 +310,16 @@ def test_classifier_long_texts(monkeypatch):
         whole = quality_classifier.features(net, quality_classifier.lay_out(data, ends))[0]
         got = quality_classifier._scores(net, data, ends)
         assert got.shape == (1,) and np.allclose(got, quality_classifier.probability(net, whole), rtol=1e-5), more
+
+
+def test_chat_keys_that_are_data(spark, monkeypatch):
+    """More shapes than are looked up on the driver: the same layouts and turns as with fewer."""
+    import json
+
+    records = [{"messages": [{"role": "user", "content": f"q{k}"}], "tools": {f"key{k}": k}} for k in range(20)] + [{"instruction": "i", "output": f"o{k}", f"k{k}": 1} for k in range(20)] + [{f"none{k}": 1} for k in range(5)]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "i int, j string").select("i", F.parse_json("j").alias("record"))
+    want = sorted(map(repr, chat.canonical(df, "record").collect()))
+    monkeypatch.setattr(chat, "MAX_SHAPES", 5)
+    out = chat.canonical(df, "record")
+    assert out.columns == ["i", "layout", "turns"] and sorted(map(repr, out.collect())) == want
+    assert out.where("layout is null").count() == 5

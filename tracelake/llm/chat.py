@@ -20,13 +20,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship_package, table
 
 TURNS = "array<struct<role:string,text:string>>"
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: A scalar type in schema_of_variant's notation, which a key is never: a colon follows keys.
 SCALAR = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|DECIMAL\(\d+,\s?\d+\)|VARIANT)(?=[,>]|$)"
-#: So many different shapes may be looked up on the driver; a corpus of more has keys that are data.
+#: So many different shapes may be looked up on the driver; a corpus of more has keys that are data, and its records' layouts are chosen one by one.
 MAX_SHAPES = 10_000
 
 
@@ -154,8 +154,11 @@ def canonical(records: DataFrame, record: str) -> DataFrame:
     hashed = records.withColumn("_print", fingerprint(F.col(record)))
     shapes = hashed.groupBy("_print").agg(F.first(shape(F.col(record))).alias("_shape")).limit(MAX_SHAPES + 1).collect()
     if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} record shapes: keys are data; project the records first")
-    chosen = {r["_print"]: select_layout(r["_shape"]) for r in shapes}
+        ship_package(records.sparkSession)
+        hashed = records.withColumn("_print", F.udf(select_layout, "string")(shape(F.col(record))))
+        chosen = {x.name: x.name for x in LAYOUTS}
+    else:
+        chosen = {r["_print"]: select_layout(r["_shape"]) for r in shapes}
     by_name = {x.name: x for x in LAYOUTS}
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for name in dict.fromkeys(x for x in chosen.values() if x):
