@@ -1,20 +1,23 @@
 """Suffix-array dedup over a logarithmic family of indexes.
 
-Every byte that a 400-byte string covers goes if the same string starts anywhere else too. Suffixes are
-sampled by content: of the 200-byte grams inside a 400-byte window, the one with the least hash is the window's anchor, so equal
-windows have the same anchor at the same offset, and an anchor stands for a short range of windows.
-
-1. Anchors' grams are counted by hash range; a bit filter of bounded size holds those that occur twice.
-2. An anchor whose whole context (all its windows' bytes) stands elsewhere too is settled by the context's hash of 96 bits. Grams
-   with several contexts stay open: there matches end somewhere inside.
-3. Open anchors come in batches. A batch's suffix array has its anchors in the order of gram and following bytes, by
-   ranges of gram hashes, with the context bytes. It is merge-scanned against every level of the index: of suffixes with one
-   gram, all 400-byte windows are compared, and both sides of a match are marked. Then it becomes a level; while two levels have
-   equal size they merge into one of twice the size, so a suffix is rewritten a logarithmic number of times.
-4. Marked spans join back to the texts.
-
-Inside a piece of about 1 MB of text, equal contexts are settled at once and sent as one entry, so a passage in a third of all
-documents costs one entry a piece. Defined results: null is empty; matches never cross texts; repeated rows are texts of their own
+Every byte that a 400-byte string covers goes if the same string starts anywhere else too. Bytes that a string of REPORT bytes covers
+are counted beside, so shared passages too short to be cut are told as well.
+
+1. Suffixes are sampled by content: of the GRAM-byte grams in a window of REPORT bytes the one with the least hash is the window's anchor, so
+   equal windows have their anchor at the same place. An anchor stands for the run of windows that have it, and carries their bytes.
+2. Anchors' grams are counted by hash range. In a closed corpus (suffix_dedup) those of a gram that nothing else has are not sent;
+   an index to be extended (add) holds all.
+3. Each hash range of grams has a family of suffix arrays. A new batch's suffixes are sorted by gram, following bytes and their length, merged with
+   the arrays of all levels, and the common prefixes of neighbours (and, in the order of the bytes before, the common suffixes) say which windows
+   are equal: two windows are, if neighbours from one to the other never share less than the window needs on either side. Both sides of a match with
+   a new suffix are marked. Then the batch becomes a level; while two levels have equal size they merge into one of twice the size, so a suffix
+   is rewritten a logarithmic number of times.
+4. A gram with more than HOT contexts (a line in a third of all documents) would gather in one range: its windows are sent by
+   their own hashes instead, which spreads them, and equal ones are found by 96 bits.
+5. Marked spans join back to the texts.
+
+Inside a piece of about 1 MB of text, equal contexts are settled at once (by hashes of 96 bits and the gram's) and sent as one entry, so
+a passage in a third of all documents costs one entry a piece. Defined results: null is empty; matches never cross texts; repeated rows are texts of their own
 and so remove each other wholly from 400 bytes on; texts below 400 bytes lose nothing; an empty table gives an empty result.
 What is kept may be no valid UTF-8, so it is bytes. Other columns are not read.
 """
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +35,49 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .common import materialize, ship_package, table
-from .repeats import BLOBS, BLOBS_SQL, Filter, blobs, bucket_of, find_twice, key_blobs, runs
+from .repeats import BLOBS_SQL, Levels, blobs, bucket_of, count_blobs, find_counts, runs
 
 MATCH = 400
-GRAM = 200
+REPORT = 256
+GRAM = 128
 BATCHES = 4
-RANGE_DOCS = 750
+#: Bytes of text whose suffixes meet in one hash range.
+RANGE_BYTES = 2 << 20
 #: Bytes of text that are taken together; windows of a longer text are taken by segments.
 SEGMENT = 1 << 20
+#: A gram of 2**HOT_LEVEL contexts is matched by its windows' hashes.
+HOT_LEVEL = 12
+#: Suffixes whose windows are named together.
+GROUP = 4_096
 _PLACE = 24
 NO_ID = np.iinfo(np.int64).max
+LEFT, RIGHT = REPORT - GRAM, MATCH - GRAM
 
-_CONTEXT = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("c2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("lo", "<u4"), ("n", "<u4")])
-_SUFFIX = np.dtype([("key", "<u8"), ("id", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("left", "<u4"), ("n", "<u4"), ("fresh", "<u4")])
-_FOUND = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_spans", pa.binary())])
-_FOUND_SQL = "_id bigint, _tag bigint, _spans binary"
+_CONTEXT = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("c2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("lo", "<u4"), ("left", "<u4"), ("n", "<u4"), ("size", "<u4")])
+_SUFFIX = np.dtype([("key", "<u8"), ("id", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("left", "<u2"), ("n", "<u2"), ("size", "<u2"), ("fresh", "<u2")])
+_WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("start", "<u4"), ("width", "<u2"), ("fresh", "<u2")])
+_SPAN = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4"), ("width", "<u4")])
 _ENTRIES = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+_ENTRIES_SQL = "batch int, bucket int, payload binary"
+#: Spans of documents, or (bucket not null) the arrays of a level.
+_FOUND = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_width", pa.int32()), ("_spans", pa.binary()), ("bucket", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())])
+_FOUND_SQL = "_id bigint, _tag bigint, _width int, _spans binary, bucket int, size int, payload binary"
+_LEVELS_SQL = "bucket int, size int, payload binary"
 
 
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """ids, tags, bytes, offsets and the place of the first byte in its text; long texts in overlapping segments."""
+    """ids, tags, bytes, offsets, window starts of each text and the place of the first byte in its text; long texts in overlapping segments."""
     data, offsets = B.strings(batch.column("text"))
     ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
     tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.uint32)
     for i, j in B.pieces(offsets, SEGMENT):
         own = offsets[i : j + 1]
         if j - i == 1 and own[1] - own[0] > 2 * SEGMENT:
-            for a in range(own[0], own[1] - MATCH + 1, SEGMENT):
+            for a in range(own[0], own[1] - REPORT + 1, SEGMENT):
                 part = data[a : min(a + SEGMENT + MATCH - 1, own[1])]
-                yield ids[i:j], tags[i:j], part, np.array([0, len(part)]), a - own[0]
+                yield ids[i:j], tags[i:j], part, np.array([0, len(part)]), np.array([min(SEGMENT, len(part) - REPORT + 1)]), a - own[0]
         else:
-            yield ids[i:j], tags[i:j], data[own[0] : own[-1]], own - own[0], 0
+            yield ids[i:j], tags[i:j], data[own[0] : own[-1]], own - own[0], np.maximum(0, np.diff(own) - REPORT + 1), 0
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,294 +89,423 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _anchors(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each anchor: gram hash, its place, first window, number of windows, text."""
     none = np.zeros(0, dtype=np.int64)
-    long_ = np.flatnonzero(np.diff(offsets) >= MATCH)
+    long_ = np.flatnonzero(starts > 0)
     if not len(long_):
         return none.astype(np.uint64), none, none, none, none
     grams = B.FIRST.windows(B.FIRST.table[data], GRAM)
     places = np.arange(len(grams), dtype=np.uint64)
-    low = _least((grams >> B.U64(_PLACE) << B.U64(_PLACE)) | places, MATCH - GRAM + 1)
-    s = B.ragged(offsets[long_], offsets[long_ + 1] - offsets[long_] - MATCH + 1)
-    text = np.repeat(long_, offsets[long_ + 1] - offsets[long_] - MATCH + 1)
+    low = _least((grams >> B.U64(_PLACE) << B.U64(_PLACE)) | places, REPORT - GRAM + 1)
+    s = B.ragged(offsets[long_], starts[long_])
+    text = np.repeat(long_, starts[long_])
     place = (low[s] & B.U64((1 << _PLACE) - 1)).astype(np.int64)
     at, ends = runs(place, text)
     # The least hashes crowd at the low end of the range; mixed, they fill it evenly.
     return B.mix(grams[place[at]]), place[at], s[at], ends - at, text[at]
 
 
-def _send_keys(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets, _ in _segments(batch):
-                key, place, *_ = _anchors(data, offsets)
-                yield from key_blobs(key, place, buckets)
-
-    return run
-
-
-def _open(batch: pa.RecordBatch, keep: list[Filter]) -> Iterator[tuple]:
-    """The anchors that pass the filters, with their contexts, in the order of key and context."""
-    for ids, tags, data, offsets, base in _segments(batch):
-        key, place, lo, n, text = _anchors(data, offsets)
-        good = np.ones(len(key), dtype=bool)
-        for f in keep:
-            good &= f(key)
-        key, place, lo, n, text = key[good], place[good], lo[good], n[good], text[good]
+def _contexts(batch: pa.RecordBatch, counts: Levels | None = None) -> Iterator[tuple]:
+    """The anchors (with counts, those that stand twice) in the order of key and context; their first windows in the piece, and its bytes."""
+    for ids, tags, data, offsets, starts, base in _segments(batch):
+        key, place, lo, n, text = _anchors(data, offsets, starts)
+        if counts is not None and len(key):
+            good = counts(key) > 0
+            key, place, lo, n, text = key[good], place[good], lo[good], n[good], text[good]
         if not len(key):
             continue
         e = np.empty(len(key), dtype=_CONTEXT)
-        ends = lo + n - 1 + MATCH
-        shift = B.mix((place - lo).astype(np.uint64))
-        e["ctx"] = B.FIRST.spans(B.FIRST.sums(B.FIRST.table[data]), lo, ends) ^ shift
+        ends = np.minimum(lo + n - 1 + MATCH, offsets[text + 1])
+        split = B.mix((place - lo).astype(np.uint64) << B.U64(32) | n.astype(np.uint64))
+        e["ctx"] = B.FIRST.spans(B.FIRST.sums(B.FIRST.table[data]), lo, ends) ^ split
         e["c2"] = (B.SECOND.spans(B.SECOND.sums(B.SECOND.table[data]), lo, ends) >> B.U64(32)).astype(np.uint32)
-        e["key"], e["id"], e["tag"], e["n"] = key, ids[text], tags[text], n
+        e["key"], e["id"], e["tag"], e["n"], e["left"], e["size"] = key, ids[text], tags[text], n, place - lo, ends - lo
         e["lo"] = lo - offsets[text] + base
         order = np.lexsort((e["c2"], e["ctx"], e["key"]))
-        yield e[order], place[order], lo[order], data
+        yield e[order], lo[order], data
 
 
-def _spans(e: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Spans by document. e: the entry of each span."""
-    order = np.lexsort((start, e["tag"], e["id"]))
-    e, pairs = e[order], np.stack([start[order], end[order]], axis=1).astype("<u4")
-    at, ends = runs(e["id"], e["tag"])
-    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_spans": [pairs[a:b].tobytes() for a, b in zip(at, ends)]}, schema=_FOUND)
-
-
-def _all_windows(e: np.ndarray) -> pa.Table:
-    return _spans(e, e["lo"].astype(np.int64), e["lo"].astype(np.int64) + e["n"] - 1 + MATCH)
-
-
-def _send_contexts(buckets: int, twice: Filter):
-    """Contexts: one of each kind a piece; those with another of the kind in the piece are settled: their buckets are negative."""
+def _send_counts(buckets: int):
+    """Of each gram of a piece the number of its contexts, two at least where it stands twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for e, *_ in _open(batch, [twice]):
-                at, ends = runs(e["key"], e["ctx"], e["c2"])
-                again = np.repeat(ends - at > 1, ends - at)
-                if again.any():
-                    settled = e[again]
-                    where = (settled["id"].astype(np.uint64) % B.U64(buckets)).astype(np.int64)
-                    order = np.argsort(where, kind="stable")
-                    yield blobs(-1 - where[order], settled[order])
-                yield blobs(bucket_of(e["key"][at], buckets), e[at])
+            for e, *_ in _contexts(batch):
+                at, ends = runs(e["key"])
+                kinds = np.add.reduceat(np.concatenate([[True], (e["ctx"][1:] != e["ctx"][:-1]) | (e["c2"][1:] != e["c2"][:-1]) | (e["key"][1:] != e["key"][:-1])]), at, dtype=np.int64)
+                yield from count_blobs(np.repeat(e["key"][at], np.maximum(kinds, np.minimum(ends - at, 2))), buckets)
 
     return run
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """Spans of contexts that stand twice, and the grams with several contexts (as a row with _tag -1)."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_CONTEXT) for x in group.column("payload")])
-    bucket = group.column("bucket")[0].as_py()
-    if bucket < 0:
-        return _all_windows(e)
-    e = e[np.lexsort((e["c2"], e["ctx"], e["key"]))]
-    at, ends = runs(e["key"], e["ctx"], e["c2"])
-    found = _all_windows(e[np.repeat(ends - at > 1, ends - at)])
-    kinds = e["key"][at]
-    key_at, key_ends = runs(kinds)
-    several = (kinds[key_at][key_ends - key_at > 1] & B.U64(0xFFFFFFFF)).astype("<u4")
-    keys = pa.table({"_id": [bucket], "_tag": [-1], "_spans": [np.unique(several).tobytes()]}, schema=_FOUND)
-    return pa.concat_tables([found, keys])
+def _whole(e: np.ndarray) -> np.ndarray:
+    """The spans of all windows of the entries."""
+    start, n = e["lo"].astype(np.int64), e["n"].astype(np.int64)
+    long_ = np.minimum(n, e["size"].astype(np.int64) - MATCH + 1)
+    some = long_ > 0
+    return np.concatenate([_span_rows(e, start, start + n - 1 + REPORT, REPORT), _span_rows(e[some], start[some], start[some] + long_[some] - 1 + MATCH, MATCH)])
 
 
-def _send_suffixes(buckets: int, batches_: int, twice: Filter, several: Filter):
-    """Suffixes with context bytes, one of each kind a piece: arrays in index order by batch and hash range."""
+def _span_rows(e: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    out = np.empty(len(e), dtype=_SPAN)
+    out["id"], out["tag"], out["start"], out["end"], out["width"] = e["id"], e["tag"], start, end, width
+    return out
+
+
+def _send(buckets: int, batches_: int, counts: Levels | None, hot: Levels):
+    """A piece's entries by batch and bucket: spans that are settled inside it (negative buckets), suffixes with their bytes, one of each
+    context (buckets from 0), and windows of hot grams, one of each kind (from `buckets` on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for e, place, lo, data in _open(batch, [twice, several]):
-                at, _ = runs(e["key"], e["ctx"], e["c2"])
-                e, place, lo = e[at], place[at], lo[at]
-                out = np.empty(len(e), dtype=_SUFFIX)
-                for c in ("key", "id", "tag", "lo", "n"):
-                    out[c] = e[c]
-                out["left"], out["fresh"] = place - lo, 1
-                which = (B.mix(e["id"].astype(np.uint64)) % B.U64(batches_)).astype(np.int64)
-                where = bucket_of(e["key"], buckets)
-                order = np.lexsort((where, which))
-                runs_at, runs_end = runs(which[order], where[order])
-                rows: list[list] = [[], [], []]
-                for a, b in zip(runs_at, runs_end):
-                    own = order[a:b]
-                    left, right = out["left"][own].astype(np.int64), (out["n"][own] - 1 + MATCH - GRAM).astype(np.int64) - out["left"][own]
-                    # Both sides of the gram, which all suffixes of a key have in common.
-                    starts = np.stack([lo[own], place[own] + GRAM], axis=1).ravel()
-                    text = data[B.ragged(starts, np.stack([left, right], axis=1).ravel())]
-                    rows[0].append(int(which[own[0]]))
-                    rows[1].append(int(where[own[0]]))
-                    rows[2].append(_pack(out[own], text))
-                yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], schema=_ENTRIES)
+            for e, lo, data in _contexts(batch, counts):
+                at, ends = runs(e["key"], e["ctx"], e["c2"])
+                settled = [_whole(e[np.repeat(ends - at > 1, ends - at)])]
+                e, lo = e[at], lo[at]
+                many = hot(e["key"]) >= HOT_LEVEL
+                windows = _windows(e[many], lo[many], data)
+                at, ends = runs(windows["w1"], windows["w2"], windows["width"])
+                again = windows[np.repeat(ends - at > 1, ends - at)]
+                settled.append(np.concatenate([_span_rows(again[again["width"] == w], again["start"][again["width"] == w], again["start"][again["width"] == w].astype(np.int64) + w, w) for w in (REPORT, MATCH)]))
+                spans = np.concatenate(settled)
+                yield _sorted_blobs(-1 - (spans["id"].astype(np.uint64) % B.U64(buckets)).astype(np.int64), spans)
+                windows = windows[at]
+                yield _sorted_blobs(buckets + bucket_of(windows["w1"], buckets), windows)
+                yield _suffix_blobs(e[~many], lo[~many], data, buckets, batches_)
 
     return run
 
 
+def _sorted_blobs(bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    out = blobs(bucket[order], values[order])
+    return pa.record_batch([pa.array(np.zeros(out.num_rows, dtype=np.int32)), *out.columns], schema=_ENTRIES)
+
+
+def _windows(e: np.ndarray, lo: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The windows of both widths of the entries, in the order of their hashes."""
+    out = []
+    for width in (REPORT, MATCH):
+        n = np.clip(e["size"].astype(np.int64) - width + 1, 0, e["n"])
+        s, entry = B.ragged(lo, n), np.repeat(np.arange(len(e)), n)
+        w = np.empty(len(s), dtype=_WINDOW)
+        if len(s):
+            w["w1"] = B.FIRST.windows(B.FIRST.table[data], width)[s]
+            w["w2"] = (B.SECOND.windows(B.SECOND.table[data], width)[s] >> B.U64(32)).astype(np.uint32)
+        w["id"], w["tag"], w["start"], w["width"], w["fresh"] = e["id"][entry], e["tag"][entry], s - lo[entry] + e["lo"][entry], width, 1
+        out.append(w)
+    w = np.concatenate(out)
+    return w[np.lexsort((w["width"], w["w2"], w["w1"]))]
+
+
+def _suffix_blobs(e: np.ndarray, lo: np.ndarray, data: np.ndarray, buckets: int, batches_: int) -> pa.RecordBatch:
+    out = np.empty(len(e), dtype=_SUFFIX)
+    for c in ("key", "id", "tag", "lo", "left", "n", "size"):
+        out[c] = e[c]
+    out["fresh"] = 1
+    which = (B.mix(e["id"].astype(np.uint64)) % B.U64(batches_)).astype(np.int64)
+    where = bucket_of(e["key"], buckets)
+    order = np.lexsort((where, which))
+    rows: list[list] = [[], [], []]
+    for a, b in zip(*runs(which[order], where[order])):
+        own = order[a:b]
+        left = out["left"][own].astype(np.int64)
+        # Both sides of the gram, which all suffixes of a key have in common.
+        starts = np.stack([lo[own], lo[own] + left + GRAM], axis=1).ravel()
+        text = data[B.ragged(starts, np.stack([left, out["size"][own] - left - GRAM], axis=1).ravel())]
+        for column, x in zip(rows, (int(which[own[0]]), int(where[own[0]]), _pack(out[own], text))):
+            column.append(x)
+    return pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], schema=_ENTRIES)
+
+
 def _pack(e: np.ndarray, text: np.ndarray) -> bytes:
     return np.array([len(e)], dtype="<i8").tobytes() + e.tobytes() + text.tobytes()
 
 
-def _unpack(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    raw = payload.as_buffer()
-    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    size = 8 + n * _SUFFIX.itemsize
-    return np.frombuffer(raw, dtype=_SUFFIX, count=n, offset=8), np.frombuffer(raw, dtype=np.uint8, offset=size)
-
-
-def _suffix_order(e: np.ndarray, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Order by gram, then by the bytes that follow it."""
-    follow = starts + e["left"]
-    keys = []
-    for k in (8, 0):
-        word = np.zeros(len(e), dtype=np.uint64)
-        for i in range(8):
-            word = (word << B.U64(8)) | text[np.minimum(follow + k + i, len(text) - 1)].astype(np.uint64)
-        keys.append(word)
-    return np.lexsort((*keys, e["key"]))
-
-
-def _in_order(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The arrays of a hash range merged into one: suffixes, their context bytes, and where each one's begin."""
-    parts = [_unpack(x) for x in group.column("payload")]
-    e = np.concatenate([x[0] for x in parts])
-    text = np.concatenate([x[1] for x in parts])
-    length = e["n"].astype(np.int64) - 1 + MATCH - GRAM
-    starts = np.cumsum(length) - length
-    order = _suffix_order(e, starts, text)
-    text = text[B.ragged(starts[order], length[order])]
-    return e[order], text, np.cumsum(length[order]) - length[order]
-
-
-def _merge(group: pa.Table) -> pa.Table:
-    """One array of a level."""
-    e, text, _ = _in_order(group)
-    e["fresh"] = 0
-    return pa.table({"bucket": group.column("bucket")[:1], "payload": [_pack(e, text)]}, schema=BLOBS)
-
-
-def _scan(group: pa.Table) -> pa.Table:
-    """A batch (fresh suffixes) against the levels of its hash range: spans of both sides."""
-    e, text, starts = _in_order(group)
-    # Windows of suffixes whose gram another suffix has.
+@dataclass
+class SuffixArray:
+    """Suffixes in the order of gram, bytes after it and their number; `after` and `before` are the sort strings, zero-padded and ended by the length."""
+
+    e: np.ndarray
+    after: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def read(cls, payloads: list[pa.Scalar]) -> SuffixArray:
+        parts = []
+        for x in payloads:
+            raw = x.as_buffer()
+            n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+            parts.append(cls._of(np.frombuffer(raw, dtype=_SUFFIX, count=n, offset=8), np.frombuffer(raw, dtype=np.uint8, offset=8 + n * _SUFFIX.itemsize)))
+        return cls.merged(parts)
+
+    @classmethod
+    def _of(cls, e: np.ndarray, text: np.ndarray) -> SuffixArray:
+        left, right = e["left"].astype(np.int64), e["size"].astype(np.int64) - e["left"] - GRAM
+        start = np.cumsum(left + right) - left - right
+        text = np.concatenate([text, np.zeros(1, dtype=np.uint8)])
+
+        def strings(at: np.ndarray, step: int, length: np.ndarray, width: int) -> np.ndarray:
+            columns = np.arange(width)
+            inside = columns < length[:, None]
+            return np.where(inside, text[np.where(inside, at[:, None] + step * columns, 0)], 0).astype(np.uint8)
+
+        key = e["key"].astype(">u8").view(np.uint8).reshape(-1, 8)
+        size = lambda x: x.astype(">u2").view(np.uint8).reshape(-1, 2)
+        after = np.concatenate([key, strings(start + left, 1, right, RIGHT), size(right)], axis=1)
+        before = np.concatenate([key, strings(start + left - 1, -1, left, LEFT), size(left)], axis=1)
+        return cls(e, after, before)
+
+    @classmethod
+    def merged(cls, parts: list[SuffixArray]) -> SuffixArray:
+        """One array of several; the stable sort merges runs that are in order already."""
+        e, after, before = (np.concatenate([getattr(p, c) for p in parts]) for c in ("e", "after", "before"))
+        order = np.argsort(_as_strings(after), kind="stable")
+        return cls(e[order], after[order], before[order])
+
+    def take(self, which: np.ndarray) -> SuffixArray:
+        return SuffixArray(self.e[which], self.after[which], self.before[which])
+
+    def payload(self) -> bytes:
+        """As it is stored and sent: entries and their bytes on both sides of the gram."""
+        left, right = self.e["left"].astype(np.int64), self.e["size"].astype(np.int64) - self.e["left"] - GRAM
+        rows = np.concatenate([self.before[:, 8 : 8 + LEFT][:, ::-1], self.after[:, 8 : 8 + RIGHT]], axis=1)
+        columns = np.arange(LEFT + RIGHT)
+        return _pack(self.e, rows[(columns >= LEFT - left[:, None]) & (columns < LEFT + right[:, None])])
+
+
+def _as_strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each string shares with the one before it after the key: -1 for another key (and the first), no more than either has."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    differ = rows[1:, :-2] != rows[:-1, :-2]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1]) - 8
+    length = rows[:, -2].astype(np.int64) * 256 + rows[:, -1]
+    return np.concatenate([[-1], np.where(first < 0, -1, np.minimum(first, np.minimum(length[1:], length[:-1])))])
+
+
+def _scan(pool: SuffixArray) -> np.ndarray:
+    """Spans of the windows that a fresh suffix and another have, or an old one and a fresh one."""
+    e = pool.e
+    # Grams that several suffixes have, a fresh one among them.
     at, ends = runs(e["key"])
-    shared = np.flatnonzero(np.repeat(ends - at > 1, ends - at))
-    n = e["n"][shared].astype(np.int64)
-    entry = np.repeat(shared, n)
-    offset = B.ragged(np.zeros(len(n), dtype=np.int64), n)
-    begin = starts[entry] + offset
-    split = (e["left"][entry].astype(np.int64) - offset).astype(np.uint64)
-    h = B.mix(split + e["key"][entry])
+    if not len(at):
+        return np.zeros(0, dtype=_SPAN)
+    good = (ends - at > 1) & (np.maximum.reduceat(e["fresh"], at) > 0)
+    x = pool.take(np.flatnonzero(np.repeat(good, ends - at)))
+    if not len(x.e):
+        return np.zeros(0, dtype=_SPAN)
+    # Whole contexts that are equal: all their windows are.
+    after = np.cumsum(np.concatenate([[True], (x.after[1:] != x.after[:-1]).any(axis=1)]))
+    by = np.argsort(_as_strings(x.before), kind="stable")
+    before = np.empty(len(by), dtype=np.int64)
+    before[by] = np.cumsum(np.concatenate([[True], (x.before[by][1:] != x.before[by][:-1]).any(axis=1)]))
+    same = np.lexsort((x.e["n"], before, after))
+    at, ends = runs(after[same], before[same], x.e["n"][same])
+    fresh = np.maximum.reduceat(x.e["fresh"][same], at)
+    equal = np.repeat((ends - at > 1) & (fresh > 0), ends - at)
+    found = [_whole(x.e[same[equal]])]
+    # One suffix of each context, of grams that have several.
+    one = x.take(same[at])
+    one.e = one.e.copy()
+    one.e["fresh"] = fresh
+    at, ends = runs(one.e["key"])
+    one = one.take(np.flatnonzero(np.repeat((ends - at > 1) & (np.maximum.reduceat(one.e["fresh"], at) > 0), ends - at)))
+    at, ends = runs(one.e["key"])
     i = 0
-    while i < len(begin):  # by stretches of context bytes, so that the sums stay small
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SEGMENT)))
-        a, z = begin[i], begin[j - 1] + (MATCH - GRAM)
-        h[i:j] ^= B.FIRST.spans(B.FIRST.sums(B.FIRST.table[text[a:z]]), begin[i:j] - a, begin[i:j] - a + (MATCH - GRAM))
+    while i < len(at):  # whole grams, as many as are named together
+        j = max(i + 1, int(np.searchsorted(ends, at[i] + GROUP, side="right")))
+        found.append(_equal_windows(one.take(np.arange(at[i], ends[j - 1]))))
         i = j
-    by = np.lexsort((e["key"][entry], h))
-    at, ends = runs(h[by], e["key"][entry][by])
-    many = ends - at > 1
-    new = np.logical_or.reduceat(e["fresh"][entry][by] > 0, at) if len(at) else many
-    hit = np.zeros(len(by), dtype=bool)
-    hit[by[np.repeat(many & new, ends - at)]] = True
-    w = np.flatnonzero(hit)
-    # Neighbouring windows of one suffix are one span.
-    first = np.concatenate([[True], (entry[w][1:] != entry[w][:-1]) | (offset[w][1:] != offset[w][:-1] + 1)]) if len(w) else np.zeros(0, dtype=bool)
-    f = np.flatnonzero(first)
-    last = np.concatenate([f[1:] - 1, [len(w) - 1]]) if len(f) else f
-    own = e[entry[w[f]]]
-    return _spans(own, own["lo"] + offset[w[f]], own["lo"] + offset[w[last]] + MATCH)
-
-
-def _aged(level: DataFrame) -> DataFrame:
-    """A batch as a level of its own: its suffixes are no longer fresh."""
+    return np.concatenate(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column("payload"):
-                e, text = _unpack(x)
-                e = e.copy()
-                e["fresh"] = 0
-                out.append(_pack(e, text))
-            yield pa.record_batch([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "payload"])
-
-    return level.mapInArrow(run, BLOBS_SQL)
 
-
-def _family(entries: DataFrame, batches: int) -> list[DataFrame]:
-    """Spans that each batch's scan finds."""
-    levels: list[tuple[int, DataFrame]] = []
+def _equal_windows(x: SuffixArray) -> np.ndarray:
+    """Spans of equal windows. A window k bytes before its gram needs k common bytes before it and the rest after it: its name is the stretches of
+    neighbours, in both orders, that share so much."""
+    n = len(x.e)
+    after, by = _common(x.after), np.argsort(_as_strings(x.before), kind="stable")
+    before, k = _common(x.before[by]), np.arange(LEFT + 1)
+    names_before = np.empty((LEFT + 1, n), dtype=np.int64)
+    names_before[:, by] = np.cumsum(before < k[:, None], axis=1)
     found = []
-    for i in range(batches):
-        batch = entries.where(F.col("batch") == i).select("bucket", "payload")
-        carried, size = [], 1
-        while levels and levels[-1][0] == size:
-            carried.append(levels.pop())
-            size *= 2
-        pool = batch
-        for _, level in [*carried, *levels]:
-            pool = pool.unionByName(level)
-        out = materialize(pool.groupBy("bucket").applyInArrow(_scan, _FOUND_SQL), "spans")
-        found.append(out)
-        if i == batches - 1:  # no batch follows that would read a level
-            break
-        if carried:
-            pool = batch
-            for _, level in carried:
-                pool = pool.unionByName(level)
-            merged = materialize(pool.groupBy("bucket").applyInArrow(_merge, BLOBS_SQL), "level")
-            levels.append((size, merged))
+    for width in (REPORT, MATCH):
+        names_after = np.cumsum(after < (width - GRAM - k)[:, None], axis=1)
+        many = np.clip(x.e["size"].astype(np.int64) - width + 1, 0, x.e["n"])
+        entry, offset = np.repeat(np.arange(n), many), B.ragged(np.zeros(n, dtype=np.int64), many)
+        split = x.e["left"][entry].astype(np.int64) - offset
+        name = (split * (n + 1) + names_before[split, entry]) * (n + 1) + names_after[split, entry]
+        order = np.argsort(name, kind="stable")
+        at, ends = runs(name[order])
+        if not len(at):
+            continue
+        matched = (ends - at > 1) & (np.maximum.reduceat(x.e["fresh"][entry][order], at) > 0)
+        hit = np.zeros(len(name), dtype=bool)
+        hit[order[np.repeat(matched, ends - at)]] = True
+        w = np.flatnonzero(hit)
+        if not len(w):
+            continue
+        # Neighbouring windows of one suffix are one span.
+        first = np.concatenate([[True], (entry[w][1:] != entry[w][:-1]) | (offset[w][1:] != offset[w][:-1] + 1)])
+        f = np.flatnonzero(first)
+        last = np.concatenate([f[1:] - 1, [len(w) - 1]])
+        own = x.e[entry[w[f]]]
+        found.append(_span_rows(own, own["lo"] + offset[w[f]], own["lo"] + offset[w[last]] + width, width))
+    return np.concatenate(found) if found else np.zeros(0, dtype=_SPAN)
+
+
+def _equal_hashes(w: np.ndarray) -> np.ndarray:
+    """Spans of hot grams' windows that stand twice, a fresh one among them."""
+    w = w[np.lexsort((w["width"], w["w2"], w["w1"]))]
+    at, ends = runs(w["w1"], w["w2"], w["width"])
+    if not len(at):
+        return np.zeros(0, dtype=_SPAN)
+    w = w[np.repeat((ends - at > 1) & (np.maximum.reduceat(w["fresh"], at) > 0), ends - at)]
+    return np.concatenate([_span_rows(w[w["width"] == k], w["start"][w["width"] == k], w["start"][w["width"] == k].astype(np.int64) + k, k) for k in (REPORT, MATCH)])
+
+
+def _by_document(s: np.ndarray) -> dict:
+    """Spans as rows of documents and widths; spans that touch become one."""
+    s = s[np.lexsort((s["start"], s["width"], s["tag"], s["id"]))]
+    at, ends = runs(s["id"], s["tag"], s["width"])
+    pairs = [np.stack(B.merged(s["start"][a:b].astype(np.int64), s["end"][a:b].astype(np.int64)), axis=1).astype("<u4").tobytes() for a, b in zip(at, ends)]
+    return {"_id": s["id"][at], "_tag": s["tag"][at].astype(np.int64), "_width": s["width"][at].astype(np.int32), "_spans": pairs}
+
+
+def _work(buckets: int, keep: bool):
+    """A hash range's family: the batches one after the other are merge-scanned against all levels, then become levels themselves."""
+
+    def run(entries: pa.Table, levels: pa.Table) -> pa.Table:
+        bucket = (entries if entries.num_rows else levels).column("bucket")[0].as_py()
+        family: list[tuple[int, object]] = []
+        if bucket < 0:
+            spans = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in entries.column("payload")])
+        elif bucket >= buckets:
+            old = [np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in levels.column("payload")]
+            w = np.concatenate([*old, *[np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in entries.column("payload")]])
+            spans = _equal_hashes(w)
+            kept = w.copy()
+            kept["fresh"] = 0
+            family = [(1, kept)]
         else:
-            levels.append((1, _aged(batch)))
-    return found
+            stored = sorted(zip(levels.column("size").to_pylist(), levels.column("payload")), key=lambda x: -x[0])
+            family = [(size, SuffixArray.read([payload])) for size, payload in stored]
+            found = [np.zeros(0, dtype=_SPAN)]
+            of = np.asarray(entries.column("batch").to_pylist(), dtype=np.int64)
+            for b in np.unique(of):
+                fresh = SuffixArray.read([x for x, mine in zip(entries.column("payload"), of == b) if mine])
+                found.append(_scan(SuffixArray.merged([*[level for _, level in family], fresh])))
+                aged = fresh.e.copy()
+                aged["fresh"] = 0
+                size, level = 1, SuffixArray(aged, fresh.after, fresh.before)
+                while family and family[-1][0] == size:
+                    level = SuffixArray.merged([family.pop()[1], level])
+                    size *= 2
+                family.append((size, level))
+            spans = np.concatenate(found)
+        rows = _by_document(spans)
+        n = len(rows["_spans"])
+        out = pa.table({**rows, "bucket": pa.nulls(n, pa.int32()), "size": pa.nulls(n, pa.int32()), "payload": pa.nulls(n, pa.binary())}, schema=_FOUND)
+        if keep and bucket >= 0:
+            m = len(family)
+            payloads = [x.payload() if isinstance(x, SuffixArray) else x.tobytes() for _, x in family]
+            arrays = {"_id": pa.nulls(m, pa.int64()), "_tag": pa.nulls(m, pa.int64()), "_width": pa.nulls(m, pa.int32()), "_spans": pa.nulls(m, pa.binary())}
+            out = pa.concat_tables([out, pa.table({**arrays, "bucket": [bucket] * m, "size": [size for size, _ in family], "payload": payloads}, schema=_FOUND)])
+        return out
+
+    return run
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
+
+
+def _count(rows: DataFrame, buckets: int) -> Levels:
+    counts = rows.where(F.octet_length("text") >= REPORT).mapInArrow(_send_counts(buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_counts, BLOBS_SQL)
+    return Levels(materialize(counts, "grams"), buckets)
+
+
+def _ranges(rows: DataFrame) -> int:
+    return max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+
+
+@dataclass
+class Index:
+    """The levels of all hash ranges. Their number and the hot grams are set by the first batch; a gram that becomes hot later stays in its range."""
+
+    levels: DataFrame
+    buckets: int
+    hot: Levels
+
+
+def add(docs: DataFrame, index: Index | None = None, batches: int = 1) -> tuple[DataFrame, Index]:
+    """Spans that docs and the index have in common or docs repeat (_id, _tag, _width, _spans; old documents' spans too), and the index with docs.
+
+    The index holds every sampled suffix, as a later batch may match any. Its levels are a table in the shared folder.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows = _rows(docs)
+    if index is None:
+        buckets = _ranges(rows)
+        index = Index(spark.createDataFrame([], _LEVELS_SQL), buckets, _count(rows, buckets))
+    found = _matched(rows, index, batches, None, True)
+    return found.where("bucket is null").select("_id", "_tag", "_width", "_spans"), Index(found.where("bucket is not null").select("bucket", "size", "payload"), index.buckets, index.hot)
+
+
+def _matched(rows: DataFrame, index: Index, batches: int, counts: Levels | None, keep: bool) -> DataFrame:
+    long_ = rows.where(F.octet_length("text") >= REPORT)
+    entries = long_.mapInArrow(_send(index.buckets, batches, counts, index.hot), _ENTRIES_SQL)
+    met = entries.groupBy("bucket").cogroup(index.levels.groupBy("bucket")).applyInArrow(_work(index.buckets, keep), _FOUND_SQL)
+    return materialize(met, "spans")
 
 
 def _apply(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for i, text, spans in zip(batch.column("doc_id"), batch.column("text"), batch.column("_all")):
+            rows: list[list] = [[], [], [], [], [], []]
+            for i, text, cuts, seen in zip(batch.column("doc_id"), batch.column("text"), batch.column("_cuts"), batch.column("_seen")):
                 raw = (text.as_py() or "").encode()
-                starts = ends = np.zeros(0, dtype=np.int64)
-                kept = raw
-                if spans.is_valid and len(spans):
-                    pairs = np.frombuffer(b"".join(x.as_py() for x in spans), dtype="<u4").reshape(-1, 2).astype(np.int64)
-                    starts, ends = B.merged(pairs[:, 0], pairs[:, 1])
-                    cuts = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                values = (i.as_py(), len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest() if digest else kept)
+                starts, ends = _union(cuts)
+                edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if len(starts) else raw
+                a, b = _union(seen)
+                values = (i.as_py(), len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest() if digest else kept, int((b - a).sum()))
                 for out, x in zip(rows, values):
                     out.append(x)
-            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in rows[:4]], pa.array(rows[4], pa.string() if digest else pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+            yield pa.record_batch(
+                [*[pa.array(x, pa.int64()) for x in rows[:4]], pa.array(rows[4], pa.string() if digest else pa.binary()), pa.array(rows[5], pa.int64())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept", "n_repeated"],
+            )
 
     return run
 
 
+def _union(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = b"".join(x.as_py() for x in spans) if spans.is_valid else b""
+    pairs = np.frombuffer(raw, dtype="<u4").reshape(-1, 2).astype(np.int64)
+    return B.merged(pairs[:, 0], pairs[:, 1])
+
+
 def suffix_dedup(docs: DataFrame, digest: bool = False, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the kept bytes (their SHA-256 with digest)."""
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
-    long_ = rows.where(F.octet_length("text") >= MATCH)
-    buckets = max(16, docs.count() // RANGE_DOCS)
-
-    keys = long_.mapInArrow(_send_keys(buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_twice, BLOBS_SQL)
-    twice = Filter(materialize(keys, "grams"), buckets)
-    settled = long_.mapInArrow(_send_contexts(buckets, twice), BLOBS_SQL).groupBy("bucket").applyInArrow(_settle, _FOUND_SQL)
-    settled = materialize(settled, "settled")
-    open_keys = settled.where("_tag = -1").select(F.col("_id").cast("int").alias("bucket"), F.col("_spans").alias("payload"))
-    several = Filter(open_keys, buckets)
-    entries = materialize(long_.mapInArrow(_send_suffixes(buckets, batches, twice, several), "batch int, bucket int, payload binary"), "suffixes")
-
-    found = settled.where("_tag >= 0")
-    for x in _family(entries, batches):
-        found = found.unionByName(x)
-    found = found.groupBy("_id", "_tag").agg(F.collect_list("_spans").alias("_all"))
+    """doc_id, n_bytes, n_removed, n_spans, the kept bytes (their SHA-256 with digest) and n_repeated, the bytes that repeated strings of REPORT bytes cover."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows = _rows(docs)
+    buckets = _ranges(rows)
+    counts = _count(rows, buckets)
+    found = _matched(rows, Index(spark.createDataFrame([], _LEVELS_SQL), buckets, counts), batches, counts, False)
+    spans = lambda width: F.collect_list(F.when(F.col("_width") == width, F.col("_spans")))
+    found = found.groupBy("_id", "_tag").agg(spans(MATCH).alias("_cuts"), spans(REPORT).alias("_seen"))
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
-    joined = rows.join(found, (own == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "_all")
-    return joined.mapInArrow(_apply(digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary"))
+    joined = rows.join(found, (own == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "_cuts", "_seen")
+    return joined.mapInArrow(_apply(digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary") + ", n_repeated bigint")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
