@@ -46,9 +46,10 @@ RANGE_BYTES = 2 << 20
 #: Bytes of text that are taken together; windows of a longer text are taken by segments.
 SEGMENT = 1 << 20
 #: A gram of 2**HOT_LEVEL contexts is matched by its windows' hashes.
-HOT_LEVEL = 12
-#: Suffixes whose windows are named together.
+HOT_LEVEL = 14
+#: Suffixes whose windows are named together, and places of their grams that are taken at a time.
 GROUP = 4_096
+PLACES = 16
 _PLACE = 24
 NO_ID = np.iinfo(np.int64).max
 LEFT, RIGHT = REPORT - GRAM, MATCH - GRAM
@@ -57,8 +58,9 @@ _CONTEXT = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("c2", "<u4"), ("tag", "<u4
 _SUFFIX = np.dtype([("key", "<u8"), ("id", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("left", "<u2"), ("n", "<u2"), ("size", "<u2"), ("fresh", "<u2")])
 _WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("start", "<u4"), ("width", "<u2"), ("fresh", "<u2")])
 _SPAN = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4"), ("width", "<u4")])
-_ENTRIES = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-_ENTRIES_SQL = "batch int, bucket int, payload binary"
+#: A suffix a row, its bytes on both sides of the gram in `bytes`; rows that are not suffixes have their values there.
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int64()), ("left", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
+_ENTRIES_SQL = "bucket int, batch int, key bigint, id bigint, tag bigint, lo bigint, left int, n int, size int, bytes binary"
 #: Spans of documents, or (bucket not null) the arrays of a level.
 _FOUND = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_width", pa.int32()), ("_spans", pa.binary()), ("bucket", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())])
 _FOUND_SQL = "_id bigint, _tag bigint, _width int, _spans binary, bucket int, size int, payload binary"
@@ -172,7 +174,7 @@ def _send(buckets: int, batches_: int, counts: Levels | None, hot: Levels):
                 yield _sorted_blobs(-1 - (spans["id"].astype(np.uint64) % B.U64(buckets)).astype(np.int64), spans)
                 windows = windows[at]
                 yield _sorted_blobs(buckets + bucket_of(windows["w1"], buckets), windows)
-                yield _suffix_blobs(e[~many], lo[~many], data, buckets, batches_)
+                yield _suffix_rows(e[~many], lo[~many], data, buckets, batches_)
 
     return run
 
@@ -180,7 +182,7 @@ def _send(buckets: int, batches_: int, counts: Levels | None, hot: Levels):
 def _sorted_blobs(bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     out = blobs(bucket[order], values[order])
-    return pa.record_batch([pa.array(np.zeros(out.num_rows, dtype=np.int32)), *out.columns], schema=_ENTRIES)
+    return pa.record_batch([out.column(0), *[pa.nulls(out.num_rows, f.type) for f in list(_ENTRIES)[1:-1]], out.column(1)], schema=_ENTRIES)
 
 
 def _windows(e: np.ndarray, lo: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -199,24 +201,15 @@ def _windows(e: np.ndarray, lo: np.ndarray, data: np.ndarray) -> np.ndarray:
     return w[np.lexsort((w["width"], w["w2"], w["w1"]))]
 
 
-def _suffix_blobs(e: np.ndarray, lo: np.ndarray, data: np.ndarray, buckets: int, batches_: int) -> pa.RecordBatch:
-    out = np.empty(len(e), dtype=_SUFFIX)
-    for c in ("key", "id", "tag", "lo", "left", "n", "size"):
-        out[c] = e[c]
-    out["fresh"] = 1
-    which = (B.mix(e["id"].astype(np.uint64)) % B.U64(batches_)).astype(np.int64)
-    where = bucket_of(e["key"], buckets)
-    order = np.lexsort((where, which))
-    rows: list[list] = [[], [], []]
-    for a, b in zip(*runs(which[order], where[order])):
-        own = order[a:b]
-        left = out["left"][own].astype(np.int64)
-        # Both sides of the gram, which all suffixes of a key have in common.
-        starts = np.stack([lo[own], lo[own] + left + GRAM], axis=1).ravel()
-        text = data[B.ragged(starts, np.stack([left, out["size"][own] - left - GRAM], axis=1).ravel())]
-        for column, x in zip(rows, (int(which[own[0]]), int(where[own[0]]), _pack(out[own], text))):
-            column.append(x)
-    return pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], schema=_ENTRIES)
+def _suffix_rows(e: np.ndarray, lo: np.ndarray, data: np.ndarray, buckets: int, batches_: int) -> pa.RecordBatch:
+    which = (B.mix(e["id"].astype(np.uint64)) % B.U64(batches_)).astype(np.int32)
+    left, right = e["left"].astype(np.int64), e["size"].astype(np.int64) - e["left"] - GRAM
+    # Both sides of the gram, which all suffixes of a key have in common.
+    text = data[B.ragged(np.stack([lo, lo + left + GRAM], axis=1).ravel(), np.stack([left, right], axis=1).ravel())]
+    ends = np.concatenate([[0], np.cumsum(left + right)]).astype(np.int32)
+    held = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(ends), pa.py_buffer(text)])
+    values = [bucket_of(e["key"], buckets).astype(np.int32), which, e["key"].view(np.int64), e["id"], e["tag"].astype(np.int64), e["lo"].astype(np.int64), *[e[c].astype(np.int32) for c in ("left", "n", "size")]]
+    return pa.record_batch([*[pa.array(x) for x in values], held], schema=_ENTRIES)
 
 
 def _pack(e: np.ndarray, text: np.ndarray) -> bytes:
@@ -232,13 +225,21 @@ class SuffixArray:
     before: np.ndarray
 
     @classmethod
-    def read(cls, payloads: list[pa.Scalar]) -> SuffixArray:
-        parts = []
-        for x in payloads:
-            raw = x.as_buffer()
-            n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-            parts.append(cls._of(np.frombuffer(raw, dtype=_SUFFIX, count=n, offset=8), np.frombuffer(raw, dtype=np.uint8, offset=8 + n * _SUFFIX.itemsize)))
-        return cls.merged(parts)
+    def read(cls, payload: pa.Scalar) -> SuffixArray:
+        """A stored level, which is in order."""
+        raw = payload.as_buffer()
+        n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+        return cls._of(np.frombuffer(raw, dtype=_SUFFIX, count=n, offset=8), np.frombuffer(raw, dtype=np.uint8, offset=8 + n * _SUFFIX.itemsize))
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table) -> SuffixArray:
+        """The suffix array of a batch."""
+        e = np.empty(rows.num_rows, dtype=_SUFFIX)
+        for c in ("key", "id", "tag", "lo", "left", "n", "size"):
+            x = rows.column(c).to_numpy()
+            e[c] = x.view(np.uint64) if c == "key" else x
+        e["fresh"] = 1
+        return cls.merged([cls._of(e, B.strings(rows.column("bytes"))[0])])
 
     @classmethod
     def _of(cls, e: np.ndarray, text: np.ndarray) -> SuffixArray:
@@ -337,25 +338,29 @@ def _equal_windows(x: SuffixArray) -> np.ndarray:
     for width in (REPORT, MATCH):
         names_after = np.cumsum(after < (width - GRAM - k)[:, None], axis=1)
         many = np.clip(x.e["size"].astype(np.int64) - width + 1, 0, x.e["n"])
-        entry, offset = np.repeat(np.arange(n), many), B.ragged(np.zeros(n, dtype=np.int64), many)
-        split = x.e["left"][entry].astype(np.int64) - offset
-        name = (split * (n + 1) + names_before[split, entry]) * (n + 1) + names_after[split, entry]
-        order = np.argsort(name, kind="stable")
-        at, ends = runs(name[order])
-        if not len(at):
-            continue
-        matched = (ends - at > 1) & (np.maximum.reduceat(x.e["fresh"][entry][order], at) > 0)
-        hit = np.zeros(len(name), dtype=bool)
-        hit[order[np.repeat(matched, ends - at)]] = True
-        w = np.flatnonzero(hit)
-        if not len(w):
+        most = x.e["left"].astype(np.int64)  # bytes before the gram of the first window; the last has many - 1 less
+        hits = [np.zeros((2, 0), dtype=np.int64)]
+        for low in range(0, LEFT + 1, PLACES):
+            begin, end = np.maximum(low, most - many + 1), np.minimum(low + PLACES, most + 1)
+            count = np.maximum(0, end - begin)
+            entry, split = np.repeat(np.arange(n), count), B.ragged(begin, count)
+            name = (split * (n + 1) + names_before[split, entry]) * (n + 1) + names_after[split, entry]
+            order = np.argsort(name, kind="stable")
+            at, ends = runs(name[order])
+            if len(at):
+                matched = (ends - at > 1) & (np.maximum.reduceat(x.e["fresh"][entry][order], at) > 0)
+                hit = order[np.repeat(matched, ends - at)]
+                hits.append(np.stack([entry[hit], most[entry[hit]] - split[hit]]))
+        entry, offset = np.concatenate(hits, axis=1)
+        if not len(entry):
             continue
+        order = np.lexsort((offset, entry))
+        entry, offset = entry[order], offset[order]
         # Neighbouring windows of one suffix are one span.
-        first = np.concatenate([[True], (entry[w][1:] != entry[w][:-1]) | (offset[w][1:] != offset[w][:-1] + 1)])
-        f = np.flatnonzero(first)
-        last = np.concatenate([f[1:] - 1, [len(w) - 1]])
-        own = x.e[entry[w[f]]]
-        found.append(_span_rows(own, own["lo"] + offset[w[f]], own["lo"] + offset[w[last]] + width, width))
+        f = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+        last = np.concatenate([f[1:] - 1, [len(entry) - 1]])
+        own = x.e[entry[f]]
+        found.append(_span_rows(own, own["lo"] + offset[f], own["lo"] + offset[last] + width, width))
     return np.concatenate(found) if found else np.zeros(0, dtype=_SPAN)
 
 
@@ -384,21 +389,21 @@ def _work(buckets: int, keep: bool):
         bucket = (entries if entries.num_rows else levels).column("bucket")[0].as_py()
         family: list[tuple[int, object]] = []
         if bucket < 0:
-            spans = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in entries.column("payload")])
+            spans = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in entries.column("bytes")])
         elif bucket >= buckets:
             old = [np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in levels.column("payload")]
-            w = np.concatenate([*old, *[np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in entries.column("payload")]])
+            w = np.concatenate([*old, *[np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in entries.column("bytes")]])
             spans = _equal_hashes(w)
             kept = w.copy()
             kept["fresh"] = 0
             family = [(1, kept)]
         else:
             stored = sorted(zip(levels.column("size").to_pylist(), levels.column("payload")), key=lambda x: -x[0])
-            family = [(size, SuffixArray.read([payload])) for size, payload in stored]
+            family = [(size, SuffixArray.read(payload)) for size, payload in stored]
             found = [np.zeros(0, dtype=_SPAN)]
-            of = np.asarray(entries.column("batch").to_pylist(), dtype=np.int64)
+            of = entries.column("batch").to_numpy()
             for b in np.unique(of):
-                fresh = SuffixArray.read([x for x, mine in zip(entries.column("payload"), of == b) if mine])
+                fresh = SuffixArray.of_rows(entries.filter(pa.array(of == b)))
                 found.append(_scan(SuffixArray.merged([*[level for _, level in family], fresh])))
                 aged = fresh.e.copy()
                 aged["fresh"] = 0
