@@ -35,11 +35,13 @@ WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
-#: Documents whose entries meet in one hash range.
-RANGE_DOCS = 10_000
+#: Bytes of text whose entries meet in one hash range.
+RANGE_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("pos", "<u4")])
+#: Words of a text, from start to end, that removed windows cover.
+_SPAN = np.dtype([("id", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,7 +94,7 @@ def _send_windows(buckets: int, twice: Filter):
                 e["id"], e["tag"], e["pos"] = ids[text[s]], tags[text[s]], s - at[text[s]]
                 e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
                 later = _later(e)
-                yield from _verdicts(e[later], buckets)
+                yield from _verdicts(_spans(e[later]), buckets)
                 sent = e[~later]
                 yield blobs(bucket_of(sent["w1"], buckets), sent)
 
@@ -108,26 +110,42 @@ def _later(e: np.ndarray) -> np.ndarray:
     return e["id"] > e["id"][first]
 
 
-def _verdicts(e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settled entries, as blobs of their own: the bucket is negative."""
-    if len(e):
-        where = (e["id"].astype(np.uint64) % B.U64(buckets)).astype(np.int64)
+def _spans(e: np.ndarray) -> np.ndarray:
+    """The words under removed windows: windows that follow each other are one span."""
+    e = e[np.lexsort((e["pos"], e["tag"], e["id"]))]
+    if not len(e):
+        return np.zeros(0, dtype=_SPAN)
+    pos = e["pos"].astype(np.int64)
+    new = np.concatenate([[True], (e["id"][1:] != e["id"][:-1]) | (e["tag"][1:] != e["tag"][:-1]) | (pos[1:] > pos[:-1] + WINDOW)])
+    at = np.flatnonzero(new)
+    out = np.empty(len(at), dtype=_SPAN)
+    out["id"], out["tag"], out["start"] = e["id"][at], e["tag"][at], pos[at]
+    out["end"] = pos[np.concatenate([at[1:] - 1, [len(e) - 1]])] + WINDOW
+    return out
+
+
+def _verdicts(spans: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Settled spans, as blobs of their own: the bucket is negative."""
+    if len(spans):
+        where = (B.mix(spans["id"].astype(np.uint64)) % B.U64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        yield blobs(-1 - where[order], e[order])
+        yield blobs(-1 - where[order], spans[order])
 
 
 _REPLY = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_at", pa.binary())])
 
 
 def _resolve(group: pa.Table) -> pa.Table:
-    """Removed window starts of a hash range by document."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_ENTRY) for x in group.column("payload")])
-    if group.column("bucket")[0].as_py() >= 0:
+    """Spans of removed words of a hash range by document."""
+    settled = group.column("bucket")[0].as_py() < 0
+    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN if settled else _ENTRY) for x in group.column("payload")])
+    if not settled:
         e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
-        e = e[_later(e)]
-    e = e[np.lexsort((e["tag"], e["id"]))]
+        e = _spans(e[_later(e)])
+    e = e[np.lexsort((e["start"], e["tag"], e["id"]))]
     at, ends = runs(e["id"], e["tag"])
-    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_at": [e["pos"][a:b].tobytes() for a, b in zip(at, ends)]}, schema=_REPLY)
+    pairs = np.stack([e["start"], e["end"]], axis=1)
+    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_at": [pairs[a:b].tobytes() for a, b in zip(at, ends)]}, schema=_REPLY)
 
 
 def _apply(digest: bool):
@@ -138,10 +156,10 @@ def _apply(digest: bool):
                 words = (text.as_py() or "").encode().split()
                 n, gone = len(words), 0
                 if at.is_valid and len(at):
-                    starts = np.frombuffer(b"".join(x.as_py() for x in at), dtype="<u4").astype(np.int64)
+                    pairs = np.frombuffer(b"".join(x.as_py() for x in at), dtype="<u4").reshape(-1, 2).astype(np.int64)
                     step = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, starts + WINDOW, -1)
+                    np.add.at(step, pairs[:, 0], 1)
+                    np.add.at(step, pairs[:, 1], -1)
                     stay = np.cumsum(step[:-1]) == 0
                     gone = n - int(stay.sum())
                     words = compress(words, stay.tolist())
@@ -160,7 +178,7 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     # The tag tells texts of a repeated doc_id apart.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
-    buckets = max(16, docs.count() // RANGE_DOCS)
+    buckets = max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
 
     keys = rows.mapInArrow(_send_anchors(buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_twice, BLOBS_SQL)
     twice = Filter(materialize(keys, "anchors"), buckets)
