@@ -71,9 +71,18 @@ def test_mixing(docs, empty):
     assert mixing.mixed(docs).count() == sum(r.copies for r in rows)
 
 
-def test_mixing_importance(docs):
-    rows = mixing.mix(docs, importance=F.col("doc_id") % 3).collect() if "doc_id" in docs.columns else []
-    assert all(0 <= r.copies <= 2 for r in rows)
+def test_mixing_importance(spark):
+    """Documents are taken as often as their importance says, the sample has the target's size, and equal importance gives equal chances."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 3 * 100 + 20).cast("int")).alias("text"))
+    out = mixing.mix(docs, share_percent=50, importance=F.col("doc_id") % 2 * 2 + 1).toPandas()
+    assert abs(out.taken.sum() - out.target.iloc[0]) <= 220
+    rate = out.groupby(out.doc_id % 2).copies.mean()
+    assert abs(rate[1] / rate[0] - 3) < 0.4
+    even = mixing.mix(docs, share_percent=50, importance=F.lit(1)).toPandas()
+    assert set(even.copies) == {0, 1} and abs(even.groupby(even["size"]).copies.mean() - 0.5).max() < 0.05
+    own = mixing.mix(docs, share_percent=50).toPandas()
+    short = own.groupby("size").copies.mean()
+    assert short[20] < 0.6 * short[220] and abs(own.taken.sum() - own.target.iloc[0]) <= 220
 
 
 def test_decontamination(spark, docs, empty):

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target number of words. A document's expected copies are its source's target over its
-source's words (times its importance, if given); the whole part is allocated for certain, the fractional part is
+source's words, times its importance (by default it grows with size, so short texts are taken less often); the whole part is allocated for certain, the fractional part is
 its inclusion probability pi. Documents are ranked by Pareto's statistic, the random odds u / (1 - u) over the
 inclusion odds pi / (1 - pi), and the ranking is taken up to the size that fills the rest of the target: a
 fixed-size sample with unequal probabilities.
@@ -24,8 +24,10 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MAX_COPIES = 2
 SEED = "mix-1"
-#: Rank intervals of a source; only the one that holds the cut is put in order.
-INTERVALS = 4096
+#: Words at which a document has half of the greatest importance.
+HALF_SIZE = 100
+#: A rank's place has so many digits of so many bits; the cut is found digit by digit.
+PLACE_BITS, PLACE_LEVELS = 8, 3
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -54,16 +56,22 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
+def by_size(size: Column) -> Column:
+    """Importance of a document, 0 to 999: short ones count less, as their share of HALF_SIZE words more."""
+    return F.floor(size * 1000 / (size + HALF_SIZE)).cast("bigint")
+
+
 class Plan:
     """How many copies of each document a mix takes: a few numbers for each source, found in passes over doc_id, source and size.
 
-    importance scales a document's expected copies within its source; without it they are equal.
+    importance (whole numbers) scales a document's expected copies within its source, so inclusion probabilities differ by document.
     """
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: str = SEED, importance: Column | None = None):
         self.max_copies, self.seed, self.importance = max_copies, seed, importance
         self.sized = materialize(self.measured(docs.select("*")).select(*COLUMNS), "mix-sizes")
-        by_source = self.sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_imp")).alias("_mass"))
+        by_source = self.sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum((F.col("_size") * F.col("_imp")).cast("decimal(38,0)")).cast("double").alias("_mass"))
+        by_source = materialize(by_source, "mix-sources")
         goal = targets(by_source.select(F.col("_source").alias("source"), "source_size"), weights, share_percent, max_copies)
         goal = goal.join(by_source.select("_source", "_mass"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         self.goal = materialize(goal.withColumnRenamed("source", "_s"), "mix-targets")
@@ -71,47 +79,55 @@ class Plan:
 
     def measured(self, docs: DataFrame) -> DataFrame:
         """docs with what a plan needs, under names of its own."""
-        imp = F.lit(1.0) if self.importance is None else F.greatest(F.coalesce(self.importance.cast("double"), F.lit(0.0)), F.lit(0.0))
-        return docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.size(ws_words(F.col("text"))).cast("bigint"), "_imp": imp})
+        docs = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.size(ws_words(F.col("text"))).cast("bigint")})
+        imp = by_size(F.col("_size")) if self.importance is None else F.greatest(F.coalesce(self.importance.cast("bigint"), F.lit(0)), F.lit(0))
+        return docs.withColumn("_imp", imp)
 
     def ranked(self, df: DataFrame) -> DataFrame:
-        """df with its source's numbers, its whole copies, its rank _q (null: no further copy) and rank interval _b."""
+        """df with its source's numbers, its whole copies, its rank _q (null: no further copy) and the rank's place _p."""
         df = df.join(small(self.goal), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
         rate = F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))
-        df = df.withColumn("_rate", F.least(rate, F.lit(float(self.max_copies))) if self.importance is None else rate)
-        expected = F.least(F.col("_rate") * F.col("_imp"), F.lit(float(self.max_copies)))
-        df = df.withColumn("_whole", F.floor(expected)).withColumn("_pi", expected - F.col("_whole"))
-        mean_pi = F.col("_rate") - F.floor(F.col("_rate"))
+        expected = F.least(rate * F.col("_imp"), F.lit(float(self.max_copies)))
+        df = df.withColumn("_expected", expected).withColumn("_whole", F.floor("_expected")).withColumn("_pi", F.col("_expected") - F.col("_whole"))
         u = uniform(F.col("_id"), self.seed)
         odds = F.when(F.col("_pi") > 0, (u / (1.0 - u)) / (F.col("_pi") / (1.0 - F.col("_pi"))))
         df = df.withColumn("_q", F.when(F.col("_whole") >= self.max_copies, F.lit(None).cast("double")).otherwise(F.coalesce(odds, F.lit(float("inf")))))
-        # The rank intervals follow the odds as they would be at the source's mean probability: nearly even.
-        scaled = F.col("_q") * (mean_pi / (1.0 - mean_pi))
-        place = F.when(F.col("_q") == float("inf"), F.lit(1.0)).otherwise(scaled / (1.0 + scaled))
-        return df.withColumn("_b", F.least(F.floor(place * INTERVALS), F.lit(INTERVALS - 1)).cast("int"))
+        place = F.when(F.col("_q") == float("inf"), F.lit(1.0)).otherwise(F.col("_q") / (1.0 + F.col("_q")))
+        last = (1 << PLACE_BITS * PLACE_LEVELS) - 1
+        return df.withColumn("_p", F.least(F.floor(place * float(last + 1)), F.lit(last)).cast("bigint"))
 
     def _cuts(self) -> DataFrame:
-        """Of each source: the size that is left to take, all that can be ranked, the interval that the cut falls into, and the last rank below it."""
+        """Of each source: the size that is left to take, all that can be ranked, the place that the cut falls into, and the last rank below it.
+
+        The place is found digit by digit, so what is put in order at the end is one of 2**24 parts of a source, however large that is.
+        """
         ranked = self.ranked(self.sized)
-        parts = ranked.groupBy("_source", "_b").agg(F.sum(F.when(F.col("_q").isNotNull(), F.col("_size")).otherwise(0)).alias("_n"), F.sum(F.col("_whole") * F.col("_size")).alias("_sure"), F.first("target").alias("target"))
-        up_to = Window.partitionBy("_source").orderBy(F.col("_b").asc_nulls_last())
-        rest = F.col("target") - F.sum("_sure").over(Window.partitionBy("_source"))
-        parts = parts.withColumn("_end", F.sum("_n").over(up_to)).withColumn("_rest", rest).withColumn("_begin", F.col("_end") - F.col("_n"))
-        holds = F.col("_b").isNotNull() & (F.col("_begin") < F.col("_rest")) & (F.col("_end") >= F.col("_rest"))
-        rests = parts.groupBy(F.col("_source").alias("_cs")).agg(F.first("_rest").alias("_rest"), F.max("_end").alias("_all"), F.max(F.when(holds, F.col("_b"))).alias("_cb"), F.max(F.when(holds, F.col("_begin"))).alias("_cbegin"))
-        rests = materialize(rests, "mix-rests")
-        edge = ranked.join(small(rests), F.col("_source").eqNullSafe(F.col("_cs"))).where((F.col("_b") == F.col("_cb")) & F.col("_q").isNotNull())
+        sure = F.sum(F.col("_whole") * F.col("_size"))
+        rests = ranked.groupBy(F.col("_source").alias("_cs")).agg((F.first("target") - sure).alias("_rest"), F.coalesce(F.sum(F.when(F.col("_q").isNotNull(), F.col("_size"))), F.lit(0)).alias("_all"))
+        cuts = materialize(rests.withColumns({"_cp": F.lit(0).cast("bigint"), "_cbegin": F.lit(0).cast("bigint")}), "mix-rests")
+        for level in range(PLACE_LEVELS):
+            rest = PLACE_BITS * (PLACE_LEVELS - 1 - level)
+            # Cuts of sources whose digits so far are known; none is left where nothing holds the cut.
+            mine = ranked.join(small(cuts), F.col("_source").eqNullSafe(F.col("_cs"))).where(F.col("_q").isNotNull() & (F.shiftright("_p", rest + PLACE_BITS) == F.col("_cp")))
+            parts = mine.groupBy("_cs", F.shiftright("_p", rest).alias("_digit")).agg(F.sum("_size").alias("_n"), F.first("_rest").alias("_rest"), F.first("_cbegin").alias("_from"))
+            parts = parts.withColumn("_end", F.col("_from") + F.sum("_n").over(Window.partitionBy("_cs").orderBy("_digit"))).withColumn("_begin", F.col("_end") - F.col("_n"))
+            held = parts.where((F.col("_begin") < F.col("_rest")) & (F.col("_end") >= F.col("_rest"))).select(F.col("_cs").alias("_hs"), F.col("_digit"), F.col("_begin"))
+            cuts = cuts.join(held, F.col("_cs").eqNullSafe(F.col("_hs")), "left")
+            cuts = materialize(cuts.select("_cs", "_rest", "_all", F.col("_digit").alias("_cp"), F.col("_begin").alias("_cbegin")), "mix-cut")
+        edge = ranked.join(small(cuts), F.col("_source").eqNullSafe(F.col("_cs"))).where((F.col("_p") == F.col("_cp")) & F.col("_q").isNotNull())
+        # Repeated rows have one rank, and go in together.
+        edge = edge.groupBy("_source", "_q", "_id", "_size").agg(F.sum("_size").alias("_n"), F.first("_cbegin").alias("_cbegin"), F.first("_rest").alias("_rest"))
         in_order = Window.partitionBy("_source").orderBy("_q", "_id", "_size")
-        edge = edge.withColumn("_mid", F.col("_cbegin") + F.sum("_size").over(in_order) - F.col("_size") / 2.0)
+        edge = edge.withColumn("_mid", F.col("_cbegin") + F.sum("_n").over(in_order) - F.col("_size") / 2.0)
         last = edge.where(F.col("_mid") <= F.col("_rest")).groupBy(F.col("_source").alias("_ls")).agg(F.max(F.struct("_q", "_id", "_size")).alias("_last"))
-        return rests.join(last, F.col("_cs").eqNullSafe(F.col("_ls")), "left").drop("_ls")
+        return cuts.join(last, F.col("_cs").eqNullSafe(F.col("_ls")), "left").drop("_ls")
 
     def copies(self, df: DataFrame) -> DataFrame:
         """df (from measured) with source_size, target and copies."""
         df = self.ranked(df).join(small(self.cuts), F.col("_source").eqNullSafe(F.col("_cs")))
-        within = (F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & F.coalesce(F.struct("_q", "_id", "_size") <= F.col("_last"), F.lit(False)))
-        # Without an interval that holds the cut, nothing is left to take or more than can be ranked.
-        taken = F.when(F.col("_cb").isNotNull(), within).otherwise((F.col("_rest") > 0) & (F.col("_all") <= F.col("_rest")))
+        within = (F.col("_p") < F.col("_cp")) | ((F.col("_p") == F.col("_cp")) & F.coalesce(F.struct("_q", "_id", "_size") <= F.col("_last"), F.lit(False)))
+        # Without a place that holds the cut, nothing is left to take or more than can be ranked.
+        taken = F.when(F.col("_cp").isNotNull(), within).otherwise((F.col("_rest") > 0) & (F.col("_all") <= F.col("_rest")))
         more = F.when(F.col("_q").isNotNull() & F.coalesce(taken, F.lit(False)), 1).otherwise(0)
         return df.withColumn("copies", (F.col("_whole") + more).cast("bigint"))
 
@@ -144,8 +160,9 @@ QUERIES = {"op2_mixing": op2_mixing}
 ORACLES = {
     "op2_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS k FROM sized GROUP BY source),
+  SELECT doc_id, source, size, floor(size * 1000 / (size + 100)::DOUBLE)::BIGINT AS imp
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * imp)::DOUBLE AS mass, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS k FROM sized GROUP BY source),
 weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(k % 3 + 1)::INT] AS w, 2 * source_size AS cap FROM per),
 ratios AS (SELECT *, cap / w AS ratio FROM weighed),
 levels AS (
@@ -153,10 +170,10 @@ levels AS (
     - coalesce(sum(cap) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
 goal AS (
-  SELECT source, source_size, CASE WHEN ratio > level THEN w * (max(CASE WHEN ratio > level THEN level END) OVER ()) ELSE cap::DOUBLE END AS target FROM levels),
+  SELECT source, source_size, mass, CASE WHEN ratio > level THEN w * (max(CASE WHEN ratio > level THEN level END) OVER ()) ELSE cap::DOUBLE END AS target FROM levels),
 joined AS (
   SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
-    CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+    least(CASE WHEN g.mass > 0 THEN g.target / g.mass ELSE 0.0::DOUBLE END * s.imp, 2.0::DOUBLE) AS rate,
     (('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 ranked AS (
@@ -164,7 +181,7 @@ ranked AS (
     CASE WHEN floor(rate) >= 2 THEN NULL WHEN rate > floor(rate)
       THEN (u / (1.0::DOUBLE - u)) / ((rate - floor(rate)) / (1.0::DOUBLE - (rate - floor(rate)))) ELSE 'infinity'::DOUBLE END AS q FROM joined),
 placed AS (
-  SELECT *, target - whole * source_size AS rest,
+  SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
     sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size) - size / 2.0::DOUBLE AS mid FROM ranked)
 SELECT doc_id, size, source_size, target,
   (CASE WHEN q IS NOT NULL AND mid <= rest THEN whole + 1 ELSE whole END * size)::BIGINT AS taken FROM placed
