@@ -1,8 +1,8 @@
 """Quality rules with host-level verdicts.
 
-Every document gets counts and a base verdict from its own text. Failures are summed by domain (the source
-column), the rates shrunk with a beta prior fitted to all hosts by moments, and a host whose shrunk rate passes the
-limit loses all its documents; verdicts join back to the documents.
+Every document gets counts, failures of five rules, and a base verdict from its own text. Each rule's failures are summed by domain, its rates shrunk
+with a beta prior fitted to all hosts by moments, and a host of which one shrunk rate passes the limit loses all its documents; verdicts
+join back to the documents. The domain is the source column, as documents have no address of their own.
 
 Counts stay inside the row (higher-order functions over its words), so no text is shuffled and a very long text
 costs its own task only in proportion to n log n. Hosts are pre-aggregated; their table is broadcast only below a counted size.
@@ -22,18 +22,24 @@ from .common import materialize, small, table, ws_words
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
+MAX_SYMBOL_PERCENT = 10
+#: Repeated lines a hundred words.
+MAX_LINE_PERCENT = 5
+#: Least and greatest mean length of words.
+WORD_LENGTH = (3, 12)
 HOST_LIMIT = 0.5
-#: Weight of the prior where hosts do not differ, in documents.
-FLAT_PRIOR = 10.0
 
 
 def repeated_words(words: Column, windows: Column) -> Column:
-    """Words in windows found twice or more; windows: the text of each window, in order."""
+    """Words in windows found twice or more; windows: the hash of each window, in order. Windows of equal hash are compared word by word."""
     n = F.size(windows)
     ranked = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
+    def equal(e: Column, o: Column) -> Column:
+        return (o["w"] == e["w"]) & (F.slice(words, o["i"] + 1, WINDOW) == F.slice(words, e["i"] + 1, WINDOW))
+
     def covered(s: Column) -> Column:
-        twice = F.transform(s, lambda e, k: F.when((F.get(s, k - 1)["w"] == e["w"]) | (F.get(s, k + 1)["w"] == e["w"]), e["i"]))
+        twice = F.transform(s, lambda e, k: F.when(equal(e, F.get(s, k - 1)) | equal(e, F.get(s, k + 1)), e["i"]))
         return F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
 
     def words_of(at: Column) -> Column:
@@ -49,8 +55,10 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     """The kept columns with n_words, the four counts and base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, whole.alias("_text"), ws_words(F.col(text)).alias("_words"))
-    starts = F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)))
-    windows = F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice("_words", i, WINDOW), " ")), F.array().cast("array<string>"))
+    starts = F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(0), F.size("_words") - WINDOW))
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    windows = F.get(F.transform(F.array(hashes), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))), F.lit(0))
+    windows = F.coalesce(windows, F.array().cast("array<bigint>"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     rows = rows.select(*keep, "_text", "_words", windows.alias("_windows"), lines.alias("_lines"))
     n_words = F.size("_words").cast("bigint")
@@ -62,31 +70,58 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         n_repeat.alias("n_repeat_words"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", RULES["few_words"]() | RULES["repeated_words"]())
+
+
+#: A document's failures. The first two are its base verdict; by host all count.
+RULES = {
+    "few_words": lambda: F.col("n_words") < MIN_WORDS,
+    "repeated_words": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+    "symbols": lambda: 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
+    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > MAX_LINE_PERCENT * F.col("n_words"),
+    "word_length": lambda: (F.col("word_chars") < WORD_LENGTH[0] * F.col("n_words")) | (F.col("word_chars") > WORD_LENGTH[1] * F.col("n_words")),
+}
+
+
+def failures(keep: tuple[str, ...]) -> list[Column]:
+    """The kept columns and each rule's failure as 0 or 1."""
+    return [*[F.col(c) for c in keep], *[rule().cast("bigint").alias(f"_f_{name}") for name, rule in RULES.items()]]
 
 
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """_host, _docs, _failed, _rate, _rejected from rows with source and base_failed."""
-    hosts = judged.groupBy(F.col("source").alias("_host")).agg(F.count("*").alias("_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("_failed"))
+    """_host, _docs, _failed_RULE, _rate_RULE and _rejected from rows with source and the failures of every rule.
+
+    A rule's prior is fitted to all hosts, each with its weight in documents (moments of the beta-binomial): m is the share of failing documents,
+    rho what hosts differ beyond chance, and the prior counts as (1 - rho) / rho documents. Where hosts do not differ, every rate is m.
+    """
+    hosts = judged.groupBy(F.col("source").alias("_host")).agg(F.count("*").alias("_docs"), *[F.sum(f"_f_{name}").alias(f"_failed_{name}") for name in RULES])
     hosts = materialize(hosts, "hosts")
-    share = F.col("_failed") / F.col("_docs")
-    prior = hosts.agg(F.avg(share).alias("m"), F.var_pop(share).alias("v"))
-    fitted = F.col("m") * (1 - F.col("m")) / F.col("v") - 1
-    weight = F.when((F.col("v") > 0) & (fitted > 0), fitted).otherwise(F.lit(FLAT_PRIOR))
-    prior = prior.select((F.col("m") * weight).alias("_a"), ((1 - F.col("m")) * weight).alias("_b"))
+    n = F.col("_docs").cast("double")
+    sums = [F.sum(F.col(f"_failed_{name}")).alias(f"f_{name}") for name in RULES] + [F.sum(F.col(f"_failed_{name}") * F.col(f"_failed_{name}") / n).alias(f"s_{name}") for name in RULES]
     # One row of moments: a bound by construction.
-    row = prior.first()
-    a, b = (row["_a"] or 0.0), (row["_b"] or 0.0)
-    rate = (F.col("_failed") + a) / (F.col("_docs") + a + b)
-    return hosts.withColumn("_rate", rate).withColumn("_rejected", rate > limit)
+    row = hosts.agg(F.count("*").alias("h"), F.sum("_docs").alias("n"), F.sum(n * n).alias("nn"), *sums).first()
+    rates = {}
+    for name in RULES:
+        m, weight = _prior(row["h"], row["n"] or 0, row["nn"] or 0.0, row[f"f_{name}"] or 0, row[f"s_{name}"] or 0.0)
+        rates[f"_rate_{name}"] = F.lit(m) if weight is None else (F.col(f"_failed_{name}") + m * weight) / (F.col("_docs") + weight)
+    return hosts.withColumns(rates).withColumn("_rejected", F.greatest(*[F.col(c) for c in rates]) > limit)
+
+
+def _prior(hosts: int, docs: int, squares: float, failed: int, spread: float) -> tuple[float, float | None]:
+    """A rule's mean and its prior's weight in documents; None: hosts do not differ beyond chance."""
+    if not docs or not 0 < failed < docs:
+        return (failed / docs if docs else 0.0), None
+    m = failed / docs
+    room = docs - squares / docs - (hosts - 1)
+    rho = ((spread - docs * m * m) / (m * (1 - m)) - (hosts - 1)) / room if room > 0 else 0.0
+    return m, ((1 - rho) / rho if 0 < rho < 1 else None if rho <= 0 else 0.0)
 
 
 def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, the counts, base_failed, host_rate and kept for every row."""
     rows = materialize(measured(docs), "quality")
-    hosts = small(host_verdicts(rows, limit))
-    rows = rows.join(hosts, F.col("source").eqNullSafe(F.col("_host")))
+    hosts = host_verdicts(rows.select(*failures(("source",))), limit).select("_host", "_rejected", F.greatest(*[F.col(f"_rate_{name}") for name in RULES]).alias("_rate"))
+    rows = rows.join(small(hosts), F.col("source").eqNullSafe(F.col("_host")))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("_rejected")).alias("kept"),
@@ -100,7 +135,7 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     held = docs.select("doc_id", "source", "text", tag.alias("_tag"))
-    judged = materialize(measured(held, keep=("doc_id", "source", "_tag")).select("doc_id", "source", "_tag", "base_failed"), "quality")
+    judged = materialize(measured(held, keep=("doc_id", "source", "_tag")).select("base_failed", *failures(("doc_id", "source", "_tag"))), "quality")
     hosts = host_verdicts(judged, limit).where("_rejected").select(F.col("_host").alias("__tl_host"))
     failed = judged.where("base_failed").select(F.col("doc_id").alias("__tl_id"), F.col("_tag").alias("__tl_tag")).distinct()
     kept = docs.join(small(hosts), F.col("source").eqNullSafe(F.col("__tl_host")), "left_anti")
@@ -130,10 +165,17 @@ counted AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM split_words s JOIN lined l USING (rid) LEFT JOIN rep USING (rid)),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
-hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM based GROUP BY source),
-moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 10.0 END AS k FROM moments),
-verdicts AS (SELECT source, (f + m * k) / (n + k) > 0.5 AS rejected FROM hosts, prior),
+failing AS (
+  SELECT source, unnest([(n_words < 10)::INT, (100 * n_repeat_words > 20 * n_words)::INT, (100 * n_symbols > 10 * word_chars)::INT,
+    (100 * n_dup_lines > 5 * n_words)::INT, (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT]) AS failed, unnest(range(5)) AS rule FROM based),
+hosts AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(failed)::DOUBLE AS f FROM failing GROUP BY source, rule),
+moments AS (
+  SELECT rule, count(*) AS h, sum(n) AS n, sum(n * n) AS nn, sum(f) / sum(n) AS m, sum(f * f / n) - sum(n) * (sum(f) / sum(n)) * (sum(f) / sum(n)) AS s FROM hosts GROUP BY rule),
+rhos AS (
+  SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND n - nn / n - (h - 1) > 0 THEN (s / (m * (1 - m)) - (h - 1)) / (n - nn / n - (h - 1)) ELSE 0 END AS rho FROM moments),
+verdicts AS (
+  SELECT source, max(CASE WHEN rho <= 0 THEN m WHEN rho >= 1 THEN f / n ELSE (f + m * (1 - rho) / rho) / (n + (1 - rho) / rho) END) > 0.5 AS rejected
+  FROM hosts JOIN rhos USING (rule) GROUP BY source),
 judged AS (
   SELECT b.*, NOT b.base_failed AND NOT v.rejected AS kept FROM based b JOIN verdicts v ON b.source IS NOT DISTINCT FROM v.source)
 """
