@@ -129,14 +129,42 @@ def test_chat(spark):
     assert loss[1] == rows[2][3] and loss[3] == "\\b"
 
 
+QA = [("user", "q"), ("assistant", "a")]
+LAYOUTS = {
+    "message parts": ('{"messages": [{"role": "user", "content": [{"text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "image"}]}]}', QA),
+    "messages": ('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', QA),
+    "from and value": ('{"id": 1, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', QA),
+    "turn list": ('{"turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]}', QA),
+    "system instruction": ('{"system": "s", "instruction": "q", "output": "a"}', [("system", "s"), *QA]),
+    "instruction with input": ('{"instruction": "do", "input": "this", "output": "done"}', [("user", "do\n\nthis"), ("assistant", "done")]),
+    "instruction": ('{"instruction": "q", "output": "a"}', QA),
+    "instruction and response": ('{"instruction": "q", "response": "a"}', QA),
+    "prompt and response": ('{"prompt": "q", "response": "a"}', QA),
+    "prompt and completion": ('{"prompt": "q", "completion": "a", "meta": {"k": [1, 2]}}', QA),
+    "question and answer": ('{"question": "q", "answer": null}', [("user", "q"), ("assistant", "")]),
+    "turn row": ('{"role": "user", "text": "q"}', QA[:1]),
+    None: ('{"other": 1, "messages": [1]}', []),
+}
+
+
 def test_chat_layouts(spark):
-    records = [
-        '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"id": 1, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}',
-        '{"instruction": "do", "input": "this", "output": "done"}', '{"prompt": "p", "completion": "c", "meta": {"k": [1, 2]}}', '{"other": 1}',
-    ]
-    df = spark.createDataFrame([(x,) for x in records], "j string").select(F.parse_json("j").alias("record"))
+    assert set(LAYOUTS) == {x.name for x in chat.LAYOUTS} | {None}
+    df = spark.createDataFrame([(x,) for x, _ in LAYOUTS.values()], "j string").select(F.parse_json("j").alias("record"))
     got = {r.layout: [(t.role, t.text) for t in r.turns or []] for r in chat.canonical(df, "record").collect()}
-    assert got == {"messages": [("user", "q"), ("assistant", "a")], "from and value": [("user", "q"), ("assistant", "a")], "instruction with input": [("user", "do\n\nthis"), ("assistant", "done")], "prompt and completion": [("user", "p"), ("assistant", "c")], None: []}
+    assert got == {k: v for k, (_, v) in LAYOUTS.items()}
+    mixed = spark.createDataFrame([('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"text": "a"}]}]}',), ("null",), (None,)], "j string").select(F.parse_json("j").alias("record"))
+    assert sorted((str(r.layout), [(t.role, t.text) for t in r.turns or []]) for r in chat.canonical(mixed, "record").collect()) == [("None", []), ("None", []), ("message parts", QA)]
+
+
+def test_chat_mask_is_what_is_read(spark):
+    """Loss text is cut by the runs; a mask that is off by one, or short, is an error."""
+    t = spark.createDataFrame([(1, 0, "user", "q" * 50_000, 1), (1, 1, "assistant", "x<y>\\" * 30_000, 2), (1, 2, "assistant", "", 3)], "conv_id long, turn long, role string, text string, record int")
+    out = chat.format_rows(t)
+    assert out.select(chat.read_loss(F.col("formatted"), F.col("loss_runs")).alias("l")).first().l == "x<y>\\" * 30_000
+    for wrong in ("transform(loss_runs, (r, i) -> named_struct('chars', r.chars + if(i = 3, 1, 0) - if(i = 4, 1, 0), 'loss', r.loss))", "slice(loss_runs, 1, 8)"):
+        with pytest.raises(Exception, match="loss mask"):
+            out.select(chat.read_loss(F.col("formatted"), F.expr(wrong))).collect()
+    assert chat.format_rows(t.where("false")).count() == 0
 
 
 def test_sharding(spark, docs, empty):
@@ -366,14 +394,13 @@ def test_classifier_long_texts(monkeypatch):
         assert got.shape == (1,) and np.allclose(got, quality_classifier.probability(net, whole), rtol=1e-5), more
 
 
-def test_chat_keys_that_are_data(spark, monkeypatch):
-    """More shapes than are looked up on the driver: the same layouts and turns as with fewer."""
+def test_chat_keys_that_are_data(spark):
+    """Keys that are data make no shapes of their own: the fingerprint counts the paths that layouts name."""
     import json
 
     records = [{"messages": [{"role": "user", "content": f"q{k}"}], "tools": {f"key{k}": k}} for k in range(20)] + [{"instruction": "i", "output": f"o{k}", f"k{k}": 1} for k in range(20)] + [{f"none{k}": 1} for k in range(5)]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "i int, j string").select("i", F.parse_json("j").alias("record"))
-    want = sorted(map(repr, chat.canonical(df, "record").collect()))
-    monkeypatch.setattr(chat, "MAX_SHAPES", 5)
+    assert df.select(chat.fingerprint(F.col("record"))).distinct().count() == 3
     out = chat.canonical(df, "record")
-    assert out.columns == ["i", "layout", "turns"] and sorted(map(repr, out.collect())) == want
-    assert out.where("layout is null").count() == 5
+    assert out.columns == ["i", "layout", "turns"] and {r.layout: r["count"] for r in out.groupBy("layout").count().collect()} == {"messages": 20, "instruction": 20, None: 5}
+    assert all(t.text in (f"q{r.i}", "i", f"o{r.i - 20}") for r in out.collect() for t in r.turns or [])

@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record is one value of any shape. The fingerprint is a hash of its nested field paths; it selects one
-of the declared layouts, which says where the turns' roles and texts are. Records become canonical turns, turns become
-one formatted string with a run-length loss mask. Everything is a column expression over variants.
+A record is one value of any shape. The fingerprint is a hash of those of its nested field paths that some layout names (other keys may be
+data, so they do not count); it selects one of the declared layouts, which says where the turns' roles and texts are. Records become canonical
+turns, turns become one formatted string with a run-length loss mask. Everything is a column expression over variants, in one pass.
 
 Template: `<turn ROLE>TEXT</turn>` and a line feed. In roles and texts `\\` is written `\\b`, `<` is `\\l` and `>` is `\\g`,
 so no control string can stand inside a text and reading back is exact. The mask has three runs a turn: header, text, footer; the
@@ -20,16 +20,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_package, table
+from .common import table
 
 TURNS = "array<struct<role:string,text:string>>"
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: A scalar type in schema_of_variant's notation, which a key is never: a colon follows keys.
-SCALAR = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|DECIMAL\(\d+,\s?\d+\)|VARIANT)(?=[,>]|$)"
-#: So many different shapes may be looked up on the driver; a corpus of more has keys that are data, and its records' layouts are chosen one by one.
-MAX_SHAPES = 10_000
-
-
 @dataclass(frozen=True)
 class Layout:
     """Where turns are. Either fixed (role, path) pairs, or a list of messages with a role and a text field."""
@@ -42,13 +36,13 @@ class Layout:
     roles: dict = field(default_factory=dict, hash=False)
     parts: str = ""
 
-    def paths(self) -> frozenset[str]:
+    def paths(self) -> tuple[str, ...]:
         if self.messages:
             text = f"{self.messages}[].{self.text}" + (f"[].{self.parts}" if self.parts else "")
-            return frozenset({f"{self.messages}[].{self.role}", text})
+            return (f"{self.messages}[].{self.role}", text)
         if self.role:
-            return frozenset({self.role, self.text})
-        return frozenset(p for _, p in self.fixed)
+            return (self.role, self.text)
+        return tuple(p for _, p in self.fixed)
 
 
 #: The first layout whose paths a record has is taken, so longer ones come first.
@@ -68,49 +62,33 @@ LAYOUTS = (
 )
 
 
-def shape(record: Column) -> Column:
-    """A variant's nested field paths as one string, without the scalar types."""
-    return F.regexp_replace(F.schema_of_variant(record), SCALAR, "_")
+def _has(v: Column, path: str) -> Column:
+    """Whether a variant has the leaf path; a[].b holds if some element of a has b. A null is a leaf, an object or a list is none."""
+    outer, found, inner = path.partition("[].")
+    at = F.try_variant_get(v, f"$.{outer}", "array<variant>" if found else "variant")
+    if found:
+        return F.coalesce(F.exists(at, lambda x: _has(x, inner)), F.lit(False))
+    return at.isNotNull() & ~F.coalesce(F.schema_of_variant(at).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(shape(record))
-
-
-def paths_of(text: str) -> frozenset[str]:
-    """The leaf paths of a shape: OBJECT<a: _, b: ARRAY<OBJECT<c: _>>> has a and b[].c."""
-    found, at = [], 0
-
-    def value(prefix: str) -> None:
-        nonlocal at
-        if text.startswith("OBJECT<", at):
-            at += 7
-            while at < len(text) and text[at] != ">":
-                end = text.index(": ", at)
-                key, at = text[at:end].strip("`"), end + 2
-                value(f"{prefix}.{key}" if prefix else key)
-                if text.startswith(", ", at):
-                    at += 2
-            at += 1
-        elif text.startswith("ARRAY<", at):
-            at += 6
-            value(prefix + "[]")
-            at += 1
-        else:
-            found.append(prefix)
-            while at < len(text) and text[at] not in ",>":
-                at += 1
+def paths() -> list[str]:
+    """The paths that layouts name."""
+    return sorted({p for x in LAYOUTS for p in x.paths()})
 
-    try:
-        value("")
-    except (ValueError, IndexError):  # a key that looks like the notation itself
-        return frozenset()
-    return frozenset(found)
+
+def present(record: Column) -> Column:
+    """The paths that layouts name and the record has, in order."""
+    return F.array_compact(F.array(*[F.when(_has(record, p), F.lit(p)) for p in paths()]))
+
+
+def fingerprint(record: Column) -> Column:
+    return F.xxhash64(F.array_join(present(record), "\n"))
 
 
-def select_layout(text: str | None) -> str | None:
-    own = paths_of(text or "")
-    return next((x.name for x in LAYOUTS if x.paths() <= own), None)
+def select_layout(own: Column) -> Column:
+    """The name of the first layout whose paths are all present; null if there is none."""
+    names = [F.when(F.size(F.array_except(F.array(*[F.lit(p) for p in x.paths()]), own)) == 0, F.lit(x.name)) for x in LAYOUTS]
+    return F.coalesce(*names)
 
 
 def _role(raw: Column, names: dict) -> Column:
@@ -129,12 +107,13 @@ def _turns(v: Column, x: Layout) -> Column:
     """The canonical turns of a record under one layout."""
     turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if x.messages:
-        inner = f"array<struct<{x.parts}:string>>" if x.parts else "string"
-        rows = _at(v, x.messages, f"array<struct<`{x.role}`:string,`{x.text}`:{inner}>>")
+        rows = _at(v, x.messages, "array<variant>")
 
         def one(m: Column) -> Column:
-            text = F.array_join(F.transform(m[x.text], lambda p: F.coalesce(p[x.parts], F.lit(""))), "") if x.parts else m[x.text]
-            return turn(_role(m[x.role], x.roles), text)
+            text = _at(m, x.text)
+            if x.parts:  # a text that is a plain string among lists of parts stays as it is
+                text = F.coalesce(F.array_join(F.transform(_at(m, x.text, "array<variant>"), lambda p: F.coalesce(_at(p, x.parts), F.lit(""))), ""), text)
+            return turn(_role(_at(m, x.role), x.roles), text)
 
         return F.transform(rows, one)
     if x.role:
@@ -151,21 +130,11 @@ def _turns(v: Column, x: Layout) -> Column:
 
 def canonical(records: DataFrame, record: str) -> DataFrame:
     """records with layout and turns in place of the variant column record."""
-    hashed = records.withColumn("_print", fingerprint(F.col(record)))
-    shapes = hashed.groupBy("_print").agg(F.first(shape(F.col(record))).alias("_shape")).limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        ship_package(records.sparkSession)
-        hashed = records.withColumn("_print", F.udf(select_layout, "string")(shape(F.col(record))))
-        chosen = {x.name: x.name for x in LAYOUTS}
-    else:
-        chosen = {r["_print"]: select_layout(r["_shape"]) for r in shapes}
-    by_name = {x.name: x for x in LAYOUTS}
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name in dict.fromkeys(x for x in chosen.values() if x):
-        mine = F.col("_print").isin([k for k, v in chosen.items() if v == name])
-        layout = F.when(mine, F.lit(name)).otherwise(layout)
-        turns = F.when(mine, _turns(F.col(record), by_name[name])).otherwise(turns)
-    return hashed.withColumn("layout", layout).withColumn("turns", turns).drop("_print", record)
+    held = records.withColumn("_layout", select_layout(present(F.col(record))))
+    turns = F.lit(None).cast(TURNS)
+    for x in LAYOUTS:
+        turns = F.when(F.col("_layout") == x.name, _turns(F.col(record), x)).otherwise(turns)
+    return held.withColumn("turns", turns).withColumnRenamed("_layout", "layout").select(*[c for c in records.columns if c != record], "layout", "turns")
 
 
 def escape(text: Column) -> Column:
@@ -197,27 +166,43 @@ def read_turns(output: Column) -> Column:
 
 
 def read_loss(output: Column, runs: Column) -> Column:
-    """The text under the mask, unescaped. Runs that do not fit the string are an error, not a guess."""
-    masked = F.transform(read_turns(output), lambda t, i: F.when(F.get(runs, i * 3 + 1)["loss"], F.when(F.char_length(escape(t["text"])) == F.get(runs, i * 3 + 1)["chars"], t["text"]).otherwise(F.raise_error(F.lit("loss mask and text differ")))).otherwise(F.lit("")))
-    return F.array_join(masked, "")
+    """The text under the mask, cut from the output by the runs' lengths, unescaped.
 
+    A run that is not exactly a turn's text (between `>` and `<`, which no text holds), or runs that do not add up to the output, are an error.
+    """
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_runs from rows of conv_id, turn, role, text."""
-    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
-    turns = canonical(records, "record")
+    def step(at: Column, run: Column) -> Column:
+        fits = (F.substr(output, at["at"], F.lit(1)) == ">") & (F.substr(output, at["at"] + run["chars"] + 1, F.lit(1)) == "<")
+        piece = F.substr(output, at["at"] + 1, run["chars"])
+        text = F.when(~run["loss"], F.lit("")).when(fits & ~piece.rlike("[<>]"), piece).otherwise(F.raise_error(F.lit("a run of the loss mask is not a text")).cast("string"))
+        return F.struct((at["at"] + run["chars"]).alias("at"), F.concat(at["text"], text).alias("text"))
+
+    whole = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step)
+    checked = F.get(F.transform(F.array(whole), lambda x: F.when(x["at"] == F.char_length(output), x["text"]).otherwise(F.raise_error(F.lit("loss mask and output differ in length")).cast("string"))), F.lit(0))
+    return unescape(checked)
+
+
+def format_records(records: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss_runs from records of conv_id, turn and a variant `record`, which holds one turn or a whole conversation."""
+    turns = canonical(records.select("conv_id", "turn", "record"), "record")
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "turns"))).alias("_all"))
-    gathered = gathered.select("conv_id", F.flatten(F.transform("_all", lambda x: x["turns"])).alias("turns"))
+    gathered = gathered.select("conv_id", F.flatten(F.transform("_all", lambda x: F.coalesce(x["turns"], F.array().cast(TURNS)))).alias("turns"))
     return gathered.select("conv_id", formatted(F.col("turns")).alias("formatted"), loss_runs(F.col("turns")).alias("loss_runs"))
 
 
+def format_rows(rows: DataFrame) -> DataFrame:
+    """format_records of rows of conv_id, turn, role, text."""
+    return format_records(rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record")))
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    out = format_rows(rows.unionByName(probe)).withColumn("_turns", read_turns(F.col("formatted"))).withColumn("_loss", read_loss(F.col("formatted"), F.col("loss_runs")))
+    # The table's rows are of the layout "turn row"; the probe comes as one record of prompt and response.
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.to_variant_object(F.struct("role", "text")).alias("record"))
+    probe = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.to_variant_object(F.struct(F.lit(PROBE).alias("prompt"), F.lit(PROBE).alias("response"))).alias("record"))
+    out = format_records(rows.unionByName(probe)).withColumn("_turns", read_turns(F.col("formatted"))).withColumn("_loss", read_loss(F.col("formatted"), F.col("loss_runs")))
     digest = F.sha2(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return out.select(
         "conv_id", F.size("_turns").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.char_length("_loss").cast("bigint").alias("loss_chars"),
