@@ -379,6 +379,42 @@ def test_pipeline_near_duplicates(spark, docs):
     assert sorted(got) == sorted(expect) and (102,) not in got and (103,) in got
 
 
+def plain_score(net, raw):
+    """The forward pass by its definition, byte by byte."""
+    q = quality_classifier
+    n = len(raw)
+    count = 1 + max(0, -(-(n - q.WIDTH) // q.STRIDE))
+    b = list(raw) + [256] * (q.WIDTH + q.STRIDE + 4)
+    again = [any(i >= lag and b[i : i + 4] == b[i - lag : i - lag + 4] for lag in q.LAGS) and b[i] < 256 for i in range(len(b))]
+    response = []
+    for p in range(count):
+        x = np.concatenate([[*net.embedding[b[i]], float(again[i])] for i in range(p * q.STRIDE, p * q.STRIDE + q.WIDTH)])
+        response.append(np.maximum(x @ net.filters + net.bias, 0))
+    halves = -(-count // q.HALF)
+    chunks = [response[c * q.HALF : (c + 2) * q.HALF] for c in range(max(1, halves - 1))]
+    found = np.max([np.mean(c, axis=0) for c in chunks], axis=0)
+    return 1 / (1 + np.exp(-(found @ net.weight + net.offset)))
+
+
+def test_classifier_plain_pass():
+    """Every score is that of the text alone, whatever stands beside it in a piece."""
+    net = quality_classifier.Network.fresh()
+    r = np.random.default_rng(5)
+    net.weight[:] = r.normal(0, 0.3, len(net.weight))
+    texts = [b"", b"a", b"abcabcabcabc", b"\0\0\0\0\0\0", "é ü".encode() * 40, prose(1, 30).encode(), prose(2, 200).encode(), b"xyz" * 90, b"cabcabcabcab", prose(3, 400).encode()]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert np.allclose(quality_classifier._scores(net, data, ends), [plain_score(net, t) for t in texts], rtol=1e-4)
+
+
+def test_classifier_sample_has_long_texts(spark):
+    rows = [(k, "long " * 10_000 if k % 2 else "short") for k in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    texts, marks = quality_classifier.sample(docs, labels)
+    assert {len(t) for t, m in zip(texts, marks) if m} == {50_000} and len(texts) == sum(not quality_classifier.held_out(k) for k, _ in rows)
+    texts, marks = quality_classifier.sample(docs, labels, most_bytes=120_000)
+    assert marks.sum() == 2 and (marks == 0).sum() > 10
+
+
 def test_classifier_long_texts(monkeypatch):
     """Segments of a long text score as the whole, also where a few bytes follow the last whole segment."""
     monkeypatch.setattr(quality_classifier, "PIECE", 1 << 14)

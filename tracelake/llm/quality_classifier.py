@@ -1,12 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Every byte of the text is read. A byte is an embedding of 4 learned numbers and a mark whether its 4 bytes came less than 17 bytes
+Every byte of the text is read. A byte is an embedding of 4 learned numbers and a mark, made and not learned, whether its 4 bytes came less than 17 bytes
 before too. Filters of 16 bytes move in steps of 8; a chunk is 512 bytes, chunks overlap by half and cover the whole document. A chunk's
 feature is a filter's mean response in it, the document's is the largest over its chunks, and a logistic unit combines them.
 No label, language, source or doc_id enters a score.
 
-Training is on the driver, on a sample of labelled rows bounded by SAMPLE documents a class and SAMPLE_BYTES a text, rows
-with crc32(doc_id) mod 3 = 1 held out; the sample is the lowest by hash, so it does not depend on partitions.
+Training is on the driver, on a sample of labelled rows bounded by SAMPLE documents and SAMPLE_BYTES bytes a class, of whole texts of any length, rows
+with crc32(doc_id) mod 3 = 1 held out; the sample is the lowest by hash, so it does not depend on partitions. A text that the bytes left do not hold is passed over.
 Scoring is a map over pieces of text in bounded memory. Defined results: null and empty texts have one empty chunk and so a score; repeated rows score alike;
 without labelled rows of both classes the score is 0.5; an empty table gives an empty result; other columns are not read.
 """
@@ -33,7 +33,9 @@ FILTERS = 16
 HALF = 32
 LAGS = range(3, 17)
 SAMPLE = 1_000
-SAMPLE_BYTES = 16_384
+SAMPLE_BYTES = 4 << 20
+#: Texts and bytes of one step of training.
+STEP, STEP_BYTES = 32, 1 << 20
 EPOCHS = 6
 #: Bytes that are scored at a time.
 PIECE = 1 << 20
@@ -76,13 +78,12 @@ class Layout:
 def lay_out(data: np.ndarray, offsets: np.ndarray) -> Layout:
     sizes = np.diff(offsets)
     count = np.maximum(1, -(-np.maximum(sizes - WIDTH, 0) // STRIDE) + 1)  # positions of each text
-    room = count * STRIDE + WIDTH
+    room = count * STRIDE + WIDTH + max(LAGS)  # no mark reaches back into another text
     at = np.cumsum(room) - room
     padded = np.full(int(room.sum()) + WIDTH, 256, dtype=np.int16)
     padded[np.arange(len(data)) + np.repeat(at - offsets[:-1], sizes)] = data
-    low = padded.astype(np.uint8).astype(np.uint32)
-    four = low.copy()
-    four[:-3] |= (low[1:-2] << 8) | (low[2:-1] << 16) | (low[3:] << 24)
+    four = padded.astype(np.int64)
+    four[:-3] |= (four[1:-2] & 511) << 9 | (four[2:-1] & 511) << 18 | four[3:] << 27
     again = np.zeros(len(padded), dtype=bool)
     for lag in LAGS:
         again[lag:] |= four[lag:] == four[:-lag]
@@ -137,8 +138,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     step = 0
     for epoch in range(epochs):
         order = r.permutation(len(texts))
-        for i in range(0, len(order), 32):
-            mine = order[i : i + 32]
+        for mine in _steps(order, texts):
             data = np.frombuffer(b"".join(texts[k] for k in mine), dtype=np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(texts[k]) for k in mine])])
             x = lay_out(data, offsets)
@@ -173,17 +173,37 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     return net
 
 
+def _steps(order: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+    mine, size = [], 0
+    for k in order.tolist():
+        if mine and (len(mine) == STEP or size + len(texts[k]) > STEP_BYTES):
+            yield np.array(mine)
+            mine, size = [], 0
+        mine.append(k)
+        size += len(texts[k])
+    if mine:
+        yield np.array(mine)
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """At most `most` labelled texts of each class, none of the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most `most` labelled texts and `most_bytes` bytes of each class, none of the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_label"))
     order = F.xxhash64(F.col("_id"), F.lit(5))
     chosen = known.where("_label = 0").orderBy(order, "_id").limit(most).unionByName(known.where("_label = 1").orderBy(order, "_id").limit(most))
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sizes = own.select("doc_id", F.octet_length("text").alias("_n")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    left, ids = {0: most_bytes, 1: most_bytes}, []
+    for r in sizes.groupBy("_id", "_label").agg(F.max("_n").alias("_n")).orderBy(order, "_id").collect():
+        if r["_n"] <= left[r["_label"]]:
+            left[r["_label"]] -= r["_n"]
+            ids.append((r["_id"], r["_label"]))
+    picked = docs.sparkSession.createDataFrame(ids, "_id long, _label int")
+    rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     rows = rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label")).orderBy("_id").toArrow()
     return [x.encode() for x in rows.column("text").to_pylist()], rows.column("_label").to_numpy().astype(np.float32)
 
