@@ -167,6 +167,64 @@ def test_chat_mask_is_what_is_read(spark):
     assert chat.format_rows(t.where("false")).count() == 0
 
 
+def plain_leaves(groups, room):
+    """The k-d tree by sorting: groups (a data frame of key, w, d0, d1, d2, h) and the room of each leaf; key -> leaf."""
+    out = {}
+
+    def split(part, a, b):
+        if b - a == 1:
+            out.update(dict.fromkeys(part.key, a))
+            return
+        m = (a + b) // 2
+        if not len(part):
+            return
+        spans = [part[f"d{i}"].max() - part[f"d{i}"].min() for i in range(3)]
+        i = max(range(3), key=lambda k: (spans[k], -k))
+        scaled = np.floor((part[f"d{i}"] - part[f"d{i}"].min()) / (spans[i] or 1.0) * ((1 << 20) - 1)).astype("int64")
+        part = part.assign(rank=scaled * (1 << 32) + part.h).sort_values("rank")
+        goal = int(part.w.sum()) * (sum(room[a:m]) / (sum(room[a:b]) or 1.0))
+        ends = part.w.cumsum()
+        k = int(np.flatnonzero(ends.values >= goal)[0])
+        at = part["rank"].values[k]
+        same = part["rank"] == at
+        before = int(part.w[part["rank"] < at].sum())
+        left = part["rank"] < (at + 1 if before + part.w[same].sum() / 2 <= goal else at)
+        split(part[left], a, m)
+        split(part[~left], m, b)
+
+    split(groups, 0, len(room))
+    return out
+
+
+def plain_room(total, heavy, shards):
+    """Heavy groups, the heaviest first, into the emptiest shard; the rest of the bytes levels the loads, as water would."""
+    load, at = [0] * shards, {}
+    for key, w in sorted(heavy, key=lambda x: (-x[1], x[0])):
+        s = load.index(min(load))
+        load[s] += w
+        at[key] = s
+    rest, low, high = total - sum(load), 0.0, float(total) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(max(0.0, mid - x) for x in load) < rest else (low, mid)
+    return at, [max(0.0, high - x) for x in load]
+
+
+def test_sharding_is_the_plain_tree(spark, docs):
+    many = docs.select("doc_id", "text", "lang", "source").unionByName(spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a copy of many").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source")))
+    for frame in (many, spark.read.parquet(f"{SF}/documents.parquet")):
+        groups = sharding._groups(frame).withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 32)).toPandas()
+        for shards in (16, 5):
+            most = groups.w.sum() / (shards * sharding.HEAVY_PARTS)
+            heavy = groups[groups.w > most]
+            placed, room = plain_room(int(groups.w.sum()), list(zip(heavy.key, heavy.w)), shards)
+            want = placed | plain_leaves(groups[groups.w <= most], room)
+            key = F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5(F.col("text").cast("binary")))
+            keys = {(r.doc_id, r.c): r.k for r in frame.select("doc_id", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("c"), key.alias("k")).collect()}
+            got = {keys[r.doc_id, r.text_crc32]: r.shard for r in sharding.shard(frame, shards).collect() if (r.text_crc32, r.size) != (0, 1)}
+            assert got == {k: s for k, s in want.items() if k in got} and len(got) >= len(want) - 2
+
+
 def test_sharding(spark, docs, empty):
     for frame in (docs, spark.read.parquet(f"{SF}/documents.parquet")):
         rows = sharding.shard(frame).toPandas()
