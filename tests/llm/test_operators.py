@@ -118,6 +118,55 @@ def test_ngram_join(docs, empty, monkeypatch, pairs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4  # 2, 3, 8 and the second row of 9
 
 
+def counted(monkeypatch):
+    """How many pairs and list entries the join verifies and makes, and which pairs."""
+    seen, plain, links = {"pairs": []}, ngram_join.verified, ngram_join._links
+
+    def verified(pairs, sets, percent):
+        seen["pairs"] += [(r.u, r.v) for r in pairs.collect()]
+        return plain(pairs, sets, percent)
+
+    def _links(lists, *rest):
+        seen["entries"] = lists.count()
+        return links(lists, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    monkeypatch.setattr(ngram_join, "_links", _links)
+    return seen
+
+
+@pytest.mark.parametrize("pairs", [0, 2])
+def test_ngram_join_of_dissimilar_texts(spark, monkeypatch, pairs):
+    """Texts of sentences out of one pool share n-grams, but none is similar to another: pairs fall to the filters before they are verified."""
+    monkeypatch.setattr(ngram_join, "PAIRS_AN_ENTRY", pairs)
+    r = np.random.default_rng(4)
+    pool = [" ".join(f"v{x}" for x in r.integers(0, 3000, 9)) for _ in range(40)]
+    seen = counted(monkeypatch)
+    for n in (150,) if pairs == 0 else (600,):
+        seen["pairs"] = []
+        texts = [(k, " ".join(pool[i] for i in r.permutation(40)[:10])) for k in range(n)]
+        out = ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(x.component_id == x.doc_id for x in out)
+        assert len(seen["pairs"]) <= 0.1 * seen["entries"]
+
+
+@pytest.mark.parametrize("pairs", [0, 2])
+def test_ngram_join_verifies_a_pair_once(spark, monkeypatch, pairs):
+    """Groups of near copies around a common text, some of them not similar enough: against brute force."""
+    monkeypatch.setattr(ngram_join, "PAIRS_AN_ENTRY", pairs)
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(12):
+        words = prose(100 + k % 4, 120).split()
+        for i in r.integers(0, 120, k):
+            words[i] = f"z{k}-{i}"
+        rows += [(100 * k + j, " ".join(words[: 120 - 2 * j])) for j in range(9)]
+    seen = counted(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(ngram_join.ngram_join(docs).select("doc_id", "n_shingles", "component_id"), *run_sql("op3_ngram_jaccard", documents=arrow(docs)))
+    assert len(seen["pairs"]) == len(set(seen["pairs"])) < len(rows) * (len(rows) - 1) / 2
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a <b> \\g \\\\l"), (1, 1, "assistant", None), (1, 2, "assistant", "é </turn>\n<turn user>"), (2, 1, None, "x"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (2, 1, None, "x"), (3, None, "assistant", "\\b")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

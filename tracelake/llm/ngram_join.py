@@ -3,10 +3,13 @@
 1. The document frequency of every n-gram is counted by hash range; mappers get its magnitude from a table of bounded size (64 MB; where
    n-grams share a slot there, the order is less apt, but the result is exact under any order). The global order is by magnitude, then hash.
 2. Of n n-grams in that order the first n - ceil(t n) + 1 are a set's prefix. Those of them that two sets have are list entries.
-3. Sets that share prefix n-grams are candidates if their sizes (length filter) and the positions of a common n-gram (positional filter)
-   allow the overlap. Only connection matters, so long lists are first compared with one pivot each, the set with the earliest
-   position, and pairs that are already connected are never made; when few enough pairs are left between components, all of them are.
-4. Each candidate pair is verified once: the sets' parts in 16 hash ranges bound the overlap (suffix filter), then the sets are intersected.
+3. Sets that share prefix n-grams are candidates if their sizes (length filter), the positions of a common n-gram (positional filter) and
+   what stands behind it (suffix filter) allow the overlap: an entry carries a bitmap of SUFFIX_BITS hash ranges for the n-grams behind its own, and how
+   many more those are than bits; common bits and the smaller surplus bound what two suffixes share. All three are tested inside the join.
+   Only connection matters, so a list's sets are compared with pivots, those of the earliest positions: one of each list, then two, four and so on. A
+   pivot that has met its list leaves it, and pairs that are already connected are never made. Once few pairs are left between
+   components (PAIRS_AN_ENTRY a list entry), the rest meet at once.
+4. Each candidate pair is verified once: pairs that were tried before are taken out, and the sets of the others are intersected.
 5. Components by large-star and small-star steps; every document gets the smallest doc_id of its component.
 
 Equal sets are one node throughout, so copies never meet as pairs. Defined results: null, empty and blank texts have no n-grams and are
@@ -33,13 +36,15 @@ PERCENT = 85
 BUFFER = 2 << 20
 #: All pairs between components are made when they are at most so many times the list entries.
 PAIRS_AN_ENTRY = 2
-PARTS = 16
+SUFFIX_BITS = 256
 #: Documents whose n-grams meet in one hash range.
 RANGE_DOCS = 5_000
 
 _FIRST = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tag", pa.int64())])
-_POSTING = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
-_SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+_POSTING = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), *[(f"b{i}", pa.int64()) for i in range(SUFFIX_BITS // 64)], ("more", pa.int32())])
+_BITS = [f"b{i}" for i in range(SUFFIX_BITS // 64)]
+_POSTING_SQL = "g bigint, node bigint, n int, p int, " + ", ".join(f"{b} bigint" for b in _BITS) + ", more int"
+_SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(batch: pa.RecordBatch, ngram: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,46 +115,56 @@ def least(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def _suffixes(order: np.ndarray, p: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n-grams behind each place p of a set in the global order, of which the first `size` are the prefix: bitmap of hash ranges, and how many more there are."""
+    part = (B.mix(order) >> B.U64(56)).astype(np.int64) % SUFFIX_BITS
+    behind = np.zeros((size, SUFFIX_BITS), dtype=np.int32)
+    behind[np.arange(size), part[:size]] = 1
+    after = behind[::-1].cumsum(axis=0)[::-1] - behind + np.bincount(part[size:], minlength=SUFFIX_BITS)
+    after = after[p]
+    bits = after > 0
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8"), (len(order) - 1 - p - bits.sum(axis=1)).astype(np.int32)
+
+
 def _entries(ngram: int, lower: bool, percent: int, levels: Levels):
     """List entries: the n-grams of each distinct set's prefix that another set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in _POSTING]
             for node, own in _distinct(batch, ngram, lower, seen):
                 n = len(own)
                 level = levels(own)
-                order = np.argsort(level, kind="stable")[: n - least(n, percent) + 1]
-                p = np.flatnonzero(level[order])
-                for x, y in zip(out, (own[order[p]], np.full(len(p), node, dtype=np.int64), np.full(len(p), n, dtype=np.int32), p.astype(np.int32))):
+                order = np.argsort(level, kind="stable")
+                size = n - least(n, percent) + 1
+                p = np.flatnonzero(level[order[:size]])
+                if not len(p):
+                    continue
+                bits, more = _suffixes(own[order], p, size)
+                values = (own[order[p]].view(np.int64), np.full(len(p), node, dtype=np.int64), np.full(len(p), n, dtype=np.int32), p.astype(np.int32), *bits.T, more)
+                for x, y in zip(out, values):
                     x.append(y)
             if out[0]:
-                yield _postings(out)
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], schema=_POSTING)
 
     return run
 
 
-def _postings(out: list[list]) -> pa.RecordBatch:
-    g, node, n, p = (np.concatenate(x) for x in out)
-    return pa.record_batch([pa.array(g.view(np.int64)), pa.array(node), pa.array(n), pa.array(p)], schema=_POSTING)
-
-
 def _whole_sets(ngram: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets, parts = [], [], []
+            nodes, sets = [], []
             size = 0
             for _, own in _sets(batch, ngram, lower):
                 nodes.append(_node(own))
                 sets.append(own.view(np.int64))
-                parts.append(np.bincount((own >> B.U64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 size += len(own)
                 if size > 1_000_000:
-                    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], schema=_SETS)
-                    nodes, sets, parts, size = [], [], [], 0
+                    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=_SETS)
+                    nodes, sets, size = [], [], 0
             if nodes:
-                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], schema=_SETS)
+                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
@@ -176,34 +191,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _fits(percent: int) -> Column:
-    """Length and positional filter of entries (n, p) and (n2, p2) of one list."""
+    """Length, positional and suffix filter of entries (n, p, ...) and (n2, p2, ...) of one list. The first common n-gram of a similar pair passes:
+    before it nothing is common, behind it no more than either has, and no more than the bitmaps of what is behind allow."""
     n, m, p, q = (F.col(c).cast("bigint") for c in ("n", "n2", "p", "p2"))
     need = F.ceil(percent * (n + m) / F.lit(100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - p - 1, m - q - 1) >= need)
+    common = F.least("more", "more2")
+    for b in _BITS:
+        common = common + F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}_2")))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - p - 1, m - q - 1) >= need) & (1 + common >= need)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs u, v whose sets have the Jaccard similarity; pairs are distinct."""
-    one = sets.select(F.col("node").alias("u"), F.col("grams").alias("_g1"), F.col("parts").alias("_h1"))
-    two = sets.select(F.col("node").alias("v"), F.col("grams").alias("_g2"), F.col("parts").alias("_h2"))
+    one = sets.select(F.col("node").alias("u"), F.col("grams").alias("_g1"))
+    two = sets.select(F.col("node").alias("v"), F.col("grams").alias("_g2"))
     both = pairs.join(one, "u").join(two, "v")
-    n = F.size("_g1") + F.size("_g2")
-    bound = F.aggregate(F.zip_with("_h1", "_h2", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    enough = lambda k: 100 * k >= percent * (n - k)
-    return both.where(F.when(enough(bound), enough(F.size(F.array_intersect("_g1", "_g2")))).otherwise(F.lit(False))).select("u", "v")
+    common = F.size(F.array_intersect("_g1", "_g2"))
+    return both.where(100 * common >= percent * (F.size("_g1") + F.size("_g2") - common)).select("u", "v")
 
 
-def _candidates(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs u, v of sets of different components whose prefixes allow them to be similar; the first common n-gram of a similar pair passes."""
-    two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    met = live.join(two, (live["g"] == two["g"]) & (F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & _fits(percent))
-    return met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+def _candidates(some: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of one of some and one of live, of one list and different components, which pass the filters."""
+    names = {"g": "g2", "c": "c2", "node": "node2", "n": "n2", "p": "p2", "more": "more2"} | {b: f"{b}_2" for b in _BITS}
+    two = live.select(*[F.col(a).alias(b) for a, b in names.items()])
+    met = some.join(two, (F.col("g") == F.col("g2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2")) & _fits(percent))
+    return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 
 def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
     """Enough links u, v to connect whatever is connected; None if there are none. fetch: the sets of given nodes."""
     entries = lists.count()
-    live, links, before = lists.withColumn("c", F.col("node")), None, None
+    live, links, tried, many = lists.withColumn("c", F.col("node")), None, None, 1
     while entries:
         by = live.groupBy("g", "c").agg(F.count("*").alias("s")).groupBy("g")
         by = by.agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("bigint").alias("cross")).where("cross > 0")
@@ -212,28 +230,33 @@ def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
         if not cross:
             break
         live = live.join(small(by.select("g")), "g", "left_semi")
-        whole = cross <= PAIRS_AN_ENTRY * entries or before is not None and 2 * cross > before
-        before = cross
-        if whole:
-            pairs = _candidates(live, percent)
+        last = cross <= PAIRS_AN_ENTRY * entries
+        if last:
+            some = live
         else:
-            pivot = live.groupBy("g").agg(F.min(F.struct("p", "n", "node", "c")).alias("x")).select("g", "x.*")
-            pivot = materialize(pivot, "pivots")
-            two = live.select("g", F.col("c").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-            pairs = pivot.join(two, (pivot["g"] == two["g"]) & (F.col("c") != F.col("c2")) & _fits(percent))
-            pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+            # The pivots of a list: those of the earliest places, at most one a hash class of its sets, so that no list meets in one task.
+            turn = live.withColumn("_k", F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many)))
+            some = turn.groupBy("g", "_k").agg(F.min(F.struct("p", "n", *[x for x in live.columns if x not in ("g", "p", "n")])).alias("x"))
+            some = materialize(some.select("g", *[F.col("x")[x].alias(x) for x in live.columns if x != "g"]), "pivots")
+        pairs = _candidates(some, live, percent)
+        if tried is not None:
+            pairs = pairs.join(small(tried), ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         sets = fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
         found = materialize(verified(pairs, sets, percent), "links")
         drop_scratch(sets)
         links = found if links is None else links.unionByName(found)
-        if whole:
+        if last:
             break
+        # A linked pair is within a component from now on; only those that were not similar can come again.
+        failed = pairs.join(small(found), ["u", "v"], "left_anti")
+        tried = materialize(failed if tried is None else tried.unionByName(failed), "tried")
         roots = materialize(components(links), "roots").withColumnRenamed("node", "_n")
-        done = pivot.select(F.col("g").alias("_g"), F.col("node").alias("_p"))
+        done = some.select(F.col("g").alias("_g"), F.col("node").alias("_p"))
         live = live.drop("c").join(small(done), (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_p")), "left_anti")
-        live = live.join(small(roots), F.col("node") == F.col("_n"), "left").select("g", "node", "n", "p", F.coalesce("root", "node").alias("c"))
+        live = live.join(small(roots), F.col("node") == F.col("_n"), "left").select(*lists.columns, F.coalesce("root", "node").alias("c"))
         live = materialize(live, "live")
+        many *= 2
     return links
 
 
@@ -247,13 +270,13 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lowe
     buckets = max(16, whole.count() // RANGE_DOCS)
     counts = rows.mapInArrow(_send_counts(ngram, lower, buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_counts, BLOBS_SQL)
     levels = Levels(materialize(counts, "counts"), buckets)
-    lists = materialize(rows.mapInArrow(_entries(ngram, lower, percent, levels), "g bigint, node bigint, n int, p int").distinct(), "lists")
+    lists = materialize(rows.mapInArrow(_entries(ngram, lower, percent, levels), _POSTING_SQL).distinct(), "lists")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        """node, grams, parts of at least these nodes; a repeated doc_id brings more, and maybe one twice."""
+        """node and grams of at least these nodes; a repeated doc_id brings more, and maybe one twice."""
         ids = whole.join(small(materialize(nodes, "nodes")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
         needed = rows.join(small(materialize(ids, "ids")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        return materialize(needed.mapInArrow(_whole_sets(ngram, lower), "node bigint, grams array<bigint>, parts array<int>"), "sets")
+        return materialize(needed.mapInArrow(_whole_sets(ngram, lower), "node bigint, grams array<bigint>"), "sets")
 
     links = _links(lists, fetch, percent)
     by_node = whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"))
