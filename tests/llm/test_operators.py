@@ -120,18 +120,18 @@ def test_ngram_join(docs, empty, monkeypatch, pairs):
 
 def counted(monkeypatch):
     """How many pairs and list entries the join verifies and makes, and which pairs."""
-    seen, plain, links = {"pairs": []}, ngram_join.verified, ngram_join._links
+    seen, plain, roots = {"pairs": []}, ngram_join.verified, ngram_join._roots
 
     def verified(pairs, sets, percent):
         seen["pairs"] += [(r.u, r.v) for r in pairs.collect()]
         return plain(pairs, sets, percent)
 
-    def _links(lists, *rest):
+    def _roots(lists, *rest):
         seen["entries"] = lists.count()
-        return links(lists, *rest)
+        return roots(lists, *rest)
 
     monkeypatch.setattr(ngram_join, "verified", verified)
-    monkeypatch.setattr(ngram_join, "_links", _links)
+    monkeypatch.setattr(ngram_join, "_roots", _roots)
     return seen
 
 

@@ -6,7 +6,7 @@
 3. Sets that share prefix n-grams are candidates if their sizes (length filter), the positions of a common n-gram (positional filter) and
    what stands behind it (suffix filter) allow the overlap: an entry carries a bitmap of SUFFIX_BITS hash ranges for the n-grams behind its own, and how
    many more those are than bits; common bits and the smaller surplus bound what two suffixes share. All three are tested inside the join.
-   Only connection matters, so a list's sets are compared with pivots, those of the earliest positions: one of each list, then two, four and so on. A
+   Only connection matters, so a list's sets are compared with pivots, those of the earliest positions: one of each list, then 64, 4,096 and so on. A
    pivot that has met its list leaves it, and pairs that are already connected are never made. Once few pairs are left between
    components (PAIRS_AN_ENTRY a list entry), the rest meet at once.
 4. Each candidate pair is verified once: pairs that were tried before are taken out, and the sets of the others are intersected.
@@ -37,6 +37,8 @@ BUFFER = 2 << 20
 #: All pairs between components are made when they are at most so many times the list entries.
 PAIRS_AN_ENTRY = 2
 SUFFIX_BITS = 256
+#: Pivots of a list: one in the first round, then so many times as many as in the round before.
+PIVOT_GROWTH = 64
 #: Documents whose n-grams meet in one hash range.
 RANGE_DOCS = 5_000
 
@@ -218,10 +220,10 @@ def _candidates(some: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 
-def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
-    """Enough links u, v to connect whatever is connected; None if there are none. fetch: the sets of given nodes."""
+def _roots(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
+    """node, root of all sets that are linked with another; None if there are none. fetch: the sets of given nodes."""
     entries = lists.count()
-    live, links, tried, many = lists.withColumn("c", F.col("node")), None, None, 1
+    live, links, roots, tried, many = lists.withColumn("c", F.col("node")), None, None, None, 1
     while entries:
         by = live.groupBy("g", "c").agg(F.count("*").alias("s")).groupBy("g")
         by = by.agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("bigint").alias("cross")).where("cross > 0")
@@ -242,22 +244,27 @@ def _links(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
         if tried is not None:
             pairs = pairs.join(small(tried), ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        sets = fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
-        found = materialize(verified(pairs, sets, percent), "links")
-        drop_scratch(sets)
-        links = found if links is None else links.unionByName(found)
+        found = None
+        if not pairs.isEmpty():
+            sets = fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+            found = materialize(verified(pairs, sets, percent), "links")
+            drop_scratch(sets)
+            # A linked pair is within a component from now on; only those that were not similar can come again.
+            failed = pairs.join(small(found), ["u", "v"], "left_anti")
+            tried = materialize(failed if tried is None else tried.unionByName(failed), "tried")
+            found = None if found.isEmpty() else found
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            roots = materialize(components(links), "roots")
         if last:
             break
-        # A linked pair is within a component from now on; only those that were not similar can come again.
-        failed = pairs.join(small(found), ["u", "v"], "left_anti")
-        tried = materialize(failed if tried is None else tried.unionByName(failed), "tried")
-        roots = materialize(components(links), "roots").withColumnRenamed("node", "_n")
         done = some.select(F.col("g").alias("_g"), F.col("node").alias("_p"))
-        live = live.drop("c").join(small(done), (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_p")), "left_anti")
-        live = live.join(small(roots), F.col("node") == F.col("_n"), "left").select(*lists.columns, F.coalesce("root", "node").alias("c"))
+        live = live.join(small(done), (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_p")), "left_anti")
+        if found is not None:
+            live = live.drop("c").join(small(roots.withColumnRenamed("node", "_n")), F.col("node") == F.col("_n"), "left").select(*lists.columns, F.coalesce("root", "node").alias("c"))
         live = materialize(live, "live")
-        many *= 2
-    return links
+        many *= PIVOT_GROWTH
+    return roots
 
 
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lower: bool = True) -> DataFrame:
@@ -278,11 +285,10 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lowe
         needed = rows.join(small(materialize(ids, "ids")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         return materialize(needed.mapInArrow(_whole_sets(ngram, lower), "node bigint, grams array<bigint>"), "sets")
 
-    links = _links(lists, fetch, percent)
+    roots = _roots(lists, fetch, percent)
     by_node = whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    if links is not None:
-        roots = materialize(components(links), "roots").withColumnRenamed("node", "_n")
-        by_node = by_node.join(small(roots), F.col("node") == F.col("_n"), "left").select("node", "_id", F.coalesce("root", "node").alias("c"))
+    if roots is not None:
+        by_node = by_node.join(small(roots.withColumnRenamed("node", "_n")), F.col("node") == F.col("_n"), "left").select("node", "_id", F.coalesce("root", "node").alias("c"))
     else:
         by_node = by_node.withColumn("c", F.col("node"))
     by_node = materialize(by_node, "members")
