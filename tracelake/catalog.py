@@ -106,6 +106,61 @@ LEAVES: dict[str, tuple[dict, str]] = {
 }
 
 
+#: Lines of the files that rules name.
+RULE_FILES = {"wanted.txt": [r"^tool\.exe -run", "", r"-enc"], "allowed.txt": ["view", r"k:1\d$"]}
+
+#: More forms of a leaf, as LEAVES.
+FORMS: dict[str, tuple[dict, str]] = {
+    "keywords all": ({"k": {"|all": ["HOST-13", "*WS9*"]}}, "computer = 'HOST-13' AND ws = 'WS9'"),
+    "keyword regex": ({"k": {"|re": r"HOST-1[37]\W"}}, "computer IN ('HOST-13', 'HOST-17')"),
+    "ends as field": ({"s": {"Caller|fieldref|endswith": "TargetUserName"}}, "ends_with(caller, target)"),
+    "endswithfield": ({"s": {"Caller|endswithfield": "SubjectUserName"}}, "ends_with(caller, subject)"),
+    "contains field": ({"s": {"Caller|fieldref|contains": "SubjectUserName"}}, "contains(caller, subject)"),
+    "base64 whole": ({"s": {"CommandLine|base64|contains": "payload number 123"}}, "kind = 'purchase' AND num::VARCHAR LIKE '123%'"),
+    "utf16 bytes": ({"a": {"CommandLine|utf16le|base64offset|contains": "payload"}, "b": {"EventID": 4688}, "condition": "b and not a"}, "event_id = '4688'"),
+    "wide bytes": ({"a": {"CommandLine|wide|base64offset|contains": "payload"}, "b": {"LogonType": "2"}, "condition": "a or b"}, "logon_type = '2'"),
+    "regex files": ({"s": {"CommandLine": {"regexes": "wanted.txt", "allowlist": "allowed.txt"}}}, "command NOT LIKE '%view%' AND NOT regexp_matches(command, 'k:1[0-9]$')"),
+    "allowlist": ({"s": {"CommandLine": {"allowlist": "allowed.txt"}}}, "command NOT LIKE '%view%' AND NOT regexp_matches(command, 'k:1[0-9]$')"),
+    "value and length": ({"s": {"Amount": {"value": "1*", "min_length": 4}}}, "amount::VARCHAR LIKE '1%' AND strlen(amount::VARCHAR) >= 4"),
+    "regex lines": ({"s": {"CommandLine|re|m": "^tool.*k:7$"}}, "command LIKE 'tool%k:7'"),
+    "regex any": ({"s": {"CommandLine|re|s": "run.click"}}, "command LIKE '%run_click%'"),
+    "all before contains": ({"s": {"CommandLine|all|contains": ["run", "click", ":1"]}}, "command LIKE '%run%' AND command LIKE '%click%' AND command LIKE '%:1%'"),
+    "startswith cased": ({"s": {"TargetUserName|startswith|cased": ["user1", "USER2"]}}, "target LIKE 'user1%'"),
+    "endswith cased": ({"s": {"CommandLine|endswith|cased": ["k:8", "K:9"]}}, "command LIKE '%k:8'"),
+    "less": ({"s": {"Amount|lt": 100}}, "amount < 100"),
+    "at least": ({"s": {"Amount|gte": 25000}}, "amount >= 25000"),
+    "not there": ({"s": {"Code|exists": False}}, "code IS NULL"),
+    "one letter": ({"s": {"WorkstationName": "WS?"}}, "ws LIKE 'WS_'"),
+    "list of maps": ({"s": [{"EventID": 4625, "LogonType": "1"}, {"EventID": 7045, "LogonType": "2"}]}, "event_id = '4625' AND logon_type = '1' OR event_id = '7045' AND logon_type = '2'"),
+    "not all of": ({"s_1": {"EventID": 4624}, "s_2": {"LogonType": "5"}, "condition": "not all of s_*"}, "NOT (event_id = '4624' AND logon_type = '5')"),
+    "nested": ({"a": {"EventID": 4625}, "b": {"LogonType": "1"}, "c": {"Amount|gte": 10000}, "condition": "(a or b) and not (b and c)"}, "(event_id = '4625' OR logon_type = '1') AND NOT (logon_type = '1' AND amount >= 10000)"),
+}
+
+
+def timeline_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = [rule(k, d, "low") for k, (d, _) in FORMS.items()]
+    own = Fields(aliases=dict(ALIASES), files=lambda name: RULE_FILES[name])
+    return match.detect(records(spark, sf_dir), linked(*docs), own).select("rule_id", F.col("event_ts_ns").alias("ns"), "computer", "event_id", "record_id")
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of hundreds over one scan, counted by rule."""
+    docs = [rule(f"m{k}", {"s": {"TargetUserName": f"user{k}"}, "t": {"LogonType": str(k % 12)}, "condition": "s and not t"}, "low", details=f"number {k}: %TargetUserName%") for k in range(300)]
+    rules = linked(*docs)
+    found = render.details(match.detect(records(spark, sf_dir), rules, fields()), fields(), rules)
+    return found.groupBy("rule_id", "details").agg(F.count("*").alias("total"))
+
+
+def time_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.select("record_id", *[C.format_time(F.col("event_ts"), style).alias(name) for style, name in (("default", "plain"), ("European", "european"), ("ISO-8601", "iso"), ("RFC-3339", "rfc3339"), ("US", "us"), ("US military", "us_military"))], C.duration(F.col("record_id").cast("bigint") * 7).alias("duration"))
+
+
+def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.select("record_id", render.abbreviate(F.col("channel"), {"Security": "Sec", "system": "Sys"}).alias("channel"), render.abbreviate(F.col("provider"), {"prov-view": "PV"}, {"prov": "p", "-c": "_C"}).alias("provider"))
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = [rule(k, d, ("low", "medium", "high")[i % 3]) for i, (k, (d, _)) in enumerate(LEAVES.items())]
     found = match.detect(records(spark, sf_dir), linked(*docs), fields())
@@ -316,7 +371,7 @@ def repeated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "timeline": timeline, "count_burst": _count_query(BURST), "count_distinct": _count_query(SPREAD), "count_few": _count_query(FEW), "event_count": event_count, "value_count": value_count,
+        "timeline": timeline, "timeline_forms": timeline_forms, "many_rules": many_rules, "time_styles": time_styles, "abbreviated": abbreviated, "count_burst": _count_query(BURST), "count_distinct": _count_query(SPREAD), "count_few": _count_query(FEW), "event_count": event_count, "value_count": value_count,
         "temporal": _pair("temporal"), "temporal_ordered": _pair("temporal_ordered"), "record_filters": record_filters, "eid_metrics": eid_metrics, "logon_summary": logon_summary, "log_metrics": log_metrics,
         "computer_metrics": computer_metrics, "time_span": time_span, "critical_systems": critical_systems, "search": search_keywords, "extract_base64": extract_base64, "pivot_keywords": pivot_keywords,
         "summary_levels": summary_levels, "summary_computers": summary_computers, "summary_rules": summary_rules, "summary_dates": summary_dates, "summary_authors": summary_authors, "summary_tactics": summary_tactics,
@@ -337,6 +392,10 @@ def oracles() -> dict[str, str]:
     list_without = "list_filter([" + ", ".join(f"CASE WHEN {c} NOT IN (target, command) THEN '{n}: ' || {c} END" for n, c in (("Amount", "amount::VARCHAR"), ("Caller", "caller"), ("Code", "code"), ("IpAddress", "ip"), ("LogonType", "logon_type"), ("SubjectUserName", "subject"), ("TargetDomainName", "dom"), ("WorkstationName", "ws"))) + "], lambda x: x IS NOT NULL)"
     out = {
         "timeline": f"WITH {HITS} SELECT rule_id, level, ns, computer, channel, event_id, record_id, source_file FROM hits",
+        "timeline_forms": f"WITH {RECS} " + " UNION ALL ".join(f"SELECT '{k}' AS rule_id, ns, computer, event_id, record_id FROM recs WHERE {sql}" for k, (_, sql) in FORMS.items()),
+        "many_rules": f"WITH {RECS} SELECT 'm' || substr(target, 5) AS rule_id, 'number ' || substr(target, 5) || ': ' || target AS details, count(*) AS total FROM recs WHERE substr(target, 5)::INT < 300 AND logon_type <> (substr(target, 5)::INT % 12)::VARCHAR GROUP BY target",
+        "time_styles": f"WITH {RECS}, t AS (SELECT record_id, num, make_timestamp(ns // 1000) AS ts FROM recs) SELECT record_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g +00:00') AS plain, strftime(ts, '%d-%m-%Y %H:%M:%S.%g +00:00') AS european, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S.%f+00:00') AS rfc3339, strftime(ts, '%m-%d-%Y %I:%M:%S.%g %p +00:00') AS us, strftime(ts, '%m-%d-%Y %H:%M:%S.%g +00:00') AS us_military, printf('%02d:%02d:%02d', num * 7 // 3600, num * 7 // 60 % 60, num * 7 % 60) AS duration FROM t",
+        "abbreviated": f"WITH {RECS} SELECT record_id, CASE channel WHEN 'Security' THEN 'Sec' ELSE 'Sys' END AS channel, CASE kind WHEN 'view' THEN 'PV' ELSE replace('p-' || kind, '-c', '_C') END AS provider FROM recs",
         "count_burst": f"WITH RECURSIVE {RECS}, src AS (SELECT * FROM recs WHERE event_id = '4625'), {_windows_sql('src', 'computer', 21600, '>= 3')} SELECT key, n AS count, ns AS start_ns, last_ns AS end_ns FROM wins",
         "count_distinct": f"WITH RECURSIVE {RECS}, src AS (SELECT * FROM recs WHERE channel = 'Security'), {_windows_sql('src', 'subject', 1800, '>= 3', 'target')} SELECT key, n AS count, ns AS start_ns, last_ns AS end_ns FROM wins",
         "count_few": f"WITH RECURSIVE {RECS}, src AS (SELECT * FROM recs WHERE event_id = '4768'), {_windows_sql('src', 'computer', 14400, '<= 2')} SELECT key, n AS count, ns AS start_ns, last_ns AS end_ns FROM wins",

@@ -15,7 +15,7 @@ from tracelake.plans.condition import Count
 from tracelake.plans.rule import Rule, required_channels
 from tracelake.plans.selection import Fields
 
-#: Rules of one projection: more would pass the limit of generated code for a method.
+#: Rules of one array of hits.
 CHUNK = 100
 #: Columns of a record that matches keep.
 KEPT = ("source_file", "record_id", "event_id", "channel", "computer", "provider", "event_ts", "event_ts_ns", "recovered", "event", "data_string")
@@ -35,24 +35,22 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
     """
     rules = [r for r in rules if r.kind not in ("temporal", "temporal_ordered")]
     fields = fields or Fields()
-    out = []
-    for i in range(0, len(rules), CHUNK):
-        part = rules[i : i + CHUNK]
-        probe = Fields(aliases=fields.aliases, files=fields.files, windash=fields.windash, strict_cased=fields.strict_cased)
-        for r in part:
-            r.matcher(probe)
-        names = {path: f"_f{k}" for k, path in enumerate(probe.asked)}
-        probe.ready = {path: F.col(c) for path, c in names.items()}
-        cols = [c for c in KEPT if c in records.columns]
-        typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
-        flat = records.select(*cols, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(c) for p, c in names.items()])
-        hits = F.array_compact(F.array(*[F.when(r.matcher(probe), F.lit(r.id)) for r in part]))
-        # An outer generator: the filter that Spark infers for an inner one would evaluate all predicates once more, below
-        # the projection, with every field's expression written out in each of them.
-        out.append(flat.select(*cols, F.explode_outer(hits).alias("rule_id")).where("rule_id is not null"))
-    if not out:
-        return records.select(*[c for c in KEPT if c in records.columns], F.lit("").alias("rule_id")).where("false")
-    return reduce(DataFrame.unionByName, out)
+    cols = [c for c in KEPT if c in records.columns]
+    if not rules:
+        return records.select(*cols, F.lit("").alias("rule_id")).where("false")
+    probe = Fields(aliases=fields.aliases, files=fields.files, windash=fields.windash, strict_cased=fields.strict_cased)
+    for r in rules:
+        r.matcher(probe)
+    names = {path: f"_f{k}" for k, path in enumerate(probe.asked)}
+    probe.ready = {path: F.col(c) for path, c in names.items()}
+    typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
+    flat = records.select(*cols, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(c) for p, c in names.items()])
+    # One projection of one scan, however many rules there are; an array for so many of them keeps the generated methods small.
+    parts = [F.array_compact(F.array(*[F.when(r.matcher(probe), F.lit(r.id)) for r in rules[i : i + CHUNK]])) for i in range(0, len(rules), CHUNK)]
+    hits = parts[0] if len(parts) == 1 else F.concat(*parts)
+    # An outer generator: the filter that Spark infers for an inner one would evaluate all predicates once more, below
+    # the projection, with every field's expression written out in each of them.
+    return flat.select(*cols, F.explode_outer(hits).alias("rule_id")).where("rule_id is not null")
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
@@ -99,10 +97,10 @@ def greedy_windows(ns: list[int], frame: int, op: str, number: int, values: list
 
 
 def _by_rule(rules: list[Rule], make, kind: str) -> Column:
-    """A column that depends on the row's rule."""
-    out = F.lit(None).cast(kind)
+    """A column that depends on the row's rule: one flat choice, whose depth does not grow with the rules."""
+    out = F.when(F.lit(False), F.lit(None).cast(kind))
     for r in rules:
-        out = F.when(F.col("rule_id") == r.id, make(r)).otherwise(out)
+        out = out.when(F.col("rule_id") == r.id, make(r))
     return out
 
 

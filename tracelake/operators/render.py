@@ -71,14 +71,20 @@ def template(text: str, fields: Fields) -> Column:
 
 def details(detections: DataFrame, fields: Fields, rules: list, defaults: dict[str, str] | None = None) -> DataFrame:
     """detections with details: the rule's template, else the provider's and id's, else all fields; counts show their own text."""
-    out = F.lit(None).cast("string")
+    # Flat choices, a branch for each different template: their depth does not grow with the rules.
+    by_text: dict[str, list[str]] = {}
     for r in rules:
         if r.doc.get("details"):
-            out = F.when(F.col("rule_id") == r.id, template(str(r.doc["details"]), fields)).otherwise(out)
-    fallback = F.lit(None).cast("string")
+            by_text.setdefault(str(r.doc["details"]), []).append(r.id)
+    out = fallback = F.when(F.lit(False), F.lit(None).cast("string"))
+    for text, ids in by_text.items():
+        out = out.when(F.col("rule_id").isin(ids), template(text, fields))
     provider = C.scalar(F.col("event"), "Event.System.Provider_attributes.Name")
+    by_text = {}
     for key, text in (defaults or {}).items():
-        fallback = F.when(F.concat_ws("_", provider, F.col("event_id")) == key, template(text, fields)).otherwise(fallback)
+        by_text.setdefault(text, []).append(key)
+    for text, keys in by_text.items():
+        fallback = fallback.when(F.concat_ws("_", provider, F.col("event_id")).isin(keys), template(text, fields))
     return detections.withColumn("details", F.coalesce("agg_text", out, fallback, all_fields(F.col("event"))))
 
 
