@@ -32,9 +32,11 @@ def ws_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of this machine, if it is the only one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
