@@ -298,6 +298,18 @@ def test_quality_rules(docs, empty):
     assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
 
 
+def test_quality_rules_by_host(spark):
+    """A host of many failing documents loses all of them, also good ones; one of a single failing document does not."""
+    rows = [(k, prose(k, 40), f"good{k % 4}") for k in range(80)] + [(100 + k, prose(k, 30) + " " + "#*$ %& |" * 30, "spam") for k in range(40)] + [(200, prose(9, 40), "spam"), (201, prose(8, 30) + " ####" * 40, "lone"), (202, prose(7, 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules.judge(docs)
+    same(out, *run_sql("op6_quality_rules", documents=arrow(docs)))
+    hosts = {r._host: r._rejected for r in quality_rules.host_verdicts(quality_rules.measured(docs).select(*quality_rules.failures(("source",)))).collect()}
+    assert hosts["spam"] and not hosts["good0"] and not hosts[None]
+    kept = {r.doc_id for r in out.where("kept").collect()}
+    assert 200 not in kept and 202 in kept and set(range(80)) <= kept
+
+
 def brute_suffix(texts, width=400):
     seen: dict[bytes, int] = {}
     raws = [(t or "").encode() for t in texts]
