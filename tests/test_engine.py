@@ -108,3 +108,79 @@ def test_profile_kinds(spark, tmp_path):
         engine.timeline(records, rules, {"A": "%NoSuchKind%"})
     with pytest.raises(ValueError):
         Engine(spark, catalog.fields()).timeline(records, rules, {"A": "%SrcASN%"})
+
+
+def test_required_channels():
+    from tracelake.operators.match import prune
+    from tracelake.plans.rule import from_doc, required_channels
+
+    sec, sys_, other = {"Channel": "Security"}, {"Channel|endswith": ["System", "Setup"]}, {"EventID": 1}
+    want = [
+        ({"s": sec}, {"Security"}), ({"s": sec | other}, {"Security"}), ({"s": [sec, sys_]}, {"Security", "System", "Setup"}), ({"s": [sec, other]}, None), ({"s": {"Channel": "*"}}, None),
+        ({"s": {"Channel": "Sec?rity"}}, None), ({"s": {"Channel|re": "Sec.*"}}, None), ({"s": {"Channel": ["Security", None]}}, None), ({"k": ["word"]}, None),
+        ({"a": sec, "b": other, "condition": "a and b"}, {"Security"}), ({"a": sec, "b": other, "condition": "a or b"}, None), ({"a": sec, "b": other, "condition": "b and not a"}, None),
+        ({"s_1": sec, "s_2": sys_, "condition": "1 of s_*"}, {"Security", "System", "Setup"}), ({"a": sec, "condition": "a | count() by Computer >= 3", "timeframe": "1h"}, {"Security"}),
+    ]
+    for detection, need in want:
+        assert required_channels(from_doc(catalog.rule("x", detection))) == need, detection
+    rules = [from_doc(catalog.rule("a", {"s": sec})), from_doc(catalog.rule("b", {"s": other})), from_doc(catalog.rule("c", {"s": {"Channel": "*-Sysmon/Operational"}}))]
+    assert [r.id for r in prune(rules, {"Microsoft-Windows-Sysmon/Operational"})] == ["b", "c"]
+
+
+def test_channels_are_pruned_without_loss(spark):
+    from tracelake.operators import match
+
+    records = catalog.records(spark, SF)
+    docs = [catalog.rule("a", {"s": {"Channel": "system", "LogonType": "3"}}), catalog.rule("b", {"s": {"Channel": "SYS*"}, "condition": "s | count() by Computer >= 2", "timeframe": "6h"})]
+    rules = catalog.linked(*docs)
+    found = match.detect(records, rules, catalog.fields())
+    assert "rlike" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    plain = match.detect(records, catalog.linked(*docs, catalog.rule("c", {"s": {"EventID": -1}}), catalog.rule("d", {"s": {"EventID": -1}, "condition": "s | count() >= 1"})), catalog.fields())
+    show = lambda df: sorted(map(repr, df.select("rule_id", "event_ts_ns", "record_id", "agg_text").collect()))
+    assert show(found) == show(plain) and {r.rule_id for r in found.select("rule_id").distinct().collect()} == {"a", "b"}
+
+
+def test_timeline_sorts_what_is_already_matched(spark):
+    """The sort's ranges and its rows are both read from one exchange of detections."""
+    plan = catalog.timeline(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    order = plan.index("rangepartitioning")
+    assert plan.index("hashpartitioning(rule_id", order) > order
+
+
+def test_deep_fields(spark):
+    from tracelake.operators import render
+
+    texts = ['{"Event": {"System": {"EventID": 1}, "UserData": {"A": {"B": {"C": {"D": {"E": " deep "}}}}, "L": [{"x": "1", "y": [2, null, "3"]}, "z"], "n": null}}}', '{"Event": {}}', '{"Event": null}', '{"Event": {"EventData": []}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", "parse_json(t) AS event")
+    got = {r.i: r.s for r in df.select("i", render.all_fields(C.F.col("event")).alias("s")).collect()}
+    assert got[0] == "E: deep ¦ L[2]: z ¦ x: 1 ¦ y[1]: 2 ¦ y[2]: 3" and got[1] == got[2] == got[3] == ""
+
+
+def test_streams_equal_tables(spark, tmp_path):
+    """Plain hits of a stream are those of the table; count windows are the table's, as far as the watermark has passed them."""
+    from tracelake.operators import match
+    from tracelake.streaming import rules as streaming
+
+    slim = catalog.records(spark, SF).drop("event").withColumn("event_ts", C.F.col("event_ts").cast("timestamp"))
+    folder = str(tmp_path / "in")
+    slim.write.parquet(folder)
+    last = slim.agg(C.F.max("event_ts_ns")).first()[0]
+    # One late record moves the watermark past all others.
+    slim.limit(1).select(*[(C.F.col("event_ts") + C.F.expr("interval 400 days")).alias(c) if c == "event_ts" else (C.F.lit(last) + 400 * 86_400_000_000_000).alias(c) if c == "event_ts_ns" else C.F.col(c) for c in slim.columns]).write.mode("append").parquet(folder)
+    rules = catalog.linked(catalog.rule("p", {"s": {"LogonType": "3"}}), catalog.rule("w", catalog.BURST))
+    make = lambda df: df.withColumn("event", C.F.parse_json("data_string"))
+    stream, table = make(spark.readStream.schema(slim.schema).parquet(folder)), make(slim)
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return spark.table(name)
+
+    hits = run(streaming.stream_hits(stream, rules, catalog.fields()).select("rule_id", "record_id", "event_ts_ns"), "hits_seen").where(C.F.col("event_ts_ns") <= last)
+    want = match.match(table, rules[:1], catalog.fields())
+    assert sorted(r.record_id for r in hits.collect()) == sorted(r.record_id for r in want.select("record_id").collect())
+    seen = run(streaming.stream_windows(stream, rules[1], catalog.fields()), "windows_seen").where(C.F.col("start_ns") <= last)
+    expect = match.windows(match.match(table, rules[1:], catalog.fields()), rules[1:], catalog.fields())
+    show = lambda df: sorted(tuple(r) for r in df.select("key", "count", "start_ns", "end_ns").collect())
+    assert show(seen) == show(expect) != []

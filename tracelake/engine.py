@@ -38,8 +38,13 @@ class Engine:
         linked = rules_.link(rules_.tune_levels(expanded.rules, levels or {}))
         return Loaded(linked.rules, loaded.errors + expanded.errors + linked.errors, chosen.left_out + expanded.left_out)
 
-    def timeline(self, records: DataFrame, rules: list[Rule], profile: dict[str, str] | None = None, duplicates: bool = True, ordered: bool = True, style: str = "default") -> DataFrame:
-        """Detections with details; in the timeline's order and under a profile's columns if asked for."""
+    def timeline(self, records: DataFrame, rules: list[Rule], profile: dict[str, str] | None = None, duplicates: bool = True, ordered: bool = True, style: str = "default", channels: set[str] | None = None) -> DataFrame:
+        """Detections with details; in the timeline's order and under a profile's columns if asked for.
+
+        channels: all that the records have, where that is known; rules of others are then not compiled.
+        """
+        if channels is not None:
+            rules = match.prune(rules, channels)
         found = render.details(match.detect(records, rules, self.fields), self.fields, rules, self.default_details)
         found = found.withColumn("level_rank", render.uplift(found["level_rank"], found["computer"], self.critical))
         if not duplicates:

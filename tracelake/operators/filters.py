@@ -83,14 +83,11 @@ def file_names(records: DataFrame, include: Iterable[str] = (), exclude: Iterabl
 
 
 def rule_channels(records: DataFrame, rules) -> DataFrame:
-    """Records of channels that some rule names, unless a rule can match any; pushed down to a table partitioned by channel."""
+    """Records of channels that some rule names, unless a rule can match any; partitions go first where a table is partitioned by channel."""
     from tracelake.plans.rule import required_channels
 
     needs = [required_channels(r) for r in rules]
-    if any(n is None for n in needs):
+    if not needs or any(n is None for n in needs):
         return records
     names = sorted({x.lower() for n in needs for x in n})
-    test = F.lit(False)
-    for x in names:
-        test = test | F.lower("channel").contains(x)
-    return records.where(test)
+    return records.where(F.lower("channel").rlike("|".join(re.escape(x) for x in names)))

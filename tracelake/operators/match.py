@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
+from tracelake.operators import filters
 from tracelake.plans.condition import Count
 from tracelake.plans.rule import Rule, required_channels
 from tracelake.plans.selection import Fields
@@ -31,7 +32,8 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
     """A row for each record and rule that matches: the record's columns and the rule's id.
 
     Every path that some rule asks for becomes one column first; each rule is one predicate over them, and the
-    ids of those that hold are exploded. Nothing is joined or shuffled.
+    ids of those that hold are exploded. Nothing is joined or shuffled. Where every rule names its channels, records of
+    others are left out before any field is read.
     """
     rules = [r for r in rules if r.kind not in ("temporal", "temporal_ordered")]
     fields = fields or Fields()
@@ -44,6 +46,8 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
     names = {path: f"_f{k}" for k, path in enumerate(probe.asked)}
     probe.ready = {path: F.col(c) for path, c in names.items()}
     typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
+    if fields.path("Channel") == "Event.System.Channel":
+        records = filters.rule_channels(records, rules)
     flat = records.select(*cols, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(c) for p, c in names.items()])
     # One projection of one scan, however many rules there are; an array for so many of them keeps the generated methods small.
     parts = [F.array_compact(F.array(*[F.when(r.matcher(probe), F.lit(r.id)) for r in rules[i : i + CHUNK]])) for i in range(0, len(rules), CHUNK)]
@@ -209,11 +213,11 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
     """Detections of linked rules: plain hits, count windows and temporal correlations, with the rules' columns."""
     fields = fields or Fields()
     spark = records.sparkSession
-    hits = match(records, rules, fields)
+    # Each rule is evaluated in one of the two branches alone, and each branch reads only its rules' channels and fields.
+    hits = match(records, [r for r in rules if r.kind == "plain" and r.count is None], fields)
     if "recovered" not in hits.columns:
         hits = hits.withColumn("recovered", F.lit(None).cast("boolean"))
-    plain = [r.id for r in rules if r.kind == "plain" and r.count is None]
-    out = [hits.where(F.col("rule_id").isin(plain)).withColumn("agg_text", F.lit(None).cast("string")).select(*_OUT)]
+    out = [hits.withColumn("agg_text", F.lit(None).cast("string")).select(*_OUT)]
     join = lambda c: F.array_join(F.array_sort(c), C.SEPARATOR)
 
     def shown(df: DataFrame, text: Column, id_: Column) -> DataFrame:
@@ -225,7 +229,7 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
 
     counted = [r for r in rules if r.count is not None]
     if counted:
-        results = windows(hits, counted, fields)
+        results = windows(match(records, counted, fields), counted, fields)
         if any(r.kind.startswith("temporal") for r in rules):
             results = results.persist()  # read by each correlation; far smaller than the matches
         shown_rules = [r for r in counted if not r.hidden]
@@ -241,8 +245,12 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
 
 
 def in_order(detections: DataFrame) -> DataFrame:
-    """The timeline's order."""
-    return detections.orderBy("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
+    """The timeline's order.
+
+    A range sort reads its input once for the ranges and once more for the rows. Detections are shuffled as they are
+    first, so both read them from there, and no rule is evaluated twice.
+    """
+    return detections.repartition("rule_id", "record_id", "source_file").orderBy("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
 
 
 def without_duplicates(detections: DataFrame) -> DataFrame:

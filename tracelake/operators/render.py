@@ -15,7 +15,8 @@ from tracelake.plans.rule import LEVEL_ABBREVIATIONS, LEVELS
 from tracelake.plans.selection import Fields
 
 _ALIAS = re.compile(r"%([^%\s]+?)(?:\[(\d+)\])?%")
-DEPTH = 4
+#: Levels below Event that are flattened; a plan has no recursion, so each level is written out.
+DEPTH = 12
 TACTICS = {
     "attack.reconnaissance": "Recon", "attack.resource-development": "ResDev", "attack.initial-access": "InitAccess", "attack.execution": "Exec", "attack.persistence": "Persis",
     "attack.privilege-escalation": "PrivEsc", "attack.stealth": "Stealth", "attack.defense-evasion": "Stealth", "attack.defense-impairment": "DefImpair", "attack.credential-access": "CredAccess",
@@ -24,20 +25,22 @@ TACTICS = {
 
 
 def leaves(event: Column, path: str = "$.Event", depth: int = DEPTH) -> Column:
-    """(name, value) of the scalar leaves below a path, System and xmlns left out; deeper than `depth` objects come as JSON."""
+    """(name, value) of the scalar leaves below a path, System and xmlns left out, items of lists by number; what is deeper than `depth` comes as JSON."""
     Entry = "array<struct<name:string,value:string>>"
-    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    kind = lambda v: F.schema_of_variant(v)
+    Child = "array<struct<key:string,value:variant>>"
 
     def down(v: Column, name: Column, left: int) -> Column:
         here = F.array(F.struct(name.alias("name"), C.trim_unicode(F.try_variant_get(v, "$", "string")).alias("value")))
         if left == 0:
             return here
-        fields = F.filter(F.map_entries(as_map(v)), lambda e: ~e["key"].isin("System", "xmlns", "Event_attributes"))
-        inside = F.flatten(F.transform(fields, lambda e: down(e["value"], e["key"], left - 1)))
-        items = F.try_variant_get(v, "$", "array<variant>")
-        listed = F.transform(F.filter(items, lambda x: ~kind(x).startswith("VOID")), lambda x, i: F.struct(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("name"), F.try_variant_get(x, "$", "string").alias("value")))
-        return F.when(kind(v).startswith("OBJECT"), inside).when(kind(v).startswith("ARRAY"), listed).when(kind(v).startswith("VOID"), F.array().cast(Entry)).otherwise(here)
+        kind = F.schema_of_variant(v)
+        fields = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin("System", "xmlns", "Event_attributes"))
+        items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: ~F.schema_of_variant(x).startswith("VOID"))
+        numbered = F.transform(items, lambda x, i: F.struct(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        # Fields and items are one list of children, so that the expression grows with the depth and not with its power.
+        children = F.when(kind.startswith("OBJECT"), fields.cast(Child)).otherwise(numbered.cast(Child))
+        inside = F.flatten(F.transform(children, lambda e: down(e["value"], e["key"], left - 1)))
+        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), inside).when(kind.startswith("VOID"), F.array().cast(Entry)).otherwise(here)
 
     return F.coalesce(down(F.try_variant_get(event, path, "variant"), F.lit("Event"), depth), F.array().cast(Entry))
 

@@ -366,21 +366,41 @@ def link(rules: Iterable[Rule]) -> Loaded:
 
 
 def required_channels(rule: Rule) -> set[str] | None:
-    """The channels that a rule's positive selections name, or None if it may match any."""
-    found: set[str] = set()
-
-    def walk(node: object) -> None:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if str(k).split("|")[0] == "Channel":
-                    found.update(str(x).strip("*") for x in (v if isinstance(v, list) else [v]) if x is not None)
-                else:
-                    walk(v)
-        elif isinstance(node, list):
-            for x in node:
-                walk(x)
-
-    if rule.kind != "plain" or rule.parts:
+    """Texts of which a record's channel must contain one for the rule to match, or None if it may match any channel.
+
+    Of an `and` one side's demand is enough, an `or` has one only if all its sides have, a `not` has none; so no
+    record that the rule matches is ever left out.
+    """
+    if rule.parts:
+        needs = [required_channels(p) for p in rule.parts]
+        return None if any(n is None for n in needs) else set().union(*needs)
+    if rule.kind != "plain":
         return None
-    walk(rule.doc.get("detection") or {})
-    return found or None
+    detection = rule.doc.get("detection") or {}
+    made = {k: v for k, v in detection.items() if k not in ("condition", "timeframe")}
+
+    def named(key: object, value: object) -> set[str] | None:
+        name, *modifiers = str(key).split("|")
+        if name != "Channel" or not set(modifiers) <= {"contains", "startswith", "endswith"}:
+            return None
+        texts = {str(x).strip("*") for x in (value if isinstance(value, list) else [value]) if isinstance(x, str)}
+        plain = len(texts) == len(value if isinstance(value, list) else [value]) and all(t and not set(t) & set("*?\\") for t in texts)
+        return texts if plain else None
+
+    def of(node: object) -> set[str] | None:
+        if isinstance(node, cond.Name):
+            return of_selection(made[node.text])
+        if isinstance(node, cond.Not):
+            return None
+        needs = [of(p) for p in node.parts]
+        return all_of(needs) if node.all else any_of(needs)
+
+    def of_selection(v: object) -> set[str] | None:
+        if isinstance(v, dict):
+            return all_of([named(k, x) for k, x in v.items()])
+        return any_of([of_selection(x) for x in v]) if isinstance(v, list) else None
+
+    all_of = lambda needs: min((n for n in needs if n is not None), key=len, default=None)
+    any_of = lambda needs: None if not needs or any(n is None for n in needs) else set().union(*needs)
+    text = detection.get("condition")
+    return of(cond.parse(cond.split_pipe(str(text))[0], list(made))) if text is not None else any_of([of_selection(v) for v in made.values()])
