@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,6 +404,32 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_ranges(spark, docs, monkeypatch):
+    """Many hash ranges, document ranges and pieces: the same verdicts; null ids, repeated rows and ties among them."""
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 1_000)
+    monkeypatch.setattr(substring_dedup, "DOC_BYTES", 2_000)
+    more = [(100 + k, " ".join(prose(30 + (k + j) % 7, 40) for j in range(k % 5))) for k in range(60)] + [(None, prose(31, 40)), (None, prose(31, 40)), (None, prose(32, 50)), (103, prose(31, 40) + " end"), (103, prose(32, 40))]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(7)
+    same(substring_dedup.substring_dedup(rows, digest=True), *run_sql("op9_substring_dedup", documents=arrow(rows)))
+
+
+def test_substring_dedup_merges_spans():
+    """Spans of a document from many hash ranges become its maximal runs; those of other texts of the same id stay apart."""
+    r = np.random.default_rng(5)
+    e = np.empty(4_000, dtype=substring_dedup._SPAN)
+    e["id"], e["tag"], e["start"] = r.integers(0, 5, len(e)), r.integers(0, 3, len(e)), r.integers(0, 20_000, len(e))
+    e["end"] = e["start"] + r.integers(13, 40, len(e)).astype(np.uint32)
+    blobs = [pa.record_batch([pa.array([3], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "payload"]) for x in np.array_split(e, 9)]
+    got = {(i, t): np.frombuffer(at, dtype="<u4").reshape(-1, 2).tolist() for i, t, at in zip(*substring_dedup._merge(pa.Table.from_batches(blobs)).to_pydict().values())}
+    assert len(got) == 15
+    for (i, t), runs in got.items():
+        cover = np.zeros(20_100, dtype=bool)
+        for x in e[(e["id"] == i) & (e["tag"] == t)]:
+            cover[x["start"] : x["end"]] = True
+        step = np.diff(cover.astype(int), prepend=0, append=0)
+        assert runs == list(map(list, zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))))
+
+
 def test_classifier(spark, docs, empty):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
     labels = read("labels")

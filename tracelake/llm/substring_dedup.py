@@ -9,7 +9,8 @@ inside both windows: hashing 7 words at cover positions alone (3 of 7) finds eve
 2. Windows that hold an anchor in the filter are extended to all 13 words and compared by 96 bits of two hashes: first
    inside a piece of about 4 MB of text, where later copies are settled, then by hash range over one entry a piece.
    So a passage that a third of all documents share costs one entry a piece, not one a document.
-3. Verdicts join back to the documents, and the words covered by removed windows go.
+3. Removed spans go by document range, many spans a row, and meet there as maximal runs, one row a document; these join
+   back to the documents, and the words that they cover go.
 
 A window goes if its word sequence also starts in a document with a smaller doc_id. Defined results: null, empty and blank texts have no words;
 texts of fewer than 13 words lose none; repeated rows of one doc_id do not remove each other; a null doc_id counts as
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ COVER = (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
 #: Bytes of text whose entries meet in one hash range.
 RANGE_BYTES = 4 << 20
+#: Bytes of text whose removed spans meet in one document range.
+DOC_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("tag", "<u4"), ("id", "<i8"), ("pos", "<u4")])
@@ -74,7 +77,7 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _send_windows(buckets: int, twice: Filter):
+def _send_windows(buckets: int, ranges: int, twice: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, tags, words, at, text in _texts(batch):
@@ -94,9 +97,14 @@ def _send_windows(buckets: int, twice: Filter):
                 e["id"], e["tag"], e["pos"] = ids[text[s]], tags[text[s]], s - at[text[s]]
                 e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
                 later = _later(e)
-                yield from _verdicts(_spans(e[later]), buckets)
+                settled = _by_document(_spans(e[later]), ranges)
+                if settled.num_rows:  # they pass the hash ranges by: the bucket is negative
+                    yield settled.set_column(0, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), settled.column("bucket")))
                 sent = e[~later]
-                yield blobs(bucket_of(sent["w1"], buckets), sent)
+                bucket = bucket_of(sent["w1"], buckets)
+                # Entries of a text stand together in a row, so its id and tag compress.
+                order = np.lexsort((sent["pos"], sent["tag"], sent["id"], bucket))
+                yield blobs(bucket[order], sent[order])
 
     return run
 
@@ -124,28 +132,42 @@ def _spans(e: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verdicts(spans: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settled spans, as blobs of their own: the bucket is negative."""
-    if len(spans):
-        where = (B.mix(spans["id"].astype(np.uint64)) % B.U64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        yield blobs(-1 - where[order], spans[order])
+def _by_document(spans: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Spans as blobs by document range; texts of one id (null above all) spread by their tags."""
+    where = (B.mix(spans["id"].astype(np.uint64) ^ B.mix(spans["tag"].astype(np.uint64))) % B.U64(ranges)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return blobs(where[order], spans[order])
+
+
+def _resolve(ranges: int):
+    """Of a hash range: spans of removed words by document range. Settled spans only change their bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return group.set_column(0, "bucket", pa.array([-1 - bucket] * len(group), pa.int32()))
+        e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_ENTRY) for x in group.column("payload")])
+        e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
+        return pa.Table.from_batches([_by_document(_spans(e[_later(e)]), ranges)])
+
+    return run
 
 
 _REPLY = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("_at", pa.binary())])
+#: More than any word's place, so that spans of different texts never touch.
+_APART = 1 << 33
 
 
-def _resolve(group: pa.Table) -> pa.Table:
-    """Spans of removed words of a hash range by document."""
-    settled = group.column("bucket")[0].as_py() < 0
-    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN if settled else _ENTRY) for x in group.column("payload")])
-    if not settled:
-        e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
-        e = _spans(e[_later(e)])
-    e = e[np.lexsort((e["start"], e["tag"], e["id"]))]
+def _merge(group: pa.Table) -> pa.Table:
+    """The maximal runs of removed words of each document of a range."""
+    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in group.column("payload")])
+    e = e[np.lexsort((e["tag"], e["id"]))]
     at, ends = runs(e["id"], e["tag"])
-    pairs = np.stack([e["start"], e["end"]], axis=1)
-    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_at": [pairs[a:b].tobytes() for a, b in zip(at, ends)]}, schema=_REPLY)
+    base = np.repeat(np.arange(len(at), dtype=np.int64) * _APART, ends - at)
+    starts, stops = B.merged(base + e["start"], base + e["end"])
+    pairs = np.stack([starts % _APART, stops % _APART], axis=1).astype("<u4")
+    cut = np.searchsorted(starts, np.arange(len(at) + 1, dtype=np.int64) * _APART)
+    return pa.table({"_id": e["id"][at], "_tag": e["tag"][at].astype(np.int64), "_at": [pairs[i:j].tobytes() for i, j in zip(cut, cut[1:])]}, schema=_REPLY)
 
 
 def _apply(digest: bool):
@@ -155,14 +177,14 @@ def _apply(digest: bool):
             for i, text, at in zip(batch.column("doc_id"), batch.column("text"), batch.column("_at")):
                 words = (text.as_py() or "").encode().split()
                 n, gone = len(words), 0
-                if at.is_valid and len(at):
-                    pairs = np.frombuffer(b"".join(x.as_py() for x in at), dtype="<u4").reshape(-1, 2).astype(np.int64)
-                    step = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(step, pairs[:, 0], 1)
-                    np.add.at(step, pairs[:, 1], -1)
-                    stay = np.cumsum(step[:-1]) == 0
-                    gone = n - int(stay.sum())
-                    words = compress(words, stay.tolist())
+                if at.is_valid:
+                    pairs = np.frombuffer(at.as_buffer(), dtype="<u4").reshape(-1, 2).tolist()
+                    stay, last = [], 0
+                    for a, b in pairs:
+                        stay += words[last:a]
+                        last = b
+                    words = stay + words[last:]
+                    gone = n - len(words)
                 kept = b" ".join(words)
                 for out, x in zip(rows, (i.as_py(), n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode())):
                     out.append(x)
@@ -178,13 +200,14 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     # The tag tells texts of a repeated doc_id apart.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
-    buckets = max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, ranges = max(16, size // RANGE_BYTES), max(16, size // DOC_BYTES)
 
     keys = rows.mapInArrow(_send_anchors(buckets), BLOBS_SQL).groupBy("bucket").applyInArrow(find_twice, BLOBS_SQL)
     twice = Filter(materialize(keys, "anchors"), buckets)
 
-    replies = tagged.mapInArrow(_send_windows(buckets, twice), BLOBS_SQL).groupBy("bucket").applyInArrow(_resolve, "_id bigint, _tag bigint, _at binary")
-    replies = replies.groupBy("_id", "_tag").agg(F.collect_list("_at").alias("_at"))
+    spans = tagged.mapInArrow(_send_windows(buckets, ranges, twice), BLOBS_SQL).groupBy("bucket").applyInArrow(_resolve(ranges), BLOBS_SQL)
+    replies = spans.groupBy("bucket").applyInArrow(_merge, "_id bigint, _tag bigint, _at binary")
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
     joined = tagged.join(replies, (own == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "_at")
     out = joined.mapInArrow(_apply(digest), "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept_sha256" if digest else "kept") + " string")
