@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat, decontamination, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from tracelake.llm import chat, decontamination, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, sharding, substring_dedup, suffix_dedup
 from tracelake.llm.registry import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -419,7 +419,7 @@ def test_substring_dedup_merges_spans():
     e = np.empty(4_000, dtype=substring_dedup._SPAN)
     e["id"], e["tag"], e["start"] = r.integers(0, 5, len(e)), r.integers(0, 3, len(e)), r.integers(0, 20_000, len(e))
     e["end"] = e["start"] + r.integers(13, 40, len(e)).astype(np.uint32)
-    blobs = [pa.record_batch([pa.array([3], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "payload"]) for x in np.array_split(e, 9)]
+    blobs = [pa.record_batch([pa.array([3], pa.int32()), pa.array([repeats.planes(x)], pa.binary())], names=["bucket", "payload"]) for x in np.array_split(e, 9)]
     got = {(i, t): np.frombuffer(at, dtype="<u4").reshape(-1, 2).tolist() for i, t, at in zip(*substring_dedup._merge(pa.Table.from_batches(blobs)).to_pydict().values())}
     assert len(got) == 15
     for (i, t), runs in got.items():

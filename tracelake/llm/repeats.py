@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +39,21 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate([at[1:], [n]])
 
 
-def blobs(bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+def blobs(bucket: np.ndarray, values: np.ndarray, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.RecordBatch:
     """A row for each bucket; values must be in bucket order."""
     at, ends = runs(bucket)
-    return pa.record_batch([pa.array(bucket[at].astype(np.int32), pa.int32()), pa.array([values[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], schema=BLOBS)
+    return pa.record_batch([pa.array(bucket[at].astype(np.int32), pa.int32()), pa.array([pack(values[a:b]) for a, b in zip(at, ends)], pa.binary())], schema=BLOBS)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Records as their first bytes, then their second ones and so on: places that hardly vary compress to nothing in a shuffle."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    """The records of all rows of planes."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(dtype.itemsize, -1).T for x in column]
+    return np.ascontiguousarray(np.concatenate(parts)).view(dtype).ravel()
 
 
 def key_blobs(h: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:

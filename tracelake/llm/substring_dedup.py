@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .common import materialize, ship_package, table
-from .repeats import BLOBS_SQL, Filter, blobs, bucket_of, find_twice, key_blobs, runs
+from .repeats import BLOBS_SQL, Filter, blobs, bucket_of, find_twice, from_planes, key_blobs, planes, runs
 
 WINDOW = 13
 PERIOD = 7
@@ -101,10 +101,7 @@ def _send_windows(buckets: int, ranges: int, twice: Filter):
                 if settled.num_rows:  # they pass the hash ranges by: the bucket is negative
                     yield settled.set_column(0, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), settled.column("bucket")))
                 sent = e[~later]
-                bucket = bucket_of(sent["w1"], buckets)
-                # Entries of a text stand together in a row, so its id and tag compress.
-                order = np.lexsort((sent["pos"], sent["tag"], sent["id"], bucket))
-                yield blobs(bucket[order], sent[order])
+                yield blobs(bucket_of(sent["w1"], buckets), sent, planes)
 
     return run
 
@@ -136,7 +133,7 @@ def _by_document(spans: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Spans as blobs by document range; texts of one id (null above all) spread by their tags."""
     where = (B.mix(spans["id"].astype(np.uint64) ^ B.mix(spans["tag"].astype(np.uint64))) % B.U64(ranges)).astype(np.int64)
     order = np.argsort(where, kind="stable")
-    return blobs(where[order], spans[order])
+    return blobs(where[order], spans[order], planes)
 
 
 def _resolve(ranges: int):
@@ -146,7 +143,7 @@ def _resolve(ranges: int):
         bucket = group.column("bucket")[0].as_py()
         if bucket < 0:
             return group.set_column(0, "bucket", pa.array([-1 - bucket] * len(group), pa.int32()))
-        e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_ENTRY) for x in group.column("payload")])
+        e = from_planes(group.column("payload"), _ENTRY)
         e = e[np.lexsort((e["id"], e["w2"], e["w1"]))]
         return pa.Table.from_batches([_by_document(_spans(e[_later(e)]), ranges)])
 
@@ -160,7 +157,7 @@ _APART = 1 << 33
 
 def _merge(group: pa.Table) -> pa.Table:
     """The maximal runs of removed words of each document of a range."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in group.column("payload")])
+    e = from_planes(group.column("payload"), _SPAN)
     e = e[np.lexsort((e["tag"], e["id"]))]
     at, ends = runs(e["id"], e["tag"])
     base = np.repeat(np.arange(len(at), dtype=np.int64) * _APART, ends - at)
