@@ -78,6 +78,19 @@ def _cut(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
+def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each term, by segments of bytes."""
+    first, second = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + B.SEGMENT, side="right")))
+        a, b = starts[i], ends[j - 1]
+        for out, poly in ((first, B.FIRST), (second, B.SECOND)):
+            out[i:j] = poly.spans(poly.sums(poly.table[low[a:b]]), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return first, second
+
+
 def _shard(number: int, ids: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
     """The index of some documents."""
     order = np.argsort(ids, kind="stable")
@@ -93,7 +106,7 @@ def _shard(number: int, ids: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordB
     if not len(starts):
         return
     low = B.LOWER_AZ[data]
-    first, second = (p.spans(p.sums(p.table[low]), starts, ends) for p in (B.FIRST, B.SECOND))
+    first, second = _hashes(low, starts, ends)
     doc = np.repeat(np.arange(len(ids)), lengths)
     by = np.argsort(first, kind="stable")
     if ((first[by][1:] == first[by][:-1]) & (second[by][1:] != second[by][:-1])).any():
