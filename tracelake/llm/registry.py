@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "mixing", "ngram_join", "chat", "sharding", "quality_rules", "suffix_dedup", "quality_classifier", "substring_dedup", "packing", "lexical_search", "run_detection")
+MODULES = ("decontamination", "mixing", "ngram_join", "chat", "sharding", "quality_rules", "suffix_dedup", "quality_classifier", "substring_dedup", "packing", "lexical_search", "run_detection", "vector_graph")
 
 
 def _gather(what: str) -> dict:
