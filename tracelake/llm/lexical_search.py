@@ -31,7 +31,7 @@ from . import bytetext as B
 from .common import drop_scratch, materialize, ship_package, small, table
 from .repeats import runs
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK = 512
 ITEMS = 1_000
 TOP = 10
