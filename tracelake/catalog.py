@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.engine import Engine
 from tracelake.functions import columns as C
 from tracelake.operators import base64_tokens, filters, match, metrics, render, search, sinks, summary
 from tracelake.plans.rule import from_doc, link
@@ -343,9 +344,25 @@ def extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapped_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [{"Channel": "Security", "EventID": [4624, 4625], "RewriteFieldData": {"LogonType": [{"11": "CACHED"}, {"3": "NETWORK"}]}, "HexToDecimal": ["Code"]}]
+    """Keys that stand in other keys' words, keys inside keys, and keys of some providers alone."""
+    rules = [
+        {"Channel": "Security", "EventID": [4624, 4625], "RewriteFieldData": {"LogonType": [{"11": "CACHED 1"}, {"3": "NETWORK"}, {"1": "3"}], "Caller": [{"user": "svc"}, {"svc": "user"}, {"user1": "never"}]}, "HexToDecimal": ["Code"]},
+        {"Channel": "SYSTEM", "EventID": 7045, "Provider_Name": ["prov-click"], "RewriteFieldData": {"logontype": [{"1": "one "}]}},
+        {"Channel": "Security", "EventID": 4688, "Provider_Name": "prov-view", "RewriteFieldData": {"LogonType": [{"1": "never"}]}},
+    ]
     get = lambda name: render.mapped(C.scalar(F.col("event"), f"Event.EventData.{name}"), name, rules)
-    return records(spark, sf_dir).select("record_id", get("LogonType").alias("logon_type"), get("Code").alias("code"))
+    return records(spark, sf_dir).select("record_id", get("LogonType").alias("logon_type"), get("Code").alias("code"), get("Caller").alias("caller"))
+
+
+def mapped_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile's columns with mapped values and abbreviations, in details, all fields and extra fields."""
+    engine = Engine(
+        spark, fields(), mapping=render.Mapping([{"Channel": "Security", "EventID": 4625, "RewriteFieldData": {"SubjectUserName": [{"svc1": "svc2"}, {"svc2": "svc3"}], "LogonType": [{"1": "2"}, {"2": "3"}]}, "HexToDecimal": ["Code"]}]),
+        abbreviations=render.Abbreviations({"security": "Sec"}, {"prov-error": "PE"}, {"sec": "S", "P": "p"}),
+    )
+    rules = linked(rule("t", {"s": {"EventID": 4625}}, details="Who: %SubjectUserName% ¦ Type: %LogonType%"))
+    profile = {"id": "%RecordID%", "channel": "%Channel%", "details": "%Details%", "extra": "%ExtraFieldInfo%"}
+    return engine.timeline(records(spark, sf_dir), rules, profile, ordered=False)
 
 
 def critical_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,13 +393,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "computer_metrics": computer_metrics, "time_span": time_span, "critical_systems": critical_systems, "search": search_keywords, "extract_base64": extract_base64, "pivot_keywords": pivot_keywords,
         "summary_levels": summary_levels, "summary_computers": summary_computers, "summary_rules": summary_rules, "summary_dates": summary_dates, "summary_authors": summary_authors, "summary_tactics": summary_tactics,
         "data_reduction": data_reduction, "hit_histogram": hit_histogram, "duplicate_detections": duplicate_detections, "duplicate_records": duplicate_records, "detail_texts": detail_texts, "extra_fields": extra_fields,
-        "mapped_codes": mapped_codes, "critical_levels": critical_levels, "ip_places": ip_places, "json_lines": json_lines, "repeated_values": repeated_values,
+        "mapped_codes": mapped_codes, "mapped_timeline": mapped_timeline, "critical_levels": critical_levels, "ip_places": ip_places, "json_lines": json_lines, "repeated_values": repeated_values,
     }
 
 
 _LEAF_LIST = "['Amount: ' || amount, 'Caller: ' || caller, 'Code: ' || code, 'CommandLine: ' || command, 'IpAddress: ' || ip, 'LogonType: ' || logon_type, 'SubjectUserName: ' || subject, 'TargetDomainName: ' || dom, 'TargetUserName: ' || target, 'WorkstationName: ' || ws]"
 _ALL = f"array_to_string(list_filter({_LEAF_LIST}, lambda x: x IS NOT NULL), ' ¦ ')"
 _SHOWN = "[target, command]"
+_EXTRA_MAPPED = ", ".join(f"CASE WHEN {c} NOT IN (who, kind_of) THEN '{n}: ' || {c} END" for n, c in (("Amount", "amount::VARCHAR"), ("Caller", "caller"), ("Code", "CASE WHEN code IS NOT NULL THEN num::VARCHAR END"), ("CommandLine", "command"), ("IpAddress", "ip"), ("TargetDomainName", "dom"), ("TargetUserName", "target"), ("WorkstationName", "ws")))
 
 
 def oracles() -> dict[str, str]:
@@ -424,7 +442,9 @@ def oracles() -> dict[str, str]:
         "duplicate_records": f"WITH {RECS} SELECT event_id, count(*) AS total FROM recs GROUP BY event_id",
         "detail_texts": f"WITH {RECS} SELECT 't' AS rule_id, record_id, 'User: ' || target || ' ¦ Code: ' || coalesce(code, 'n/a') || ' ¦ IP: ' || ip AS details FROM recs WHERE event_id = '4624' UNION ALL SELECT 'u', record_id, {_ALL} FROM recs WHERE event_id = '7045'",
         "extra_fields": f"WITH {RECS} SELECT record_id, array_to_string({list_without}, ' ¦ ') AS extra FROM recs",
-        "mapped_codes": f"WITH {RECS} SELECT record_id, CASE WHEN event_id IN ('4624', '4625') THEN replace(replace(logon_type, '3', 'NETWORK'), '11', 'CACHED') ELSE logon_type END AS logon_type, CASE WHEN event_id IN ('4624', '4625') AND code IS NOT NULL THEN num::VARCHAR ELSE code END AS code FROM recs",
+        # 10 and 11: a 1 behind nothing is a key, 11 has one inside that ends before it.
+        "mapped_codes": f"WITH {RECS} SELECT record_id, CASE WHEN event_id IN ('4624', '4625') THEN CASE logon_type WHEN '1' THEN '3' WHEN '10' THEN '30' WHEN '11' THEN '33' WHEN '3' THEN 'NETWORK' ELSE logon_type END WHEN event_id = '7045' AND kind = 'click' THEN replace(logon_type, '1', 'one ') ELSE logon_type END AS logon_type, CASE WHEN event_id IN ('4624', '4625') AND code IS NOT NULL THEN num::VARCHAR ELSE code END AS code, CASE WHEN event_id IN ('4624', '4625') THEN CASE WHEN caller LIKE 'user%' THEN 'svc' || substr(caller, 5) ELSE 'user' || substr(caller, 4) END ELSE caller END AS caller FROM recs",
+        "mapped_timeline": f"WITH {RECS}, m AS (SELECT *, CASE subject WHEN 'svc1' THEN 'svc2' WHEN 'svc2' THEN 'svc3' ELSE subject END AS who, CASE logon_type WHEN '1' THEN '2' WHEN '2' THEN '3' WHEN '10' THEN '20' WHEN '11' THEN '22' ELSE logon_type END AS kind_of FROM recs WHERE event_id = '4625') SELECT record_id AS id, 'S' AS channel, 'Who: ' || who || ' ¦ Type: ' || kind_of AS details, array_to_string(list_filter([{_EXTRA_MAPPED}], lambda x: x IS NOT NULL), ' ¦ ') AS extra FROM m",
         "critical_levels": f"WITH {HITS} SELECT CASE WHEN computer IN ('HOST-1', 'HOST-4') THEN CASE level WHEN 'low' THEN 'med' WHEN 'medium' THEN 'high' ELSE 'crit' END ELSE CASE level WHEN 'medium' THEN 'med' ELSE level END END AS level, count(*) AS total FROM hits GROUP BY 1",
         "ip_places": f"WITH {RECS}, i AS (SELECT record_id, regexp_replace(ip, '^10\\.([12])\\.', '8.\\1.') AS ip FROM recs), s AS (SELECT *, CASE WHEN ip LIKE '10.%' THEN 'p' WHEN ip LIKE '8.1.%' THEN 'x' WHEN split_part(ip, '.', 3)::INT <= 128 THEN 'y' ELSE 'n' END AS w FROM i) SELECT record_id, ip, CASE w WHEN 'p' THEN 'Private' WHEN 'x' THEN 'AS1' WHEN 'y' THEN 'AS2' ELSE '-' END AS src_asn, CASE w WHEN 'x' THEN 'X' WHEN 'y' THEN 'Y' ELSE '-' END AS src_country, CASE w WHEN 'x' THEN 'a' WHEN 'y' THEN 'b' ELSE '-' END AS src_city FROM s",
         "json_lines": f"""WITH {RECS} SELECT '{{"RecordID": ' || record_id || ', "Computer": "' || computer || '", "Details": {{"User": "' || target || '", "Amount": ' || amount || '}}}}' AS value FROM recs""",

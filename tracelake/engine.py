@@ -20,6 +20,8 @@ class Engine:
     default_details: dict[str, str] = field(default_factory=dict)
     critical: list[str] = field(default_factory=list)
     places: render.Places | None = None
+    mapping: render.Mapping | None = None
+    abbreviations: render.Abbreviations | None = None
 
     def read(self, path: str) -> DataFrame:
         return sources.powershell_classic(sources.read_records(self.spark, path))
@@ -45,7 +47,7 @@ class Engine:
         """
         if channels is not None:
             rules = match.prune(rules, channels)
-        found = render.details(match.detect(records, rules, self.fields), self.fields, rules, self.default_details)
+        found = render.details(match.detect(records, rules, self.fields), self.fields, rules, self.default_details, self.mapping)
         found = found.withColumn("level_rank", render.uplift(found["level_rank"], found["computer"], self.critical))
         if not duplicates:
             found = match.without_duplicates(found)
@@ -53,7 +55,7 @@ class Engine:
             found = render.with_places(found, render.place_kinds(profile), self.places, self.fields)
         if ordered:
             found = match.in_order(found)
-        return render.profile_columns(found, profile, style) if profile else found
+        return render.profile_columns(found, profile, style, self.mapping, self.abbreviations) if profile else found
 
     def search(self, records: DataFrame, *args, **options) -> DataFrame:
         return search.search(records, *args, fields=self.fields, **options)

@@ -44,12 +44,47 @@ def ascii_equals(v: Column, p: str) -> Column:
 
 
 def replace_all(v: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Replacements one after another, the shortest keys first."""
+    """Replacements one after another, the shortest keys first: a later one sees what an earlier one put in. For field names of search output."""
     for a, b in sorted(pairs, key=lambda x: (len(x[0]), x[0])):
         v = F.replace(v, F.lit(a), F.lit(b))
     return v
 
 
+def _replace_once(v: Column, keys: list[str], table: dict[str, str], any_case: bool = False) -> Column:
+    """What the alternation of the keys finds, from the left and without overlap, through the table; nothing put in is looked at again."""
+    if not keys:
+        return v
+    pattern = ("(?i)" if any_case else "") + "|".join(quote(k) for k in keys)
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    hits = F.regexp_extract_all(v, F.lit(pattern), F.lit(0))
+    new = lambda i: F.coalesce(F.try_element_at(known, F.translate(F.get(hits, i), UPPER, LOWER) if any_case else F.get(hits, i)), F.lit(""))
+    # Behind the last piece there is no hit.
+    return F.when(v.rlike(pattern), F.array_join(F.transform(F.split(v, pattern), lambda piece, i: F.concat(piece, new(i))), "")).otherwise(v)
+
+
+def replace_stream(v: Column, pairs: list[tuple[str, str]]) -> Column:
+    """All keys replaced in one pass: of the keys that occur, always the one that ends first, of those the longest; the first of equal keys counts.
+
+    A key with another one inside that ends before it can never be the first to end. Among the rest the leftmost is.
+    """
+    table: dict[str, str] = {}
+    for k, x in pairs:
+        if k:
+            table.setdefault(k, x)
+    keys = [k for k in table if not any(other != k and other in k[:-1] for other in table)]
+    return _replace_once(v, keys, table)
+
+
+def replace_longest(v: Column, pairs: list[tuple[str, str]]) -> Column:
+    """All keys replaced in one pass, whatever their ASCII case: from the left, the longest that stands there."""
+    lower = str.maketrans(UPPER, LOWER)
+    table: dict[str, str] = {}
+    for k, x in pairs:
+        if k:
+            table.setdefault(k.translate(lower), x)
+    return _replace_once(v, sorted(table, key=lambda k: (-len(k), k)), table, any_case=True)
+
+
 def glob(pattern: str) -> str:
     """A case-insensitive whole-string regex of a * and ? pattern."""
     return "(?is)^" + "".join(".*" if c == "*" else "." if c == "?" else quote(c) for c in pattern) + "\\z"

@@ -45,35 +45,42 @@ def leaves(event: Column, path: str = "$.Event", depth: int = DEPTH) -> Column:
     return F.coalesce(down(F.try_variant_get(event, path, "variant"), F.lit("Event"), depth), F.array().cast(Entry))
 
 
-def all_fields(event: Column) -> Column:
+def shown_leaves(event: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
+    """(name, value) of the leaves that have a value, each once, by name and value as they are in the record; mapped then."""
+    found = F.array_sort(F.array_distinct(F.filter(leaves(event), lambda x: x["value"].isNotNull() & (x["value"] != ""))))
+    return mapping.leaves(found, provider) if mapping else found
+
+
+def all_fields(event: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
     """`name: value` of all leaves, each once, sorted."""
-    shown = F.transform(F.filter(leaves(event), lambda x: x["value"].isNotNull() & (x["value"] != "")), lambda x: F.concat(x["name"], F.lit(": "), x["value"]))
-    return F.array_join(F.array_sort(F.array_distinct(shown)), C.SEPARATOR)
+    return F.array_join(F.transform(shown_leaves(event, mapping, provider), lambda x: F.concat(x["name"], F.lit(": "), x["value"])), C.SEPARATOR)
 
 
-def extra_fields(event: Column, details: Column) -> Column:
+def extra_fields(event: Column, details: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
     """All fields whose values the details do not show."""
     shown = F.transform(F.split(details, C.SEPARATOR.strip()), lambda x: F.btrim(F.substr(x, F.greatest(F.instr(x, ":"), F.lit(0)) + 1)))
-    rest = F.filter(leaves(event), lambda x: x["value"].isNotNull() & (x["value"] != "") & ~F.array_contains(shown, x["value"]))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(rest, lambda x: F.concat(x["name"], F.lit(": "), x["value"])))), C.SEPARATOR)
+    rest = F.filter(shown_leaves(event, mapping, provider), lambda x: ~F.array_contains(shown, x["value"]))
+    return F.array_join(F.array_sort(F.transform(rest, lambda x: F.concat(x["name"], F.lit(": "), x["value"]))), C.SEPARATOR)
 
 
-def template(text: str, fields: Fields) -> Column:
-    """A details template: %name% is a field's value, %name[2]% an element of a list; what is not there is n/a."""
+def template(text: str, fields: Fields, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
+    """A details template: %name% is a field's value, %name[2]% an element of a list; what is not there is n/a. Values are mapped by the name of the field that an alias stands for."""
     parts, at = [], 0
     for m in _ALIAS.finditer(text):
         parts.append(F.lit(text[at : m.start()]))
         if m[2]:
-            parts.append(F.coalesce(F.get(fields.array(m[1]), F.lit(int(m[2]) - 1)), F.lit("n/a")))
+            v, name = F.get(fields.array(m[1]), F.lit(int(m[2]) - 1)), f"{m[1]}[{m[2]}]"
         else:
-            parts.append(F.coalesce(fields.value(m[1]), F.lit("n/a")))
+            v, name = fields.value(m[1]), fields.path(m[1]).rpartition(".")[2]
+        parts.append(F.coalesce(mapping.value(v, name, provider) if mapping else v, F.lit("n/a")))
         at = m.end()
     parts.append(F.lit(text[at:]))
     return C.collapse_spaces(F.concat(*parts))
 
 
-def details(detections: DataFrame, fields: Fields, rules: list, defaults: dict[str, str] | None = None) -> DataFrame:
-    """detections with details: the rule's template, else the provider's and id's, else all fields; counts show their own text."""
+def details(detections: DataFrame, fields: Fields, rules: list, defaults: dict[str, str] | None = None, mapping: Mapping | None = None) -> DataFrame:
+    """detections with details: the rule's template, else the provider's and id's, else all fields, values mapped; counts show their own text."""
+    provider = provider_of(detections)
     # Flat choices, a branch for each different template: their depth does not grow with the rules.
     by_text: dict[str, list[str]] = {}
     for r in rules:
@@ -81,21 +88,37 @@ def details(detections: DataFrame, fields: Fields, rules: list, defaults: dict[s
             by_text.setdefault(str(r.doc["details"]), []).append(r.id)
     out = fallback = F.when(F.lit(False), F.lit(None).cast("string"))
     for text, ids in by_text.items():
-        out = out.when(F.col("rule_id").isin(ids), template(text, fields))
-    provider = C.scalar(F.col("event"), "Event.System.Provider_attributes.Name")
+        out = out.when(F.col("rule_id").isin(ids), template(text, fields, mapping, provider))
     by_text = {}
     for key, text in (defaults or {}).items():
         by_text.setdefault(text, []).append(key)
     for text, keys in by_text.items():
-        fallback = fallback.when(F.concat_ws("_", provider, F.col("event_id")).isin(keys), template(text, fields))
-    return detections.withColumn("details", F.coalesce("agg_text", out, fallback, all_fields(F.col("event"))))
+        fallback = fallback.when(F.concat_ws("_", provider, F.col("event_id")).isin(keys), template(text, fields, mapping, provider))
+    return detections.withColumn("details", F.coalesce("agg_text", out, fallback, all_fields(F.col("event"), mapping, provider)))
+
 
+def abbreviate(v: Column, full: dict[str, str], generic: dict[str, str] | None = None, any_case: bool = True) -> Column:
+    """A whole name's abbreviation, or else the name, with its parts abbreviated; any_case: whole names are known in any case."""
+    if full:
+        known = F.create_map(*[F.lit(x) for k, a in full.items() for x in (k.lower() if any_case else k, a)])
+        v = F.coalesce(F.try_element_at(known, F.lower(v) if any_case else v), v)
+    return C.replace_longest(v, list((generic or {}).items()))
 
-def abbreviate(v: Column, full: dict[str, str], generic: dict[str, str] | None = None) -> Column:
-    """A whole name's abbreviation, else its parts' ones."""
-    known = F.create_map(*[F.lit(x) for k, a in full.items() for x in (k.lower(), a)]) if full else None
-    out = C.replace_all(v, sorted((generic or {}).items()))
-    return F.coalesce(F.try_element_at(known, F.lower(v)), out) if known is not None else out
+
+@dataclass
+class Abbreviations:
+    """Short forms in place of whole channels (in any case) and providers (as they are), and of parts of both."""
+
+    channels: dict[str, str]
+    providers: dict[str, str]
+    generic: dict[str, str]
+
+    def channel(self, v: Column) -> Column:
+        """Of each of several channels, too."""
+        return F.array_join(F.transform(F.split(v, C.SEPARATOR), lambda c: abbreviate(c, self.channels, self.generic)), C.SEPARATOR)
+
+    def provider(self, v: Column) -> Column:
+        return abbreviate(v, self.providers, self.generic, any_case=False)
 
 
 def level_name(rank: Column) -> Column:
@@ -124,11 +147,6 @@ def tag_groups(tags: Column, tactics: dict[str, str] = TACTICS) -> dict[str, Col
     }
 
 
-def map_values(v: Column, pairs: list[tuple[str, str]], hexadecimal: bool = False) -> Column:
-    """A field's codes rewritten to words; hexadecimal numbers to decimal ones."""
-    return C.hex_to_decimal(v) if hexadecimal else C.replace_all(v, pairs)
-
-
 def read_mappings(folder: str) -> list[dict]:
     """Field mappings: Channel, EventID, RewriteFieldData, HexToDecimal and maybe Provider_Name."""
     out = []
@@ -137,21 +155,71 @@ def read_mappings(folder: str) -> list[dict]:
     return out
 
 
+def _listed(x) -> list[str]:
+    return [str(y) for y in (x if isinstance(x, list) else [] if x is None else [x])]
+
+
+class Mapping:
+    """Fields' values rewritten by their record's channel and id: codes to words (for some providers alone, if they are named), hexadecimal numbers to decimal ones.
+
+    Field names and channels are compared without regard to case. A later mapping of a channel and id takes the place of an earlier one.
+    """
+
+    def __init__(self, docs: list[dict]):
+        entries: dict[str, dict[str, tuple]] = {}
+        for m in docs:
+            kinds = {}
+            for name, codes in (m.get("RewriteFieldData") or {}).items():
+                pairs = tuple((str(k), str(x)) for item in codes if isinstance(item, dict) for k, x in item.items())
+                kinds[str(name).lower()] = (pairs, tuple(_listed(m.get("Provider_Name"))))
+            kinds |= {name.lower(): ("hex",) for name in _listed(m.get("HexToDecimal"))}
+            for id_ in _listed(m["EventID"]):
+                entries[f"{str(m['Channel']).lower()}/{id_}"] = kinds
+        #: field -> how it is rewritten -> the channels and ids.
+        self.fields: dict[str, dict[tuple, list[str]]] = {}
+        for key, kinds in entries.items():
+            for name, how in kinds.items():
+                self.fields.setdefault(name, {}).setdefault(how, []).append(key)
+        self.keys = sorted(k for k, kinds in entries.items() if kinds)
+
+    def _key(self) -> Column:
+        return F.concat(F.lower("channel"), F.lit("/"), F.col("event_id"))
+
+    def value(self, v: Column, name: str, provider: Column) -> Column:
+        """The value of a field of that name."""
+        return self._through(v, self.fields.get(name.lower(), {}), provider)
+
+    def _through(self, v: Column, hows: dict[tuple, list[str]], provider: Column) -> Column:
+        out = F.when(F.lit(False), v)
+        for how, keys in hows.items():
+            test = self._key().isin(keys)
+            if how == ("hex",):
+                out = out.when(test, C.hex_to_decimal(v))
+            else:
+                out = out.when(test & provider.isin(list(how[1])) if how[1] else test, C.replace_stream(v, list(how[0])))
+        return out.otherwise(v) if hows else v
+
+    def leaves(self, found: Column, provider: Column) -> Column:
+        """(name, value) pairs with mapped values."""
+        if not self.keys:
+            return found
+
+        def one(x: Column) -> Column:
+            value = F.when(F.lit(False), x["value"])
+            for name, hows in self.fields.items():
+                value = value.when(F.lower(x["name"]) == name, self._through(x["value"], hows, provider))
+            return F.struct(x["name"].alias("name"), value.otherwise(x["value"]).alias("value"))
+
+        return F.when(C.truth(self._key().isin(self.keys)), F.transform(found, one)).otherwise(found)
+
+
+def provider_of(rows: DataFrame) -> Column:
+    return F.col("provider") if "provider" in rows.columns else C.scalar(F.col("event"), "Event.System.Provider_attributes.Name")
+
+
 def mapped(v: Column, name: str, mappings: list[dict]) -> Column:
-    """A field's value under the mappings of its record's channel, id and provider."""
-    out = v
-    for m in mappings:
-        ids = [str(x) for x in (m["EventID"] if isinstance(m["EventID"], list) else [m["EventID"]])]
-        test = (F.lower("channel") == str(m["Channel"]).lower()) & F.col("event_id").isin(ids)
-        if m.get("Provider_Name"):
-            test = test & (F.col("provider") == m["Provider_Name"])
-        rewrite = (m.get("RewriteFieldData") or {}).get(name)
-        if rewrite:
-            pairs = [(str(k), str(x)) for item in rewrite for k, x in item.items()]
-            out = F.when(C.truth(test), map_values(v, pairs)).otherwise(out)
-        elif name in (m.get("HexToDecimal") or []):
-            out = F.when(C.truth(test), C.hex_to_decimal(v)).otherwise(out)
-    return out
+    """A field's value under the mappings of its record's channel, id and provider, in rows with those columns."""
+    return Mapping(mappings).value(v, name, F.col("provider"))
 
 
 def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: DataFrame | None = None) -> DataFrame:
@@ -213,15 +281,16 @@ def with_places(detections: DataFrame, sides: set[str], known: Places | None, fi
     return detections
 
 
-def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default") -> DataFrame:
+def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default", mapping: Mapping | None = None, short: Abbreviations | None = None) -> DataFrame:
     """The profile's columns in its order: alias -> what, by %Kind% or a fixed text; place columns are those of with_places."""
+    provider = provider_of(detections)
     groups = tag_groups(F.col("tags"))
     joined = lambda c: F.array_join(c, C.SEPARATOR)
     kinds = {
-        "Timestamp": C.format_time(F.col("event_ts"), style), "Computer": F.col("computer"), "Channel": F.col("channel"), "Level": level_short(F.col("level_rank")), "EventID": F.col("event_id"),
+        "Timestamp": C.format_time(F.col("event_ts"), style), "Computer": F.col("computer"), "Channel": short.channel(F.col("channel")) if short else F.col("channel"), "Level": level_short(F.col("level_rank")), "EventID": F.col("event_id"),
         "RecordID": F.col("record_id"), "RuleTitle": F.col("title"), "RuleFile": F.element_at(F.split("rule_file", "/"), -1), "RuleAuthor": F.col("author"), "RuleID": F.col("rule_id"),
-        "EvtxFile": F.col("source_file"), "Details": F.col("details") if "details" in detections.columns else F.col("agg_text"), "AllFieldInfo": all_fields(F.col("event")),
-        "ExtraFieldInfo": extra_fields(F.col("event"), F.col("details")) if "details" in detections.columns else F.lit(""), "Provider": C.scalar(F.col("event"), "Event.System.Provider_attributes.Name"),
+        "EvtxFile": F.col("source_file"), "Details": F.col("details") if "details" in detections.columns else F.col("agg_text"), "AllFieldInfo": all_fields(F.col("event"), mapping, provider),
+        "ExtraFieldInfo": extra_fields(F.col("event"), F.col("details"), mapping, provider) if "details" in detections.columns else F.lit(""), "Provider": short.provider(provider) if short else provider,
         "RenderedMessage": F.btrim(F.replace(F.replace(C.scalar(F.col("event"), "Event.RenderingInfo.Message"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))), "MitreTactics": joined(groups["tactics"]), "MitreTags": joined(groups["techniques"]), "OtherTags": joined(groups["other"]),
         "Status": F.col("status"), "RuleCreationDate": F.col("rule_date"), "RuleModifiedDate": F.coalesce("rule_modified", F.lit("")), "RecoveredRecord": F.when(C.truth(F.col("recovered")), "Y").otherwise(""),
     }
@@ -230,12 +299,13 @@ def profile_columns(detections: DataFrame, profile: dict[str, str], style: str =
             if (have := f"_{side}_{kind}".lower()) in detections.columns:
                 kinds[side + kind] = F.coalesce(have, F.lit(""))
     cols = []
+    # Named at the end: in one select, a name of the profile could hide a column of the detections.
     for name, what in profile.items():
         m = re.fullmatch(r"%(\w+)%", str(what))
         if m and m[1] not in kinds:
             raise ValueError(f"column {name}: {what} is unknown")
-        cols.append((F.coalesce(kinds[m[1]].cast("string"), F.lit("-")) if m else F.lit(str(what))).alias(name))
-    return detections.select(*cols)
+        cols.append((F.coalesce(kinds[m[1]].cast("string"), F.lit("-")) if m else F.lit(str(what))).alias(f"_{len(cols)}"))
+    return detections.select(*cols).toDF(*profile)
 
 
 def mark_repeats(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
