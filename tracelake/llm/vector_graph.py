@@ -45,7 +45,7 @@ def prune(x: np.ndarray, node: np.ndarray, near: np.ndarray, degree: int, alpha:
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
     near[near == node[:, None]] = -1
     there = x[np.maximum(near, 0)]
-    gone = np.float32(np.inf)
+    gone = np.inf
     far = np.where(near < 0, gone, _distance(there, x[node]))
     rows = np.arange(len(node))
     for k in range(degree):
@@ -72,7 +72,7 @@ def beam(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, query: np.ndarra
     seen[:, entries] = True
     first = _distance(np.broadcast_to(x[entries], (n, len(entries), x.shape[1])), query)
     ids = np.full((n, max(width, len(entries))), -1, dtype=np.int32)
-    far = np.full(ids.shape, np.inf, dtype=np.float32)
+    far = np.full(ids.shape, np.inf)
     ids[:, : len(entries)], far[:, : len(entries)] = entries, first
     by = np.argsort(far, axis=1, kind="stable")[:, :width]
     ids, far = np.take_along_axis(ids, by, 1), np.take_along_axis(far, by, 1)
@@ -89,7 +89,7 @@ def beam(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, query: np.ndarra
         fresh = (near >= 0) & ~seen[rows[:, None], np.maximum(near, 0)]
         r, c = np.nonzero(fresh)
         seen[rows[r], near[r, c]] = True
-        d = np.where(fresh, _distance(x[np.maximum(near, 0)], query[rows]), np.inf).astype(np.float32)
+        d = np.where(fresh, _distance(x[np.maximum(near, 0)], query[rows]), np.inf)
         all_far = np.concatenate([far[rows], d], axis=1)
         by = np.argsort(all_far, axis=1, kind="stable")[:, :width]
         far[rows] = np.take_along_axis(all_far, by, 1)
@@ -125,8 +125,9 @@ def _link(x: np.ndarray, edges: np.ndarray, node: np.ndarray, near: np.ndarray,
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    """In doubles: near copies, a ten-thousandth apart, are the same in 2 - 2 cos of single precision."""
     v = v.astype(np.float64)
-    return (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).astype(np.float32)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
