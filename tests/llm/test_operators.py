@@ -582,7 +582,7 @@ def test_chat_keys_that_are_data(spark):
 
     records = [{"messages": [{"role": "user", "content": f"q{k}"}], "tools": {f"key{k}": k}} for k in range(20)] + [{"instruction": "i", "output": f"o{k}", f"k{k}": 1} for k in range(20)] + [{f"none{k}": 1} for k in range(5)]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "i int, j string").select("i", F.parse_json("j").alias("record"))
-    assert df.select(chat.fingerprint(F.col("record"))).distinct().count() == 3
+    assert df.select(chat.fingerprint(chat.present(F.col("record")))).distinct().count() == 3
     out = chat.canonical(df, "record")
     assert out.columns == ["i", "layout", "turns"] and {r.layout: r["count"] for r in out.groupBy("layout").count().collect()} == {"messages": 20, "instruction": 20, None: 5}
     assert all(t.text in (f"q{r.i}", "i", f"o{r.i - 20}") for r in out.collect() for t in r.turns or [])

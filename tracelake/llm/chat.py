@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record is one value of any shape. The fingerprint is a hash of those of its nested field paths that some layout names (other keys may be
-data, so they do not count); it selects one of the declared layouts, which says where the turns' roles and texts are. Records become canonical
-turns, turns become one formatted string with a run-length loss mask. Everything is a column expression over variants, in one pass.
+A record is one value of any shape. A schema fingerprint is a hash of nested field paths. A record has one for each declared layout: of those of its paths
+that the layout names (other keys may be data, so they do not count). A map from the layouts' own fingerprints, made in the plan, gives the layouts whose paths the record has
+all, and the first of them says where the turns' roles and texts are. Records become canonical turns, turns become one formatted string with a run-length loss mask. Everything is a column expression over variants, in one pass.
 
 Template: `<turn ROLE>TEXT</turn>` and a line feed. In roles and texts `\\` is written `\\b`, `<` is `\\l` and `>` is `\\g`,
 so no control string can stand inside a text and reading back is exact. The mask has three runs a turn: header, text, footer; the
@@ -81,14 +81,21 @@ def present(record: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_has(record, p), F.lit(p)) for p in paths()]))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(F.array_join(present(record), "\n"))
+def fingerprint(own: Column) -> Column:
+    """The hash of a list of paths in order."""
+    return F.xxhash64(F.array_join(own, "\n"))
+
+
+def fingerprints(own: Column) -> Column:
+    """Of the paths that a record has, the fingerprint under each layout."""
+    return F.array(*[fingerprint(F.filter(F.array(*[F.lit(p) for p in sorted(x.paths())]), lambda p: F.array_contains(own, p))) for x in LAYOUTS])
 
 
 def select_layout(own: Column) -> Column:
     """The name of the first layout whose paths are all present; null if there is none."""
-    names = [F.when(F.size(F.array_except(F.array(*[F.lit(p) for p in x.paths()]), own)) == 0, F.lit(x.name)) for x in LAYOUTS]
-    return F.coalesce(*names)
+    known = F.create_map(*[y for i, x in enumerate(LAYOUTS) for y in (fingerprint(F.array(*[F.lit(p) for p in sorted(x.paths())])), F.lit(i))])
+    place = F.array_min(F.transform(fingerprints(own), lambda f: F.try_element_at(known, f)))
+    return F.get(F.array(*[F.lit(x.name) for x in LAYOUTS]), place)
 
 
 def _role(raw: Column, names: dict) -> Column:
@@ -130,7 +137,8 @@ def _turns(v: Column, x: Layout) -> Column:
 
 def canonical(records: DataFrame, record: str) -> DataFrame:
     """records with layout and turns in place of the variant column record."""
-    held = records.withColumn("_layout", select_layout(present(F.col(record))))
+    # Through a list of one, so that the paths are looked for once and not for every layout.
+    held = records.withColumn("_layout", F.get(F.transform(F.array(present(F.col(record))), select_layout), F.lit(0)))
     turns = F.lit(None).cast(TURNS)
     for x in LAYOUTS:
         turns = F.when(F.col("_layout") == x.name, _turns(F.col(record), x)).otherwise(turns)
@@ -166,20 +174,27 @@ def read_turns(output: Column) -> Column:
 
 
 def read_loss(output: Column, runs: Column) -> Column:
-    """The text under the mask, cut from the output by the runs' lengths, unescaped.
+    """The text under the mask, cut from the output by the runs, unescaped.
 
-    A run that is not exactly a turn's text (between `>` and `<`, which no text holds), or runs that do not add up to the output, are an error.
+    The output is cut at its footers once; each turn's header, text and footer must have the lengths of its three runs, and only its text may be under the mask. All else is an error.
     """
 
-    def step(at: Column, run: Column) -> Column:
-        fits = (F.substr(output, at["at"], F.lit(1)) == ">") & (F.substr(output, at["at"] + run["chars"] + 1, F.lit(1)) == "<")
-        piece = F.substr(output, at["at"] + 1, run["chars"])
-        text = F.when(~run["loss"], F.lit("")).when(fits & ~piece.rlike("[<>]"), piece).otherwise(F.raise_error(F.lit("a run of the loss mask is not a text")).cast("string"))
-        return F.struct((at["at"] + run["chars"]).alias("at"), F.concat(at["text"], text).alias("text"))
-
-    whole = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step)
-    checked = F.get(F.transform(F.array(whole), lambda x: F.when(x["at"] == F.char_length(output), x["text"]).otherwise(F.raise_error(F.lit("loss mask and output differ in length")).cast("string"))), F.lit(0))
-    return unescape(checked)
+    def turn(piece: Column, own: Column) -> Column:
+        head, text, foot = (F.get(own, F.lit(k)) for k in range(3))
+        parts = F.split(piece, "[<>]")
+        body = F.get(parts, F.lit(2))
+        fits = (F.size(parts) == 3) & (text["chars"] == F.char_length(body)) & (head["chars"] == F.char_length(piece) - F.char_length(body)) & (foot["chars"] == 8) & ~head["loss"] & ~foot["loss"]
+        wrong = F.raise_error(F.lit("a run of the loss mask is not a text")).cast("string")
+        return F.when(~F.coalesce(fits, F.lit(False)), wrong).when(text["loss"], body).otherwise(F.lit(""))
+
+    def whole(x: Column) -> Column:
+        turns = F.size(x["cut"]) - 1
+        fits = (F.size(x["runs"]) == 3 * turns) & (F.element_at(x["cut"], -1) == "")
+        texts = F.transform(F.slice(x["cut"], F.lit(1), turns), lambda piece, i: turn(piece, F.slice(x["runs"], 3 * i + 1, F.lit(3))))
+        return F.when(fits, F.array_join(texts, "")).otherwise(F.raise_error(F.lit("loss mask and output differ in length")).cast("string"))
+
+    # Through a list of one, so that the output is cut once and not for every turn.
+    return unescape(F.get(F.transform(F.array(F.struct(F.split(output, "</turn>\n").alias("cut"), runs.alias("runs"))), whole), F.lit(0)))
 
 
 def format_records(records: DataFrame) -> DataFrame:
