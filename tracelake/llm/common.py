@@ -31,6 +31,17 @@ def ws_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_REGEX))
 
 
+def hold(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column _row, beside their _key, doc_id and the text's hash: joins with verdicts then meet no other names."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+
+
+def release(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The held rows with the columns that they had."""
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of this machine, if it is the only one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import hold, materialize, release, small, table
 
 #: Words of the text before lower-casing: A-Z belong to words too.
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -149,9 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """The rows of docs without any benchmark window."""
-    bad = contamination(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag")).distinct()
+    bad = contamination(docs, benchmark, length).where("contaminated").select(F.struct(F.col("doc_id").alias("id"), "tag").alias("_bad")).distinct()
     bad = small(materialize(bad, "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tl_tag")), "left_anti")
+    return release(hold(docs).join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti"), docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import drop_scratch, materialize, ship_package, small, table
+from .common import drop_scratch, hold, materialize, release, ship_package, small, table
 from .repeats import BLOBS_SQL, Levels, count_blobs, find_counts
 
 NGRAM = 4
@@ -303,22 +303,20 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, lowe
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, of each component only the one of the smallest doc_id; texts without n-grams all stay."""
     members = materialize(ngram_join(docs, **options).where("component is not null").select("component", "doc_id", "tag"), "members")
-    name = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag"))
-    best = members.groupBy("component").agg(F.min(name).alias("_best"), F.count("*").alias("_k")).where("_k > 1")
-    best = materialize(best.select(F.col("component").alias("_c"), "_best.__tl_id", "_best.__tl_tag"), "best")
-    own = F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("tag") == F.col("__tl_tag"))
-    rest = members.join(small(best), F.col("component") == F.col("_c"))
-    lost = rest.where(~own).select(F.col("doc_id").alias("__tl_id"), F.col("tag").alias("__tl_tag")).distinct()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (key == F.col("__tl_tag"))
-    kept = docs.join(small(materialize(lost, "lost")), same, "left_anti")
+    key = F.struct(F.col("doc_id").alias("id"), "tag")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), key.alias("key"))).alias("_first"), F.count("*").alias("_k")).where("_k > 1")
+    best = materialize(best.select(F.col("component").alias("_c"), F.col("_first.key").alias("_best")), "best")
+    rest = members.join(small(best), F.col("component") == F.col("_c")).select(key.alias("_other"), "_best")
+    own = F.col("_other").eqNullSafe(F.col("_best"))
+    lost = materialize(rest.where(~own).select("_other").distinct(), "lost")
+    kept = hold(docs).join(small(lost), F.col("_key").eqNullSafe(F.col("_other")), "left_anti")
     # Repeated rows of the one that stays.
-    again = rest.where(own).groupBy("__tl_id", "__tl_tag").agg(F.count("*").alias("_k")).where("_k > 1").select("__tl_id", "__tl_tag")
-    again = materialize(again, "again")
+    again = materialize(rest.where(own).groupBy("_other").agg(F.count("*").alias("_k")).where("_k > 1").select("_other"), "again")
     if again.isEmpty():
-        return kept
-    once = kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(again), same, "left_anti").unionByName(once)
+        return release(kept, docs.columns)
+    same = F.col("_key").eqNullSafe(F.col("_other"))
+    once = kept.join(small(again), same, "left_semi").dropDuplicates(["_key"])
+    return release(kept.join(small(again), same, "left_anti").unionByName(once), docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

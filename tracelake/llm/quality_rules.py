@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table, ws_words
+from .common import hold, materialize, release, small, table, ws_words
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -136,10 +136,10 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     held = docs.select("doc_id", "source", "text", tag.alias("_tag"))
     judged = materialize(measured(held, keep=("doc_id", "source", "_tag")).select("base_failed", *failures(("doc_id", "source", "_tag"))), "quality")
-    hosts = host_verdicts(judged, limit).where("_rejected").select(F.col("_host").alias("__tl_host"))
-    failed = judged.where("base_failed").select(F.col("doc_id").alias("__tl_id"), F.col("_tag").alias("__tl_tag")).distinct()
-    kept = docs.join(small(hosts), F.col("source").eqNullSafe(F.col("__tl_host")), "left_anti")
-    return kept.join(small(failed), F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (tag == F.col("__tl_tag")), "left_anti")
+    hosts = host_verdicts(judged, limit).where("_rejected").select("_host")
+    failed = judged.where("base_failed").select(F.struct(F.col("doc_id").alias("id"), F.col("_tag").alias("tag")).alias("_failed")).distinct()
+    kept = hold(docs).join(small(hosts), F.col("_row").getField("source").eqNullSafe(F.col("_host")), "left_anti")
+    return release(kept.join(small(failed), F.col("_key").eqNullSafe(F.col("_failed")), "left_anti"), docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

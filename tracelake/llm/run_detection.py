@@ -280,7 +280,7 @@ WITH given AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS h
   FROM documents),
-placed AS (SELECT *, len(w)::BIGINT AS n, (h // 10) % len(w) AS a, 3 + (h // 10) % 8 AS k FROM given),
+placed AS (SELECT *, len(w)::BIGINT AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM given),
 docs_in AS (
   SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END) + 1]) ELSE w END AS words FROM placed),
 grams AS (SELECT rid, n, i, array_to_string(words[i + 1:i + 5], ' ') AS gram FROM (SELECT rid, n, words, unnest(range(n - 4)) AS i FROM docs_in WHERE n >= 6)),
