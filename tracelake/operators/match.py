@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake import scratch
 from tracelake.functions import columns as C
-from tracelake.operators import filters
+from tracelake.operators import filters, split_windows
 from tracelake.plans.condition import Count
 from tracelake.plans.rule import Rule, required_channels
 from tracelake.plans.selection import Fields
@@ -71,7 +72,7 @@ def group_key(keys: tuple[str, ...], fields: Fields) -> Column:
     return F.concat_ws(",", *[F.coalesce(fields.value(k), F.lit("_")) for k in keys])
 
 
-_WINDOW = "rule_id string, key string, count bigint, values array<string>, start_ns bigint, end_ns bigint, record_ids array<string>, computers array<string>, channels array<string>, event_ids array<string>, files array<string>"
+_WINDOW = "rule_id string, key string, count bigint, values array<string>, start_ns bigint, end_ns bigint, computers array<string>, channels array<string>, event_ids array<string>, files array<string>"
 _COMPARE = {"==": operator.eq, ">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
 
 
@@ -111,8 +112,9 @@ def _by_rule(rules: list[Rule], make, kind: str) -> Column:
 def windows(matches: DataFrame, rules: list[Rule], fields: Fields) -> DataFrame:
     """Windows of all count rules over their matches, in one pass.
 
-    Times further apart than the frame can never share a window, so each key's records fall into sessions that are
-    judged apart; only a session meets in one task. Without a frame the whole key is one window's span.
+    The records that rules have matched are written once. Keys of more than split_windows.HOT_ROWS records are cut into bins of time, a task each. Of the others, times further
+    apart than the frame can never share a window, so a key's records fall into sessions that are judged apart. Without a frame the whole key is one window's span,
+    in one task.
     """
     rules = [r for r in rules if r.count is not None]
     terms = {r.id: (r.frame, r.count.op, r.count.number, r.count.field is not None) for r in rules}
@@ -122,13 +124,18 @@ def windows(matches: DataFrame, rules: list[Rule], fields: Fields) -> DataFrame:
         F.coalesce("event_ts_ns", F.lit(220_924_800_000_000_000)).alias("ns"), "record_id", "computer", "channel", "event_id", "source_file",
         _by_rule(rules, lambda r: F.lit(r.frame), "bigint").alias("frame"),
     )
-    order = Window.partitionBy("rule_id", "key").orderBy("ns", "record_id")
+    rows = scratch.written(rows, "counted")
+    schema = pa.schema([(n, pa.list_(pa.string()) if "array" in t else pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split(" ", 1) for x in _WINDOW.split(", "))])
+    hot, cut = scratch.written(split_windows.hot_keys(rows), "hot-keys"), None
+    if not hot.isEmpty():  # fewer than the records by HOT_ROWS
+        how = {r: (frame, _COMPARE[op], number, distinct) for r, (frame, op, number, distinct) in terms.items()}
+        cut = split_windows.hot_windows(rows, hot, how, schema, _WINDOW)
+        rows = rows.join(F.broadcast(hot), ["rule_id", "key"], "left_anti")
+    order = Window.partitionBy("rule_id", "key").orderBy("ns", "record_id", "source_file")
     gap = F.col("ns") - F.lag("ns").over(order) > F.col("frame") * 1_000_000_000
     rows = rows.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int"))
     rows = rows.withColumn("session", F.sum("gap").over(order)).drop("gap", "frame")
 
-    schema = pa.schema([(n, pa.list_(pa.string()) if "array" in t else pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split(" ", 1) for x in _WINDOW.split(", "))])
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sessions come one after another, in the order of their times."""
         held: dict[str, list] = {}
@@ -142,7 +149,7 @@ def windows(matches: DataFrame, rules: list[Rule], fields: Fields) -> DataFrame:
                 frame = ns[-1] // 1_000_000_000 - ns[0] // 1_000_000_000
             for a, b, count in greedy_windows(ns, frame, op, number, held["value"] if distinct else None):
                 texts = lambda c: sorted({x for x in held[c][a:b] if x is not None})  # noqa: E731, B023
-                yield {"rule_id": rule_id, "key": key, "count": count, "values": texts("value") if distinct else [], "start_ns": ns[a], "end_ns": ns[b - 1], "record_ids": held["record_id"][a:b], "computers": texts("computer"), "channels": texts("channel"), "event_ids": texts("event_id"), "files": texts("source_file")}
+                yield {"rule_id": rule_id, "key": key, "count": count, "values": texts("value") if distinct else [], "start_ns": ns[a], "end_ns": ns[b - 1], "computers": texts("computer"), "channels": texts("channel"), "event_ids": texts("event_id"), "files": texts("source_file")}
 
         for batch in batches:
             found = []
@@ -165,7 +172,8 @@ def windows(matches: DataFrame, rules: list[Rule], fields: Fields) -> DataFrame:
             yield pa.RecordBatch.from_pylist(list(close()), schema=schema)
 
     # The window has brought each key's rows together and in order; the sort states it and costs nothing more.
-    return rows.sortWithinPartitions("rule_id", "key", "ns", "record_id").mapInArrow(judge, _WINDOW)
+    found = rows.sortWithinPartitions("rule_id", "key", "ns", "record_id", "source_file").mapInArrow(judge, _WINDOW)
+    return found if cut is None else found.unionByName(cut)
 
 
 def count_text(rule: Rule) -> Column:
@@ -231,7 +239,7 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
     if counted:
         results = windows(match(records, counted, fields), counted, fields)
         if any(r.kind.startswith("temporal") for r in rules):
-            results = results.persist()  # read by each correlation; far smaller than the matches
+            results = scratch.written(results, "windows")  # read by each correlation; far smaller than the matches
         shown_rules = [r for r in counted if not r.hidden]
         if shown_rules:
             own = results.where(F.col("rule_id").isin([r.id for r in shown_rules]))
@@ -250,7 +258,7 @@ def in_order(detections: DataFrame) -> DataFrame:
     A range sort reads its input once for the ranges and once more for the rows. Detections are shuffled as they are
     first, so both read them from there, and no rule is evaluated twice.
     """
-    return detections.repartition("rule_id", "record_id", "source_file").orderBy("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
+    return detections.repartition("rule_id", "record_id", "source_file", "event_ts_ns").orderBy("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
 
 
 def without_duplicates(detections: DataFrame) -> DataFrame:
