@@ -10,6 +10,7 @@ from tracelake.operators import base64_tokens, filters, match, metrics, render,
 from tracelake.plans import rule as rules_
 from tracelake.plans.rule import Loaded, Rule
 from tracelake.plans.selection import Fields
+from tracelake.sources import evtx
 from tracelake.sources import records as sources
 
 
@@ -26,6 +27,10 @@ class Engine:
     def read(self, path: str) -> DataFrame:
         return sources.powershell_classic(sources.read_records(self.spark, path))
 
+    def read_logs(self, path: str, recover: bool = False, checksums: bool = False) -> DataFrame:
+        """Records of binary logs; with recover also those found in free space."""
+        return sources.powershell_classic(evtx.read_logs(self.spark, path, recover, checksums))
+
     def rules(self, path: str, placeholders: dict[str, list[str]] | None = None, levels: dict[str, str] | None = None, **options) -> Loaded:
         """Rules of a folder, checked, chosen, expanded, tuned and linked; what was left out and why comes with them."""
         loaded = rules_.read_rules(path)
