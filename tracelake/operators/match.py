@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from tracelake import scratch
 from tracelake.functions import columns as C
 from tracelake.operators import filters, split_windows
+from tracelake.plans import literals
 from tracelake.plans.condition import Count
 from tracelake.plans.rule import Rule, required_channels
 from tracelake.plans.selection import Fields
 
 #: Rules of one array of hits.
 CHUNK = 100
+#: From so many rules with literals on, an automaton finds each record's candidates among them first; those are told apart in arrays of PREFILTER_CHUNK.
+PREFILTER_RULES, PREFILTER_CHUNK = 500, 50
 #: Columns of a record that matches keep.
 KEPT = ("source_file", "record_id", "event_id", "channel", "computer", "provider", "event_ts", "event_ts_ns", "recovered", "event", "data_string")
 
@@ -34,25 +37,44 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
 
     Every path that some rule asks for becomes one column first; each rule is one predicate over them, and the
     ids of those that hold are exploded. Nothing is joined or shuffled. Where every rule names its channels, records of
-    others are left out before any field is read.
+    others are left out before any field is read. Of thousands of rules, those that ask for some text are tried on the records alone that hold it.
     """
     rules = [r for r in rules if r.kind not in ("temporal", "temporal_ordered")]
     fields = fields or Fields()
+    if len(rules) >= PREFILTER_RULES and "data_string" in records.columns and literals.available():
+        needs = {r.id: literals.needed(r, fields) for r in rules}
+        sought = [r for r in rules if needs[r.id]]
+        if len(sought) >= PREFILTER_RULES:
+            found = _match(records, sought, fields, [needs[r.id] for r in sought])
+            rest = [r for r in rules if not needs[r.id]]
+            return found.unionByName(_match(records, rest, fields)) if rest else found
+    return _match(records, rules, fields)
+
+
+def _match(records: DataFrame, rules: list[Rule], fields: Fields, needs: list[frozenset[str]] | None = None) -> DataFrame:
     cols = [c for c in KEPT if c in records.columns]
     if not rules:
         return records.select(*cols, F.lit("").alias("rule_id")).where("false")
-    probe = Fields(aliases=fields.aliases, files=fields.files, windash=fields.windash, strict_cased=fields.strict_cased)
-    for r in rules:
-        r.matcher(probe)
-    names = {path: f"_f{k}" for k, path in enumerate(probe.asked)}
-    probe.ready = {path: F.col(c) for path, c in names.items()}
-    typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
-    if fields.path("Channel") == "Event.System.Channel":
-        records = filters.rule_channels(records, rules)
-    flat = records.select(*cols, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(c) for p, c in names.items()])
+    probe = Fields(aliases=fields.aliases, files=fields.files, windash=fields.windash, strict_cased=fields.strict_cased, numbered="_f")
+
+    def hit(i: int) -> Column:
+        test = rules[i].matcher(probe)
+        return F.when(F.array_contains("_candidates.rules", i) & test if needs else test, F.lit(rules[i].id))
+
     # One projection of one scan, however many rules there are; an array for so many of them keeps the generated methods small.
-    parts = [F.array_compact(F.array(*[F.when(r.matcher(probe), F.lit(r.id)) for r in rules[i : i + CHUNK]])) for i in range(0, len(rules), CHUNK)]
+    size = PREFILTER_CHUNK if needs else CHUNK
+    parts = [F.array_compact(F.array(*[hit(i) for i in range(k, min(k + size, len(rules)))])) for k in range(0, len(rules), size)]
+    if needs:
+        parts = [F.when(F.array_contains("_candidates.chunks", k), p).otherwise(F.array().cast("array<string>")) for k, p in enumerate(parts)]
     hits = parts[0] if len(parts) == 1 else F.concat(*parts)
+    if fields.path("Channel") == "Event.System.Channel":
+        records = filters.rule_channels(records, rules)
+    more = []
+    if needs:
+        more = ["_candidates"]
+        records = records.withColumn("_candidates", literals.finder(needs, size)(F.col("data_string"))).where(F.size("_candidates.rules") > 0)
+    typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
+    flat = records.select(*cols, *more, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(f"_f{k}") for k, p in enumerate(probe.asked)])
     # An outer generator: the filter that Spark infers for an inner one would evaluate all predicates once more, below
     # the projection, with every field's expression written out in each of them.
     return flat.select(*cols, F.explode_outer(hits).alias("rule_id")).where("rule_id is not null")

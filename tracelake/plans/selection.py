@@ -37,6 +37,8 @@ class Fields:
     asked: dict[str, None] = field(default_factory=dict)
     ready: dict[str, Column] = field(default_factory=dict)
     arrays: dict[str, Column] = field(default_factory=dict)
+    #: Paths become columns of these names as they are asked for, which a plan then makes.
+    numbered: str | None = None
 
     def path(self, key: str) -> str:
         if key in self.aliases:
@@ -46,11 +48,13 @@ class Fields:
     def value(self, key: str) -> Column:
         path = self.path(key)
         self.asked[path] = None
-        return self.ready.get(path, C.scalar(F.col("event"), path))
+        if path not in self.ready and self.numbered:
+            self.ready[path] = F.col(f"{self.numbered}{len(self.asked) - 1}")
+        return self.ready[path] if path in self.ready else C.scalar(F.col("event"), path)
 
     def array(self, key: str) -> Column:
         path = self.path(key)
-        return self.arrays.get(path, C.array_of(F.col("event"), path))
+        return self.arrays[path] if path in self.arrays else C.array_of(F.col("event"), path)
 
 
 def literal(value: object) -> str:
