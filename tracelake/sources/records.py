@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
+from tracelake.sources import split_json
 
+#: Larger .json files are read by many tasks.
+WHOLE_BYTES = 64 << 20
 SYSTEM = {"RecordNumber": "EventRecordID", "SourceName": "Provider_Name", "Hostname": "Computer"}
 
 
-def _files(spark: SparkSession, path: str, pattern: str | None, whole: bool) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str | None, whole: bool, only: Column | None = None) -> DataFrame:
     reader = spark.read.option("wholetext", whole).option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("file_size"))
+    rows = reader.text(path)
+    if only is not None:
+        rows = rows.where(only)
+    return rows.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def json_lines(spark: SparkSession, path: str, pattern: str | None = "*.jsonl") -> DataFrame:
@@ -28,8 +34,12 @@ def json_lines(spark: SparkSession, path: str, pattern: str | None = "*.jsonl")
 
 
 def json_files(spark: SparkSession, path: str, pattern: str | None = "*.json") -> DataFrame:
-    """raw, source_file, file_size: an array a file, or objects one after another; rows/fields exports and `result` objects too."""
-    rows = _files(spark, path, pattern, True)
+    """raw, source_file, file_size: an array a file, or objects one after another; rows/fields exports and `result` objects too.
+
+    Files of more than WHOLE_BYTES are cut by ranges of bytes (split_json) and come object by object, arrays and objects one after another alike.
+    """
+    large = split_json.objects(spark, path, pattern or "*", WHOLE_BYTES + 1).withColumn("raw", F.try_parse_json("value"))
+    rows = _files(spark, path, pattern, True, F.col("_metadata.file_size") <= WHOLE_BYTES)
     whole = rows.withColumn("parsed", F.try_parse_json("value"))
     kind = F.schema_of_variant("parsed")
     arrays = whole.where(kind.startswith("ARRAY")).select(F.explode(F.try_variant_get("parsed", "$", "array<variant>")).alias("raw"), F.lit(None).cast("string").alias("value"), "source_file", "file_size")
@@ -46,7 +56,7 @@ def json_files(spark: SparkSession, path: str, pattern: str | None = "*.json") -
     # Objects one after another: cut between } and {.
     many = whole.where("parsed is null").withColumn("piece", F.explode(F.split(F.regexp_replace("value", r"[\r\n]+", ""), r"(?<=\})\s*(?=\{)")))
     many = many.select(F.try_parse_json("piece").alias("raw"), F.col("piece").alias("value"), "source_file", "file_size")
-    return arrays.unionByName(tables).unionByName(singles).unionByName(many)
+    return arrays.unionByName(tables).unionByName(singles).unionByName(many).unionByName(large.select("raw", "value", "source_file", "file_size"))
 
 
 def rejected(raw: DataFrame) -> DataFrame:
