@@ -144,3 +144,35 @@ def test_damage_and_recovery(spark, tmp_path):
     found = evtx.read_logs(spark, str(tmp_path), recover=True)
     assert found.where("recovered").count() == 8 and found.where("event_ts_ns = 4000000000 and recovered").count() == 2
     assert list(evtx.read_chunk(bytes(broken), checksums=True))[0].error == "checksum of a chunk"
+
+
+def test_files_of_other_channels_stay_unread(spark, written, tmp_path, monkeypatch):
+    import os
+    import shutil
+
+    from tracelake.sources.file_channels import FileChannels
+
+    logs = str(tmp_path / "logs")
+    shutil.copytree(written, logs)
+    both = ChunkWriter()
+    for k, channel in enumerate(("System", "Security")):
+        both.record(k + 1, 0, "t", ("Event", [], [("System", [], [("EventID", [], [0]), ("Channel", [], [1])])]), [(0x06, struct.pack("<H", 4625)), text(channel)])
+    (tmp_path / "logs" / "both.evtx").write_bytes(file_bytes([both.bytes()]))
+    (tmp_path / "logs" / "none.evtx").write_bytes(b"broken")
+    known = FileChannels(spark, str(tmp_path / "side"))
+    assert known.update(logs) == 4 and known.update(logs) == 0 and known.channels() == {"Security", "System"}
+    rules = catalog.linked(catalog.rule("r", {"s": {"EventID": 4625, "Channel": "Security"}}))
+    files = known.files(rules)
+    assert [os.path.basename(f) for f in files] == ["Security.evtx", "both.evtx"]
+    assert {p.path for p in evtx.EvtxReader({"path": logs, "files": json.dumps(files)}).partitions()} == set(files)
+    engine = Engine(spark, catalog.fields())
+    key = lambda df: sorted(map(str, df.select("source_file", "record_id").collect()))
+    some = engine.read_logs(logs, files=files)
+    assert {r.source_file for r in some.select("source_file").distinct().collect()} == set(files)
+    assert key(engine.timeline(some, rules)) == key(engine.timeline(engine.read_logs(logs), rules)) != []
+    assert known.files([*rules, *catalog.linked(catalog.rule("any", {"s": {"EventID": 1}}))]) is None
+    # A changed file is read again, and its old channels go.
+    one = ChunkWriter()
+    one.record(1, 0, "t", ("Event", [], [("System", [], [("EventID", [], [0]), ("Channel", [], ["Other"])])]), [(0x06, struct.pack("<H", 1))])
+    (tmp_path / "logs" / "both.evtx").write_bytes(file_bytes([one.bytes(), one.bytes()]))
+    assert known.update(logs) == 1 and [os.path.basename(f) for f in known.files(rules)] == ["Security.evtx"] and "Other" in known.channels()

@@ -27,9 +27,9 @@ class Engine:
     def read(self, path: str) -> DataFrame:
         return sources.powershell_classic(sources.read_records(self.spark, path))
 
-    def read_logs(self, path: str, recover: bool = False, checksums: bool = False) -> DataFrame:
-        """Records of binary logs; with recover also those found in free space."""
-        return sources.powershell_classic(evtx.read_logs(self.spark, path, recover, checksums))
+    def read_logs(self, path: str, recover: bool = False, checksums: bool = False, files: list[str] | None = None) -> DataFrame:
+        """Records of binary logs; with recover also those found in free space. files: of these alone, as FileChannels tells them."""
+        return sources.powershell_classic(evtx.read_logs(self.spark, path, recover, checksums, files=files))
 
     def rules(self, path: str, placeholders: dict[str, list[str]] | None = None, levels: dict[str, str] | None = None, **options) -> Loaded:
         """Rules of a folder, checked, chosen, expanded, tuned and linked; what was left out and why comes with them."""

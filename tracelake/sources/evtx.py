@@ -5,7 +5,7 @@ defines once, with values. A template becomes a tree once a chunk, and a record
 their element as NAME_attributes, a Data element with a Name goes by that name, elements of one name become a list.
 
     spark.dataSource.register(EvtxSource)
-    spark.read.format("evtx").load("/logs")          # options: recover, checksums
+    spark.read.format("evtx").load("/logs")          # options: recover, checksums, files
 
 Filters on event_id and channel (equality, in) are taken by the reader where Spark's Python filter pushdown is on (spark.sql.python.filterPushdown.enabled; log_files() sets the option
 `pushdown` by it): records of others are passed over before their JSON is made.
@@ -329,6 +329,7 @@ class Chunks(InputPartition):
 class EvtxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("suffix", ".evtx")
+        self.only = set(json.loads(options["files"])) if options.get("files") else None
         self.recover, self.checksums = (str(options.get(k, "false")).lower() == "true" for k in ("recover", "checksums"))
         self.wanted: dict[str, set[str]] = {}
 
@@ -343,6 +344,8 @@ class EvtxReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for f in self._files():
+            if self.only is not None and f.path not in self.only:
+                continue
             n = max(1, -(-(f.size - HEAD) // CHUNK))
             out += [Chunks(f.path, k, min(CHUNKS_A_PARTITION, n - k)) for k in range(0, n, CHUNKS_A_PARTITION)]
         return out
@@ -393,16 +396,22 @@ class EvtxSource(DataSource):
         return (FilteringReader if pushed else EvtxReader)(dict(self.options))
 
 
-def log_files(spark: SparkSession, path: str, recover: bool = False, checksums: bool = False) -> DataFrame:
-    """Rows of SCHEMA of all .evtx files below a path. Filters on event_id and channel go to the reader where spark.sql.python.filterPushdown.enabled is true."""
+def listing(path: str) -> list[tuple[str, int, int]]:
+    """source_file, size and time of change (ns) of all .evtx files below a path."""
+    return [(f.path, f.size, f.mtime_ns or 0) for f in EvtxReader({"path": path})._files()]
+
+
+def log_files(spark: SparkSession, path: str, recover: bool = False, checksums: bool = False, files: list[str] | None = None) -> DataFrame:
+    """Rows of SCHEMA of all .evtx files below a path, or of those of `files` alone (as in source_file): others are not opened. Filters on event_id and channel go to the reader where spark.sql.python.filterPushdown.enabled is true."""
     spark.dataSource.register(EvtxSource)
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("evtx").option("recover", recover).option("checksums", checksums).option("pushdown", pushed).load(path)
+    reader = spark.read.format("evtx").option("recover", recover).option("checksums", checksums).option("pushdown", pushed)
+    return (reader if files is None else reader.option("files", json.dumps(files))).load(path)
 
 
-def read_logs(spark: SparkSession, path: str, recover: bool = False, checksums: bool = False, event_ids: list[str] | None = None, channels: list[str] | None = None) -> DataFrame:
-    """Records of all .evtx files below a path; event_ids, channels: of these alone."""
-    rows = log_files(spark, path, recover, checksums).where("error is null")
+def read_logs(spark: SparkSession, path: str, recover: bool = False, checksums: bool = False, event_ids: list[str] | None = None, channels: list[str] | None = None, files: list[str] | None = None) -> DataFrame:
+    """Records of all .evtx files below a path; event_ids, channels, files: of these alone."""
+    rows = log_files(spark, path, recover, checksums, files).where("error is null")
     for name, wanted in (("event_id", event_ids), ("channel", channels)):
         if wanted is not None:
             rows = rows.where(F.col(name).isin([str(x) for x in wanted]))
