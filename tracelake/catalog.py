@@ -386,6 +386,13 @@ def repeated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.mark_repeats(totals, ["channel"], ["channel", "event_id"])
 
 
+def marked_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeline in order, with DUP for details that repeat those of the row before; lines of JSON, each with its number."""
+    rules = linked(rule("t", {"s": {"EventID": 4625}}, details="Who: %SubjectUserName%"), rule("u", {"s": {"LogonType": "3"}}, level="high", details="Who: %SubjectUserName%"))
+    shown = Engine(spark, fields()).timeline(records(spark, sf_dir), rules, {"RecordID": "%RecordID%", "RuleID": "%RuleID%", "Details": "%Details%"}, mark="json")
+    return sinks.json_line(shown)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "timeline": timeline, "timeline_forms": timeline_forms, "many_rules": many_rules, "time_styles": time_styles, "abbreviated": abbreviated, "count_burst": _count_query(BURST), "count_distinct": _count_query(SPREAD), "count_few": _count_query(FEW), "event_count": event_count, "value_count": value_count,
@@ -393,7 +400,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "computer_metrics": computer_metrics, "time_span": time_span, "critical_systems": critical_systems, "search": search_keywords, "extract_base64": extract_base64, "pivot_keywords": pivot_keywords,
         "summary_levels": summary_levels, "summary_computers": summary_computers, "summary_rules": summary_rules, "summary_dates": summary_dates, "summary_authors": summary_authors, "summary_tactics": summary_tactics,
         "data_reduction": data_reduction, "hit_histogram": hit_histogram, "duplicate_detections": duplicate_detections, "duplicate_records": duplicate_records, "detail_texts": detail_texts, "extra_fields": extra_fields,
-        "mapped_codes": mapped_codes, "mapped_timeline": mapped_timeline, "critical_levels": critical_levels, "ip_places": ip_places, "json_lines": json_lines, "repeated_values": repeated_values,
+        "mapped_codes": mapped_codes, "mapped_timeline": mapped_timeline, "critical_levels": critical_levels, "ip_places": ip_places, "json_lines": json_lines, "repeated_values": repeated_values, "marked_timeline": marked_timeline,
     }
 
 
@@ -448,6 +455,7 @@ def oracles() -> dict[str, str]:
         "critical_levels": f"WITH {HITS} SELECT CASE WHEN computer IN ('HOST-1', 'HOST-4') THEN CASE level WHEN 'low' THEN 'med' WHEN 'medium' THEN 'high' ELSE 'crit' END ELSE CASE level WHEN 'medium' THEN 'med' ELSE level END END AS level, count(*) AS total FROM hits GROUP BY 1",
         "ip_places": f"WITH {RECS}, i AS (SELECT record_id, regexp_replace(ip, '^10\\.([12])\\.', '8.\\1.') AS ip FROM recs), s AS (SELECT *, CASE WHEN ip LIKE '10.%' THEN 'p' WHEN ip LIKE '8.1.%' THEN 'x' WHEN split_part(ip, '.', 3)::INT <= 128 THEN 'y' ELSE 'n' END AS w FROM i) SELECT record_id, ip, CASE w WHEN 'p' THEN 'Private' WHEN 'x' THEN 'AS1' WHEN 'y' THEN 'AS2' ELSE '-' END AS src_asn, CASE w WHEN 'x' THEN 'X' WHEN 'y' THEN 'Y' ELSE '-' END AS src_country, CASE w WHEN 'x' THEN 'a' WHEN 'y' THEN 'b' ELSE '-' END AS src_city FROM s",
         "json_lines": f"""WITH {RECS} SELECT '{{"RecordID": ' || record_id || ', "Computer": "' || computer || '", "Details": {{"User": "' || target || '", "Amount": ' || amount || '}}}}' AS value FROM recs""",
+        "marked_timeline": f"""WITH {RECS}, h AS (SELECT 't' AS rule_id, 3 AS lv, * FROM recs WHERE event_id = '4625' UNION ALL SELECT 'u', 4, * FROM recs WHERE logon_type = '3'), o AS (SELECT *, lag(subject) OVER (ORDER BY ns, lv, event_id, computer, record_id) AS prev FROM h) SELECT '{{"RecordID": ' || record_id || ', "RuleID": "' || rule_id || '", "Details": ' || CASE WHEN prev = subject THEN '"DUP"' ELSE '{{"Who": "' || subject || '"}}' END || '}}' AS value FROM o""",
         "repeated_values": f"WITH {RECS}, t AS (SELECT channel, event_id, count(*) AS total FROM recs GROUP BY ALL) SELECT CASE WHEN lag(channel) OVER (ORDER BY channel, event_id) = channel THEN 'DUP' ELSE channel END AS channel, event_id, total FROM t",
     }
     return out

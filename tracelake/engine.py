@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.operators import base64_tokens, filters, match, metrics, render, search, summary
 from tracelake.plans import rule as rules_
@@ -45,11 +46,14 @@ class Engine:
         linked = rules_.link(rules_.tune_levels(expanded.rules, levels or {}))
         return Loaded(linked.rules, loaded.errors + expanded.errors + linked.errors, chosen.left_out + expanded.left_out)
 
-    def timeline(self, records: DataFrame, rules: list[Rule], profile: dict[str, str] | None = None, duplicates: bool = True, ordered: bool = True, style: str = "default", channels: set[str] | None = None) -> DataFrame:
+    def timeline(self, records: DataFrame, rules: list[Rule], profile: dict[str, str] | None = None, duplicates: bool = True, ordered: bool = True, style: str = "default", channels: set[str] | None = None, mark: str | None = None) -> DataFrame:
         """Detections with details; in the timeline's order and under a profile's columns if asked for.
 
-        channels: all that the records have, where that is known; rules of others are then not compiled.
+        channels: all that the records have, where that is known; rules of others are then not compiled. mark: "csv" or "json", DUP in place of details, fields and
+        extra fields that the row before has too, as that output does.
         """
+        if mark and not (profile and ordered):
+            raise ValueError("repeats are marked in the columns of a profile, in order")
         if channels is not None:
             rules = match.prune(rules, channels)
         found = render.details(match.detect(records, rules, self.fields), self.fields, rules, self.default_details, self.mapping)
@@ -58,9 +62,16 @@ class Engine:
             found = match.without_duplicates(found)
         if profile:
             found = render.with_places(found, render.place_kinds(profile), self.places, self.fields)
+        if not profile:
+            return match.in_order(found) if ordered else found
+        # What is shown is made before the sort, which then need not carry the events.
+        found = found.withColumn("_keys", F.struct(*match.ORDER))
+        shown = render.profile_columns(found, profile, style, self.mapping, self.abbreviations, keep=("_keys",))
         if ordered:
-            found = match.in_order(found)
-        return render.profile_columns(found, profile, style, self.mapping, self.abbreviations) if profile else found
+            shown = match.in_order(shown, "_keys")
+        if mark:
+            shown = render.mark_sorted(shown, [c for c, what in profile.items() if what in render.MARKED], mark == "json")
+        return shown.drop("_keys")
 
     def search(self, records: DataFrame, *args, **options) -> DataFrame:
         return search.search(records, *args, fields=self.fields, **options)

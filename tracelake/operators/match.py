@@ -274,13 +274,21 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
     return reduce(DataFrame.unionByName, out).join(table, "rule_id")
 
 
-def in_order(detections: DataFrame) -> DataFrame:
-    """The timeline's order.
+#: What the timeline is ordered by; what ties then goes by what is shown.
+ORDER = ("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
+
+
+def in_order(detections: DataFrame, keys: str | None = None) -> DataFrame:
+    """The timeline's order; keys: a column that holds ORDER's columns, whose rows go by all other columns where they tie, from the left.
 
     A range sort reads its input once for the ranges and once more for the rows. Detections are shuffled as they are
     first, so both read them from there, and no rule is evaluated twice.
     """
-    return detections.repartition("rule_id", "record_id", "source_file", "event_ts_ns").orderBy("event_ts_ns", "level_rank", "event_id", "rule_file", "computer", "record_id")
+    if keys:
+        rest = [F.col(f"`{c}`") for c in detections.columns if c != keys]
+        return detections.repartition(keys).orderBy(*[F.col(keys).getField(c) for c in ORDER], *rest)
+    rest = [c for c in ("rule_id", "source_file", "agg_text", "details") if c in detections.columns]
+    return detections.repartition("rule_id", "record_id", "source_file", "event_ts_ns").orderBy(*ORDER, *rest)
 
 
 def without_duplicates(detections: DataFrame) -> DataFrame:

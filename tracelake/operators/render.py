@@ -10,6 +10,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake import scratch
 from tracelake.functions import columns as C
 from tracelake.plans.rule import LEVEL_ABBREVIATIONS, LEVELS
 from tracelake.plans.selection import Fields
@@ -281,8 +282,8 @@ def with_places(detections: DataFrame, sides: set[str], known: Places | None, fi
     return detections
 
 
-def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default", mapping: Mapping | None = None, short: Abbreviations | None = None) -> DataFrame:
-    """The profile's columns in its order: alias -> what, by %Kind% or a fixed text; place columns are those of with_places."""
+def profile_columns(detections: DataFrame, profile: dict[str, str], style: str = "default", mapping: Mapping | None = None, short: Abbreviations | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The profile's columns in its order: alias -> what, by %Kind% or a fixed text; place columns are those of with_places. keep: columns that stay, behind them."""
     provider = provider_of(detections)
     groups = tag_groups(F.col("tags"))
     joined = lambda c: F.array_join(c, C.SEPARATOR)
@@ -305,10 +306,36 @@ def profile_columns(detections: DataFrame, profile: dict[str, str], style: str =
         if m and m[1] not in kinds:
             raise ValueError(f"column {name}: {what} is unknown")
         cols.append((F.coalesce(kinds[m[1]].cast("string"), F.lit("-")) if m else F.lit(str(what))).alias(f"_{len(cols)}"))
-    return detections.select(*cols).toDF(*profile)
+    return detections.select(*cols, *keep).toDF(*profile, *keep)
+
+
+def mark_repeats(rows: DataFrame, columns: list[str], order: list[str], json: bool = False) -> DataFrame:
+    """DUP in place of a value that the row before has too, in the order of the whole output. json: empty details are not marked, as objects have them."""
+    return mark_sorted(rows.orderBy(*order), columns, json)
+
+
+def mark_sorted(rows: DataFrame, columns: list[str], json: bool = False) -> DataFrame:
+    """mark_repeats of rows that are in order, and stay so. A partition's first row is compared with the last one of the partition before, so no task has the whole."""
+    names = rows.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    held = scratch.written(rows.select(row.alias("_row"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "in-order")
+    value = lambda c: F.col("_row").getField(c)
+    own = F.struct(*[value(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    # A row for each partition: their last rows, each handed on to the next.
+    ends = held.groupBy("_p").agg(F.max_by(own, "_i").alias("end")).agg(F.array_sort(F.collect_list(F.struct("_p", "end"))).alias("ends"))
+    handed = F.transform("ends", lambda x, i: F.struct(x["_p"].alias("_q"), F.get(F.col("ends"), i - 1)["end"].alias("_handed")))
+    handed = ends.select(F.inline(handed))
+    before = held.withColumn("_before", F.lag(own).over(Window.partitionBy("_p").orderBy("_i")))
+    before = before.join(F.broadcast(handed), F.col("_p") == F.col("_q")).withColumn("_before", F.coalesce("_before", "_handed"))
+    out = []
+    for c in names:
+        v = value(c)
+        if c in columns:
+            same = v == F.col("_before").getField(f"c{columns.index(c)}")
+            v = F.when(C.truth(same & ~v.isin("", "-") if json else same), F.lit("DUP")).otherwise(v)
+        out.append(v.alias(c))
+    return before.orderBy("_i").select(*out)
 
 
-def mark_repeats(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """DUP in place of a value that the row before has too. The order is one of the whole output, so this is for results, not records."""
-    w = Window.orderBy(*order)
-    return rows.select(*[F.when(C.truth(F.col(c) == F.lag(c).over(w)), F.lit("DUP")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+#: Kinds of columns that repeats are marked in.
+MARKED = ("%Details%", "%AllFieldInfo%", "%ExtraFieldInfo%")
