@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake import scratch
 from tracelake.functions import columns as C
@@ -16,8 +19,8 @@ from tracelake.plans.rule import LEVEL_ABBREVIATIONS, LEVELS
 from tracelake.plans.selection import Fields
 
 _ALIAS = re.compile(r"%([^%\s]+?)(?:\[(\d+)\])?%")
-#: Levels below Event that are flattened; a plan has no recursion, so each level is written out.
-DEPTH = 12
+#: Levels below Event that the plan flattens; it has no recursion, so each level is written out.
+DEPTH = 4
 TACTICS = {
     "attack.reconnaissance": "Recon", "attack.resource-development": "ResDev", "attack.initial-access": "InitAccess", "attack.execution": "Exec", "attack.persistence": "Persis",
     "attack.privilege-escalation": "PrivEsc", "attack.stealth": "Stealth", "attack.defense-evasion": "Stealth", "attack.defense-impairment": "DefImpair", "attack.credential-access": "CredAccess",
@@ -25,25 +28,63 @@ TACTICS = {
 }
 
 
+_ENTRY = "array<struct<name:string,value:string>>"
+_LEFT_OUT = ("System", "xmlns", "Event_attributes")
+#: Unicode's white space, as trim_unicode() takes it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def deeper(v: Column, levels: int) -> Column:
+    """Whether objects and lists are nested deeper than so many levels, or may be: lists of mixed items do not tell."""
+    schema = F.schema_of_variant(v)
+    rest = F.regexp_replace(schema, "`(?:[^`]|``)*+`", "")
+    for _ in range(levels):
+        rest = F.regexp_replace(rest, "<[^<>]*+>", "")
+    return C.truth(rest.contains("<") | schema.contains("VARIANT"))
+
+
+def walk(node: object, name: str = "Event") -> list[tuple[str, str]]:
+    """leaves() of parsed JSON whose numbers are texts, to any depth."""
+    out, ahead = [], [(node, name, name)]
+    while ahead:
+        v, own, shown = ahead.pop()
+        if isinstance(v, dict):
+            ahead += [(x, k, k) for k, x in v.items() if k not in _LEFT_OUT]
+        elif isinstance(v, list):
+            ahead += [(x, own, f"{own}[{i}]") for i, x in enumerate(v, 1)]
+        elif v is not None:
+            out.append((shown, ("true" if v else "false") if isinstance(v, bool) else v.strip(_SPACE)))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])))
+def _walked(texts: pd.Series) -> pd.Series:
+    """Of the records alone that are too deep for a plan."""
+    parsed = lambda t: [{"name": k, "value": v} for k, v in walk(json.loads(t, parse_int=str, parse_float=str, parse_constant=str))]
+    return texts.map(lambda t: parsed(t) if t is not None else None)
+
+
 def leaves(event: Column, path: str = "$.Event", depth: int = DEPTH) -> Column:
-    """(name, value) of the scalar leaves below a path, System and xmlns left out, items of lists by number; what is deeper than `depth` comes as JSON."""
-    Entry = "array<struct<name:string,value:string>>"
-    Child = "array<struct<key:string,value:variant>>"
-
-    def down(v: Column, name: Column, left: int) -> Column:
-        here = F.array(F.struct(name.alias("name"), C.trim_unicode(F.try_variant_get(v, "$", "string")).alias("value")))
-        if left == 0:
-            return here
+    """(name, value) of the scalar leaves below a path, System and xmlns left out, items of lists by number. The plan goes down `depth` levels; records that are deeper are walked in Python."""
+    Child = "array<struct<key:string,shown:string,value:variant>>"
+
+    def down(v: Column, name: Column, shown: Column, left: int) -> Column:
+        here = F.array(F.struct(shown.alias("name"), C.trim_unicode(F.try_variant_get(v, "$", "string")).alias("value")))
         kind = F.schema_of_variant(v)
-        fields = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin("System", "xmlns", "Event_attributes"))
-        items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: ~F.schema_of_variant(x).startswith("VOID"))
-        numbered = F.transform(items, lambda x, i: F.struct(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        if left == 0:  # no objects or lists come here: their records are walked
+            return F.when(kind.startswith("VOID"), F.array().cast(_ENTRY)).otherwise(here)
+        fields = F.transform(F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*_LEFT_OUT)), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("shown"), e["value"].alias("value")))
+        # An item goes by its list's name and its place, also where lists are in lists.
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(name.alias("key"), F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("shown"), x.alias("value")))
         # Fields and items are one list of children, so that the expression grows with the depth and not with its power.
-        children = F.when(kind.startswith("OBJECT"), fields.cast(Child)).otherwise(numbered.cast(Child))
-        inside = F.flatten(F.transform(children, lambda e: down(e["value"], e["key"], left - 1)))
-        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), inside).when(kind.startswith("VOID"), F.array().cast(Entry)).otherwise(here)
+        children = F.when(kind.startswith("OBJECT"), fields.cast(Child)).otherwise(items.cast(Child))
+        inside = F.flatten(F.transform(children, lambda e: down(e["value"], e["key"], e["shown"], left - 1)))
+        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), inside).when(kind.startswith("VOID"), F.array().cast(_ENTRY)).otherwise(here)
 
-    return F.coalesce(down(F.try_variant_get(event, path, "variant"), F.lit("Event"), depth), F.array().cast(Entry))
+    v = F.try_variant_get(event, path, "variant")
+    deep = deeper(v, depth)
+    found = F.when(deep, _walked(F.when(deep, F.to_json(v)))).otherwise(down(v, F.lit("Event"), F.lit("Event"), depth))
+    return F.coalesce(found, F.array().cast(_ENTRY))
 
 
 def shown_leaves(event: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
@@ -309,12 +350,12 @@ def profile_columns(detections: DataFrame, profile: dict[str, str], style: str =
     return detections.select(*cols, *keep).toDF(*profile, *keep)
 
 
-def mark_repeats(rows: DataFrame, columns: list[str], order: list[str], json: bool = False) -> DataFrame:
-    """DUP in place of a value that the row before has too, in the order of the whole output. json: empty details are not marked, as objects have them."""
-    return mark_sorted(rows.orderBy(*order), columns, json)
+def mark_repeats(rows: DataFrame, columns: list[str], order: list[str], as_json: bool = False) -> DataFrame:
+    """DUP in place of a value that the row before has too, in the order of the whole output. as_json: empty details are not marked, as objects have them."""
+    return mark_sorted(rows.orderBy(*order), columns, as_json)
 
 
-def mark_sorted(rows: DataFrame, columns: list[str], json: bool = False) -> DataFrame:
+def mark_sorted(rows: DataFrame, columns: list[str], as_json: bool = False) -> DataFrame:
     """mark_repeats of rows that are in order, and stay so. A partition's first row is compared with the last one of the partition before, so no task has the whole."""
     names = rows.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
@@ -332,7 +373,7 @@ def mark_sorted(rows: DataFrame, columns: list[str], json: bool = False) -> Data
         v = value(c)
         if c in columns:
             same = v == F.col("_before").getField(f"c{columns.index(c)}")
-            v = F.when(C.truth(same & ~v.isin("", "-") if json else same), F.lit("DUP")).otherwise(v)
+            v = F.when(C.truth(same & ~v.isin("", "-") if as_json else same), F.lit("DUP")).otherwise(v)
         out.append(v.alias(c))
     return before.orderBy("_i").select(*out)
 
