@@ -37,16 +37,23 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
 
     Every path that some rule asks for becomes one column first; each rule is one predicate over them, and the
     ids of those that hold are exploded. Nothing is joined or shuffled. Where every rule names its channels, records of
-    others are left out before any field is read. Of thousands of rules, those that ask for some text are tried on the records alone that hold it.
+    others are left out before any field is read. Of hundreds of rules and more, those that ask for some text are tried on the records alone that hold it,
+    and of them only those are compiled whose text is in some record. A pass over the records' text tells which, and which of a rule's texts is the rarest (not for streams).
     """
     rules = [r for r in rules if r.kind not in ("temporal", "temporal_ordered")]
     fields = fields or Fields()
     if len(rules) >= PREFILTER_RULES and "data_string" in records.columns and literals.available():
-        needs = {r.id: literals.needed(r, fields) for r in rules}
+        seen: set[str] = set()
+        needs = {r.id: literals.needed(r, fields, seen=seen) for r in rules}
         sought = [r for r in rules if needs[r.id]]
         if len(sought) >= PREFILTER_RULES:
-            found = _match(records, sought, fields, [needs[r.id] for r in sought])
             rest = [r for r in rules if not needs[r.id]]
+            if not records.isStreaming:
+                texts = filters.rule_channels(records, sought) if fields.path("Channel") == "Event.System.Channel" else records
+                counts = literals.count(texts, sorted(seen))
+                needs = {r.id: literals.needed(r, fields, lambda need: sum(counts.get(x, 0) for x in need)) for r in sought}
+                sought = [r for r in sought if any(counts.get(x) for x in needs[r.id])]
+            found = _match(records, sought, fields, [needs[r.id] for r in sought])
             return found.unionByName(_match(records, rest, fields)) if rest else found
     return _match(records, rules, fields)
 

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.plans import condition as cond
@@ -36,20 +36,19 @@ def _of_text(text: str) -> Need:
     return frozenset({max(good, key=len)}) if good else None
 
 
-def _both(needs: list[Need]) -> Need:
-    """The demand that fewest records will meet: of the longest literals, of few ones."""
-    known = [n for n in needs if n]
-    return max(known, key=lambda n: (min(map(len, n)), -len(n)), default=None)
-
-
 def _either(needs: list[Need]) -> Need:
     return None if not needs or any(n is None for n in needs) else frozenset().union(*needs)
 
 
-def needed(rule: Rule, fields: Fields) -> Need:
-    """Literals of which a record must hold one, or None if the rule may match without any."""
+def by_length(need: frozenset[str]) -> tuple:
+    """A guess at how many records hold one of the literals: fewer, the longer they are."""
+    return -min(map(len, need)), len(need)
+
+
+def needed(rule: Rule, fields: Fields, cost: Callable[[frozenset[str]], object] = by_length, seen: set[str] | None = None) -> Need:
+    """Literals of which a record must hold one, or None if the rule may match without any. Of an `and` the side of the least cost counts. seen: gets all literals that could be asked for."""
     if rule.parts:
-        return _either([needed(p, fields) for p in rule.parts])
+        return _either([needed(p, fields, cost, seen) for p in rule.parts])
     if rule.kind != "plain":
         return None
     detection = rule.doc.get("detection") or {}
@@ -59,7 +58,13 @@ def needed(rule: Rule, fields: Fields) -> Need:
         name, *mods = key.split("|")
         if not isinstance(value, str) or not set(mods) <= {"contains", "startswith", "endswith", "cased", "all"}:
             return None
-        return None if name and fields.path(name) in TYPED else _of_text(value)
+        need = None if name and fields.path(name) in TYPED else _of_text(value)
+        if seen is not None and need:
+            seen.update(need)
+        return need
+
+    def _both(needs: list[Need]) -> Need:
+        return min((n for n in needs if n), key=cost, default=None)
 
     def selection(v: object, key: str = "") -> Need:
         if isinstance(v, dict):
@@ -114,6 +119,12 @@ def finder(needs: list[frozenset[str]], chunk: int) -> Callable[[Column], Column
     return find.asNondeterministic()
 
 
+def count(records: DataFrame, texts: list[str]) -> dict[str, int]:
+    """How many records hold each of the texts, of those that some record holds: as many numbers as there are texts."""
+    met = records.select(F.explode(finder([frozenset({x}) for x in texts], len(texts))(F.col("data_string"))["rules"]).alias("place"))
+    return {texts[r["place"]]: r["count"] for r in met.groupBy("place").count().collect()}
+
+
 def available() -> bool:
     """Whether there is an automaton here; the plan does without where there is none."""
     try:
