@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake import catalog_forms
 from tracelake.engine import Engine
 from tracelake.functions import columns as C
 from tracelake.operators import base64_tokens, filters, match, metrics, render, search, sinks, summary
@@ -401,7 +402,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_levels": summary_levels, "summary_computers": summary_computers, "summary_rules": summary_rules, "summary_dates": summary_dates, "summary_authors": summary_authors, "summary_tactics": summary_tactics,
         "data_reduction": data_reduction, "hit_histogram": hit_histogram, "duplicate_detections": duplicate_detections, "duplicate_records": duplicate_records, "detail_texts": detail_texts, "extra_fields": extra_fields,
         "mapped_codes": mapped_codes, "mapped_timeline": mapped_timeline, "critical_levels": critical_levels, "ip_places": ip_places, "json_lines": json_lines, "repeated_values": repeated_values, "marked_timeline": marked_timeline,
-    }
+    } | catalog_forms.QUERIES
 
 
 _LEAF_LIST = "['Amount: ' || amount, 'Caller: ' || caller, 'Code: ' || code, 'CommandLine: ' || command, 'IpAddress: ' || ip, 'LogonType: ' || logon_type, 'SubjectUserName: ' || subject, 'TargetDomainName: ' || dom, 'TargetUserName: ' || target, 'WorkstationName: ' || ws]"
@@ -458,4 +459,4 @@ def oracles() -> dict[str, str]:
         "marked_timeline": f"""WITH {RECS}, h AS (SELECT 't' AS rule_id, 3 AS lv, * FROM recs WHERE event_id = '4625' UNION ALL SELECT 'u', 4, * FROM recs WHERE logon_type = '3'), o AS (SELECT *, lag(subject) OVER (ORDER BY ns, lv, event_id, computer, record_id) AS prev FROM h) SELECT '{{"RecordID": ' || record_id || ', "RuleID": "' || rule_id || '", "Details": ' || CASE WHEN prev = subject THEN '"DUP"' ELSE '{{"Who": "' || subject || '"}}' END || '}}' AS value FROM o""",
         "repeated_values": f"WITH {RECS}, t AS (SELECT channel, event_id, count(*) AS total FROM recs GROUP BY ALL) SELECT CASE WHEN lag(channel) OVER (ORDER BY channel, event_id) = channel THEN 'DUP' ELSE channel END AS channel, event_id, total FROM t",
     }
-    return out
+    return out | catalog_forms.ORACLES
