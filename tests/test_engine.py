@@ -77,14 +77,14 @@ def test_places(spark):
     from tracelake.operators import render
 
     want = {
-        "8.1.0.9": ("AS1", "X", "a"), "::ffff:8.1.0.9": ("AS1", "X", "a"), "9.9.9.9": ("-", "-", "-"), "2001:218::1": ("AS6", "J", "t"), "2001:0218:FFFF::": ("AS6", "J", "t"), "2001:219::": ("-", "-", "-"),
+        "8.1.0.9": ("AS1", "X", "a"), "::ffff:8.1.0.9": ("AS1", "X", "a"), "9.9.9.9": ("-", "-", "-"), "2a0e:77::1": ("AS6", "J", "t"), "2A0E:0077:FFFF::": ("AS6", "J", "t"), "2a0e:78::": ("-", "-", "-"),
         "64:ff9b::8.1.0.9": ("AS7", "N", "n"), "2a01::5": ("AS8", "W", "w"), "0.0.0.0": ("Local", "-", "-"), "LOCAL": ("Local", "-", "-"), "::1": ("Local", "-", "-"), "::ffff:127.0.0.1": ("Local", "-", "-"),
-        "::ffff:10.0.0.1": ("Private", "-", "-"), "::": ("Private", "-", "-"), "fe80::123:33ef:fe11:1": ("Private", "-", "-"), "ff02::1": ("Private", "-", "-"), "fd12:3456:789a::1": ("Private", "-", "-"), "host": ("-", "-", "-"),
+        "::ffff:10.0.0.1": ("Private", "-", "-"), "::": ("Private", "-", "-"), "fe80::a1:b2:c3:d4": ("Private", "-", "-"), "ff02::1": ("Private", "-", "-"), "fdaa:bb:cc::dd": ("Private", "-", "-"), "host": ("-", "-", "-"),
     }
     tail = "asn string, country string, city string"
     ranges = spark.createDataFrame([(0x08010000, 0x0801FFFF, "AS1", "X", "a")], f"first long, last long, {tail}")
     last = ":ffff:ffff:ffff:ffff:ffff:ffff"
-    ranges6 = spark.createDataFrame([("2001:218::", f"2001:218{last}", "AS6", "J", "t"), ("64:ff9b::", "64:ff9b::255.255.255.255", "AS7", "N", "n"), ("2a00::", f"2a01:ffff{last}", "AS8", "W", "w")], f"first string, last string, {tail}")
+    ranges6 = spark.createDataFrame([("2a0e:77::", f"2a0e:77{last}", "AS6", "J", "t"), ("64:ff9b::", "64:ff9b::255.255.255.255", "AS7", "N", "n"), ("2a00::", f"2a01:ffff{last}", "AS8", "W", "w")], f"first string, last string, {tail}")
     out = render.places(spark.createDataFrame([(k,) for k in want] * 2, "ip string"), "ip", ranges, "src", ranges6).collect()
     assert len(out) == 2 * len(want) and {r.ip: (r.src_asn, r.src_country, r.src_city) for r in out} == want
 

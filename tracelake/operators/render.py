@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from tracelake.plans.selection import Fields
 _ALIAS = re.compile(r"%([^%\s]+?)(?:\[(\d+)\])?%")
 #: Levels below Event that the plan flattens; it has no recursion, so each level is written out.
 DEPTH = 4
+#: Tags and what is shown of them.
 TACTICS = {
     "attack.reconnaissance": "Recon", "attack.resource-development": "ResDev", "attack.initial-access": "InitAccess", "attack.execution": "Exec", "attack.persistence": "Persis",
     "attack.privilege-escalation": "PrivEsc", "attack.stealth": "Stealth", "attack.defense-evasion": "Stealth", "attack.defense-impairment": "DefImpair", "attack.credential-access": "CredAccess",
@@ -264,31 +268,49 @@ def mapped(v: Column, name: str, mappings: list[dict]) -> Column:
     return Mapping(mappings).value(v, name, F.col("provider"))
 
 
+#: A table of prefixes is broadcast up to so many rows, counted first.
+PREFIX_ROWS = 500_000
+
+
+def prefixes(ranges: DataFrame, ranges6: DataFrame | None = None) -> DataFrame:
+    """The networks that address ranges are made of: key (4 or 6, and the bits of the prefix), bits, size (of the whole range, as a sortable text), asn, country, city."""
+    kinds = "key string, bits int, size string, asn string, country string, city string"
+    columns = ("asn", "country", "city")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                first, last = (ipaddress.ip_address(r[k] if isinstance(r[k], int) else r[k].strip()) for k in ("first", "last"))
+                width, size = (32 if first.version == 4 else 128), f"{int(last) - int(first):039d}"
+                for n in ipaddress.summarize_address_range(first, last):
+                    rows.append({"key": f"{first.version}:" + format(int(n.network_address), f"0{width}b")[: n.prefixlen], "bits": n.prefixlen, "size": size, **{c: r[c] for c in columns}})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("bits", pa.int32()), ("size", pa.string()), *[(c, pa.string()) for c in columns]]))
+
+    four = ranges.select(F.col("first").cast("bigint"), F.col("last").cast("bigint"), *columns).mapInArrow(cut, kinds)
+    return four if ranges6 is None else four.unionByName(ranges6.select("first", "last", *columns).mapInArrow(cut, kinds))
+
+
 def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: DataFrame | None = None) -> DataFrame:
-    """rows with the owner, country and city of an address: `ranges` has first, last (numbers), asn, country, city, disjoint; `ranges6` the
-    same of IPv6, with first and last as addresses.
+    """rows with the owner, country and city of an address: `ranges` has first, last (numbers), asn, country, city; `ranges6` the same of IPv6, with first and last as addresses.
 
-    Each distinct address is looked up once, by a join on its first octet with ranges cut at octets, or on its first group with those cut at
-    groups; IPv4-mapped ones are IPv4, private ones are named as such.
+    Ranges may lie in one another: the smallest one counts. They are cut into networks, and each distinct address is looked up once, by equality with the networks of every prefix
+    length that there is; so no part of the addresses meets more than its own networks. IPv4-mapped ones are IPv4, private ones are named as such.
     """
-    octet = 1 << 24
+    networks = scratch.written(prefixes(ranges, ranges6), "prefixes")
+    lengths = [(r["version"], r["bits"]) for r in networks.select(F.left("key", F.lit(1)).alias("version"), "bits").distinct().collect()]  # at most 162
+    small = networks.limit(PREFIX_ROWS + 1).count() <= PREFIX_ROWS
     own = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_a", C.plain_address(F.col("_ip")))
-    own = own.withColumn("_n", C.ipv4(F.col("_a"))).withColumn("_k", C.private_kind(F.col("_a")))
-    cut = ranges.withColumn("_o", F.explode(F.sequence(F.floor(F.col("first") / octet), F.floor(F.col("last") / octet))))
-    four, six = own, None
-    if ranges6 is not None:
-        group = lambda c: F.conv(F.left(F.col(c), F.lit(4)), 16, 10).cast("int")
-        own = own.withColumn("_h", C.ipv6_hex(F.col("_a")))
-        cut6 = ranges6.withColumn("_first", C.ipv6_hex(C.plain_address(F.col("first")))).withColumn("_last", C.ipv6_hex(C.plain_address(F.col("last"))))
-        cut6 = cut6.withColumn("_o", F.explode(F.sequence(group("_first"), group("_last"))))
-        four, six = own.where("_h is null"), own.where("_h is not null")
-        six = six.join(cut6, (group("_h") == F.col("_o")) & F.col("_h").between(F.col("_first"), F.col("_last")), "left")
-    found = four.join(cut, (F.floor(F.col("_n") / octet) == F.col("_o")) & F.col("_n").between(F.col("first"), F.col("last")), "left")
+    own = own.withColumns({"_k": C.private_kind(F.col("_a")), "_4": F.lpad(F.conv(C.ipv4(F.col("_a")).cast("string"), 10, 2), 32, "0"), "_6": C.ipv6_hex(F.col("_a"))})
+    half = lambda at: F.lpad(F.conv(F.substr("_6", F.lit(at), F.lit(16)), 16, 2), 64, "0")
+    own = own.withColumn("_6", F.concat(half(1), half(17)))
+    keys = [F.when(F.col(f"_{v}").isNotNull(), F.concat(F.lit(f"{v}:"), F.left(f"_{v}", F.lit(n)))) for v, n in lengths]
+    tried = own.where("_k is null").select("_ip", F.explode(F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")).alias("key"))
+    met = tried.join(F.broadcast(networks) if small else networks, "key")
+    best = met.groupBy("_ip").agg(F.min(F.struct("size", "asn", "country", "city")).alias("_best")).select(F.col("_ip").alias("_found"), "_best")
     dash = F.lit("-")
-    cols = [F.coalesce("_k", c, dash).alias(f"{prefix}_{c}") if c == "asn" else F.coalesce(F.when(F.col("_k").isNotNull(), dash), F.col(c), dash).alias(f"{prefix}_{c}") for c in ("asn", "country", "city")]
-    found = found.select("_ip", *cols)
-    if six is not None:
-        found = found.unionByName(six.select("_ip", *cols))
+    found = own.select("_ip", "_k").join(best, F.col("_ip") == F.col("_found"), "left")
+    found = found.select("_ip", F.coalesce("_k", "_best.asn", dash).alias(f"{prefix}_asn"), *[F.coalesce(f"_best.{c}", dash).alias(f"{prefix}_{c}") for c in ("country", "city")])
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 

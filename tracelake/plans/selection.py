@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
 
-#: The modifiers that a rule may use.
+#: The modifiers that a rule may use.
 MODIFIERS = frozenset(
     "startswith endswith contains re i m s exists cidr windash fieldref equalsfield endswithfield base64 base64offset "
     "all cased gt lt gte lte utf16 utf16le utf16be wide neq expand".split()
