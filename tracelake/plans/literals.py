@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from importlib.util import find_spec
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,8 +128,4 @@ def count(records: DataFrame, texts: list[str]) -> dict[str, int]:
 
 def available() -> bool:
     """Whether there is an automaton here; the plan does without where there is none."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
+    return find_spec("ahocorasick") is not None
