@@ -105,13 +105,14 @@ _WINDOW = "rule_id string, key string, count bigint, values array<string>, start
 _COMPARE = {"==": operator.eq, ">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
 
 
-def greedy_windows(ns: list[int], frame: int, op: str, number: int, values: list | None = None) -> list[tuple[int, int, int]]:
+def greedy_windows(ns: list[int], frame: int, op: str, number: int, values: list | None = None, until: int | None = None) -> list[tuple[int, int, int]]:
     """(first, end, count) of windows over times in order: each is as long as the frame allows; one that
-    satisfies the comparison ends there, else its first record goes. values: count distinct ones instead."""
+    satisfies the comparison ends there, else its first record goes. values: count distinct ones instead.
+    until: only windows whose frame ends before that time, which are settled once no earlier record can come."""
     n, left, right = len(ns), 0, 0
     out, seen = [], {}
     compare = _COMPARE[op]
-    while left < n:
+    while left < n and (until is None or ns[left] + frame * 1_000_000_000 < until):
         while right < n and ns[right] - ns[left] <= frame * 1_000_000_000:
             if values is not None:
                 seen[values[right]] = seen.get(values[right], 0) + 1
@@ -130,7 +131,7 @@ def greedy_windows(ns: list[int], frame: int, op: str, number: int, values: list
     return out
 
 
-def _by_rule(rules: list[Rule], make, kind: str) -> Column:
+def by_rule(rules: list[Rule], make, kind: str) -> Column:
     """A column that depends on the row's rule: one flat choice, whose depth does not grow with the rules."""
     out = F.when(F.lit(False), F.lit(None).cast(kind))
     for r in rules:
@@ -149,9 +150,9 @@ def windows(matches: DataFrame, rules: list[Rule], fields: Fields) -> DataFrame:
     terms = {r.id: (r.frame, r.count.op, r.count.number, r.count.field is not None) for r in rules}
     text = lambda r: F.coalesce(fields.value(r.count.field), F.lit("")) if r.count.field else F.lit(None).cast("string")
     rows = matches.where(F.col("rule_id").isin(list(terms))).select(
-        "rule_id", _by_rule(rules, lambda r: group_key(r.count.by, fields), "string").alias("key"), _by_rule(rules, text, "string").alias("value"),
+        "rule_id", by_rule(rules, lambda r: group_key(r.count.by, fields), "string").alias("key"), by_rule(rules, text, "string").alias("value"),
         F.coalesce("event_ts_ns", F.lit(220_924_800_000_000_000)).alias("ns"), "record_id", "computer", "channel", "event_id", "source_file",
-        _by_rule(rules, lambda r: F.lit(r.frame), "bigint").alias("frame"),
+        by_rule(rules, lambda r: F.lit(r.frame), "bigint").alias("frame"),
     )
     rows = scratch.written(rows, "counted")
     schema = pa.schema([(n, pa.list_(pa.string()) if "array" in t else pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split(" ", 1) for x in _WINDOW.split(", "))])
@@ -272,7 +273,7 @@ def detect(records: DataFrame, rules: list[Rule], fields: Fields | None = None)
         shown_rules = [r for r in counted if not r.hidden]
         if shown_rules:
             own = results.where(F.col("rule_id").isin([r.id for r in shown_rules]))
-            out.append(shown(own, _by_rule(shown_rules, count_text, "string"), F.col("rule_id")))
+            out.append(shown(own, by_rule(shown_rules, count_text, "string"), F.col("rule_id")))
         for r in rules:
             if r.kind in ("temporal", "temporal_ordered") and r.refs:
                 fired = temporal(results, r.refs[0], list(r.refs[1:]), r.frame, r.kind == "temporal_ordered")
