@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.engine import Engine
 from tracelake.functions import columns as C
-from tracelake.operators import match, metrics, render, sinks
+from tracelake.operators import match, metrics, render, reports, search, sinks
 from tracelake.plans.rule import from_doc, link
 from tracelake.plans.selection import Fields
 from tracelake.sources import records as sources
@@ -154,10 +154,60 @@ def csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_ready(rows, separator="\t")
 
 
-QUERIES = {f.__name__: f for f in (logon_kinds, computer_details, file_servers, list_leaves, data_items, profile_kinds, powershell_fields, flat_exports, csv_columns)}
+SHORT = render.Abbreviations({"system": "Sys", "security": "Sec"}, {"prov-8": "P8"}, {"prov-": "p:"})
 
+
+def event_id_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = spark.createDataFrame([("Security", "5145", "Share checked"), ("System", "6009", "Boot")], "channel string, event_id string, title string")
+    return reports.event_ids(metrics.event_id_counts(forms(spark, sf_dir), titles), SHORT)
+
+
+def logon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.logons(metrics.logons(forms(spark, sf_dir)))
+
+
+def computer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = spark.createDataFrame([("1900", "S", "1"), ("1902", "S", "2")], "build string, product string, version string")
+    return reports.computers(metrics.computers(forms(spark, sf_dir), versions))
+
+
+def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forms(spark, sf_dir).withColumn("file_size", F.substring_index(F.substring_index("source_file", "-", -1), ".", 1).cast("bigint") * 700_000)
+    return reports.logs(metrics.logs(rows.withColumn("source_file", F.concat(F.lit("/logs/"), "source_file"))), SHORT)
+
+
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = spark.createDataFrame([("security", "5145", "Share checked")], "channel string, event_id string, title string")
+    found = search.search(forms(spark, sf_dir), ["HOST-3", "HOST-7"], filters=["EventID: *5*"], fields=fields())
+    return reports.search(found, titles, SHORT, separator="\t")
+
+
+QUERIES = {f.__name__: f for f in (event_id_report, logon_report, computer_report, log_report, search_report, logon_kinds, computer_details, file_servers, list_leaves, data_items, profile_kinds, powershell_fields, flat_exports, csv_columns)}
+
+_CHANNEL = f"CASE WHEN kind IN (0, 1, 8) THEN 'Security' WHEN kind IN (2, 3) THEN '{metrics.LSM}' WHEN kind = 4 THEN '{metrics.RCM}' WHEN kind = 5 THEN '{metrics.GATEWAY}' ELSE 'System' END"
+_SHORT = f"CASE WHEN kind IN (0, 1, 8) THEN 'Sec' WHEN kind IN (6, 7) THEN 'Sys' ELSE {_CHANNEL} END"
+_UP = "(up // 31536000) || 'Y ' || (up % 31536000 // 2592000) || 'M ' || (up % 2592000 // 86400) || 'd ' || (up % 86400 // 3600) || 'h ' || (up % 3600 // 60) || 'm ' || (up % 60) || 's'"
+_STAMP = "'%Y-%m-%d %H:%M:%S.%g +00:00'"
 _MESSAGE = "'line ' || num || ' next'"
 ORACLES = {
+    "event_id_report": f"""WITH {FORMS}, t AS (SELECT count(*) AS n, lower({_CHANNEL}) AS c, {_SHORT} AS short, eid FROM forms GROUP BY ALL)
+SELECT n::VARCHAR AS "Total", format('{{:.1f}}%', round(n / (SELECT count(*) FROM forms) * 1000) / 10) AS "%", CASE WHEN short IN ('Sec', 'Sys') THEN short ELSE c END AS "Channel", eid AS "ID",
+  CASE eid WHEN '5145' THEN 'Share checked' WHEN '6009' THEN 'Boot' ELSE 'Unknown' END AS "Event" FROM t""",
+    "computer_report": f"""WITH {FORMS}, c AS (
+  SELECT computer, count(*) AS n, max(CASE WHEN eid = '6009' THEN '190' || (uid % 4) END) AS build, max(CASE WHEN eid = '6013' THEN '-' || (uid % 12 * 60) || ' Zone' END) AS zone,
+    max(CASE WHEN kind IN (6, 7) THEN ns END) // 1000000000 - max(CASE WHEN eid = '6009' THEN ns END) // 1000000000 AS up FROM forms GROUP BY computer)
+SELECT computer AS "Computer", CASE build WHEN '1900' THEN 'S 1' WHEN '1902' THEN 'S 2' ELSE '' END AS "OS information", CASE WHEN up > 0 THEN {_UP} ELSE '' END AS "UpTime", coalesce(zone, '') AS "Timezone", n::VARCHAR AS "Events" FROM c""",
+    "log_report": f"""WITH {FORMS} SELECT 'forms-' || kind || '.evtx' AS "Filename", array_to_string(list_sort(list(DISTINCT computer)), ' ¦') AS "Computers", format('{{:,}}', count(*)) AS "Events",
+  strftime(make_timestamp(min(ns) // 1000), {_STAMP}) AS "First Timestamp", strftime(make_timestamp(max(ns) // 1000), {_STAMP}) AS "Last Timestamp", {_SHORT} AS "Channels", CASE kind WHEN 8 THEN 'P8' ELSE 'p:' || kind END AS "Providers",
+  CASE kind WHEN 0 THEN '0 B' WHEN 1 THEN '683.6 KiB' ELSE format('{{:.1f}} MiB', kind * 700000 / 1048576) END AS "Size" FROM forms GROUP BY kind""",
+    "logon_report": f"""WITH {FORMS}, k AS (
+  SELECT CASE WHEN kind < 2 THEN 'Sec ' || eid WHEN kind < 4 THEN 'RDS-LSM ' || eid WHEN kind = 4 THEN 'RDS-RCM 1149' ELSE 'RDS-GTW 302' END AS event, 'user' || uid AS account,
+    CASE kind WHEN 3 THEN '-' WHEN 5 THEN 'GW' ELSE 'DOM' || (uid % 3) END AS dom, computer, CASE WHEN kind < 2 THEN 'WS' || (uid % 11) ELSE '-' END AS ws, '10.0.0.' || (num % 250) AS ip, ns FROM forms WHERE kind < 6)
+SELECT count(*)::VARCHAR AS "Successful", strftime(make_timestamp(min(ns) // 1000), {_STAMP}) AS "First Logon", strftime(make_timestamp(max(ns) // 1000), {_STAMP}) AS "Last Logon", event AS "Event", account AS "Target Account",
+  dom AS "Target Domain", computer AS "Target Computer", '-' AS "Logon Type", '-' AS "Source Account", '-' AS "Source Domain", ws AS "Source Computer", ip AS "Source IP Address" FROM k GROUP BY ALL""",
+    "search_report": rf"""WITH {FORMS}, s AS (SELECT *, strftime(make_timestamp(ns // 1000), '%Y-%m-%d %H:%M:%S.%f+00:00') AS stamp FROM forms WHERE (computer LIKE '%HOST-3%' OR computer LIKE '%HOST-7%') AND eid LIKE '%5%')
+SELECT stamp AS "Timestamp", CASE eid WHEN '5145' THEN 'Share checked' ELSE '-' END AS "EventTitle", computer AS "Hostname", {_SHORT} AS "Channel", eid AS "Event ID", num::VARCHAR AS "Record ID",
+  CASE kind WHEN 8 THEN 'Message: line ' || num || ' next' || chr(9) || 'ShareName: ' || CASE WHEN num % 2 = 0 THEN '\\*\IPC$' ELSE '\\*\share' || (uid % 5) END ELSE 'Address: 10.0.0.' || (num % 250) || chr(9) || 'Message: line ' || num || ' next' || chr(9) || 'User: user' || uid END AS "AllFieldInfo", 'forms-' || kind || '.evtx' AS "EvtxFile" FROM s""",
     "logon_kinds": f"""WITH {FORMS}, k AS (
   SELECT CASE WHEN kind < 2 THEN 'Sec ' || eid WHEN kind < 4 THEN 'RDS-LSM ' || eid WHEN kind = 4 THEN 'RDS-RCM 1149' ELSE 'RDS-GTW 302' END AS event, 'user' || uid AS dst_user,
     CASE kind WHEN 3 THEN '-' WHEN 5 THEN 'GW' ELSE 'DOM' || (uid % 3) END AS dst_domain, computer, CASE WHEN kind < 2 THEN 'WS' || (uid % 11) ELSE '-' END AS src_computer, '10.0.0.' || (num % 250) AS src_ip, ns FROM forms WHERE kind < 6)

@@ -174,14 +174,18 @@ def duration(seconds: Column) -> Column:
 
 
 def uptime(seconds: Column) -> Column:
-    """Years, months of 30 days, days, hours, minutes and seconds, leading zeros left out."""
-    units = (("Y", 31_536_000), ("M", 2_592_000), ("d", 86_400), ("h", 3_600), ("m", 60), ("s", 1))
-    parts, rest = [], seconds
-    for name, size in units:
-        n = F.floor(rest / size)
-        parts.append(F.when((n > 0) | F.lit(name == "s"), F.concat(n.cast("string"), F.lit(name))))
-        rest = rest - n * size
-    return F.array_join(F.array_compact(F.array(*parts)), " ")
+    """Years of 365 days, months of 30, days, hours, minutes and seconds. Days are those that whole months leave of all seconds, as the format has it, whatever the years."""
+    units = ((None, 31_536_000, "Y"), (31_536_000, 2_592_000, "M"), (2_592_000, 86_400, "d"), (86_400, 3_600, "h"), (3_600, 60, "m"), (60, 1, "s"))
+    part = lambda within, size: F.floor((seconds % within if within else seconds) / size)
+    return F.concat_ws(" ", *[F.concat(part(within, size).cast("string"), F.lit(name)) for within, size, name in units])
+
+
+def size_text(bytes_: Column) -> Column:
+    """Bytes below 1,024 as they are, above with one decimal in units of 1,024."""
+    out = F.concat(bytes_.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+        out = F.when(bytes_ >= 1024**power, F.format_string(f"%.1f {unit}", bytes_ / float(1024**power))).otherwise(out)
+    return out
 
 
 # Addresses

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake import scratch
 from tracelake.functions import columns as C
 
 SECURITY, LSM = "Security", "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational"
@@ -30,7 +31,7 @@ def event_id_counts(records: DataFrame, titles: DataFrame | None = None) -> Data
     counts = counts.join(F.broadcast(whole)).withColumn("percent", C.percent_f32(F.col("total"), F.col("_all"))).drop("_all")
     if titles is not None:
         named = titles.select(F.lower("channel").alias("_c"), F.col("event_id").alias("_e"), F.col("title").alias("_title"))
-        counts = counts.join(F.broadcast(named), (F.col("channel") == F.col("_c")) & (F.col("event_id") == F.col("_e")), "left")
+        counts = counts.join(scratch.small(named), (F.col("channel") == F.col("_c")) & (F.col("event_id") == F.col("_e")), "left")
         counts = counts.withColumn("title", F.coalesce("_title", F.lit("Unknown"))).drop("_c", "_e", "_title")
     else:
         counts = counts.withColumn("title", F.lit("Unknown"))
@@ -88,7 +89,7 @@ def computers(records: DataFrame, versions: DataFrame | None = None) -> DataFram
     out = out.withColumn("uptime", F.unix_seconds("last_system") - F.unix_seconds("last_boot"))
     if versions is not None:
         known = versions.select(F.col("build").alias("_b"), F.concat_ws(" ", "product", "version").alias("os"))
-        out = out.join(F.broadcast(known), F.col("build") == F.col("_b"), "left").drop("_b")
+        out = out.join(scratch.small(known), F.col("build") == F.col("_b"), "left").drop("_b")
     else:
         out = out.withColumn("os", F.col("build"))
     return out.orderBy(F.desc("events"), "computer")

@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake import scratch
 from tracelake.functions import columns as C
 
+from . import metrics, reports, summary
+from .render import Abbreviations
+
 #: Columns that become objects of their `key: value` parts in JSON.
 NESTED = ("Details", "ExtraFieldInfo", "AllFieldInfo")
 LISTED = ("MitreTactics", "MitreTags", "OtherTags")
+# The order of keys in a search's JSON.
+SEARCH_KEYS = ("Timestamp", "Hostname", "Channel", "Event ID", "Record ID", "EventTitle", "AllFieldInfo", "EvtxFile")
 
 
 def csv_ready(rows: DataFrame, separator: str | None = None, authors: str = "RuleAuthor") -> DataFrame:
@@ -90,19 +96,67 @@ def write_keywords(pairs: DataFrame, path: str) -> None:
     pairs.select("category", F.col("value")).write.mode("overwrite").partitionBy("category").text(path)
 
 
-def write_logons(rows: DataFrame, path: str) -> None:
-    """Successful and failed logons, each a CSV of their own."""
-    keys = [c for c in rows.columns if not c.endswith(("successes", "failures", "success", "failure"))]
-    write_csv(rows.where("successes > 0").select(F.col("successes").alias("count"), *keys, "first_success", "last_success"), f"{path}-successful.csv")
-    write_csv(rows.where("failures > 0").select(F.col("failures").alias("count"), *keys, "first_failure", "last_failure"), f"{path}-failed.csv")
+def write_logons(found: DataFrame, path: str, style: str = "default") -> None:
+    """Successful and failed logons of metrics.logons, each a CSV of their own under its fixed header."""
+    write_csv(reports.logons(found, style=style), f"{path}-successful.csv")
+    write_csv(reports.logons(found, failed=True, style=style), f"{path}-failed.csv")
+
+
+def write_search(found: DataFrame, path: str, form: str = "csv", titles: DataFrame | None = None, short: Abbreviations = reports.NONE, separator: str = C.SEPARATOR) -> None:
+    """Hits of a search as CSV or JSON lines. JSON has its keys in an order of its own, and all fields as an object."""
+    if form not in ("csv", "jsonl"):
+        raise ValueError(f"no form {form}")
+    if form == "csv":
+        # The separator is put in behind the collapsing of spaces, which would take it away.
+        shown = reports.search(found, titles, short, separator)
+        shown.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    else:
+        json_line(reports.search(found, titles, short).select(*[f"`{c}`" for c in SEARCH_KEYS])).write.mode("overwrite").text(path)
+
 
+def html_rows(df: DataFrame) -> DataFrame:
+    """value: each row as a row of an HTML table, in df's order."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = [F.concat(F.lit("<td>"), escape(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns]
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
 
-def html_report(sections: dict[str, DataFrame], title: str, most: int = 1000) -> str:
-    """Summary tables as one HTML page. Sections are aggregates; a longer one ends with a note, never silently."""
-    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
-    for name, df in sections.items():
-        rows = df.limit(most + 1).collect()
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if x is None else str(x))}</td>" for x in r) + "</tr>" for r in rows[:most])
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>" + ("<p>More rows are in the full result.</p>" if len(rows) > most else ""))
-    return "".join(out) + "</body></html>"
+
+def write_html_report(sections: dict[str, dict[str, DataFrame | str]], path: str, title: str) -> None:
+    """One HTML page of sections, each of tables and texts by name; a section or table without rows says so.
+
+    Tables are aggregates that were made by Spark; their rows are made there too and come to the driver one partition at a time, all of them.
+    """
+    head = html.escape(title)
+    with Path(path).open("w", encoding="utf-8") as f:
+        f.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{head}</title></head><body><h1>{head}</h1>")
+        for section, parts in sections.items():
+            f.write(f"<h2>{html.escape(section)}</h2>")
+            if not parts:
+                f.write("<p>Nothing was found.</p>")
+            for name, part in parts.items():
+                f.write(f"<h3>{html.escape(name)}</h3>")
+                if isinstance(part, str):
+                    f.write(f"<p>{html.escape(part)}</p>")
+                    continue
+                none = True
+                for row in html_rows(part).toLocalIterator():
+                    if none:
+                        f.write("<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in part.columns) + "</tr>")
+                        none = False
+                    f.write(row["value"])
+                f.write("<p>Nothing was found.</p>" if none else "</table>")
+        f.write("</body></html>")
+
+
+def timeline_report(detections: DataFrame, records: DataFrame, tactics: dict[str, str]) -> dict[str, dict[str, DataFrame | str]]:
+    """The two sections of a timeline's report: an overview of the records, and what the rules found, by level, day, computer, rule and tactic."""
+    # All of these read the detections; they are written once, without the events.
+    found = scratch.written(detections.drop("event"), "reported")
+    total = records.count()
+    span = metrics.time_span(records).select(C.format_time(F.col("first_time")).alias("First"), C.format_time(F.col("last_time")).alias("Last"))
+    overview = {"Records": f"{total:,}", "Time span": span, "Data reduction": summary.data_reduction(found, total)}
+    results = {
+        "Detections by level": summary.by_level(found), "Days with most detections": summary.busiest_date(found), "Computers with most rules": summary.top_computers(found),
+        "Rules with most detections": summary.top_rules(found), "Tactics by computer": summary.tactics(found, tactics), "Rule authors": summary.authors(found),
+    }
+    return {"General Overview": overview, "Results Summary": results}

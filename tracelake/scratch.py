@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only when it has at most so many rows, counted first.
+BROADCAST_ROWS = 200_000
 
 _TABLES: dict[str, SparkSession] = {}
 
@@ -34,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows that it fits; else as it is, to be joined by shuffling."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "scratch_path", None)
