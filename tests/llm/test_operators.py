@@ -382,6 +382,27 @@ def test_suffix_index_grows(spark, passages, monkeypatch, hot):
         assert tuple(covered) == whole[(r.doc_id, n)]
 
 
+def test_suffix_index_writes_merged_levels_alone(spark, monkeypatch):
+    """Eight batches write no more than log2(8) + 1 times the index; ranges double with the text, in the levels that are there too, and old and new texts still meet."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 1 << 11)
+    shared = [prose(900 + k, 120) for k in range(4)]
+    index, written, buckets, seen = None, 0, [], []
+    for k in range(8):
+        texts = [(100 * k + i, prose(5000 + 100 * k + i, 80) + " " + (shared[i % 4] if i < 4 else prose(7000 + 100 * k + i, 60))) for i in range(12)]
+        seen += texts
+        found, index = suffix_dedup.add(spark.createDataFrame(texts, "doc_id long, text string"), index)
+        written += index.family[-1].table.agg(F.sum(F.octet_length("payload"))).first()[0]
+        buckets.append(index.buckets)
+        hit = {r._id for r in found.where(f"_width = {suffix_dedup.MATCH}").collect()}
+        # Every batch's four texts with a shared passage meet those of all batches before.
+        assert hit == ({100 * j + i for j in range(k + 1) for i in range(4)} if k else set())
+    assert [x.size for x in index.family] == [8] and buckets[-1] > buckets[0]
+    held = index.levels.agg(F.sum(F.octet_length("payload"))).first()[0]
+    assert held < written <= 4 * held
+    whole = suffix_dedup.suffix_dedup(spark.createDataFrame(seen, "doc_id long, text string")).where("n_removed > 0")
+    assert {r.doc_id for r in whole.collect()} == {100 * j + i for j in range(8) for i in range(4)}
+
+
 def test_long_texts_by_segments(spark, monkeypatch):
     a, b = prose(20, 900), prose(21, 300)
     batch = spark.createDataFrame([(1, a + b), (2, "q " + b)], "doc_id long, text string")

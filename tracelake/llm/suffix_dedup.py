@@ -10,8 +10,8 @@ are counted beside, so shared passages too short to be cut are told as well.
 3. Each hash range of grams has a family of suffix arrays. A new batch's suffixes are sorted by gram, following bytes and their length, merged with
    the arrays of all levels, and the common prefixes of neighbours (and, in the order of the bytes before, the common suffixes) say which windows
    are equal: two windows are, if neighbours from one to the other never share less than the window needs on either side. Both sides of a match with
-   a new suffix are marked. Then the batch becomes a level; while two levels have equal size they merge into one of twice the size, so a suffix
-   is rewritten a logarithmic number of times.
+   a new suffix are marked. Then the batch becomes a level; while two levels have equal size they merge into one of twice the size. A kept index has a
+   table for each level: all are read, but only the merged one is written, so a suffix is written a logarithmic number of times.
 4. A gram with more than HOT contexts (a line in a third of all documents) would gather in one range: its windows are sent by
    their own hashes instead, which spreads them, and equal ones are found by 96 bits.
 5. Marked spans join back to the texts.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import materialize, ship_package, table
+from .common import drop_scratch, materialize, materialize_parts, ship_package, table
 from .repeats import BLOBS_SQL, Levels, blobs, bucket_of, count_blobs, find_counts, runs
 
 MATCH = 400
@@ -382,46 +383,94 @@ def _by_document(s: np.ndarray) -> dict:
     return {"_id": s["id"][at], "_tag": s["tag"][at].astype(np.int64), "_width": s["width"][at].astype(np.int32), "_spans": pairs}
 
 
-def _work(buckets: int, keep: bool):
-    """A hash range's family: the batches one after the other are merge-scanned against all levels, then become levels themselves."""
+def _found(spans: np.ndarray, bucket: int | None = None, size: int | None = None, payload: bytes | None = None) -> pa.Table:
+    """Spans as rows of documents, and a row of the level's array if there is one."""
+    rows = _by_document(spans)
+    n = len(rows["_spans"])
+    out = pa.table({**rows, "bucket": pa.nulls(n, pa.int32()), "size": pa.nulls(n, pa.int32()), "payload": pa.nulls(n, pa.binary())}, schema=_FOUND)
+    if payload is None:
+        return out
+    array = {"_id": pa.nulls(1, pa.int64()), "_tag": pa.nulls(1, pa.int64()), "_width": pa.nulls(1, pa.int32()), "_spans": pa.nulls(1, pa.binary()), "bucket": [bucket], "size": [size], "payload": [payload]}
+    return pa.concat_tables([out, pa.table(array, schema=_FOUND)])
+
+
+def _aged(e: np.ndarray) -> np.ndarray:
+    """The entries as old ones."""
+    out = e.copy()
+    out["fresh"] = 0
+    return out
+
+
+def _read(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=dtype), *[np.frombuffer(x.as_buffer(), dtype=dtype) for x in column]])
+
+
+def _work(buckets: int):
+    """A hash range's family in a closed corpus: the batches one after the other are merge-scanned against all levels, then become levels themselves."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        bucket = entries.column("bucket")[0].as_py()
+        if bucket < 0:
+            return _found(_read(entries.column("bytes"), _SPAN))
+        if bucket >= buckets:
+            return _found(_equal_hashes(_read(entries.column("bytes"), _WINDOW)))
+        family: list[tuple[int, SuffixArray]] = []
+        found = [np.zeros(0, dtype=_SPAN)]
+        of = entries.column("batch").to_numpy()
+        for b in np.unique(of):
+            fresh = SuffixArray.of_rows(entries.filter(pa.array(of == b)))
+            found.append(_scan(SuffixArray.merged([*[level for _, level in family], fresh])))
+            size, level = 1, SuffixArray(_aged(fresh.e), fresh.after, fresh.before)
+            while family and family[-1][0] == size:
+                level = SuffixArray.merged([family.pop()[1], level])
+                size *= 2
+            family.append((size, level))
+        return _found(np.concatenate(found))
+
+    return run
+
+
+def _grow(buckets: int, size: int):
+    """A hash range of a kept index: the batch is merge-scanned against the range's arrays of all levels; with those whose levels merge it becomes one array of `size` batches."""
 
     def run(entries: pa.Table, levels: pa.Table) -> pa.Table:
         bucket = (entries if entries.num_rows else levels).column("bucket")[0].as_py()
-        family: list[tuple[int, object]] = []
         if bucket < 0:
-            spans = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SPAN) for x in entries.column("bytes")])
-        elif bucket >= buckets:
-            old = [np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in levels.column("payload")]
-            w = np.concatenate([*old, *[np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in entries.column("bytes")]])
-            spans = _equal_hashes(w)
-            kept = w.copy()
-            kept["fresh"] = 0
-            family = [(1, kept)]
-        else:
-            stored = sorted(zip(levels.column("size").to_pylist(), levels.column("payload")), key=lambda x: -x[0])
-            family = [(size, SuffixArray.read(payload)) for size, payload in stored]
-            found = [np.zeros(0, dtype=_SPAN)]
-            of = entries.column("batch").to_numpy()
-            for b in np.unique(of):
-                fresh = SuffixArray.of_rows(entries.filter(pa.array(of == b)))
-                found.append(_scan(SuffixArray.merged([*[level for _, level in family], fresh])))
-                aged = fresh.e.copy()
-                aged["fresh"] = 0
-                size, level = 1, SuffixArray(aged, fresh.after, fresh.before)
-                while family and family[-1][0] == size:
-                    level = SuffixArray.merged([family.pop()[1], level])
-                    size *= 2
-                family.append((size, level))
-            spans = np.concatenate(found)
-        rows = _by_document(spans)
-        n = len(rows["_spans"])
-        out = pa.table({**rows, "bucket": pa.nulls(n, pa.int32()), "size": pa.nulls(n, pa.int32()), "payload": pa.nulls(n, pa.binary())}, schema=_FOUND)
-        if keep and bucket >= 0:
-            m = len(family)
-            payloads = [x.payload() if isinstance(x, SuffixArray) else x.tobytes() for _, x in family]
-            arrays = {"_id": pa.nulls(m, pa.int64()), "_tag": pa.nulls(m, pa.int64()), "_width": pa.nulls(m, pa.int32()), "_spans": pa.nulls(m, pa.binary())}
-            out = pa.concat_tables([out, pa.table({**arrays, "bucket": [bucket] * m, "size": [size for size, _ in family], "payload": payloads}, schema=_FOUND)])
-        return out
+            return _found(_read(entries.column("bytes"), _SPAN))
+        merges = levels.column("merges").to_pylist()
+        if bucket >= buckets:
+            fresh = _read(entries.column("bytes"), _WINDOW)
+            own = np.concatenate([_read(levels.filter(pa.array(merges, pa.bool_())).column("payload"), _WINDOW), _aged(fresh)])
+            spans = _equal_hashes(np.concatenate([_read(levels.column("payload"), _WINDOW), fresh]))
+            return _found(spans, bucket, size, own.tobytes() if len(own) else None)
+        arrays = [SuffixArray.read(x) for x in levels.column("payload")]
+        own, spans = [x for x, m in zip(arrays, merges) if m], np.zeros(0, dtype=_SPAN)
+        if entries.num_rows:
+            fresh = SuffixArray.of_rows(entries)
+            spans = _scan(SuffixArray.merged([*arrays, fresh]))
+            own.append(SuffixArray(_aged(fresh.e), fresh.after, fresh.before))
+        return _found(spans, bucket, size, SuffixArray.merged(own).payload() if own else None)
+
+    return run
+
+
+def _split(old: int, new: int):
+    """A level's arrays by the finer ranges of now. Ranges go by the high bits of the hashes, so each new one lies within an old one, in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, size, payload in zip(batch.column("bucket").to_pylist(), batch.column("size").to_pylist(), batch.column("payload")):
+                if bucket >= old:
+                    e = np.frombuffer(payload.as_buffer(), dtype=_WINDOW)
+                    e = e[np.argsort(e["w1"], kind="stable")]
+                    own, first = bucket_of(e["w1"], new), new
+                    part = lambda x, y: e[x:y].tobytes()  # noqa: E731, B023
+                else:
+                    array = SuffixArray.read(payload)
+                    own, first = bucket_of(array.e["key"], new), 0
+                    part = lambda x, y: array.take(np.arange(x, y)).payload()  # noqa: E731, B023
+                at, ends = runs(own)
+                yield pa.record_batch([pa.array(own[at] + first, pa.int32()), pa.array([size] * len(at), pa.int32()), pa.array([part(x, y) for x, y in zip(at, ends)], pa.binary())], names=["bucket", "size", "payload"])
 
     return run
 
@@ -436,39 +485,76 @@ def _count(rows: DataFrame, buckets: int) -> Levels:
     return Levels(materialize(counts, "grams"), buckets)
 
 
-def _ranges(rows: DataFrame) -> int:
-    return max(16, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+def _bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _ranges(total: int) -> int:
+    return max(16, total // RANGE_BYTES)
+
+
+@dataclass
+class Level:
+    """A table of arrays (bucket, size, payload), of `size` batches in so many ranges."""
+
+    size: int
+    buckets: int
+    table: DataFrame
 
 
 @dataclass
 class Index:
-    """The levels of all hash ranges. Their number and the hot grams are set by the first batch; a gram that becomes hot later stays in its range."""
+    """The levels, the largest first. Their ranges double as the text that they hold does. Hot grams are those of the first batch: one that becomes hot later stays in its range."""
 
-    levels: DataFrame
+    family: list[Level]
     buckets: int
+    bytes: int
     hot: Levels
 
+    @property
+    def levels(self) -> DataFrame:
+        """bucket, size, payload of all levels."""
+        return reduce(DataFrame.unionByName, [x.table for x in self.family])
 
-def add(docs: DataFrame, index: Index | None = None, batches: int = 1) -> tuple[DataFrame, Index]:
+
+def add(docs: DataFrame, index: Index | None = None) -> tuple[DataFrame, Index]:
     """Spans that docs and the index have in common or docs repeat (_id, _tag, _width, _spans; old documents' spans too), and the index with docs.
 
-    The index holds every sampled suffix, as a later batch may match any. Its levels are a table in the shared folder.
+    The index holds every sampled suffix, as a later batch may match any. Each level is a table in the shared folder. A batch's level takes in the levels
+    that it comes to equal in size; their tables are dropped, so the index that was given is used up. The other levels are only read.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = _rows(docs)
+    total = _bytes(rows)
     if index is None:
-        buckets = _ranges(rows)
-        index = Index(spark.createDataFrame([], _LEVELS_SQL), buckets, _count(rows, buckets))
-    found = _matched(rows, index, batches, None, True)
-    return found.where("bucket is null").select("_id", "_tag", "_width", "_spans"), Index(found.where("bucket is not null").select("bucket", "size", "payload"), index.buckets, index.hot)
+        index = Index([], _ranges(total), 0, _count(rows, _ranges(total)))
+    total, buckets = total + index.bytes, index.buckets
+    while buckets * RANGE_BYTES < total:
+        buckets *= 2
+    kept, merged, size = list(index.family), [], 1
+    while kept and kept[-1].size == size:
+        merged.append(kept.pop())
+        size *= 2
+    levels = spark.createDataFrame([], _LEVELS_SQL + ", merges boolean")
+    for level in index.family:
+        table = level.table if level.buckets == buckets else level.table.mapInArrow(_split(level.buckets, buckets), _LEVELS_SQL)
+        levels = levels.unionByName(table.withColumn("merges", F.lit(level in merged)))
+    met = _entries_of(rows, buckets, 1, None, index.hot).groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(_grow(buckets, size), _FOUND_SQL)
+    kinds = met.withColumn("kind", F.when(F.col("bucket").isNull(), "spans").otherwise("level"))
+    spans, level = materialize_parts(kinds, "suffixes", "kind", ["spans", "level"])
+    drop_scratch(*[x.table for x in merged])
+    return spans.select("_id", "_tag", "_width", "_spans"), Index([*kept, Level(size, buckets, _of(level))], buckets, total, index.hot)
+
+
+def _of(level: DataFrame) -> DataFrame:
+    out = level.select("bucket", "size", "payload")
+    out.scratch_path = getattr(level, "scratch_path", None)
+    return out
 
 
-def _matched(rows: DataFrame, index: Index, batches: int, counts: Levels | None, keep: bool) -> DataFrame:
-    long_ = rows.where(F.octet_length("text") >= REPORT)
-    entries = long_.mapInArrow(_send(index.buckets, batches, counts, index.hot), _ENTRIES_SQL)
-    met = entries.groupBy("bucket").cogroup(index.levels.groupBy("bucket")).applyInArrow(_work(index.buckets, keep), _FOUND_SQL)
-    return materialize(met, "spans")
+def _entries_of(rows: DataFrame, buckets: int, batches: int, counts: Levels | None, hot: Levels) -> DataFrame:
+    return rows.where(F.octet_length("text") >= REPORT).mapInArrow(_send(buckets, batches, counts, hot), _ENTRIES_SQL)
 
 
 def _apply(digest: bool):
@@ -503,9 +589,9 @@ def suffix_dedup(docs: DataFrame, digest: bool = False, batches: int = BATCHES)
     spark = docs.sparkSession
     ship_package(spark)
     rows = _rows(docs)
-    buckets = _ranges(rows)
+    buckets = _ranges(_bytes(rows))
     counts = _count(rows, buckets)
-    found = _matched(rows, Index(spark.createDataFrame([], _LEVELS_SQL), buckets, counts), batches, counts, False)
+    found = materialize(_entries_of(rows, buckets, batches, counts, counts).groupBy("bucket").applyInArrow(_work(buckets), _FOUND_SQL), "spans")
     spans = lambda width: F.collect_list(F.when(F.col("_width") == width, F.col("_spans")))
     found = found.groupBy("_id", "_tag").agg(spans(MATCH).alias("_cuts"), spans(REPORT).alias("_seen"))
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
