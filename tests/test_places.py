@@ -6,7 +6,9 @@ import ipaddress
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tracelake.functions import columns as C
 from tracelake.operators import render
 
 TAIL = "asn string, country string, city string"
@@ -39,3 +41,23 @@ def test_nested_ranges(spark, monkeypatch, small):
     assert len(got) == len(ips)
     for x in got:
         assert ((x.src_asn, x.src_country, x.src_city) if x.ip is not None else None) == plain(x.ip), x.ip
+
+
+def test_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def address(n):
+        made.add(1)
+        return f"8.1.0.{n % 4}"
+
+    rows = spark.range(40).select("id", address("id").alias("ip"))
+    ranges = spark.createDataFrame([(0x08010000, 0x0801FFFF, "AS1", "X", "a")], "first long, last long, asn string, country string, city string")
+    assert {tuple(r) for r in render.places(rows, "ip", ranges, "src").select("src_asn", "src_city").collect()} == {("AS1", "a")}
+    assert made.value == 40
+
+
+def test_private_kinds(spark):
+    texts = {"127.0.0.1": "Local", "::1": "Local", "LOCAL": "Local", "10.0.0.256": None, "172.31.0.1": "Private", "172.32.0.1": None, "fe80::1": "Private", "::": "Private", "1::2::3": None, "8.8.8.8": None, "FD00:0:0:0:0:0:0:1": "Private", "": None}
+    rows = spark.createDataFrame([(k,) for k in texts], "ip string")
+    assert {r.ip: r.kind for r in rows.select("ip", C.private_kind(F.col("ip")).alias("kind")).collect()} == texts

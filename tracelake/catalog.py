@@ -17,6 +17,7 @@ from tracelake.functions import columns as C
 from tracelake.operators import base64_tokens, filters, match, metrics, render, search, sinks, summary
 from tracelake.plans.rule import from_doc, link
 from tracelake.plans.selection import Fields
+from tracelake.sources import records as sources
 
 ALIASES = {"EventID": "Event.System.EventID", "Channel": "Event.System.Channel", "Computer": "Event.System.Computer"}
 
@@ -26,7 +27,7 @@ def fields() -> Fields:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = sources.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     kind, user, number = F.col("event_type"), F.col("user_id"), F.col("event_id")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

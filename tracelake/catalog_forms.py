@@ -26,7 +26,7 @@ def _text(*parts) -> Column:
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = sources.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     n, user = F.col("event_id"), F.col("user_id")
     kind = n % 9
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
@@ -122,7 +122,7 @@ def profile_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def powershell_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key=Value lines of classic PowerShell events as fields; the last of equal keys counts."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = sources.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     n = F.col("event_id")
     lines = _text("\tHost=h", n % 5, "\n\tUser = u", F.col("user_id"), "\r\n\tHost=second", n % 7, "\nno pair\n\tCmd=a=b")
     eid = F.element_at(F.array(F.lit("400"), F.lit("800"), F.lit("999")), (n % 3 + 1).cast("int"))
@@ -134,7 +134,7 @@ def powershell_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat objects, `result` wrappers, objects inside EventData and whole events become records alike."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = sources.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     n = F.col("event_id")
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     stamp = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'.1234567Z'")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +19,17 @@ def truth(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+#: Unicode's white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(v: Column, use: Callable[[Column], Column]) -> Column:
+    """use(v) with v evaluated once, however often and under whatever conditions or lambdas use() names it."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
+
+
 def trim_unicode(v: Column) -> Column:
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    return F.btrim(v, F.lit(SPACE))
 
 
 def collapse_spaces(v: Column) -> Column:
@@ -104,15 +116,16 @@ def json_path(key: str) -> str:
 
 def scalar(event: Column, path: str) -> Column:
     """A leaf as trimmed text; arrays, objects and null are absent."""
-    got = F.try_variant_get(event, json_path(path), "variant")
-    simple = ~F.schema_of_variant(got).rlike("^(ARRAY|OBJECT|VOID)")
-    return F.when(simple, trim_unicode(F.try_variant_get(event, json_path(path), "string")))
+    text = F.try_variant_get(event, json_path(path), "string")
+    # As texts, arrays and objects begin like this; the type is asked of these few alone.
+    plain = ~(text.startswith("{") | text.startswith("["))
+    simple = ~F.schema_of_variant(F.try_variant_get(event, json_path(path), "variant")).rlike("^(ARRAY|OBJECT|VOID)")
+    return F.when(plain, trim_unicode(text)).when(simple, trim_unicode(text))
 
 
 def array_of(event: Column, path: str) -> Column:
     """An array's elements as text; null where the path has no array."""
-    got = F.try_variant_get(event, json_path(path), "variant")
-    return F.when(F.schema_of_variant(got).startswith("ARRAY"), F.try_variant_get(event, json_path(path), "array<string>"))
+    return F.try_variant_get(event, json_path(path), "array<string>")
 
 
 def typed_scalar(v: Column) -> Column:
@@ -194,8 +207,17 @@ def size_text(bytes_: Column) -> Column:
 def ipv4(v: Column) -> Column:
     """The number of an IPv4 address, else null."""
     octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    parts = [F.regexp_extract(v, "^" + r"\.".join([octet] * 4) + r"\z", i).try_cast("bigint") for i in range(1, 5)]
-    return ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
+    part = lambda p, i: F.get(p, F.lit(i)).try_cast("bigint")
+    number = let(F.split(v, r"\."), lambda p: ((part(p, 0) * 256 + part(p, 1)) * 256 + part(p, 2)) * 256 + part(p, 3))
+    return F.when(v.rlike("^" + r"\.".join([octet] * 4) + r"\z"), number)
+
+
+def _within(four: Column, six: Column, network: str) -> Column:
+    """Whether an address, as ipv4() and ipv6_hex() have it, is in the network."""
+    net = ipaddress.ip_network(network, strict=False)
+    if net.version == 4:
+        return truth(four.between(int(net.network_address), int(net.broadcast_address)))
+    return truth(six.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"))
 
 
 def in_cidr(v: Column, network: str) -> Column:
@@ -204,23 +226,24 @@ def in_cidr(v: Column, network: str) -> Column:
         net = ipaddress.ip_network(network, strict=False)
     except ValueError:
         return F.lit(False)
-    if net.version == 4:
-        return truth(ipv4(v).between(int(net.network_address), int(net.broadcast_address)))
-    first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
-    return truth(ipv6_hex(v).between(first, last))
+    return let(ipv4(v) if net.version == 4 else ipv6_hex(v), lambda x: _within(x, x, network))
 
 
 def ipv6_hex(v: Column) -> Column:
     """An IPv6 address as 32 hex digits: groups padded, :: filled with zero groups; else null."""
     full = r"^[0-9a-f]{1,4}(:[0-9a-f]{1,4})*\z"
     low = F.lower(v)
-    halves = F.split(low, "::", 2)
-    groups = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
-    missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    all_ = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
-    good = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}\\z")) & (F.size(all_) == 8) & (low.contains("::") | low.rlike(full))
-    return F.when(good & v.contains(":"), F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), ""))
+    groups = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+
+    def filled(left: Column, right: Column) -> Column:
+        missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+        return let(F.concat(left, F.array_repeat(F.lit("0"), missing), right), lambda all_: F.when(F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}\\z")) & (F.size(all_) == 8), F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), "")))
+
+    def joined(halves: Column) -> Column:
+        sides = F.struct(groups(F.get(halves, F.lit(0))).alias("left"), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>")).alias("right"))
+        return let(sides, lambda x: filled(x["left"], x["right"]))
+
+    return F.when(v.contains(":") & (low.contains("::") | low.rlike(full)), let(F.split(low, "::", 2), joined))
 
 
 def plain_address(v: Column) -> Column:
@@ -232,8 +255,7 @@ def plain_address(v: Column) -> Column:
 
 def private_kind(v: Column) -> Column:
     """'Local' for loopback, 0.0.0.0 and LOCAL, 'Private' for private, link-local, multicast and unspecified addresses, else null."""
-    private = [in_cidr(v, n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "::/128", "fe80::/10", "fc00::/7", "ff00::/8")]
-    cond = private[0]
-    for x in private[1:]:
-        cond = cond | x
-    return F.when(in_cidr(v, "127.0.0.0/8") | in_cidr(v, "::1/128") | v.isin("0.0.0.0", "LOCAL", "ローカル"), "Local").when(cond, "Private")
+    private = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "::/128", "fe80::/10", "fc00::/7", "ff00::/8")
+    some = lambda x, networks: reduce(or_, [_within(x["four"], x["six"], n) for n in networks])
+    kind = lambda x: F.when(some(x, ("127.0.0.0/8", "::1/128")) | v.isin("0.0.0.0", "LOCAL", "ローカル"), "Local").when(some(x, private), "Private")
+    return let(F.struct(ipv4(v).alias("four"), ipv6_hex(v).alias("six")), kind)

@@ -20,6 +20,7 @@ from tracelake import scratch
 from tracelake.functions import columns as C
 from tracelake.plans.rule import LEVEL_ABBREVIATIONS, LEVELS
 from tracelake.plans.selection import Fields
+from tracelake.sources import records
 
 _ALIAS = re.compile(r"%([^%\s]+?)(?:\[(\d+)\])?%")
 #: Levels below Event that the plan flattens; it has no recursion, so each level is written out.
@@ -300,10 +301,12 @@ def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: Da
     networks = scratch.written(prefixes(ranges, ranges6), "prefixes")
     lengths = [(r["version"], r["bits"]) for r in networks.select(F.left("key", F.lit(1)).alias("version"), "bits").distinct().collect()]  # at most 162
     small = networks.limit(PREFIX_ROWS + 1).count() <= PREFIX_ROWS
-    own = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_a", C.plain_address(F.col("_ip")))
+    # Rows are read for their addresses and for the join, so what makes them runs once; addresses are few bytes and much work, so they are dealt by number.
+    rows = scratch.written(rows, "placed")
+    own = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().repartition(records.tasks(rows.sparkSession), "_ip").withColumn("_a", C.plain_address(F.col("_ip")))
     own = own.withColumns({"_k": C.private_kind(F.col("_a")), "_4": F.lpad(F.conv(C.ipv4(F.col("_a")).cast("string"), 10, 2), 32, "0"), "_6": C.ipv6_hex(F.col("_a"))})
     half = lambda at: F.lpad(F.conv(F.substr("_6", F.lit(at), F.lit(16)), 16, 2), 64, "0")
-    own = own.withColumn("_6", F.concat(half(1), half(17)))
+    own = scratch.written(own.withColumn("_6", F.concat(half(1), half(17))), "addresses")
     keys = [F.when(F.col(f"_{v}").isNotNull(), F.concat(F.lit(f"{v}:"), F.left(f"_{v}", F.lit(n)))) for v, n in lengths]
     tried = own.where("_k is null").select("_ip", F.explode(F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")).alias("key"))
     met = tried.join(F.broadcast(networks) if small else networks, "key")
@@ -311,7 +314,7 @@ def places(rows: DataFrame, ip: str, ranges: DataFrame, prefix: str, ranges6: Da
     dash = F.lit("-")
     found = own.select("_ip", "_k").join(best, F.col("_ip") == F.col("_found"), "left")
     found = found.select("_ip", F.coalesce("_k", "_best.asn", dash).alias(f"{prefix}_asn"), *[F.coalesce(f"_best.{c}", dash).alias(f"{prefix}_{c}") for c in ("country", "city")])
-    return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
+    return rows.join(scratch.small(scratch.written(found, "places")), F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
 @dataclass

@@ -99,6 +99,17 @@ def with_columns(rows: DataFrame, flat_source: bool = False) -> DataFrame:
     return rows.select(*cols, *more)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy to the end, for work that is heavy a row."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key over more tasks where their files give few: a row is some bytes on disk, but what is made of it costs far more than reading it."""
+    few = tasks(rows.sparkSession)
+    return rows.repartition(few, key) if rows.rdd.getNumPartitions() < few else rows
+
+
 def powershell_classic(records: DataFrame) -> DataFrame:
     """Key=Value lines of classic PowerShell events become fields beside Data; a later key wins."""
     data = C.array_of(F.col("event"), "Event.EventData.Data")
