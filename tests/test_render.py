@@ -12,6 +12,7 @@ from tracelake import catalog
 from tracelake.engine import Engine
 from tracelake.functions import columns as C
 from tracelake.operators import match, render, sinks
+from tracelake.sources import records as sources
 
 
 def plain_leaves(v, name="Event", shown=None):
@@ -122,3 +123,10 @@ def test_mappings_by_provider_and_list_item(spark):
     shown = lambda p: df.withColumn("provider", F.lit(p)).select(render.all_fields(F.col("event"), first, F.col("provider")).alias("a"), render.template("%Data[2]%/%Data[9]%", fields, first, F.col("provider")).alias("t")).first()
     assert tuple(shown("P")) == ("Data[1]: x ¦ Data[2]: one ¦ Num: 0x1F", "one/n/a") and tuple(shown("R")) == ("Data[1]: x ¦ Data[2]: 1 ¦ Num: 0x1F", "1/n/a")
     assert match.ORDER[0] == "event_ts_ns"
+
+
+def test_extra_fields_of_made_details(spark):
+    """Details are made once a record, beside the fields, not for each of them; so they may come from Python."""
+    rows = spark.sql("""SELECT parse_json('{"Event":{"System":{"x":{"y":{"z":{"deep":1}}}},"EventData":{"A":"1","B":" b ","C":null,"D":{},"E":["1",{"F":"f"}]}}}') AS event, 'b' AS shown""")
+    made = F.udf(lambda x: f"A: {x}", "string")
+    assert rows.select(render.extra_fields(F.col("event"), made("shown"))).first()[0] == "A: 1 ¦ E[1]: 1 ¦ F: f"

@@ -35,17 +35,19 @@ TACTICS = {
 
 _ENTRY = "array<struct<name:string,value:string>>"
 _LEFT_OUT = ("System", "xmlns", "Event_attributes")
-#: Unicode's white space, as trim_unicode() takes it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def deeper(v: Column, levels: int) -> Column:
     """Whether objects and lists are nested deeper than so many levels, or may be: lists of mixed items do not tell."""
-    schema = F.schema_of_variant(v)
-    rest = F.regexp_replace(schema, "`(?:[^`]|``)*+`", "")
-    for _ in range(levels):
-        rest = F.regexp_replace(rest, "<[^<>]*+>", "")
-    return C.truth(rest.contains("<") | schema.contains("VARIANT"))
+
+    def test(schema: Column) -> Column:
+        rest = F.regexp_replace(schema, "`(?:[^`]|``)*+`", "")
+        for _ in range(levels):
+            rest = F.regexp_replace(rest, "<[^<>]*+>", "")
+        return C.truth(rest.contains("<") | schema.contains("VARIANT"))
+
+    # The schema of a whole record costs more than its fields: it is made once.
+    return C.let(F.schema_of_variant(v), test)
 
 
 def walk(node: object, name: str = "Event") -> list[tuple[str, str]]:
@@ -58,7 +60,7 @@ def walk(node: object, name: str = "Event") -> list[tuple[str, str]]:
         elif isinstance(v, list):
             ahead += [(x, own, f"{own}[{i}]") for i, x in enumerate(v, 1)]
         elif v is not None:
-            out.append((shown, ("true" if v else "false") if isinstance(v, bool) else v.strip(_SPACE)))
+            out.append((shown, ("true" if v else "false") if isinstance(v, bool) else v.strip(C.SPACE)))
     return out
 
 
@@ -74,22 +76,21 @@ def leaves(event: Column, path: str = "$.Event", depth: int = DEPTH) -> Column:
     Child = "array<struct<key:string,shown:string,value:variant>>"
 
     def down(v: Column, name: Column, shown: Column, left: int) -> Column:
-        here = F.array(F.struct(shown.alias("name"), C.trim_unicode(F.try_variant_get(v, "$", "string")).alias("value")))
-        kind = F.schema_of_variant(v)
+        void = F.when(F.is_variant_null(v), F.array().cast(_ENTRY))
+        here = F.coalesce(void, F.array(F.struct(shown.alias("name"), C.trim_unicode(F.try_variant_get(v, "$", "string")).alias("value"))))
         if left == 0:  # no objects or lists come here: their records are walked
-            return F.when(kind.startswith("VOID"), F.array().cast(_ENTRY)).otherwise(here)
+            return here
+        # Objects alone are maps and lists alone arrays, so neither is told by a schema of all that is below.
         fields = F.transform(F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*_LEFT_OUT)), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("shown"), e["value"].alias("value")))
         # An item goes by its list's name and its place, also where lists are in lists.
         items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(name.alias("key"), F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("shown"), x.alias("value")))
         # Fields and items are one list of children, so that the expression grows with the depth and not with its power.
-        children = F.when(kind.startswith("OBJECT"), fields.cast(Child)).otherwise(items.cast(Child))
-        inside = F.flatten(F.transform(children, lambda e: down(e["value"], e["key"], e["shown"], left - 1)))
-        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), inside).when(kind.startswith("VOID"), F.array().cast(_ENTRY)).otherwise(here)
+        children = F.coalesce(fields.cast(Child), items.cast(Child))
+        return F.coalesce(F.flatten(F.transform(children, lambda e: down(e["value"], e["key"], e["shown"], left - 1))), here)
 
     v = F.try_variant_get(event, path, "variant")
-    deep = deeper(v, depth)
-    found = F.when(deep, _walked(F.when(deep, F.to_json(v)))).otherwise(down(v, F.lit("Event"), F.lit("Event"), depth))
-    return F.coalesce(found, F.array().cast(_ENTRY))
+    # Only records that are too deep have a text to walk, and only these come back from it with a list.
+    return F.coalesce(_walked(F.when(deeper(v, depth), F.to_json(v))), down(v, F.lit("Event"), F.lit("Event"), depth), F.array().cast(_ENTRY))
 
 
 def shown_leaves(event: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
@@ -106,7 +107,8 @@ def all_fields(event: Column, mapping: Mapping | None = None, provider: Column |
 def extra_fields(event: Column, details: Column, mapping: Mapping | None = None, provider: Column | None = None) -> Column:
     """All fields whose values the details do not show."""
     shown = F.transform(F.split(details, C.SEPARATOR.strip()), lambda x: F.btrim(F.substr(x, F.greatest(F.instr(x, ":"), F.lit(0)) + 1)))
-    rest = F.filter(shown_leaves(event, mapping, provider), lambda x: ~F.array_contains(shown, x["value"]))
+    both = F.struct(shown_leaves(event, mapping, provider).alias("leaves"), shown.alias("shown"))
+    rest = C.let(both, lambda b: F.filter(b["leaves"], lambda x: ~F.array_contains(b["shown"], x["value"])))
     return F.array_join(F.array_sort(F.transform(rest, lambda x: F.concat(x["name"], F.lit(": "), x["value"]))), C.SEPARATOR)
 
 
