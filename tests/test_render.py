@@ -130,3 +130,10 @@ def test_extra_fields_of_made_details(spark):
     rows = spark.sql("""SELECT parse_json('{"Event":{"System":{"x":{"y":{"z":{"deep":1}}}},"EventData":{"A":"1","B":" b ","C":null,"D":{},"E":["1",{"F":"f"}]}}}') AS event, 'b' AS shown""")
     made = F.udf(lambda x: f"A: {x}", "string")
     assert rows.select(render.extra_fields(F.col("event"), made("shown"))).first()[0] == "A: 1 ¦ E[1]: 1 ¦ F: f"
+
+
+def test_powershell_lines_are_split_once(spark):
+    rows = spark.createDataFrame([("400", "Windows PowerShell", '{"Event":{"System":{"EventID":"400"},"EventData":{"Host":"old","Data":["x","y","\\tHost=a\\n\\tUser = u\\nHost=b=c\\nnone"]}}}')], "event_id string, channel string, text string")
+    out = sources.powershell_classic(rows.withColumn("event", F.parse_json("text")))
+    assert [out.select(C.scalar(F.col("event"), f"Event.EventData.{k}")).first()[0] for k in ("Host", "User")] == ["b=c", "u"]
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 1

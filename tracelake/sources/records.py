@@ -116,13 +116,22 @@ def powershell_classic(records: DataFrame) -> DataFrame:
     which = F.when(F.col("event_id") == "800", F.get(data, F.lit(1))).otherwise(F.get(data, F.lit(2)))
     mine = (F.col("channel") == "Windows PowerShell") & F.col("event_id").isin("400", "403", "600", "800") & which.isNotNull()
     pairs = F.transform(F.filter(F.split(which, r"\n"), lambda x: x.contains("=")), lambda x: F.struct(F.trim(F.regexp_replace(F.substring_index(x, "=", 1), r"[\t\r]", "")).alias("key"), F.trim(F.regexp_replace(F.substr(x, F.instr(x, "=") + 1), r"[\t\r]", "")).alias("value")))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))), lambda p: (p["key"] != "") & ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    found = F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+
+    def last(ps: Column) -> Column:
+        numbered = F.transform(ps, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i")))
+        return F.filter(numbered, lambda p: (p["key"] != "") & ~F.exists(F.slice(ps, p["i"] + 2, F.size(ps)), lambda q: q["key"] == p["key"]))
+
+    def merged(x: Column) -> Column:
+        found = x["found"]
+        fields = F.map_concat(F.map_filter(x["own"], lambda k, v: ~F.array_contains(x["names"], k)), F.transform_values(found, lambda k, v: F.try_variant_get(F.try_parse_json(F.to_json(F.array(v))), "$[0]", "variant")))
+        body = F.struct(fields.alias("EventData"), F.try_variant_get("event", "$.Event.System", "variant").alias("System"))
+        return F.when(F.size(found) > 0, F.try_parse_json(F.to_json(F.struct(body.alias("Event"))))).otherwise(F.col("event"))
+
+    # Each step is made once a record, and not once for every line and field that a lambda looks at.
+    found = F.map_from_entries(F.transform(C.let(pairs, last), lambda p: F.struct(p["key"], p["value"])))
     own = F.try_variant_get("event", "$.Event.EventData", "map<string,variant>")
-    merged = F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(found), k)), F.transform_values(found, lambda k, v: F.try_variant_get(F.try_parse_json(F.to_json(F.array(v))), "$[0]", "variant")))
-    body = F.struct(merged.alias("EventData"), F.try_variant_get("event", "$.Event.System", "variant").alias("System"))
-    event = F.try_parse_json(F.to_json(F.struct(body.alias("Event"))))
-    new = F.when(mine & (F.size(found) > 0), event).otherwise(F.col("event"))
+    whole = C.let(found, lambda m: C.let(F.struct(m.alias("found"), F.map_keys(m).alias("names"), own.alias("own")), merged))
+    new = F.when(mine, whole).otherwise(F.col("event"))
     return records.withColumn("event", new).withColumn("data_string", F.to_json("event"))
 
 
