@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelake.llm import chat, lexical_search, mixing, run_detection, vector_graph
+from tracelake.llm import chat, lexical_search, mixing, ngram_join, run_detection, vector_graph
 from tracelake.llm import bytetext as B
 from tracelake.llm.registry import oracles, queries
 
@@ -324,3 +324,28 @@ def test_pipeline_stages_on_edge_cases(spark, docs, tmp_path):
 def test_queries_of_whole_tables_against_sql(spark, name):
     tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark", "conversations")}
     against_sql(name, queries()[name](spark, SF), **tables)
+
+
+def test_settled_lists_leave(spark, monkeypatch):
+    """Lists of two sets are gone after their pivot's round, and are not looked up again."""
+    seen = []
+    whole = ngram_join.materialize
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "live":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "PAIRS_AN_ENTRY", 0)
+    texts = []
+    for k in range(20):  # two texts that share their first half alone, and two that are alike
+        half = [f"h{k}w{i}" for i in range(10)]
+        texts += [" ".join(half + [f"a{k}w{i}" for i in range(10)]), " ".join(half + [f"b{k}w{i}" for i in range(10)])]
+        alike = [f"c{k}w{i}" for i in range(60)]
+        texts += [" ".join(alike), " ".join(alike[:59] + ["else"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {i: i - (i % 4 == 3) for i in range(len(texts))}
+    assert seen and sum(seen) == 0

@@ -226,7 +226,7 @@ def _roots(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
     live, links, roots, tried, many = lists.withColumn("c", F.col("node")), None, None, None, 1
     while entries:
         by = live.groupBy("g", "c").agg(F.count("*").alias("s")).groupBy("g")
-        by = by.agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("bigint").alias("cross")).where("cross > 0")
+        by = by.agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).cast("bigint").alias("cross"), F.sum("s").alias("k")).where("cross > 0")
         by = materialize(by, "cross")
         cross = by.agg(F.sum("cross")).first()[0] or 0
         if not cross:
@@ -259,6 +259,8 @@ def _roots(lists: DataFrame, fetch, percent: int) -> DataFrame | None:
         if last:
             break
         done = some.select(F.col("g").alias("_g"), F.col("node").alias("_p"))
+        # A list of two has no pair left once its pivot has met the other; its entries need no component any more.
+        live = live.join(small(by.where("k > 2").select("g")), "g", "left_semi")
         live = live.join(small(done), (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_p")), "left_anti")
         if found is not None:
             live = live.drop("c").join(small(roots.withColumnRenamed("node", "_n")), F.col("node") == F.col("_n"), "left").select(*lists.columns, F.coalesce("root", "node").alias("c"))
