@@ -148,6 +148,22 @@ def test_timeline_sorts_what_is_already_matched(spark):
     assert plan.index("hashpartitioning(rule_id", order) > order
 
 
+def test_rules_are_compiled(spark):
+    """No predicate stands in a generator or under a function that Spark interprets, and no method is too large for the JVM; a session's own limit stays."""
+    from tracelake.operators import match
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    rules = catalog.linked(*[catalog.rule(k, d) for k, (d, _) in catalog.LEAVES.items()])
+    found = match.match(catalog.records(spark, SF), rules, catalog.fields())
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    lines = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "user7" in x]
+    assert len(lines) == 1 and "Project" in lines[0] and "array_remove" in lines[0] and "array_compact" not in lines[0]
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "9000")
+    match.match(catalog.records(spark, SF), rules, catalog.fields())
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "9000"
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+
 def test_deep_fields(spark):
     from tracelake.operators import render
 

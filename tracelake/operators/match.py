@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake import scratch
@@ -22,6 +22,8 @@ from tracelake.plans.selection import Fields
 CHUNK = 100
 #: From so many rules with literals on, an automaton finds each record's candidates among them first; those are told apart in arrays of PREFILTER_CHUNK.
 PREFILTER_RULES, PREFILTER_CHUNK = 500, 50
+#: The JVM never compiles methods of more bytes; Spark makes one method of all fields and predicates up to its own limit of 65,535, and smaller ones of what is above the limit.
+METHOD_BYTES = 8_000
 #: Columns of a record that matches keep.
 KEPT = ("source_file", "record_id", "event_id", "channel", "computer", "provider", "event_ts", "event_ts_ns", "recovered", "event", "data_string")
 
@@ -58,21 +60,29 @@ def match(records: DataFrame, rules: list[Rule], fields: Fields | None = None) -
     return _match(records, rules, fields)
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Have Spark generate methods that the JVM compiles, unless the session has its own limit."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))
+
+
 def _match(records: DataFrame, rules: list[Rule], fields: Fields, needs: list[frozenset[str]] | None = None) -> DataFrame:
     cols = [c for c in KEPT if c in records.columns]
     if not rules:
         return records.select(*cols, F.lit("").alias("rule_id")).where("false")
+    small_methods(records.sparkSession)
     probe = Fields(aliases=fields.aliases, files=fields.files, windash=fields.windash, strict_cased=fields.strict_cased, numbered="_f")
 
     def hit(i: int) -> Column:
         test = rules[i].matcher(probe)
-        return F.when(F.array_contains("_candidates.rules", i) & test if needs else test, F.lit(rules[i].id))
+        return F.when(F.array_contains("_candidates.rules", i) & test if needs else test, i).otherwise(-1)
 
     # One projection of one scan, however many rules there are; an array for so many of them keeps the generated methods small.
+    # array_remove is compiled with the predicates inside it, where array_compact has Spark interpret them for each record.
     size = PREFILTER_CHUNK if needs else CHUNK
-    parts = [F.array_compact(F.array(*[hit(i) for i in range(k, min(k + size, len(rules)))])) for k in range(0, len(rules), size)]
+    parts = [F.array_remove(F.array(*[hit(i) for i in range(k, min(k + size, len(rules)))]), -1) for k in range(0, len(rules), size)]
     if needs:
-        parts = [F.when(F.array_contains("_candidates.chunks", k), p).otherwise(F.array().cast("array<string>")) for k, p in enumerate(parts)]
+        parts = [F.when(F.array_contains("_candidates.chunks", k), p).otherwise(F.array().cast("array<int>")) for k, p in enumerate(parts)]
     hits = parts[0] if len(parts) == 1 else F.concat(*parts)
     if fields.path("Channel") == "Event.System.Channel":
         records = filters.rule_channels(records, rules)
@@ -82,9 +92,10 @@ def _match(records: DataFrame, rules: list[Rule], fields: Fields, needs: list[fr
         records = records.withColumn("_candidates", literals.finder(needs, size)(F.col("data_string"))).where(F.size("_candidates.rules") > 0)
     typed = {"Event.System.EventID": "event_id", "Event.System.Channel": "channel", "Event.System.Computer": "computer"}
     flat = records.select(*cols, *more, *[(F.col(typed[p]) if p in typed else C.scalar(F.col("event"), p)).alias(f"_f{k}") for k, p in enumerate(probe.asked)])
-    # An outer generator: the filter that Spark infers for an inner one would evaluate all predicates once more, below
-    # the projection, with every field's expression written out in each of them.
-    return flat.select(*cols, F.explode_outer(hits).alias("rule_id")).where("rule_id is not null")
+    # The hits are a column of their own first: inside the generator nothing is compiled. It is an outer one: the filter that Spark infers
+    # for an inner one would evaluate all predicates once more, below the projection, with every field's expression written out in each of them.
+    found = flat.select(*cols, hits.alias("_hits")).select(*cols, F.explode_outer("_hits").alias("_hit")).where("_hit is not null")
+    return found.select(*cols, F.get(F.lit([r.id for r in rules]), F.col("_hit")).alias("rule_id"))
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
